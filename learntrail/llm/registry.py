@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from learntrail.llm.embeddings import op8_embeddings
 from learntrail.llm.minhash import op6_minhash
 from learntrail.llm.packing import op9_packing
+from learntrail.llm.substring import op7_substring
 from learntrail.llm.tokens import op4_token_counts
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op6_minhash, op9_packing)}
+QUERIES = {f.__name__: f for f in (op4_token_counts, op6_minhash, op7_substring, op8_embeddings, op9_packing)}
 SQL: dict[str, str] = {}
