@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
         "id", "cluster", "parts",
         F.explode(F.when(F.col("parts") > 1, F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("cluster", F.least(j, F.col("block")), F.greatest(j, F.col("block"))))).otherwise(F.array(F.pmod(F.xxhash64("cluster"), F.lit(buckets))))).alias("task"),
     )
-    members = texts.join(tasks.withColumnRenamed("id", "doc_id"), "doc_id")
+    members = texts.join(tasks.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id")
 
     def verified(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("doc_id")
