@@ -10,6 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from learntrail.llm.common import null_safe_text, table
 
@@ -393,5 +394,28 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[done:]
 
 
+def redact_texts(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns; in ``text`` each span is its kind in brackets. Null text stays null."""
+    field = trained()
+
+    @F.pandas_udf("string")
+    def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        decoder = Decoder(field)
+        for texts in batches:
+            out: list = []
+            for at in range(0, len(texts), 500):
+                own = texts.iloc[at : at + 500].tolist()
+                for text, labels in zip(own, decoder.decode([(x or "").split() for x in own]), strict=True):
+                    if not text:
+                        out.append(text)
+                        continue
+                    base = base_spans(text)
+                    spans = base + (added_spans(text, labels, base) if labels.any() else [])
+                    out.append(redacted(text, spans) if spans else text)
+            yield pd.Series(out, dtype=object)
+
+    return docs.withColumn("text", cleaned(F.col("text").cast("string")))
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))

@@ -156,25 +156,22 @@ def trained_chain(docs: DataFrame, labels: DataFrame) -> list[Linear]:
     return train_chain([rows[k] for k in kept], 1 - got.quality.to_numpy(np.int64)[kept], got.toxic.to_numpy(np.int64)[kept])
 
 
-def score_toxicity(docs: DataFrame, chain: list[Linear], threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, p_junk, p_toxic, p_severe, toxic``, one row for each row of ``docs``, scored over the whole text.
-
-    Null or blank text has no features: the models' biases decide. Repeated rows and null ids are kept as they come; other
-    columns are not read. No shuffle; the chain is a few thousand numbers.
-    """
+def chain_probabilities(chain: list[Linear]):
+    """A column function from text to the struct p_junk, p_toxic, p_severe: words with weights are looked up, batch by batch."""
     names = np.unique(np.concatenate([m.hashes for m in chain]))
     index = {int(h): k for k, h in enumerate(names)}
     tables = np.zeros((len(CATEGORIES), len(names)))
     for k, m in enumerate(chain):
         tables[k, np.searchsorted(names, m.hashes)] = m.weights
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("p_junk double, p_toxic double, p_severe double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         store: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
-            linear = np.zeros((len(batch), len(CATEGORIES)))
-            for k, text in enumerate(batch.text):
-                hit = set()
-                for w in set(text.split()):
+        for texts in batches:
+            linear = np.zeros((len(texts), len(CATEGORIES)))
+            for k, text in enumerate(texts):
+                hit: set[int] = set()
+                for w in set(text.split()) if isinstance(text, str) else ():
                     got = store.get(w)
                     if got is None:
                         got = tuple(index[h] for h in word_features(w) if h in index)
@@ -185,16 +182,29 @@ def score_toxicity(docs: DataFrame, chain: list[Linear], threshold: float = THRE
                         hit.update(got)
                 if hit:
                     linear[k] = tables[:, sorted(hit)].sum(1)
-            logits = np.zeros_like(linear)
-            probs = np.zeros_like(linear)
+            logits, probs = np.zeros_like(linear), np.zeros_like(linear)
             for k, m in enumerate(chain):
                 z = linear[:, k] + m.bias + (logits[:, :k] @ m.earlier if k else 0)
                 probs[:, k] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 logits[:, k] = _logit(probs[:, k])
-            yield pd.DataFrame({"doc_id": batch.doc_id, **{f"p_{c}": probs[:, k] for k, c in enumerate(CATEGORIES)}, "toxic": probs[:, 1] >= threshold})
+            yield pd.DataFrame(probs, columns=[f"p_{c}" for c in CATEGORIES])
+
+    return scored
+
+
+def score_toxicity(docs: DataFrame, chain: list[Linear], threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, p_junk, p_toxic, p_severe, toxic``, one row for each row of ``docs``, scored over the whole text.
+
+    Null or blank text has no features: the models' biases decide. Repeated rows and null ids are kept as they come; other
+    columns are not read. No shuffle; the chain is a few thousand numbers.
+    """
+    scored = docs.select("doc_id", chain_probabilities(chain)(F.col("text").cast("string")).alias("p"))
+    return scored.select("doc_id", "p.*", (F.col("p.p_toxic") >= threshold).alias("toxic"))
+
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return null_safe_text(docs, "doc_id").mapInPandas(run, f"doc_id {kind}, p_junk double, p_toxic double, p_severe double, toxic boolean")
+def without_toxic(docs: DataFrame, chain: list[Linear], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose probability of being toxic is under ``threshold``."""
+    return docs.where(chain_probabilities(chain)(F.col("text").cast("string"))["p_toxic"] < threshold)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
