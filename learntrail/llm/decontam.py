@@ -109,9 +109,9 @@ def windows_of(rows: DataFrame, widths: list[int] | None, passing: np.ndarray |
                         hashes.append(found[at])
                         values.append(slots[at : at + width][slots[at : at + width] > 0].view(np.int64))
                 if len(ids) > 20_000:
-                    yield pd.DataFrame({"id": ids, "at": ats, "hash": np.array(hashes, np.uint64).view(np.int64), "slots": values})
+                    yield pd.DataFrame({"id": ids, "at": ats, "hash": np.array(hashes, np.uint64).view(np.int64), "slots": pd.Series(values, dtype=object)})
                     ids, ats, hashes, values = [], [], [], []
-            yield pd.DataFrame({"id": np.array(ids, np.int64), "at": np.array(ats, np.int32), "hash": np.array(hashes, np.uint64).view(np.int64), "slots": values})
+            yield pd.DataFrame({"id": np.array(ids, np.int64), "at": np.array(ats, np.int32), "hash": np.array(hashes, np.uint64).view(np.int64), "slots": pd.Series(values, dtype=object)})
 
     return rows.mapInPandas(run, _SCHEMA)
 
