@@ -100,7 +100,7 @@ def suspicious_jumps(spark, d):
     return x.withColumn("f", fraction).where("f > 0.6").select("row_id", F.round("f", 6).alias("edit_fraction"), F.round("delta_s", 3).alias("delta_s"))
 
 
-@query("SELECT row_id, round(fraction - avg(fraction) OVER (PARTITION BY student_id), 6) AS by_student, round(fraction - avg(fraction) OVER (PARTITION BY question_id), 6) AS by_question FROM sub")
+@query("SELECT row_id, round(fraction - avg(fraction) OVER (PARTITION BY student_id), 6) + 0.0 AS by_student, round(fraction - avg(fraction) OVER (PARTITION BY question_id), 6) + 0.0 AS by_question FROM sub")
 def center_by_group(spark, d):
     return submissions(spark, d).select("row_id", *[F.round(F.col("fraction") - F.avg("fraction").over(Window.partitionBy(k)), 6).alias(a) for k, a in (("student_id", "by_student"), ("question_id", "by_question"))])
 
@@ -213,7 +213,7 @@ def _r(x, y):
     return f"covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
 
 
-@query(f"WITH s AS ({STUDENT_Q}) SELECT question_id, CASE WHEN count(*) >= 3 THEN round({_r('steps', 'last_mark')}, 6) END AS r_last, CASE WHEN count(*) >= 3 THEN round({_r('steps', 'best')}, 6) END AS r_best, CASE WHEN count(*) >= 3 THEN round({_r('best', 'last_mark')}, 6) END AS r_marks FROM s WHERE best > 0 GROUP BY question_id")
+@query(f"WITH s AS ({STUDENT_Q}) SELECT question_id, CASE WHEN count(*) >= 3 THEN round({_r('steps', 'last_mark')}, 6) + 0.0 END AS r_last, CASE WHEN count(*) >= 3 THEN round({_r('steps', 'best')}, 6) + 0.0 END AS r_best, CASE WHEN count(*) >= 3 THEN round({_r('best', 'last_mark')}, 6) + 0.0 END AS r_marks FROM s WHERE best > 0 GROUP BY question_id")
 def problem_correlations(spark, d):
     enough = lambda x, y: F.when(F.count("*") >= 3, F.round(E.correlation(x, y), 6))
     return _student_question(spark, d).where("best > 0").groupBy("question_id").agg(enough("steps", "last_mark").alias("r_last"), enough("steps", "best").alias("r_best"), enough("best", "last_mark").alias("r_marks"))

@@ -78,7 +78,7 @@ def grading_error(spark, d):
     return submissions(spark, d).withColumn("nxt", nxt).where("nxt IS NOT NULL").groupBy("question_id").agg(F.round(F.avg(F.abs(F.col("fraction") - F.col("nxt"))), 6).alias("error"))
 
 
-@query("WITH g AS (SELECT student_id, question_id, 10 * max(fraction) AS y, count(*) AS x FROM sub GROUP BY ALL) SELECT student_id, question_id, round(x - avg(x) OVER (PARTITION BY question_id), 6) AS x, round(y - avg(y) OVER (PARTITION BY question_id), 6) AS y FROM g")
+@query("WITH g AS (SELECT student_id, question_id, 10 * max(fraction) AS y, count(*) AS x FROM sub GROUP BY ALL) SELECT student_id, question_id, round(x - avg(x) OVER (PARTITION BY question_id), 6) + 0.0 AS x, round(y - avg(y) OVER (PARTITION BY question_id), 6) + 0.0 AS y FROM g")
 def tau_centred_points(spark, d):
     return _centred(spark, d).select("student_id", "question_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 

@@ -125,7 +125,7 @@ def match_attempt(spark, d):
     return S.top_k(j, 1, k, F.col("kind"), F.col("attempt_no")).select(*k, "row_id", "kind")
 
 
-@query("WITH p AS (SELECT item_id AS a, item_id + 1 AS b FROM (SELECT DISTINCT item_id FROM obs) WHERE item_id % 7 < 6), q AS (SELECT item_id, 1 - avg(y) AS diff FROM obs GROUP BY item_id) SELECT a, b, round(x.diff - y.diff, 6) AS gap FROM p JOIN q x ON x.item_id = a JOIN q y ON y.item_id = b")
+@query("WITH p AS (SELECT item_id AS a, item_id + 1 AS b FROM (SELECT DISTINCT item_id FROM obs) WHERE item_id % 7 < 6), q AS (SELECT item_id, 1 - avg(y) AS diff FROM obs GROUP BY item_id) SELECT a, b, round(x.diff - y.diff, 6) + 0.0 AS gap FROM p JOIN q x ON x.item_id = a JOIN q y ON y.item_id = b")
 def pair_difficulty(spark, d):
     q = observations(spark, d).groupBy("item_id").agg((1 - F.avg("y")).alias("diff"))
     p = q.where("item_id % 7 < 6").select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"), F.col("diff").alias("da"))
@@ -133,7 +133,7 @@ def pair_difficulty(spark, d):
 
 
 @query("""WITH p AS (SELECT item_id AS a, item_id + 1 AS b, item_id // 7 % 5 AS category FROM (SELECT DISTINCT item_id FROM obs) WHERE item_id % 7 < 6), q AS (SELECT item_id, 1 - avg(y) AS diff FROM obs GROUP BY item_id), g AS (SELECT category, x.diff AS l, y.diff AS r FROM p JOIN q x ON x.item_id = a JOIN q y ON y.item_id = b)
-SELECT category, round(sqrt(avg((l - r) * (l - r))), 6) AS rmse, round(avg(abs(l - r)), 6) AS mad, round(covar_pop(l, r) / nullif(stddev_pop(l) * stddev_pop(r), 0), 6) AS r FROM g GROUP BY category""")
+SELECT category, round(sqrt(avg((l - r) * (l - r))), 6) AS rmse, round(avg(abs(l - r)), 6) AS mad, round(covar_pop(l, r) / nullif(stddev_pop(l) * stddev_pop(r), 0), 6) + 0.0 AS r FROM g GROUP BY category""")
 def concept_pair_summary(spark, d):
     q = observations(spark, d).groupBy("item_id").agg((1 - F.avg("y")).alias("diff"))
     p = q.where("item_id % 7 < 6").select((F.col("item_id") + 1).alias("item_id"), (F.floor(F.col("item_id") / 7) % 5).alias("category"), F.col("diff").alias("l")).join(q.withColumnRenamed("diff", "r"), "item_id")
@@ -270,7 +270,7 @@ def error_flow(spark, d):
 TAU = """WITH g AS (SELECT {k} AS k, student_id, question_id, count(*) AS x, 10 * max(fraction) AS y FROM sub GROUP BY ALL), n AS (SELECT k, count(*) AS n FROM g GROUP BY k HAVING count(*) >= 5),
 s AS (SELECT a.k, sum(sign(b.x - a.x) * sign(b.y - a.y)) AS s FROM g a JOIN g b ON a.k = b.k AND (a.student_id, a.question_id) < (b.student_id, b.question_id) GROUP BY a.k),
 tx AS (SELECT k, sum(t * (t - 1) / 2.0) AS t FROM (SELECT k, x, count(*) AS t FROM g GROUP BY ALL) GROUP BY k), ty AS (SELECT k, sum(t * (t - 1) / 2.0) AS t FROM (SELECT k, y, count(*) AS t FROM g GROUP BY ALL) GROUP BY k)
-SELECT k AS {k}, n, round(s / nullif(sqrt((n * (n - 1) / 2.0 - tx.t) * (n * (n - 1) / 2.0 - ty.t)), 0), 8) AS tau FROM n JOIN s USING (k) JOIN tx USING (k) JOIN ty USING (k)"""
+SELECT k AS {k}, n, round(s / nullif(sqrt((n * (n - 1) / 2.0 - tx.t) * (n * (n - 1) / 2.0 - ty.t)), 0), 8) + 0.0 AS tau FROM n JOIN s USING (k) JOIN tx USING (k) JOIN ty USING (k)"""
 
 
 def _tau(spark, d, key):
