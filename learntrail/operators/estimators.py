@@ -68,26 +68,28 @@ def bkt_fit(obs: DataFrame, rounds: int = 20) -> DataFrame:
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         p = np.array([0.3, 0.1, 0.2, 0.1])
+        batches = [(np.array([np.frombuffer(x.encode(), np.uint8) - 48 for x in own.seq], np.float64), own.n.to_numpy(float)) for _, own in group.groupby(group.seq.str.len())]
         for _ in range(rounds):
             total = np.zeros(8)
-            for seq, n in zip(group.seq, group.n, strict=True):
-                y = np.frombuffer(seq.encode(), np.uint8) - 48
+            for y, n in batches:  # sequences of one length together
                 a = np.array([[1 - p[1], p[1]], [0, 1]])
-                e = np.stack([np.where(y == 1, p[2], 1 - p[2]), np.where(y == 1, 1 - p[3], p[3])], 1)
-                f, b = np.zeros((len(y), 2)), np.ones((len(y), 2))
-                f[0] = np.array([1 - p[0], p[0]]) * e[0]
-                f[0] /= f[0].sum()
-                for k in range(1, len(y)):
-                    f[k] = f[k - 1] @ a * e[k]
-                    f[k] /= f[k].sum()
-                for k in range(len(y) - 2, -1, -1):
-                    b[k] = a @ (e[k + 1] * b[k + 1])
-                    b[k] /= b[k].sum()
+                e = np.stack([np.where(y == 1, p[2], 1 - p[2]), np.where(y == 1, 1 - p[3], p[3])], 2)
+                f, b = np.zeros(e.shape), np.ones(e.shape)
+                f[:, 0] = np.array([1 - p[0], p[0]]) * e[:, 0]
+                f[:, 0] /= f[:, 0].sum(1, keepdims=True)
+                for k in range(1, y.shape[1]):
+                    f[:, k] = f[:, k - 1] @ a * e[:, k]
+                    f[:, k] /= f[:, k].sum(1, keepdims=True)
+                for k in range(y.shape[1] - 2, -1, -1):
+                    b[:, k] = (e[:, k + 1] * b[:, k + 1]) @ a.T
+                    b[:, k] /= b[:, k].sum(1, keepdims=True)
                 g = f * b
-                g /= g.sum(1, keepdims=True)
-                moved = np.array([f[k][0] * p[1] * e[k + 1][1] * b[k + 1][1] for k in range(len(y) - 1)])
-                kept = np.array([f[k][0] * (1 - p[1]) * e[k + 1][0] * b[k + 1][0] + f[k][1] * e[k + 1][1] * b[k + 1][1] for k in range(len(y) - 1)])
-                total += n * np.array([g[0, 1], 1, (moved / (moved + kept)).sum() if len(y) > 1 else 0, g[:-1, 0].sum(), (g[:, 0] * y).sum(), g[:, 0].sum(), (g[:, 1] * (1 - y)).sum(), g[:, 1].sum()])
+                g /= g.sum(2, keepdims=True)
+                later = e[:, 1:] * b[:, 1:]
+                moved = f[:, :-1, 0] * p[1] * later[:, :, 1]
+                kept = f[:, :-1, 0] * (1 - p[1]) * later[:, :, 0] + f[:, :-1, 1] * later[:, :, 1]
+                parts = (g[:, 0, 1], np.ones(len(n)), (moved / (moved + kept)).sum(1), g[:, :-1, 0].sum(1), (g[:, :, 0] * y).sum(1), g[:, :, 0].sum(1), (g[:, :, 1] * (1 - y)).sum(1), g[:, :, 1].sum(1))
+                total += np.array([n @ x for x in parts])
             p = np.clip(total[::2] / np.maximum(total[1::2], 1e-9), 0.01, 0.99)
         return pd.DataFrame([[group.item_id.iloc[0], *p]], columns=["item_id", "known", "learn", "guess", "slip"])
 

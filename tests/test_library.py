@@ -78,3 +78,19 @@ def test_streams(spark, sf_dir, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 1000 and spark.table("ratings").agg(F.sum("n")).first()[0] == 1000 and schema
+
+
+def test_bkt_against_single_sequences(spark):
+    rng = __import__("random").Random(1)
+    rows = [(1, s, k, int(rng.random() < 0.2 + 0.15 * k)) for s in range(30) for k in range(1 + s % 5)]
+    obs = spark.createDataFrame(rows, "item_id long, student_id long, attempt_id long, y long")
+    p = M.bkt_fit(obs).first()
+    assert all(0.01 <= x <= 0.99 for x in p[1:]) and p.learn > 0.1
+    got = {r.student_id: r.mastery for r in M.bkt_forward(obs, M.bkt_fit(obs)).collect()}
+    for s in range(30):
+        known = p.known
+        for y in [r[3] for r in rows if r[1] == s]:
+            right = known * (1 - p.slip) + (1 - known) * p.guess
+            post = known * (1 - p.slip) / right if y else known * p.slip / (1 - right)
+            known = post + (1 - post) * p.learn
+        assert abs(got[s] - known) < 1e-9
