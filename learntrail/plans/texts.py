@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from learntrail.functions import parsing as P
-from learntrail.operators import evaluation as E
 from learntrail.operators import sequence as S
 from learntrail.plans.attempts import RESP
 from learntrail.plans.log import attempt_log, observations, query, submissions, table, with_response
