@@ -83,7 +83,7 @@ def time_delta(spark, d):
     return S.time_delta(submissions(spark, d)).select("row_id", F.round("delta_s", 3).alias("delta_s"))
 
 
-RESP = "WITH n AS (SELECT count(*) AS n FROM documents), r AS (SELECT s.*, substr(regexp_replace(d.text, '[^ -~]', '', 'g'), 1, 400) AS response FROM sub s CROSS JOIN n JOIN documents d ON d.doc_id = s.row_id % n.n)"
+RESP = "WITH n AS (SELECT count(*) AS n FROM benchmark), r AS (SELECT s.*, regexp_replace(d.text, '[^ -~]', '', 'g') AS response FROM sub s CROSS JOIN n JOIN benchmark d ON d.item_id = s.row_id % n.n)"
 
 
 @query(RESP + ", l AS (SELECT *, lag(response) OVER (PARTITION BY student_id, question_id ORDER BY ts, row_id) AS prev FROM r) SELECT row_id, CAST(levenshtein(response, prev) AS DOUBLE) AS edit_distance FROM l")

@@ -62,12 +62,12 @@ def tree_flatten(spark, d):
     return out.select("level", "parent_id", "id", "label")
 
 
-@query("WITH a AS (SELECT row_id, CASE WHEN student_id % 13 = 0 THEN 'student' WHEN question_id % 7 = 0 THEN 'question' ELSE 'kept' END AS reason FROM sub) SELECT reason, count(*) AS n FROM a GROUP BY reason")
+@query("WITH a AS (SELECT row_id, CASE WHEN student_id NOT IN (SELECT s_suppkey FROM supplier) THEN 'student' WHEN question_id NOT IN (SELECT c_custkey FROM customer) THEN 'question' ELSE 'kept' END AS reason FROM sub) SELECT reason, count(*) AS n FROM a GROUP BY reason")
 def align_events(spark, d):
     """Events joined to the current learners and questions; each dropped one is counted under the first reason."""
     s = submissions(spark, d).select("row_id", "student_id", "question_id")
-    students = s.where("student_id % 13 <> 0").select("student_id").distinct().withColumn("ks", F.lit(True))
-    questions = s.where("question_id % 7 <> 0").select("question_id").distinct().withColumn("kq", F.lit(True))
+    students = table(spark, d, "supplier").select(F.col("s_suppkey").alias("student_id")).distinct().withColumn("ks", F.lit(True))
+    questions = table(spark, d, "customer").select(F.col("c_custkey").alias("question_id")).distinct().withColumn("kq", F.lit(True))
     x = s.join(students, "student_id", "left").join(questions, "question_id", "left")
     return x.groupBy(F.when(F.col("ks").isNull(), "student").when(F.col("kq").isNull(), "question").otherwise("kept").alias("reason")).agg(F.count("*").alias("n"))
 

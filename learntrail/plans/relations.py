@@ -39,10 +39,10 @@ def join_alignment(spark, d):
     return attempt_log(spark, d).groupBy(k).agg(F.count("*").alias("n")).join(submissions(spark, d).groupBy(k).agg(F.round(F.max("fraction"), 6).alias("best")), k)
 
 
-@query("WITH w AS (SELECT question_id, max(week) AS week FROM log WHERE question_id % 3 <> 0 GROUP BY question_id) SELECT q.question_id, coalesce(w.week, 99) AS week FROM (SELECT DISTINCT question_id FROM log) q LEFT JOIN w USING (question_id)")
+@query("WITH w AS (SELECT question_id, max(week) AS week FROM log WHERE is_exam = 0 GROUP BY question_id) SELECT q.question_id, coalesce(w.week, 99) AS week FROM (SELECT DISTINCT question_id FROM log) q LEFT JOIN w USING (question_id)")
 def lookup_week_default(spark, d):
     log = attempt_log(spark, d)
-    w = log.where("question_id % 3 <> 0").groupBy("question_id").agg(F.max("week").alias("w"))
+    w = log.where("is_exam = 0").groupBy("question_id").agg(F.max("week").alias("w"))
     return log.select("question_id").distinct().join(w, "question_id", "left").select("question_id", F.coalesce("w", F.lit(99)).alias("week"))
 
 
@@ -57,12 +57,12 @@ def anti_missing_questions(spark, d):
     return table(spark, d, "part").join(table(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti").select("p_partkey")
 
 
-@query("""WITH a AS (SELECT student_id, question_id, count(*) AS n FROM log WHERE row_id % 7 <> 0 GROUP BY ALL), b AS (SELECT student_id, question_id, count(*) AS n FROM log WHERE row_id % 11 <> 0 GROUP BY ALL),
+@query("""WITH a AS (SELECT student_id, question_id, count(*) AS n FROM log WHERE response_type <> 'Saved' GROUP BY ALL), b AS (SELECT student_id, question_id, count(*) AS n FROM log WHERE response_type <> 'Submit' GROUP BY ALL),
 r AS (SELECT CASE WHEN a.n IS NULL THEN 'only_right' WHEN b.n IS NULL THEN 'only_left' WHEN a.n = b.n THEN 'equal' WHEN a.n > b.n THEN 'left_more' ELSE 'right_more' END AS reason FROM a FULL JOIN b USING (student_id, question_id)) SELECT reason, count(*) AS n FROM r GROUP BY reason""")
 def reconcile_full_outer(spark, d):
     log, k = attempt_log(spark, d), ["student_id", "question_id"]
-    a = log.where("row_id % 7 <> 0").groupBy(k).agg(F.count("*").alias("a"))
-    b = log.where("row_id % 11 <> 0").groupBy(k).agg(F.count("*").alias("b"))
+    a = log.where("response_type <> 'Saved'").groupBy(k).agg(F.count("*").alias("a"))
+    b = log.where("response_type <> 'Submit'").groupBy(k).agg(F.count("*").alias("b"))
     reason = F.when(F.col("a").isNull(), "only_right").when(F.col("b").isNull(), "only_left").when(F.col("a") == F.col("b"), "equal").when(F.col("a") > F.col("b"), "left_more").otherwise("right_more")
     return a.join(b, k, "full_outer").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
@@ -86,20 +86,20 @@ def range_prior_events(spark, d):
     return t.join(prior, (t.student_id == prior.student_id) & (prior.ts < t.cutoff), "left").groupBy(t.student_id).agg(F.count("row_id").alias("n_prior"), F.round(F.avg("fraction"), 6).alias("mean_prior"))
 
 
-SHORT = "substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 60)"
+ASCII = "regexp_replace(text, '[^ -~]', '', 'g')"
 
 
-@query(f"WITH b AS (SELECT item_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 6) AS head, {SHORT} AS s FROM benchmark) SELECT a.item_id AS left_id, b.item_id AS right_id, CAST(levenshtein(a.s, b.s) AS BIGINT) AS distance FROM b a JOIN b ON a.head[1:1] = b.head[1:1] AND a.item_id < b.item_id WHERE abs(length(a.s) - length(b.s)) <= 45 AND levenshtein(a.s, b.s) <= 45", log=False)
+@query(f"WITH b AS (SELECT item_id, {ASCII} AS s FROM benchmark) SELECT a.item_id AS left_id, b.item_id AS right_id, CAST(levenshtein(a.s, b.s) AS BIGINT) AS distance FROM b a JOIN b ON a.s[1:1] = b.s[1:1] AND a.item_id < b.item_id WHERE abs(length(a.s) - length(b.s)) <= 45 AND levenshtein(a.s, b.s) <= 45", log=False)
 def similar_pairs(spark, d):
-    b = table(spark, d, "benchmark").withColumn("s", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 60)).withColumn("head", F.substring("s", 1, 1))
+    b = table(spark, d, "benchmark").withColumn("s", F.regexp_replace("text", "[^ -~]", "")).withColumn("head", F.substring("s", 1, 1))
     return R.edit_pairs(b, "item_id", "s", "head", 45).select("left_id", "right_id", F.col("distance").cast("long").alias("distance"))
 
 
-@query(f"""WITH q AS (SELECT doc_id, {SHORT} AS s FROM documents WHERE doc_id % 100 = 0), b AS (SELECT item_id, {SHORT} AS s FROM benchmark), x AS (SELECT q.doc_id, b.item_id, levenshtein(q.s, b.s) AS ed FROM q CROSS JOIN b)
+@query(f"""WITH q AS (SELECT doc_id, {ASCII} AS s FROM documents WHERE doc_id % 100 = 0), b AS (SELECT item_id, {ASCII} AS s FROM benchmark), x AS (SELECT q.doc_id, b.item_id, levenshtein(q.s, b.s) AS ed FROM q CROSS JOIN b)
 SELECT doc_id, arg_min(item_id, ed * 1000000 + item_id) AS item_id, CAST(min(ed) AS BIGINT) AS distance FROM x GROUP BY doc_id""", log=False)
 def best_match_edit(spark, d):
-    short = F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 60).alias("s")
-    return R.best_match(table(spark, d, "documents").where("doc_id % 100 = 0").select("doc_id", short), table(spark, d, "benchmark").select("item_id", short), "doc_id", "item_id", "s")
+    plain = F.regexp_replace("text", "[^ -~]", "").alias("s")
+    return R.best_match(table(spark, d, "documents").where("doc_id % 100 = 0").select("doc_id", plain), table(spark, d, "benchmark").select("item_id", plain), "doc_id", "item_id", "s")
 
 
 @query("SELECT e.row_id, coalesce(m.label, -1) AS label FROM log e LEFT JOIN embeddings m ON m.vec_id = e.row_id")
@@ -141,16 +141,16 @@ def concept_pair_summary(spark, d):
     return p.groupBy("category").agg(F.round(F.sqrt(F.avg(gap * gap)), 6).alias("rmse"), F.round(F.avg(F.abs(gap)), 6).alias("mad"), F.round(E.correlation("l", "r"), 6).alias("r"))
 
 
-@query("WITH a AS (SELECT student_id, question_id FROM log WHERE row_id % 3 = 0), b AS (SELECT student_id, question_id FROM log WHERE row_id % 3 = 1) SELECT student_id, question_id FROM a INTERSECT SELECT student_id, question_id FROM b")
+@query("WITH a AS (SELECT student_id, question_id FROM log WHERE response_type = 'Submit'), b AS (SELECT student_id, question_id FROM log WHERE response_type = 'Prechecked') SELECT student_id, question_id FROM a INTERSECT SELECT student_id, question_id FROM b")
 def shared_keys(spark, d):
-    k = attempt_log(spark, d).select("row_id", "student_id", "question_id")
-    return k.where("row_id % 3 = 0").drop("row_id").intersect(k.where("row_id % 3 = 1").drop("row_id"))
+    k = attempt_log(spark, d).select("response_type", "student_id", "question_id")
+    return k.where("response_type = 'Submit'").drop("response_type").intersect(k.where("response_type = 'Prechecked'").drop("response_type"))
 
 
-@query("SELECT DISTINCT student_id, question_id FROM log WHERE row_id % 3 = 0 EXCEPT SELECT student_id, question_id FROM log WHERE row_id % 3 = 1")
+@query("SELECT DISTINCT student_id, question_id FROM log WHERE response_type = 'Submit' EXCEPT SELECT student_id, question_id FROM log WHERE response_type = 'Prechecked'")
 def only_left_keys(spark, d):
-    k = attempt_log(spark, d).select("row_id", "student_id", "question_id")
-    return k.where("row_id % 3 = 0").drop("row_id").subtract(k.where("row_id % 3 = 1").drop("row_id"))
+    k = attempt_log(spark, d).select("response_type", "student_id", "question_id")
+    return k.where("response_type = 'Submit'").drop("response_type").subtract(k.where("response_type = 'Prechecked'").drop("response_type"))
 
 
 @query("SELECT DISTINCT student_id, course_id FROM log")
@@ -320,19 +320,19 @@ def embedding_cosine_topk(spark, d):
     return R.cosine_topk(v.where("vec_id % 100 = 0"), v, 5).select("vec_id", "label", F.col("rank").alias("rn"), "cos")
 
 
-TFIDF = """WITH t AS (SELECT doc_id, lower(w) AS w FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[^ -~]', ' ', 'g'), '[A-Za-z]{2,}')) AS w FROM documents WHERE lang = 'en')), tf AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS n FROM tf),
+TFIDF = """WITH t AS (SELECT doc_id, lower(w) AS w FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[^ -~]', ' ', 'g'), '[A-Za-z]{2,}')) AS w FROM documents )), tf AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS n FROM tf),
 idf AS (SELECT w, ln((1.0 + max(n)) / (1 + count(*))) + 1 AS idf FROM tf, n GROUP BY w), x AS (SELECT doc_id, w, tf * idf AS v FROM tf JOIN idf USING (w)), u AS (SELECT doc_id, w, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS v FROM x),
 s AS (SELECT a.doc_id AS query_id, b.doc_id, round(sum(a.v * b.v), 8) AS similarity FROM u a JOIN u b USING (w) WHERE a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM s)"""
 
 
 @query(TFIDF + " SELECT query_id, doc_id, similarity, rank FROM r WHERE rank <= 5", log=False)
 def tfidf_similarity(spark, d):
-    return R.tfidf_topk(table(spark, d, "documents").where("lang = 'en'"), F.col("doc_id") % 100 == 0, 5)
+    return R.tfidf_topk(table(spark, d, "documents"), F.col("doc_id") % 100 == 0, 5)
 
 
 @query(TFIDF + ", z AS (SELECT query_id, doc_id, 0.5 * similarity + 0.5 * exp(-0.693 * abs(query_id - doc_id) / 28.0) AS score FROM s), y AS (SELECT query_id, doc_id, round(score, 7) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 7) DESC, doc_id) AS rank FROM z) SELECT * FROM y WHERE rank <= 5", log=False)
 def retrieve_similar(spark, d):
-    s = R.tfidf_topk(table(spark, d, "documents").where("lang = 'en'"), F.col("doc_id") % 100 == 0, None)
+    s = R.tfidf_topk(table(spark, d, "documents"), F.col("doc_id") % 100 == 0, None)
     z = s.withColumn("score", F.round(0.5 * F.col("similarity") + 0.5 * P.recency_weight(F.abs(F.col("query_id") - F.col("doc_id"))), 7))
     return S.top_k(z.select("query_id", "doc_id", "score"), 5, ["query_id"], F.desc("score"), F.col("doc_id"))
 

@@ -248,12 +248,12 @@ def score_observations(spark, d):
     return p.select("student_id", "item_id", "attempt_id", "y").join(p.groupBy("student_id", "item_id").agg(F.round(F.avg("p"), 6).alias("predicted")), ["student_id", "item_id"])
 
 
-@query("""WITH a AS (SELECT student_id, item_id, attempt_id FROM obs WHERE (student_id + item_id) % 5 <> 0), b AS (SELECT student_id, item_id, attempt_id FROM obs WHERE (student_id + item_id) % 7 <> 0) SELECT count(*) AS n, count(*) FILTER (WHERE l AND r) AS shared, count(*) FILTER (WHERE l AND NOT r) AS only_left, count(*) FILTER (WHERE r AND NOT l) AS only_right
+@query("""WITH a AS (SELECT student_id, item_id, attempt_id FROM obs WHERE week <= 4), b AS (SELECT student_id, item_id, attempt_id FROM obs WHERE week >= 2) SELECT count(*) AS n, count(*) FILTER (WHERE l AND r) AS shared, count(*) FILTER (WHERE l AND NOT r) AS only_left, count(*) FILTER (WHERE r AND NOT l) AS only_right
 FROM (SELECT a.student_id IS NOT NULL AS l, b.student_id IS NOT NULL AS r FROM a FULL JOIN b USING (student_id, item_id, attempt_id))""")
 def key_alignment(spark, d):
     k = ["student_id", "item_id", "attempt_id"]
-    o = observations(spark, d).select(*k)
-    side = o.where("(student_id + item_id) % 5 <> 0").select(*k, F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(o.where("(student_id + item_id) % 7 <> 0").select(*k, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    o = observations(spark, d)
+    side = o.where("week <= 4").select(*k, F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(o.where("week >= 2").select(*k, F.lit(0).alias("l"), F.lit(1).alias("r")))
     g = side.groupBy(*k).agg(F.max("l").alias("l"), F.max("r").alias("r"))
     return g.agg(F.count("*").alias("n"), F.count_if((F.col("l") == 1) & (F.col("r") == 1)).alias("shared"), F.count_if((F.col("l") == 1) & (F.col("r") == 0)).alias("only_left"), F.count_if((F.col("l") == 0) & (F.col("r") == 1)).alias("only_right"))
 
