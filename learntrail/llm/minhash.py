@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from learntrail.llm.common import PRIME, chunks, exchange_buckets, mixed, null_safe_text, table, window_hashes, word_hashes, written
 from learntrail.llm.components import components
+from learntrail.llm.stars import key_stars
 
 WIDTH = 5
 PERCENT = 75
@@ -68,31 +69,13 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def candidate_stars(classes: DataFrame, buckets: int) -> DataFrame:
-    """Edges ``u, v`` from each class to the least class under each shared table key. Keys travel packed, by ranges of their hash."""
+    """Edges ``u, v`` from each class to the least class under each shared table key."""
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 4000):
-                part = batch.iloc[at : at + 4000]
-                keys = tensored_keys(np.frombuffer(b"".join(part.sig), np.uint64).reshape(len(part), 2 * SIDE)).ravel()
-                ids = np.repeat(part.rep.to_numpy(np.int64), SIDE * SIDE)
-                bucket = (keys % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                keys, ids, bucket = keys[order], ids[order], bucket[order]
-                cuts = np.flatnonzero(np.diff(bucket)) + 1
-                yield pd.DataFrame({"bucket": bucket[np.r_[0, cuts]] if len(bucket) else [], "keys": [x.tobytes() for x in np.split(keys, cuts)], "ids": [x.tobytes() for x in np.split(ids, cuts)]})
-
-    def stars(group: pd.DataFrame) -> pd.DataFrame:
-        keys = np.frombuffer(b"".join(group["keys"]), np.uint64)
-        ids = np.frombuffer(b"".join(group["ids"]), np.int64)
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        first = np.r_[True, keys[1:] != keys[:-1]]
-        hub = ids[np.flatnonzero(first)][np.cumsum(first) - 1]
-        pairs = np.unique(np.stack([ids[hub != ids], hub[hub != ids]], 1), axis=0)
-        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
-
-    return classes.mapInPandas(keyed, "bucket long, keys binary, ids binary").groupBy("bucket").applyInPandas(stars, "u long, v long")
+    def keyed(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        keys = tensored_keys(np.frombuffer(b"".join(part.sig), np.uint64).reshape(len(part), 2 * SIDE)).ravel()
+        return np.repeat(part.rep.to_numpy(np.int64), SIDE * SIDE), keys
+
+    return key_stars(classes, keyed, buckets)
 
 
 def linked_forest(ids: np.ndarray, sets: list[np.ndarray], groups: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
