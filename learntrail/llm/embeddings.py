@@ -9,13 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learntrail.llm.common import table, written
+from learntrail.llm.common import PRIME, exchange_buckets, mixed, table, written
 from learntrail.llm.components import components
+from learntrail.llm.stars import key_stars
 
 COSINE = 0.98
 #: Projections, the window's half-width in standard deviations of the projected distance at COSINE, and the share of
 #: pairs at exactly COSINE that the needed count must pass: from these ``needed_count`` calibrates the count.
 PROJECTIONS, HALF_WIDTH, RECALL = 24, 1.0, 0.9999
+#: Width of a meeting cell in the same standard deviations, and the chance meetings that a row may have with unrelated rows.
+CELL, CHANCE = 12.0, 0.2
 BLOCK = 1024
 
 
@@ -29,6 +32,27 @@ def needed_count(projections: int = PROJECTIONS, half_width: float = HALF_WIDTH,
     return count
 
 
+def same_cell(width: float) -> float:
+    """The chance that two values lie in one randomly placed cell of ``width`` standard deviations of their difference."""
+    return math.erf(width / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * width) * (1 - math.exp(-(width**2) / 2))
+
+
+def meeting_shape(rows: int, cosine: float) -> tuple[int, int]:
+    """(cells a key, keys a row): the shortest keys by which a row meets at most CHANCE of ``rows`` orthogonal ones, and so many
+    keys that a pair at the threshold misses each other in all of them with probability at most 1 - RECALL."""
+    spread = math.sqrt(2 * (1 - cosine))
+    near, far = same_cell(CELL), same_cell(CELL * spread / math.sqrt(2))
+    for cells in range(2, 128):
+        keys = math.ceil(math.log(1 - RECALL) / math.log1p(-(near**cells)))
+        if rows * keys * far**cells <= CHANCE:
+            break
+    return cells, keys
+
+
+def directions_of(dim: int, count: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, dim]).standard_normal((count, dim))
+
+
 def window_collisions(left: np.ndarray, right: np.ndarray, half: float) -> np.ndarray:
     """(left, right) counts: on how many projections the right value lies in the window centred at the left one.
 
@@ -48,45 +72,69 @@ def window_collisions(left: np.ndarray, right: np.ndarray, half: float) -> np.nd
     return counts
 
 
-def block_links(group: pd.DataFrame, cosine: float, need: int, half: float, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (positions a, b) of one block pair: side 0 against side 1, or all of side 0 among themselves."""
-    x = np.stack(group.unit.to_numpy()).astype(np.float64)
-    left = np.flatnonzero(group.side.to_numpy() == 0)
-    right = np.flatnonzero(group.side.to_numpy() == 1)
-    alone = len(right) == 0
+def block_links(unit: np.ndarray, cluster: np.ndarray, left: np.ndarray, right: np.ndarray | None, cosine: float, need: int, half: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs (positions a, b) of equal clusters: ``left`` against ``right`` rows, or ``left`` among themselves."""
+    alone = right is None
     right = left if alone else right
-    projected = directions[:, : x.shape[1]] @ x.T
-    found_a, found_b = [], []
+    projected = directions_of(unit.shape[1], PROJECTIONS, 7) @ unit.T
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(left), 512):
         own = left[at : at + 512]
-        a, b = np.nonzero(window_collisions(projected[:, own], projected[:, right], half) >= need)
+        a, b = np.nonzero((window_collisions(projected[:, own], projected[:, right], half) >= need) & (cluster[own][:, None] == cluster[right]))
         a, b = own[a], right[b]
         if alone:
             a, b = a[a < b], b[a < b]
-        near = np.concatenate([np.einsum("ij,ij->i", x[a[k : k + 100_000]], x[b[k : k + 100_000]]) for k in range(0, len(a), 100_000)]) >= cosine if len(a) else np.zeros(0, bool)
-        found_a.append(a[near])
-        found_b.append(b[near])
+        for k in range(0, len(a), 100_000):
+            x, y = a[k : k + 100_000], b[k : k + 100_000]
+            near = np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine
+            found_a.append(x[near])
+            found_b.append(y[near])
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
+def meeting_stars(classes: DataFrame, cells: int, keys: int, half: float, buckets: int) -> DataFrame:
+    """Edges ``u, v`` between classes of one label that lie in the same cells of some group of sorted projections."""
+    width = CELL * half / HALF_WIDTH
+
+    def keyed(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        ids, out = [], []
+        for dim, own in part.groupby("dim"):
+            unit = np.stack(own.unit.to_numpy()).astype(np.float64)
+            lines, shift = directions_of(dim, keys * cells, 11), np.random.default_rng(13).random(keys * cells) * width
+            salt = mixed(own.salt.to_numpy(np.int64).view(np.uint64))
+            for t in range(keys):
+                mine = slice(t * cells, (t + 1) * cells)
+                at = np.floor((unit @ lines[mine].T + shift[mine]) / width).astype(np.int64).view(np.uint64)
+                key = salt + np.uint64(t)
+                for k in range(cells):
+                    key = mixed(key * PRIME + at[:, k])
+                ids.append(own.rep.to_numpy(np.int64))
+                out.append(key)
+        return (np.concatenate(ids), np.concatenate(out)) if ids else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+    return key_stars(classes.select("rep", "dim", "unit", F.xxhash64("label", "dim").alias("salt")), keyed, buckets)
+
+
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for rows ``vec_id, embedding, label``; links join equal, non-null labels.
 
-    Equal vectors of a label are one class, so copies cost one row. A label's classes are dealt by hash into blocks of about
-    BLOCK; each pair of blocks is one group, whatever the label's size. In it, pairs that collide on enough projections are
-    verified by their cosine in double precision. ``n_links`` counts every other row linked, copies included.
+    1. Equal vectors of a label are one class, so copies cost one row. ``n_links`` counts every other row linked, copies included.
+    2. Sorted projections are cut into cells; classes of a label that share all cells of some group of projections are in one
+       candidate cluster. Cells and groups are calibrated so that a pair at the threshold meets with probability RECALL and a
+       row meets hardly any unrelated one, whatever the label's size; only keys travel.
+    3. In a cluster, pairs that collide in enough query-centred windows of PROJECTIONS projections are verified by their cosine
+       in double precision. Each vector travels once; a cluster of over BLOCK classes is compared by pairs of blocks.
+    4. Components of the verified links.
 
     Vectors that are null, zero, empty or hold null or non-finite components, and rows with a null label, link with nothing
     and stand alone. Vectors of different lengths don't link. Rows with a null id are left out; rows that repeat an id count
     as rows of their own. Other columns are not read.
 
-    With one-dimensional windows the number of collisions grows with the square of a label's size (each window holds about
-    a tenth of unrelated vectors), as does the comparison of blocks; blocks spread it over tasks.
+    If a label's unrelated vectors are themselves so near that cells don't part them (cosines of 0.8 and more), its cluster is
+    the label, and the comparison of blocks grows with the square of its size.
     """
-    rng = np.random.default_rng(7)
     half = HALF_WIDTH * math.sqrt(2 * (1 - cosine))
     need = needed_count()
-    directions = rng.standard_normal((PROJECTIONS, 4096))
     rows = vectors.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").cast("string").alias("label"))
     usable = F.col("label").isNotNull() & F.col("e").isNotNull() & F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("e", lambda v: v != 0)
     rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False))).withColumn("key", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.col("label"), F.transform("e", lambda v: v.cast("string"))), 256)))
@@ -96,14 +144,29 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     scaled = F.transform("e", lambda v: v / F.col("top"))
     classes = classes.withColumn("top", top).withColumn("s", scaled).withColumn("norm", F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, v: a + v * v)))
     classes = written(classes.select("label", "rep", "copies", F.size("e").alias("dim"), F.transform("s", lambda v: v / F.col("norm")).alias("unit")))
-    parts = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    placed = classes.join(parts, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    buckets = exchange_buckets(vectors)
+    met = written(components(meeting_stars(classes, *meeting_shape(largest, cosine), half, buckets)).select(F.col("id").alias("rep"), F.col("component").alias("cluster")))
+    parts = met.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    placed = classes.join(met.join(parts, "cluster"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     paired = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    paired = paired.select("label", "dim", "rep", "copies", "unit", F.least("j", "block").alias("p"), F.greatest("j", "block").alias("q"), F.when(F.col("block") <= F.col("j"), 0).otherwise(1).alias("side"))
+    p, q = F.least("j", "block"), F.greatest("j", "block")
+    bundle = F.when(F.col("parts") > 1, F.xxhash64("cluster", p, q)).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(buckets)))
+    paired = paired.select("cluster", "dim", "rep", "copies", "unit", (F.col("parts") > 1).alias("large"), p.alias("p"), q.alias("q"), F.when(F.col("block") <= F.col("j"), 0).otherwise(1).alias("side"), bundle.alias("bundle"))
 
     def linked(group: pd.DataFrame) -> pd.DataFrame:
         rep, copies = group.rep.to_numpy(np.int64), group["copies"].to_numpy(np.int64)
-        a, b = block_links(group, cosine, need, half, directions)
+        unit, cluster = np.stack(group.unit.to_numpy()).astype(np.float64), group.cluster.to_numpy(np.int64)
+        if group.large.iloc[0] and group.p.iloc[0] < group.q.iloc[0]:
+            a, b = block_links(unit, cluster, np.flatnonzero(group.side == 0), np.flatnonzero(group.side == 1), cosine, need, half)
+        else:  # whole clusters, some at a time
+            order, found, at = np.argsort(cluster, kind="stable"), [], 0
+            ends = np.flatnonzero(np.r_[np.diff(cluster[order]) != 0, True]) + 1
+            while at < len(order):
+                end = max(ends[np.searchsorted(ends, at + BLOCK // 2, "right") - 1], ends[np.searchsorted(ends, at, "right")])
+                found.append(block_links(unit, cluster, order[at:end], None, cosine, need, half))
+                at = end
+            a, b = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
         n = np.bincount(a, copies[b], len(rep)) + np.bincount(b, copies[a], len(rep))
         least = rep.copy()  # a forest is enough: links to the least neighbour, and what that leaves apart, by propagation
         while True:
@@ -115,7 +178,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         some = n > 0
         return pd.DataFrame({"rep": rep[some], "least": least[some], "n": n[some].astype(np.int64)})
 
-    links = written(paired.groupBy("label", "dim", "p", "q").applyInPandas(linked, "rep long, least long, n long"))
+    links = written(paired.groupBy("dim", "large", "bundle", "p", "q").applyInPandas(linked, "rep long, least long, n long"))
     joined = components(links.select(F.col("rep").alias("u"), F.col("least").alias("v")))
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
     named = classes.select("rep", "copies").join(counts, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
