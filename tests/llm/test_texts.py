@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import Row
 from tokenizers import Tokenizer
 
-from learntrail.llm import decontam, embeddings, minhash, packing, pii, preference, quality, substring, tokens, toxicity
+from learntrail.llm import decontam, embeddings, minhash, packing, pii, preference, quality, stars, substring, tokens, toxicity
 from learntrail.llm.components import components
 
 ODD = [(1, "a b c d e f"), (2, None), (3, ""), (4, "  \n\t "), (5, "word"), (6, "a b c d e f"), (7, "x" * 30_000), (8, "é ñ 日本語 😀 <|endoftext|> don't"), (None, "no id here"), (6, "a b c d e f")]
@@ -145,6 +145,36 @@ def test_vectors_against_brute_force(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_large_vector_clusters_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((2, 32))
+    x = np.concatenate([base[0] + rng.standard_normal((70, 32)) * 0.12, base[1] + rng.standard_normal((9, 32)) * 0.05, rng.standard_normal((40, 32))])
+    got = {r.vec_id: r for r in embeddings.near_vectors(spark.createDataFrame([(i, [float(v) for v in y], 1) for i, y in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.98
+    np.fill_diagonal(near, False)
+    assert [got[i].n_links for i in range(len(x))] == near.sum(1).tolist()
+
+
+def test_meeting_shape_keeps_pairs_and_bounds_chance():
+    for rows in (0, 1, 1000, 10**6, 10**9):
+        cells, keys = embeddings.meeting_shape(rows, 0.98)
+        assert (1 - embeddings.same_cell(embeddings.CELL) ** cells) ** keys <= 1.001 * (1 - embeddings.RECALL)
+        assert rows * keys * embeddings.same_cell(embeddings.CELL * 0.2 / 2**0.5) ** cells <= embeddings.CHANCE
+
+
+def test_key_stars_link_each_id_to_the_least_of_its_keys(spark, monkeypatch):
+    def keyed(part):
+        return np.repeat(part.id.to_numpy(np.int64), 2), np.stack([part.id.to_numpy(np.uint64) % 3, np.full(len(part), 99, np.uint64)], 1).ravel()
+
+    rows = spark.createDataFrame([(k,) for k in [*range(5, 40), 7, 7]], "id long").repartition(4)
+    got = {(r.u, r.v) for r in stars.key_stars(rows, keyed, 8).collect()}
+    assert components(spark.createDataFrame(list(got), "u long, v long")).where("component = 5").count() == 35
+    assert all(u > v for u, v in got) and {u for u, v in got if v == 5} >= set(range(6, 40)) - {u for u, v in got if v != 5}
+    assert stars.key_stars(rows.where("id < 0"), keyed, 8).count() == 0
+
+
 def test_base_spans_against_the_plain_patterns():
     rng, plain = random.Random(5), {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     for _ in range(4000):
