@@ -30,6 +30,26 @@ def _responses(spark, d):
     return observations(spark, d).select("student_id", "item_id", "y")
 
 
+def _timed(spark, d):
+    """Answers with the share of the log's days that had passed."""
+    o = observations(spark, d)
+    return o.join(F.broadcast(o.agg(F.max("t_days").alias("last"))), how="cross").select("student_id", "item_id", "y", (F.col("t_days") / F.col("last")).alias("t"))
+
+
+@query()
+def cirt_params(spark, d):
+    """Items whose difficulty changes with time: ability - difficulty - drift * t."""
+    trend, _ = M.trend_model(_timed(spark, d), "item_id", "student_id")
+    return trend.select("item_id", (-F.col("start")).alias("difficulty"), (-F.col("slope")).alias("drift"))
+
+
+@query()
+def dirt_params(spark, d):
+    """Learners whose ability grows with time: ability + growth * t - difficulty."""
+    trend, _ = M.trend_model(_timed(spark, d), "student_id", "item_id")
+    return trend.select("student_id", F.col("start").alias("ability"), F.col("slope").alias("growth"))
+
+
 @query()
 def bkt_params(spark, d):
     return M.bkt_fit(observations(spark, d))

@@ -89,10 +89,10 @@ def range_prior_events(spark, d):
 ASCII = "regexp_replace(text, '[^ -~]', '', 'g')"
 
 
-@query(f"WITH b AS (SELECT item_id, {ASCII} AS s FROM benchmark) SELECT a.item_id AS left_id, b.item_id AS right_id, CAST(levenshtein(a.s, b.s) AS BIGINT) AS distance FROM b a JOIN b ON a.s[1:1] = b.s[1:1] AND a.item_id < b.item_id WHERE abs(length(a.s) - length(b.s)) <= 45 AND levenshtein(a.s, b.s) <= 45", log=False)
+@query(f"WITH b AS (SELECT item_id, {ASCII} AS s FROM benchmark) SELECT a.item_id AS left_id, b.item_id AS right_id, CAST(levenshtein(a.s, b.s) AS BIGINT) AS distance FROM b a JOIN b ON a.s[1:1] = b.s[1:1] AND a.item_id < b.item_id WHERE abs(length(a.s) - length(b.s)) <= 150 AND levenshtein(a.s, b.s) <= 150", log=False)
 def similar_pairs(spark, d):
     b = table(spark, d, "benchmark").withColumn("s", F.regexp_replace("text", "[^ -~]", "")).withColumn("head", F.substring("s", 1, 1))
-    return R.edit_pairs(b, "item_id", "s", "head", 45).select("left_id", "right_id", F.col("distance").cast("long").alias("distance"))
+    return R.edit_pairs(b, "item_id", "s", "head", 150).select("left_id", "right_id", F.col("distance").cast("long").alias("distance"))
 
 
 @query(f"""WITH q AS (SELECT doc_id, {ASCII} AS s FROM documents WHERE doc_id % 100 = 0), b AS (SELECT item_id, {ASCII} AS s FROM benchmark), x AS (SELECT q.doc_id, b.item_id, levenshtein(q.s, b.s) AS ed FROM q CROSS JOIN b)

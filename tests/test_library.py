@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from learntrail.functions import parsing as P
@@ -68,6 +69,23 @@ def test_rasch_orders_abilities(spark):
     assert M.predict(spark.createDataFrame(rows, "student_id long, item_id long, y long"), ability, item).where("p > 0 AND p < 1").count() == 32
 
 
+def test_trend_model_reaches_the_joint_optimum(spark):
+    rng = np.random.default_rng(2)
+    start, slope, level = np.array([-1.0, 0.0, 1.0]), np.array([2.0, 0.0, -2.0]), np.array([-0.5, 0.0, 0.5, 1.0])
+    rows = [(a, b, t, int(rng.random() < 1 / (1 + np.exp(-(start[a] + slope[a] * t + level[b]))))) for a in range(3) for b in range(4) for t in np.linspace(0, 1, 30).tolist()]
+    trend, own = M.trend_model(spark.createDataFrame([*rows, (0, None, 0.5, 1)], "a long, b long, t double, y int"), "a", "b", rounds=8)
+    u, w = {r.a: (r.start, r.slope) for r in trend.collect()}, {r.b: r.level for r in own.collect()}
+    assert u[0][1] > 0 > u[2][1] and w[0] < w[3]
+    x = np.array([[*(a == k for k in range(3)), *(t * (a == k) for k in range(3)), *(b == k for k in range(4))] for a, b, t, _ in rows], float)
+    y, best = np.array([r[3] for r in rows]), np.zeros(10)
+    for _ in range(30):  # all parameters together
+        p = 1 / (1 + np.exp(-x @ best))
+        best += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(10), x.T @ (y - p) - best)
+    loss = lambda v: np.logaddexp(0, x @ v).sum() - y @ (x @ v) + v @ v / 2
+    got = np.array([*(u[k][0] for k in range(3)), *(u[k][1] for k in range(3)), *(w[k] for k in range(4))])
+    assert loss(best) - 1e-9 <= loss(got) < loss(best) + 0.1 < loss(np.zeros(10))
+
+
 def test_streams(spark, sf_dir, tmp_path):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "in"))
