@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from learntrail.llm.common import null_safe_text, table, window_hashes, written
@@ -26,7 +26,7 @@ _TYPED = np.array([0, *(xxhash.xxh3_64_intdigest(f"<{k}>") for k in ("number", "
 
 
 class Templates:
-    """Template words of texts: (hashes, slot values), where a slot value is 0 for a literal word."""
+    """Words of texts without marks: (hashes in lower case, kinds by two rules). Names are capitals inside a sentence by the first rule and any capitals by the second."""
 
     def __init__(self):
         self.store: dict[str, int] = {}
@@ -46,7 +46,7 @@ class Templates:
         self.store[word] = at
         return at
 
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, text: str) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
         words, starts = [], []
         for line in text.split("\n"):
             own = line.split()
@@ -71,47 +71,68 @@ class Templates:
         opens[1:] |= (traits[:-1] & 8) > 0
         kind = np.where((traits & 3) == 1, _NUMBER, _WORD)
         kind[1:][((traits[1:] & 3) == 2) & (kind[:-1] == _NUMBER)] = _UNIT
-        kind[(kind == _WORD) & ((traits & 4) > 0) & ~opens] = _NAME
+        name = (kind == _WORD) & ((traits & 4) > 0)
         there = (traits & 16) == 0
-        hashes, kind = hashes[there], kind[there]
-        return np.where(kind == _WORD, hashes, _TYPED[kind]), np.where(kind == _WORD, np.uint64(0), hashes | np.uint64(1))
+        return hashes[there], tuple(np.where(own, _NAME, kind)[there] for own in (name & ~opens, name))
 
 
-def template_windows(template: np.ndarray, slots: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of ``width``, and which of them hold enough literal words to mean something."""
-    found = window_hashes(template, width) ^ np.uint64(width)
-    literal = np.cumsum(np.r_[0, slots == 0])
-    enough = literal[width:] - literal[: len(literal) - width] >= min(LITERALS, width) if len(template) >= width else np.zeros(0, bool)
-    return found, enough
+def template_windows(hashes: np.ndarray, kinds: tuple[np.ndarray, ...], width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows of ``width`` as plain words and by each rule of kinds: (hashes, which count, slot values or 0 for literal words).
+
+    Plain windows all count; typed ones where they hold enough literal words to mean something. A typed window without
+    slots has its plain window's hash.
+    """
+    n, size = len(hashes) - width + 1, len(hashes)
+    if n <= 0:
+        return []
+    found = window_hashes(np.concatenate([hashes, *(np.where(k == _WORD, hashes, _TYPED[k]) for k in kinds)]), width) ^ np.uint64(width)
+    made = [(found[:n], np.ones(n, bool), np.zeros(size, np.uint64))]
+    for v, kind in enumerate(kinds, 1):
+        literal = np.cumsum(np.r_[0, kind == _WORD])
+        made.append((found[v * size : v * size + n], literal[width:] - literal[:n] >= min(LITERALS, width), np.where(kind == _WORD, np.uint64(0), hashes | np.uint64(1))))
+    return made
 
 
-_SCHEMA = "id long, at int, hash long, slots array<long>"
+_SCHEMA = "id long, at int, hash long, forms int, typed boolean, slots array<long>"
 
 
 def windows_of(rows: DataFrame, widths: list[int] | None, passing: np.ndarray | None) -> DataFrame:
-    """``id, at, hash, slots`` of the windows; an item has windows of WINDOW words or, if it is shorter, of its own length."""
+    """``id, at, hash, forms, typed, slots`` of the windows, equal forms of one place once with the sum of their bits: 1 plain, 2 and
+    4 typed by the first and second rule. ``typed`` places have a window of bit 2.
+
+    An item has windows of WINDOW words or, if it is shorter, of its own length.
+    """
+
+    def frame(ids, ats, hashes, masks, typed, values) -> pd.DataFrame:
+        return pd.DataFrame({"id": np.array(ids, np.int64), "at": np.array(ats, np.int32), "hash": np.array(hashes, np.uint64).view(np.int64), "forms": np.array(masks, np.int32), "typed": np.array(typed, bool), "slots": pd.Series(values, dtype=object)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         templates = Templates()
         for batch in batches:
-            ids, ats, hashes, values = [], [], [], []
+            ids, ats, hashes, masks, typed, values = [], [], [], [], [], []
             for doc, text in zip(batch.id, batch.text, strict=True):
-                template, slots = templates.of(text)
-                for width in [min(WINDOW, len(template))] if widths is None else widths:
+                words, kinds = templates.of(text)
+                for width in [min(WINDOW, len(words))] if widths is None else widths:
                     if width == 0:
                         continue
-                    found, enough = template_windows(template, slots, width)
-                    if passing is not None:
-                        enough = enough & passing[(found % np.uint64(FILTER_BITS)).astype(np.int64)]
-                    for at in np.flatnonzero(enough).tolist():
-                        ids.append(doc)
-                        ats.append(at)
-                        hashes.append(found[at])
-                        values.append(slots[at : at + width][slots[at : at + width] > 0].view(np.int64))
+                    forms = template_windows(words, kinds, width)
+                    for v, (found, enough, slots) in enumerate(forms):
+                        if passing is not None:
+                            enough = enough & passing[(found % np.uint64(FILTER_BITS)).astype(np.int64)]
+                        for at in np.flatnonzero(enough).tolist():
+                            mask = sum(1 << k for k, (other, counts, _) in enumerate(forms) if counts[at] and other[at] == found[at])
+                            if mask & ((1 << v) - 1):  # an earlier form's row has it
+                                continue
+                            ids.append(doc)
+                            ats.append(at)
+                            hashes.append(found[at])
+                            masks.append(mask)
+                            typed.append(forms[1][1][at])
+                            values.append(slots[at : at + width][slots[at : at + width] > 0].view(np.int64))
                 if len(ids) > 20_000:
-                    yield pd.DataFrame({"id": ids, "at": ats, "hash": np.array(hashes, np.uint64).view(np.int64), "slots": pd.Series(values, dtype=object)})
-                    ids, ats, hashes, values = [], [], [], []
-            yield pd.DataFrame({"id": np.array(ids, np.int64), "at": np.array(ats, np.int32), "hash": np.array(hashes, np.uint64).view(np.int64), "slots": pd.Series(values, dtype=object)})
+                    yield frame(ids, ats, hashes, masks, typed, values)
+                    ids, ats, hashes, masks, typed, values = [], [], [], [], [], []
+            yield frame(ids, ats, hashes, masks, typed, values)
 
     return rows.mapInPandas(run, _SCHEMA)
 
@@ -123,29 +144,42 @@ def _as_rows(df: DataFrame, key: str) -> DataFrame:
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """``doc_id, item_id, n_windows, n_item_windows, same_values``: documents that hold a benchmark item, with its own or other values.
 
-    Words become template words: numbers, names (capitals inside a sentence) and units after numbers are typed placeholders,
-    the rest lower case without marks. Windows of 8 template words of both sides meet by hash. On each diagonal (position in
-    the document less that in the item) the slot values must be consistent: one value of the item always stands for one value
-    of the document. A pair is a leak if its consistent diagonals hold half of the item's windows or six of them.
+    Windows of 8 words in lower case without marks meet by hash, and so do windows of template words, in which numbers, names
+    (capitals inside a sentence, and in a second form all capitals) and units after numbers are typed placeholders. Windows of
+    equal words always count. Those with other slot values count by runs, neighbours on a diagonal (position in the document
+    less that in the item): in a run one value of the item always stands for one value of the document. A pair is a leak if it
+    holds half of the item's windows, half of those with four literal words, or six. ``same_values``: a diagonal without
+    other values is among the pair's.
 
     A fixed-size bit filter of the benchmark's windows goes to the tasks, so only windows that may match leave them; the join
-    decides. Null or blank texts match nothing, an item of fewer than 8 words counts whole, one of fewer than four literal words not at all.
+    decides. Null or blank texts match nothing, an item of fewer than 8 words counts whole.
     Rows with a null id are left out, repeated rows count once; other columns are not read.
     """
-    items = written(windows_of(_as_rows(benchmark, "item_id"), None, None).select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots")))
+    items = written(windows_of(_as_rows(benchmark, "item_id"), None, None).select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("forms").alias("item_forms"), "typed", F.col("slots").alias("item_slots")))
     bits = np.zeros(FILTER_BITS // 64, np.uint64)
     # pmod of the signed hash equals the unsigned remainder, as the number of bits divides 2**64
     for row in items.select(F.expr(f"cast(pmod(hash, {FILTER_BITS}) div 64 as int)").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(hash, {FILTER_BITS}), 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
         bits[row["w"]] = np.int64(row["b"]).astype(np.uint64)
     passing = np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
     widths = sorted(r[0] for r in _widths(benchmark).collect())
-    sizes = items.groupBy("item_id").agg(F.count_distinct("item_at").alias("n_item_windows"))
-    found = windows_of(_as_rows(docs, "doc_id"), widths, passing).withColumnRenamed("id", "doc_id").join(items.dropDuplicates(["item_id", "item_at"]), "hash")
-    pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
-    diagonal = found.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(F.transform(pairs, lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d")))))).alias("values"))
-    consistent = diagonal.where(F.size("values") == F.size(F.array_distinct(F.transform("values", lambda v: v["i"]))))
-    whole = consistent.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("n_windows"), F.max(F.forall("values", lambda v: v["i"] == v["d"])).alias("same_values"))
-    return whole.join(sizes, "item_id").where((F.col("n_windows") >= share * F.col("n_item_windows")) | (F.col("n_windows") >= RUN)).select("doc_id", "item_id", "n_windows", "n_item_windows", "same_values")
+    sizes = items.groupBy("item_id").agg(F.count_distinct("item_at").alias("n_item_windows"), F.count_distinct(F.when(F.col("typed"), F.col("item_at"))).alias("n_item_typed"))
+    found = windows_of(_as_rows(docs, "doc_id"), widths, passing).withColumnRenamed("id", "doc_id").drop("typed").join(items.dropDuplicates(["item_id", "item_at", "hash"]), "hash")
+    pair, line = ["doc_id", "item_id"], ["doc_id", "item_id", "diagonal"]
+    same = lambda v: v["i"] == v["d"]
+    values = F.transform(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d")))
+    found = found.select(*pair, (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "typed", F.col("forms").bitwiseAND(F.col("item_forms")).alias("shared"), values.alias("values")).repartition(*pair)
+    # rule 0 takes what both sides type by the first rule, rule 1 takes all, so that the second's values can't spoil the first's runs
+    found = found.withColumn("rule", F.explode(F.when(F.col("shared").bitwiseAND(F.lit(2)).cast("boolean") | F.forall("values", same), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    merged = F.array_distinct(F.flatten(F.collect_set("values"))).alias("values")
+    spots = found.groupBy(*line, "rule", "item_at").agg(F.bool_or(F.forall("values", same)).alias("equal"), F.bool_or("typed").alias("typed"), merged)
+    spots = spots.withColumn("run", F.col("item_at") - F.row_number().over(Window.partitionBy(*line, "rule", "equal").orderBy("item_at")))
+    runs = spots.groupBy(*line, "rule", "equal", "run").agg(F.collect_list(F.struct("item_at", "typed")).alias("ats"), merged)
+    counts = F.col("equal") | (F.size("values") == F.size(F.array_distinct(F.transform("values", lambda v: v["i"]))))
+    lines = runs.groupBy(*line).agg(F.flatten(F.collect_list(F.when(counts, F.col("ats")))).alias("ats"), F.bool_and("equal").alias("same"))
+    whole = lines.groupBy(*pair).agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.max("same").alias("same_values"))
+    whole = whole.select(*pair, F.size("ats").cast("long").alias("n_windows"), F.size(F.filter("ats", lambda x: x["typed"])).alias("n_typed"), "same_values")
+    enough = (F.col("n_windows") >= share * F.col("n_item_windows")) | ((F.col("n_item_typed") > 0) & (F.col("n_typed") >= share * F.col("n_item_typed"))) | (F.col("n_windows") >= RUN)
+    return whole.join(sizes, "item_id").where(enough).select("doc_id", "item_id", "n_windows", "n_item_windows", "same_values")
 
 
 def _widths(benchmark: DataFrame) -> DataFrame:

@@ -270,6 +270,23 @@ def test_decontamination_of_templates(spark, odd, empty):
     assert decontam.contaminated_pairs(odd, bench).count() == 0 and decontam.contaminated_pairs(empty, bench).count() == 0 and decontam.contaminated_pairs(odd, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_near_verbatim_and_dense_copies(spark):
+    rng = random.Random(5)
+    words = prose(rng, 200).split()
+    for k in range(5):
+        words[20 + 40 * k] = "Anna"
+    long = " ".join(words)
+    dense = "Alice paid Bob 5 dollars, Carol paid Dave 7 euros, Erin paid Frank 9 dollars, Grace paid Heidi 3 euros"
+    opening = "Anna walked to the old mill. Boris carried a large sack of grain. Clara paid for it."
+    bench = spark.createDataFrame([(1, long), (2, dense), (3, "Bob 5 dollars"), (4, opening)], "item_id long, text string")
+    docs = [(10, long.replace("Anna", "Ann", 1)), (11, "before it " + dense), (12, dense.lower()), (13, "here Bob 5 dollars there"), (14, opening.replace("Anna", "Zoe").replace("Boris", "Ivan").replace("Clara", "Lena")), (15, "Mary owed John 4 dollars, Lisa owed Paul 8 euros"), (16, "And bob walked away"), (17, None)]
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated_pairs(frame(spark, docs), bench).collect()}
+    assert set(got) == {(10, 1), (11, 2), (12, 2), (11, 3), (12, 3), (13, 3), (14, 4)}
+    # the eight windows over the replaced name are a run of their own; it holds no other Anna, so it is consistent
+    assert (got[10, 1].n_windows, got[10, 1].n_item_windows, got[10, 1].same_values) == (193, 193, False)
+    assert got[11, 2].n_windows == got[11, 2].n_item_windows and got[11, 2].same_values and not got[14, 4].same_values
+
+
 def test_preferences(spark):
     turn = lambda r, t: Row(role=r, text=t)
     pairs = spark.createDataFrame([(1, [turn("user", "hi"), turn("assistant", "yes")], [turn("user", "hi"), turn("assistant", "no")]), (2, None, [turn("user", None)]), (3, [turn(None, "a")], [turn(None, "a")])], "pair_id long, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>")
