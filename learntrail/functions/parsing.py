@@ -155,3 +155,15 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def normalize_question(c: Column) -> Column:
+    """A question's text without its page's header and what follows the answer box."""
+    c = F.when(c.contains("Question text "), F.trim(F.replace(c, F.lit("Question text "), F.lit("")))).otherwise(c)
+    return F.when(c.contains("Answer:(penalty regime:"), F.trim(F.substring_index(c, "Answer:(penalty regime:", 1))).otherwise(c)
+
+
+def question_words(c: Column, most: int = 150) -> Column:
+    """The first words of a normalised question with single spaces."""
+    words = F.filter(F.split(normalize_question(c), r"(?U)\s+"), lambda w: w != "")
+    return F.array_join(F.slice(words, 1, most), " ")

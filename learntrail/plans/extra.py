@@ -7,8 +7,10 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from learntrail.functions import parsing as P
 from learntrail.operators import estimators as M
 from learntrail.operators import evaluation as E
+from learntrail.operators import retrieval as R
 from learntrail.operators import sequence as S
 from learntrail.plans.log import attempt_log, observations, query, submissions, table
 from learntrail.plans.texts import FIX, mistake_fix_pairs
@@ -165,9 +167,13 @@ def temporal_ability(spark, d):
 
 @query("SELECT b.item_id, min(d.doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id", log=False)
 def match_question(spark, d):
-    """The first document that holds a question's whole text: candidates meet on every word run of ten, then are verified."""
-    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
-    run = lambda c, i: F.xxhash64(F.array_join(F.slice(c, i, 10), " "))
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"), words.alias("w")).select("item_id", "q", run(F.col("w"), 2).alias("h"))
-    docs = table(spark, d, "documents").select("doc_id", "text", words.alias("w")).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 9, F.lit(1))), lambda i: run(F.col("w"), i)))).alias("h"))
-    return docs.join(items, "h").where(F.col("text").contains(F.col("q"))).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    """The first document that holds a question's whole text, word for word; ``match_question_ratio`` finds inexact ones."""
+    return R.containing(table(spark, d, "documents"), table(spark, d, "benchmark")).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query()
+def match_question_ratio(spark, d):
+    """For each document the first question of at least 0.8 Indel ratio to it, both normalised and cut to 150 words as in the reference."""
+    text = lambda t, k: table(spark, d, t).select(k, P.question_words(F.col("text")).alias("text"))
+    found = R.ratio_pairs(text("documents", "doc_id"), text("benchmark", "item_id"), "doc_id", "item_id", 0.8)
+    return found.groupBy("doc_id").agg(F.min_by(F.struct("item_id", "ratio"), "item_id").alias("m")).select("doc_id", "m.item_id", F.round("m.ratio", 8).alias("ratio"))
