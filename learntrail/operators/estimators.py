@@ -17,7 +17,9 @@ from learntrail.sources.tables import checkpointed
 def elo(obs: DataFrame, train_weeks: int, k: float = 0.4) -> DataFrame:
     """Sequential ratings with fixed item difficulty from the training weeks, one ordered fold a learner inside the JVM.
 
-    Difficulties are the items' centred failure logits, so learners are independent and no task holds more than a learner.
+    Difficulties are the items' failure logits, so learners are independent and no task holds more than a learner. The
+    reference also updates an item at each answer and predicts the later weeks; that needs a whole course in one ordered
+    group and is left out.
     """
     train = obs.where(F.col("week") <= train_weeks)
     p = F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.avg("y")))
@@ -84,7 +86,7 @@ def _forward(y: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mastery, right
 
 
-def bkt_fit(obs: DataFrame, rounds: int = 20) -> DataFrame:
+def bkt_fit(obs: DataFrame, rounds: int = 50) -> DataFrame:
     """Knowledge-tracing parameters of each item by expectation maximisation; equal answer sequences are counted first,
     so an item's group holds its distinct sequences and not its learners."""
     seqs = obs.groupBy("item_id", "student_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("attempt_id", "y"))), lambda x: x["y"].cast("string")), "").alias("seq"))
