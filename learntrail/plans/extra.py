@@ -159,10 +159,17 @@ def eda_pass_rates(spark, d):
 
 @query()
 def temporal_ability(spark, d):
-    """One-parameter abilities by week of the log: the growth form as separate fits on growing prefixes."""
-    o = observations(spark, d).where("week <= 3")
-    ability, _ = M.rasch(o.select("student_id", "item_id", "y"), rounds=4)
-    return ability
+    """One-parameter abilities by week of the log: the growth form as separate fits on growing prefixes.
+
+    All prefixes are fitted together, with learners and items keyed by their prefix's last week; a learner has rows from
+    the week of the first answer on.
+    """
+    o = observations(spark, d)
+    last = F.broadcast(o.agg(F.max("week").alias("last")))
+    o = o.join(last, how="cross").withColumn("upto", F.explode(F.sequence("week", "last")))
+    keyed = lambda c: F.struct("upto", c).alias(c)
+    ability, _ = M.rasch(o.select(keyed("student_id"), keyed("item_id"), "y"))
+    return ability.select(F.col("student_id.upto").alias("week"), "student_id.student_id", "theta")
 
 
 @query("SELECT b.item_id, min(d.doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id", log=False)
