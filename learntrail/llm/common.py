@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ PRIME = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Words handled together by one numpy pass inside a task: bounds its memory whatever the documents' lengths.
 CHUNK_BYTES = 8_000_000
+#: A group of one in so many rows is hot.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local["):
+    if not conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -55,6 +58,30 @@ def exchange_buckets(df: DataFrame, least: int = 48) -> int:
     return max(least, 4 * df.rdd.getNumPartitions())
 
 
+def exchanged(records: DataFrame, buckets: int) -> DataFrame:
+    """``records`` with each of the ``buckets`` as a partition of its own, by column ``bucket``: dealt evenly, whatever
+    spark.sql.shuffle.partitions is."""
+    return records.repartitionById(buckets, F.col("bucket").cast("int"))
+
+
+def whole(batches: Iterable[pd.DataFrame]) -> pd.DataFrame | None:
+    """All rows of a partition of ``exchanged``; none if it is empty."""
+    parts = [b for b in batches if len(b)]
+    return pd.concat(parts, ignore_index=True) if parts else None
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, on: list[str], size: str, how: str = "left") -> DataFrame:
+    """``rows`` joined to ``groups``, which has one row for each group and the group's number of rows in ``size``.
+
+    Groups of at least 1 / HOT of all rows, of which there can't be more than HOT whatever the data, are broadcast, so that no
+    task gets the rows of a large group together; the others are joined by a shuffle.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.broadcast(groups.where(F.col(size) * HOT >= total).drop(size))
+    cold = groups.where(F.col(size) * HOT < total).drop(size)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold.hint("merge"), on, how))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x = x * MIX[0]

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learntrail.llm.common import PRIME, exchange_buckets, mixed, table, written
+from learntrail.llm.common import PRIME, exchange_buckets, join_hot, mixed, table, written
 from learntrail.llm.components import components
-from learntrail.llm.stars import key_stars
+from learntrail.llm.stars import key_lists, passing_edges
 
 COSINE = 0.98
 #: Projections, the window's half-width in standard deviations of the projected distance at COSINE, and the share of
@@ -92,8 +93,9 @@ def block_links(unit: np.ndarray, cluster: np.ndarray, left: np.ndarray, right:
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def meeting_stars(classes: DataFrame, cells: int, keys: int, half: float, buckets: int) -> DataFrame:
-    """Edges ``u, v`` between classes of one label that lie in the same cells of some group of sorted projections."""
+def meeting_edges(classes: DataFrame, cells: int, keys: int, half: float, need: int, buckets: int) -> DataFrame:
+    """Edges ``u, v`` between classes of one label that lie in the same cells of some group of sorted projections and collide in
+    at least ``need`` windows of PROJECTIONS others."""
     width = CELL * half / HALF_WIDTH
 
     def keyed(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -112,43 +114,63 @@ def meeting_stars(classes: DataFrame, cells: int, keys: int, half: float, bucket
                 out.append(key)
         return (np.concatenate(ids), np.concatenate(out)) if ids else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
-    return key_stars(classes.select("rep", "dim", "unit", F.xxhash64("label", "dim").alias("salt")), keyed, buckets)
+    def colliding(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        gap = np.ascontiguousarray(a).view(np.float32) - np.ascontiguousarray(b).view(np.float32)
+        return (np.abs(gap) <= half * 1.0001).sum(1) >= need  # float32 projections: a hair wider
+
+    lists = written(key_lists(classes.select("rep", "dim", "unit", F.xxhash64("label", "dim").alias("salt")), keyed, buckets))
+    return passing_edges(lists, classes.select(F.col("rep").alias("id"), F.col("projected").alias("sketch")), colliding, buckets)
+
+
+def projected(classes: DataFrame) -> DataFrame:
+    """``classes`` with their values on PROJECTIONS directions, packed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = np.empty((len(batch), PROJECTIONS), np.float32)
+            for dim, at in batch.groupby("dim").indices.items():
+                out[at] = np.stack(batch.unit.to_numpy()[at]).astype(np.float64) @ directions_of(dim, PROJECTIONS, 7).T
+            yield batch.assign(projected=[x.tobytes() for x in out])
+
+    return classes.mapInPandas(run, "label string, key string, vec long, copies long, dim int, unit array<double>, projected binary")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for rows ``vec_id, embedding, label``; links join equal, non-null labels.
 
     1. Equal vectors of a label are one class, so copies cost one row. ``n_links`` counts every other row linked, copies included.
-    2. Sorted projections are cut into cells; classes of a label that share all cells of some group of projections are in one
-       candidate cluster. Cells and groups are calibrated so that a pair at the threshold meets with probability RECALL and a
-       row meets hardly any unrelated one, whatever the label's size; only keys travel.
-    3. In a cluster, pairs that collide in enough query-centred windows of PROJECTIONS projections are verified by their cosine
-       in double precision. Each vector travels once; a cluster of over BLOCK classes is compared by pairs of blocks.
+    2. Sorted projections are cut into cells; classes of a label that share all cells of some group of projections meet, and
+       those that collide in enough query-centred windows of PROJECTIONS other projections join a candidate cluster. Cells,
+       groups and the count are calibrated so that a pair at the threshold meets and passes with probability RECALL each, and a
+       row meets hardly any unrelated one, whatever the label's size; only keys and projected values travel.
+    3. In a cluster all pairs are counted by windows once more, and those that pass are verified by their cosine in double
+       precision, each pair once. A cluster of over BLOCK classes is compared by pairs of blocks.
     4. Components of the verified links.
 
     Vectors that are null, zero, empty or hold null or non-finite components, and rows with a null label, link with nothing
     and stand alone. Vectors of different lengths don't link. Rows with a null id are left out; rows that repeat an id count
     as rows of their own. Other columns are not read.
 
-    If a label's unrelated vectors are themselves so near that cells don't part them (cosines of 0.8 and more), its cluster is
-    the label, and the comparison of blocks grows with the square of its size.
+    ``n_links`` is a count of pairs: a family of N vectors that are all near one another takes N * N / 2 cosines.
     """
     half = HALF_WIDTH * math.sqrt(2 * (1 - cosine))
     need = needed_count()
     rows = vectors.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").cast("string").alias("label"))
     usable = F.col("label").isNotNull() & F.col("e").isNotNull() & F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("e", lambda v: v != 0)
-    rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False))).withColumn("key", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.col("label"), F.transform("e", lambda v: v.cast("string"))), 256)))
+    rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False))).withColumn("key", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.transform("e", lambda v: v.cast("string"))), 256)))
     rows = written(rows)
-    classes = rows.where("ok").groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("e").alias("e"))
+    classes = rows.where("ok").groupBy("label", "key").agg(F.min("vec_id").alias("vec"), F.count("*").alias("copies"), F.first("e").alias("e"))
     top = F.array_max(F.transform("e", F.abs))
     scaled = F.transform("e", lambda v: v / F.col("top"))
     classes = classes.withColumn("top", top).withColumn("s", scaled).withColumn("norm", F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, v: a + v * v)))
-    classes = written(classes.select("label", "rep", "copies", F.size("e").alias("dim"), F.transform("s", lambda v: v / F.col("norm")).alias("unit")))
+    classes = classes.select("label", "key", "vec", "copies", F.size("e").alias("dim"), F.transform("s", lambda v: v / F.col("norm")).alias("unit"))
+    classes = written(projected(classes).withColumn("rep", F.monotonically_increasing_id()))
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     buckets = exchange_buckets(vectors)
-    met = written(components(meeting_stars(classes, *meeting_shape(largest, cosine), half, buckets)).select(F.col("id").alias("rep"), F.col("component").alias("cluster")))
-    parts = met.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    placed = classes.join(met.join(parts, "cluster"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    edges = meeting_edges(classes, *meeting_shape(largest, cosine), half, need, buckets)
+    met = written(components(edges).select(F.col("id").alias("rep"), F.col("component").alias("cluster")))
+    parts = met.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.count("*").alias("size"))
+    placed = classes.select("rep", "dim", "copies", "unit").join(join_hot(met, parts, ["cluster"], "size"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     paired = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     p, q = F.least("j", "block"), F.greatest("j", "block")
     bundle = F.when(F.col("parts") > 1, F.xxhash64("cluster", p, q)).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(buckets)))
@@ -181,11 +203,13 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     links = written(paired.groupBy("dim", "large", "bundle", "p", "q").applyInPandas(linked, "rep long, least long, n long"))
     joined = components(links.select(F.col("rep").alias("u"), F.col("least").alias("v")))
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
-    named = classes.select("rep", "copies").join(counts, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    keyed = rows.where("ok").groupBy("label", "key").agg(F.min("vec_id").alias("rep")).join(named, "rep").select("key", "copies", "n", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("vec_id", "key").join(keyed, "key", "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+    named = classes.select("label", "key", "rep", "vec", "copies").join(counts, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
+    named = written(named.withColumn("component", F.coalesce("component", "rep")))
+    least = named.groupBy("component").agg(F.min("vec").alias("component_id"), F.count("*").alias("size"))
+    keyed = written(join_hot(named, least, ["component"], "size").select("label", "key", "copies", F.col("copies").alias("others"), "n", "component_id"))
+    out = join_hot(rows.select("vec_id", "label", "key"), keyed, ["label", "key"], "copies")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", (F.coalesce(F.col("others") - 1, F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,17 +10,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learntrail.llm.common import PRIME, chunks, exchange_buckets, mixed, null_safe_text, table, window_hashes, word_hashes, written
+from learntrail.llm.common import PRIME, chunks, exchange_buckets, join_hot, mixed, null_safe_text, table, window_hashes, word_hashes, written
 from learntrail.llm.components import components
-from learntrail.llm.stars import key_stars
+from learntrail.llm.stars import key_lists, passing_edges
 
 WIDTH = 5
 PERCENT = 75
 #: Two families of SIDE collections of ROWS minhashes each give SIDE * SIDE tables of 2 * ROWS rows a key: 36 minhashes for
 #: 81 tables, where plain banding would need 324. A pair at similarity 0.75 shares no key with probability 2 * (1 - 0.75**2)**9 < 0.0013.
 SIDE, ROWS = 9, 2
-#: Shingles and documents compared in one group; larger candidate clusters are compared block by block.
-BLOCK_SHINGLES, BLOCK_DOCS = 600_000, 1500
+#: Ranges of a sketch, and how many standard deviations below the threshold its estimate may lie: a pair at the threshold fails with probability under 0.0001.
+BINS, SIGMAS = 128, 4.0
+_BOUNDS = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
+#: Shingles and documents compared in one group; larger candidate clusters are compared block by block, with PIVOTS of the cluster in each.
+BLOCK_SHINGLES, BLOCK_DOCS, PIVOTS = 600_000, 1500, 8
 _SEEDS = np.random.default_rng(20240607).integers(1, 2**63, (2 * SIDE * ROWS, 2), dtype=np.uint64) | np.uint64(1)
 
 
@@ -50,12 +53,31 @@ def tensored_keys(values: np.ndarray) -> np.ndarray:
     return mixed(keys + np.arange(SIDE * SIDE, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """The set's size and, of each of BINS equal ranges of hashes, one byte of the least hash in it: a one-permutation sketch. Empty ranges hold 0."""
+    at = np.searchsorted(values, _BOUNDS)
+    there = np.r_[at[1:], len(values)] > at
+    out = np.zeros(BINS, np.uint8)
+    out[there] = values[at[there]] % np.uint64(255) + np.uint64(1)
+    return np.int64(len(values)).tobytes() + out.tobytes()
+
+
+def sketches_pass(left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether two sketches may belong to sets at the threshold: sizes allow it, and the share of equal ranges lies at most SIGMAS deviations below it."""
+    a, b = (np.ascontiguousarray(x[:, :8]).view(np.int64)[:, 0] for x in (left, right))
+    fits = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+    one, two = left[:, 8:], right[:, 8:]
+    used, equal = ((one | two) > 0).sum(1), ((one == two) & (one > 0)).sum(1)
+    p = percent / 100
+    return fits & (equal >= used * p - SIGMAS * np.sqrt(used * p * (1 - p)))
+
+
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``doc_id, n_shingles, h1, h2, sig``: the set's size, two hashes that tell equal sets, the collections' values."""
+    """``doc_id, key, n_shingles, h1, h2, sig, sketch``: the set's size, two hashes that tell equal sets, the collections' values, a sketch."""
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for ids, held in chunks(batch.doc_id, batch.text):
+            for rows, held in chunks(zip(batch.doc_id, batch.key, strict=True), batch.text):
                 sets = [shingle_set(x, width) for x in held]
                 full = [k for k, x in enumerate(sets) if len(x)]
                 values = collection_values([sets[k] for k in full]) if full else np.zeros((0, 0), np.uint64)
@@ -63,19 +85,20 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 for k, row in zip(full, values, strict=True):
                     sig[k] = row.tobytes()
                 two = [[np.int64(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes(), seed)).astype(np.int64)) for x in sets] for seed in (1, 2)]
-                yield pd.DataFrame({"doc_id": ids, "n_shingles": [len(x) for x in sets], "h1": two[0], "h2": two[1], "sig": sig})
+                yield pd.DataFrame({"doc_id": [r[0] for r in rows], "key": [r[1] for r in rows], "n_shingles": [len(x) for x in sets], "h1": two[0], "h2": two[1], "sig": sig, "sketch": [sketch(x) for x in sets]})
 
-    return null_safe_text(docs.where("doc_id IS NOT NULL"), "doc_id").mapInPandas(signed, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    return docs.mapInPandas(signed, "doc_id long, key long, n_shingles long, h1 long, h2 long, sig binary, sketch binary")
 
 
-def candidate_stars(classes: DataFrame, buckets: int) -> DataFrame:
-    """Edges ``u, v`` from each class to the least class under each shared table key."""
+def candidate_edges(classes: DataFrame, buckets: int, percent: int = PERCENT) -> DataFrame:
+    """Edges ``u, v`` that join classes which share a table key and whose sketches pass."""
 
     def keyed(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         keys = tensored_keys(np.frombuffer(b"".join(part.sig), np.uint64).reshape(len(part), 2 * SIDE)).ravel()
         return np.repeat(part.rep.to_numpy(np.int64), SIDE * SIDE), keys
 
-    return key_stars(classes, keyed, buckets)
+    lists = written(key_lists(classes.select("rep", "sig"), keyed, buckets))
+    return passing_edges(lists, classes.select(F.col("rep").alias("id"), "sketch"), lambda a, b: sketches_pass(a, b, percent), buckets)
 
 
 def linked_forest(ids: np.ndarray, sets: list[np.ndarray], groups: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -133,64 +156,93 @@ def linked_forest(ids: np.ndarray, sets: list[np.ndarray], groups: np.ndarray, p
     return [(int(ids[order[x]]), int(ids[order[t]])) for x, t in enumerate(tops) if t != x]
 
 
+def _verified(texts: DataFrame, tasks: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``u, v, large`` among the classes of each task: ``tasks`` has ``rep, key, cluster, large, task``; ``key`` is the row whose text stands for the class."""
+
+    def verified(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("rep")
+        sets = [shingle_set(x.encode("utf-8", "surrogatepass"), width) for x in group.text]
+        ids, keys, found, some = group.rep.to_numpy(np.int64), group.cluster.to_numpy(np.int64), [], []
+        order = np.argsort(keys, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):  # clusters of a bundle in turn, some at a time
+            if some and (len(some) + len(own) > BLOCK_DOCS or sum(len(sets[k]) for k in some) > BLOCK_SHINGLES):
+                found += linked_forest(ids[some], [sets[k] for k in some], keys[some], percent)
+                some = []
+            some = [*some, *own]
+        found += linked_forest(ids[some], [sets[k] for k in some], keys[some], percent)
+        return pd.DataFrame({"u": [x[0] for x in found], "v": [x[1] for x in found]}, dtype="int64").assign(large=bool(group.large.iloc[0]))
+
+    members = texts.select("key", "text").join(tasks.hint("merge"), "key")
+    return members.groupBy("task").applyInPandas(verified, "u long, v long, large boolean")
+
+
+def _parts(n: str = "n"):
+    return F.greatest(F.ceil(F.sum(n) / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int")
+
+
+def verified_links(texts: DataFrame, clusters: DataFrame, buckets: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``u, v``: links that span each component of the exact comparison in each cluster of ``rep, key, n, cluster`` rows.
+
+    A small cluster is compared in one task. A large one first in blocks, each with a few pivots of the cluster, which joins
+    near copies at a cost that follows their number; then the classes that its largest component has not taken up are held
+    against all others, block by block. So only two classes of that component are never compared, and they are linked already.
+    """
+    pivots = F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("rep", F.lit(s)).alias("x"), F.struct("rep", "key").alias("r")))["r"] for s in range(PIVOTS)]))
+    weight = clusters.groupBy("cluster").agg(_parts().alias("parts"), F.count("*").alias("size"), pivots.alias("pivots"))
+    placed = join_hot(clusters, weight.select("cluster", "parts", "size"), ["cluster"], "size").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("long"))
+    large = F.col("parts") > 1
+    own = placed.select("rep", "key", "cluster", large.alias("large"), F.when(large, F.xxhash64("cluster", "block")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(buckets))).alias("task"))
+    spread = weight.where(large).select("cluster", F.explode("pivots").alias("r"), "parts").select("r.rep", "r.key", "cluster", F.lit(True).alias("large"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
+    spread = spread.select("rep", "key", "cluster", "large", F.xxhash64("cluster", F.col("block").cast("long")).alias("task"))
+    first = written(_verified(texts, own.unionByName(spread), width, percent))
+    if weight.where(large).isEmpty():
+        return first.select("u", "v")
+    joined = components(first.where("large").select("u", "v")).select(F.col("id").alias("rep"), F.col("component").alias("c"))
+    state = written(placed.where(large).join(joined, "rep", "left").withColumn("c", F.coalesce("c", "rep")))
+    main = state.groupBy("cluster", "c").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.sum("k").alias("size"))
+    outside = written(join_hot(state, main, ["cluster"], "size").where("c <> main").select("rep", "key", "n", "cluster", "parts"))
+    if outside.isEmpty():
+        return first.select("u", "v")
+    slices = outside.groupBy("cluster").agg(_parts().alias("slices"), F.count("*").alias("size"))
+    outside = join_hot(outside, slices, ["cluster"], "size", "inner").withColumn("slice", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("slices")).cast("long"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    left = outside.select("rep", "key", "cluster", "slice", upto("parts").alias("block"))
+    against = join_hot(state, state.groupBy("cluster").agg(F.count("*").alias("size")).join(slices.select("cluster", "slices"), "cluster"), ["cluster"], "size", "inner")
+    right = against.select("rep", "key", "cluster", upto("slices").alias("slice"), "block")
+    tasks = left.unionByName(right).select("rep", "key", "cluster", F.lit(True).alias("large"), F.xxhash64("cluster", "slice", "block").alias("task"))
+    return first.select("u", "v").unionByName(written(_verified(texts, tasks, width, percent)).select("u", "v"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row for each row with a doc_id.
 
-    1. One pass over the texts gives each document's set size, set hashes and small minhash collections.
-    2. Documents with equal sets are one class, stood for by its least id, so copies cost one row.
-    3. Classes meet in the tensored tables; each table key links its classes to the least one, which gives candidate clusters.
-    4. Inside a cluster all whole sets are compared exactly, once; a cluster too large for one task is compared block by block.
-    5. Components of the verified links; a document is kept if it is the least of its component.
+    1. One pass over the texts gives each document's set size, set hashes, small minhash collections and a sketch.
+    2. Documents with equal sets are one class, so copies cost one row.
+    3. Classes meet in the tensored tables. Two that share a key are held against each other by sketch, and only those that
+       may reach the threshold join a candidate cluster; a text that shares no more than boilerplate joins none.
+    4. Inside a cluster whole sets are compared exactly (``verified_links``).
+    5. Components of the verified links; a document is kept if its id is the least of its component.
 
-    Null or blank texts have no shingles and stand alone. Rows with a null id are left out; rows that repeat an id share its
-    component. Other columns are not read. Every table of links is distributed; none goes to the driver.
+    Null or blank texts have no shingles and stand alone. Rows with a null id are left out. Rows that repeat an id are
+    documents of their own: each has the component of its own text. Other columns are not read. Every table of links is
+    distributed; none goes to the driver.
     """
     buckets = exchange_buckets(docs)
-    texts = null_safe_text(docs.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
+    texts = null_safe_text(docs.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").withColumn("key", F.xxhash64("doc_id", "text"))
     signed = written(signatures(texts, width))
     full = signed.where("n_shingles > 0")
-    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    clusters = written(components(candidate_stars(classes.select("rep", "sig"), buckets)))
-    sized = written(clusters.join(classes.select(F.col("rep").alias("id"), "n"), "id").groupBy("id", F.col("component").alias("cluster")).agg(F.max("n").alias("n")))
-    weight = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("parts"))
-    # blocks are salted by id; a member of block k goes to the pairs (k, j) and (j, k), a small cluster to one bundle
-    placed = sized.join(weight, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    tasks = placed.select(
-        "id", "cluster", "parts",
-        F.explode(F.when(F.col("parts") > 1, F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("cluster", F.least(j, F.col("block")), F.greatest(j, F.col("block"))))).otherwise(F.array(F.pmod(F.xxhash64("cluster"), F.lit(buckets))))).alias("task"),
-    )
-    members = texts.join(tasks.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id")
-
-    def verified(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("doc_id")
-        sets = [shingle_set(x.encode("utf-8", "surrogatepass"), width) for x in group.text]
-        found = []
-        large = bool((group.parts > 1).any())
-        keys = group.cluster.to_numpy(np.int64)
-        if large:
-            found = linked_forest(group.doc_id.to_numpy(np.int64), sets, keys, percent)
-        else:  # clusters of a bundle in turn, some at a time
-            order = np.argsort(keys, kind="stable")
-            ids, some = group.doc_id.to_numpy(np.int64), []
-            cuts = np.flatnonzero(np.diff(keys[order])) + 1
-            for own in np.split(order, cuts):
-                if some and (len(some) + len(own) > BLOCK_DOCS or sum(len(sets[k]) for k in some) > BLOCK_SHINGLES):
-                    found += linked_forest(ids[some], [sets[k] for k in some], keys[some], percent)
-                    some = []
-                some = [*some, *own]
-            found += linked_forest(ids[some], [sets[k] for k in some], keys[some], percent)
-        return pd.DataFrame({"u": [x[0] for x in found], "v": [x[1] for x in found]}, dtype="int64").assign(large=large)
-
-    links = written(members.groupBy("task").applyInPandas(verified, "u long, v long, large boolean"))
-    small = links.where("NOT large").select(F.col("u").alias("rep"), F.col("v").alias("component_id"))
-    if links.where("large").isEmpty():
-        joined = small
-    else:
-        joined = small.unionByName(written(components(links.where("large").select("u", "v"))).select(F.col("id").alias("rep"), F.col("component").alias("component_id")))
-    keyed = classes.select("h1", "h2", "rep").join(joined.groupBy("rep").agg(F.min("component_id").alias("component_id")), "rep", "left")
-    keyed = keyed.select("h1", "h2", F.least("rep", "component_id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(keyed, ["h1", "h2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    some = [F.first(c).alias(c) for c in ("sig", "sketch")]
+    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), *some)
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()))
+    clusters = components(candidate_edges(classes, buckets, percent)).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+    clusters = written(clusters.join(classes.select("rep", "key", "n"), "rep"))
+    links = components(verified_links(texts, clusters, buckets, width, percent))
+    named = classes.select("h1", "h2", "rep", "least", "copies").join(links.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = written(named)
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    named = join_hot(named.select("h1", "h2", "copies", "component"), least, ["component"], "size")
+    out = join_hot(signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("h1")).alias("h1"), "h2"), written(named.select("h1", "h2", "copies", "component_id")), ["h1", "h2"], "copies")
+    component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 

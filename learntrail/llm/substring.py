@@ -11,34 +11,42 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learntrail.llm.common import as_bytes, chunks, exchange_buckets, null_safe_text, table, window_hashes, word_hashes, written
+from learntrail.llm.common import as_bytes, chunks, exchange_buckets, exchanged, mixed, null_safe_text, table, whole, window_hashes, word_hashes, written
 
 WINDOW = 13
 #: Every residue modulo 7 is a difference of two elements of {0, 1, 3}: two starts of a repeated window have a shift k < 7
 #: at which both are at cover positions, and the ANCHOR = 13 - 7 + 1 words from there lie inside the window.
 PERIOD, COVER = 7, (0, 1, 3)
 _LOCAL, _SENT = 0, 1
+_NONE = np.zeros(0, np.uint32)
 
 
-def _runs(sorted_values: np.ndarray) -> np.ndarray:
-    """The run number of each element of a sorted array."""
-    return np.cumsum(np.r_[False, sorted_values[1:] != sorted_values[:-1]]) if len(sorted_values) else np.zeros(0, np.int64)
-
-
-def _packed(kind: int, bucket: np.ndarray, ids: np.ndarray, keys: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> pd.DataFrame:
+def _packed(kind: int, bucket: np.ndarray, ids: np.ndarray, keys: np.ndarray, at: np.ndarray, hashes: np.ndarray, more: np.ndarray) -> pd.DataFrame:
     """Records as one row for each bucket, with binary columns."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     part = lambda x: ([y.tobytes() for y in np.split(x[order], cuts)] if len(x) else [b""] * (len(cuts) + 1)) if len(bucket) else []
-    return pd.DataFrame({"bucket": bucket[np.r_[0, cuts]] if len(bucket) else [], "kind": np.int32(kind), "ids": part(ids), "keys": part(keys), "at": part(at.astype(np.uint32)), "hashes": part(hashes)})
+    return pd.DataFrame({"bucket": bucket[np.r_[0, cuts]] if len(bucket) else [], "kind": np.int32(kind), "ids": part(ids), "keys": part(keys), "at": part(at.astype(np.uint32)), "hashes": part(hashes), "more": part(more)})
+
 
+_SCHEMA = "bucket long, kind int, ids binary, keys binary, at binary, hashes binary, more binary"
 
-_SCHEMA = "bucket long, kind int, ids binary, keys binary, at binary, hashes binary"
 
+def _unpacked(group: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    kinds = {"ids": np.int64, "keys": np.int64, "at": np.uint32, "hashes": np.uint64, "more": np.uint32}
+    return tuple(np.frombuffer(b"".join(group[c]), t) for c, t in kinds.items())
 
-def _unpacked(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return (np.frombuffer(b"".join(group.ids), np.int64), np.frombuffer(b"".join(group["keys"]), np.int64), np.frombuffer(b"".join(group["at"]), np.uint32), np.frombuffer(b"".join(group.hashes), np.uint64))
+
+def _ordered(ids: np.ndarray, hashes: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by hash and id; in that order, each record's run of equal hashes, and where each run begins."""
+    order = np.lexsort((ids, more, hashes) if len(more) else (ids, hashes))
+    first, second = hashes[order], more[order] if len(more) else None
+    new = first[1:] != first[:-1]
+    if second is not None:
+        new |= second[1:] != second[:-1]
+    new = np.r_[True, new][: len(order)]
+    return order, np.cumsum(new) - 1, np.flatnonzero(new)
 
 
 def _by_document(keys: np.ndarray, at: np.ndarray) -> pd.DataFrame:
@@ -49,45 +57,43 @@ def _by_document(keys: np.ndarray, at: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"key": keys[np.r_[0, cuts]] if len(keys) else [], "at": [x.tobytes() for x in np.split(at, cuts)] if len(keys) else []})
 
 
-def _meet(records: DataFrame, later_only: bool) -> DataFrame:
+def _meet(records: DataFrame, buckets: int, later_only: bool) -> DataFrame:
     """``key, at``: the positions whose hash also occurs in another document; with ``later_only``, in one of a smaller id."""
 
-    def met(group: pd.DataFrame) -> pd.DataFrame:
-        known = group[group.kind == _LOCAL]
-        _, keys, at, _ = _unpacked(known)
-        ids, own, where, hashes = _unpacked(group[group.kind == _SENT])
-        order = np.lexsort((ids, hashes))
-        ids, own, where, hashes = ids[order], own[order], where[order], hashes[order]
-        run = _runs(hashes)
-        first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.zeros(0, np.int64)
-        least = ids[first][run] if len(run) else ids
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = whole(batches)
+        if group is None:
+            return
+        _, keys, at, _, _ = _unpacked(group[group.kind == _LOCAL])
+        ids, own, where, hashes, more = _unpacked(group[group.kind == _SENT])
+        del group
+        ids = ids if later_only else own
+        order, run, first = _ordered(ids, hashes, more)
+        ids, own, where = ids[order], own[order], where[order]
         if later_only:
-            found = ids > least
+            found = ids > ids[first][run]
         else:
-            last = np.r_[first[1:], len(ids)] - 1 if len(first) else first
-            found = ids[last][run] > least if len(run) else np.zeros(0, bool)
-        return _by_document(np.r_[keys, own[found]], np.r_[at, where[found]])
+            last = np.r_[first[1:], len(ids)] - 1
+            found = (ids[last] > ids[first])[run]
+        yield _by_document(np.r_[keys, own[found]], np.r_[at, where[found]])
 
-    return records.groupBy("bucket").applyInPandas(met, "key long, at binary")
+    return exchanged(records, buckets).mapInPandas(met, "key long, at binary")
 
 
-def _presettled(ids: np.ndarray, keys: np.ndarray, at: np.ndarray, hashes: np.ndarray, buckets: int, later_only: bool) -> Iterator[pd.DataFrame]:
+def _presettled(ids: np.ndarray, keys: np.ndarray, at: np.ndarray, hashes: np.ndarray, more: np.ndarray, buckets: int, later_only: bool) -> Iterator[pd.DataFrame]:
     """What one batch can settle alone is sent as settled, dealt by document; of a hash only the least document's records
-    travel by hash, so a passage that very many documents share costs a bucket one document's records for each batch."""
-    order = np.lexsort((ids, hashes))
-    ids, keys, at, hashes = ids[order], keys[order], at[order], hashes[order]
-    run = _runs(hashes)
-    first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.zeros(0, np.int64)
-    least = ids[first][run] if len(run) else ids
-    settled = ids > least
-    if not later_only and len(run):
+    travel by hash, so a passage that very many documents share costs a bucket one document's records for each batch.
+    Anchors need no ranks: ``ids`` are the row keys then, and aren't sent."""
+    order, run, first = _ordered(ids, hashes, more)
+    ids, keys, at, hashes, more = ids[order], keys[order], at[order], hashes[order], more[order] if len(more) else more
+    settled = ids > ids[first][run]
+    shared = settled
+    if not later_only:
         last = np.r_[first[1:], len(ids)] - 1
-        shared = ids[last][run] > least
-    else:
-        shared = settled
-    yield _packed(_LOCAL, (keys[shared].view(np.uint64) % np.uint64(buckets)).astype(np.int64), ids[shared][:0], keys[shared], at[shared], hashes[:0])
+        shared = (ids[last] > ids[first])[run]
+    yield _packed(_LOCAL, (keys[shared].view(np.uint64) % np.uint64(buckets)).astype(np.int64), ids[:0], keys[shared], at[shared], hashes[:0], more[:0])
     rest = ~settled
-    yield _packed(_SENT, (hashes[rest] % np.uint64(buckets)).astype(np.int64), ids[rest], keys[rest], at[rest], hashes[rest])
+    yield _packed(_SENT, (hashes[rest] % np.uint64(buckets)).astype(np.int64), ids[rest] if later_only else ids[:0], keys[rest], at[rest], hashes[rest], more[rest] if len(more) else more)
 
 
 def shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
@@ -96,38 +102,44 @@ def shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
 
     def anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for rows, held in chunks(zip(batch.doc_id, batch.key, strict=True), batch.text):
+            for rows, held in chunks(batch.key, batch.text):
                 found = [window_hashes(word_hashes(x), anchor) for x in held]
                 at = [np.flatnonzero(np.isin(np.arange(len(x)) % PERIOD, COVER)) for x in found]
                 n = [len(x) for x in at]
-                yield from _presettled(np.repeat(np.array([r[0] for r in rows], np.int64), n), np.repeat(np.array([r[1] for r in rows], np.int64), n), np.concatenate(at), np.concatenate([x[a] for x, a in zip(found, at, strict=True)]), buckets, False)
+                keys = np.repeat(np.array(rows, np.int64), n)
+                yield from _presettled(keys, keys, np.concatenate(at), np.concatenate([x[a] for x, a in zip(found, at, strict=True)]), _NONE, buckets, False)
 
-    return _meet(texts.mapInPandas(anchored, _SCHEMA), False)
+    return _meet(texts.select("key", "text").mapInPandas(anchored, _SCHEMA), buckets, False)
 
 
 def repeated_windows(texts: DataFrame, anchors: DataFrame, buckets: int) -> DataFrame:
-    """``key, at``: the starts of windows that also start in a document of a smaller id; only windows round shared anchors are extended."""
+    """``key, at``: the starts of windows that also start in a document of a smaller id; only windows round shared anchors are extended.
+
+    Windows are equal if two hashes of their words are, of 96 bits together: among 10**14 windows a false match has a chance under 0.1.
+    """
     reach = WINDOW - PERIOD
 
     def extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for rows, held in chunks(zip(batch.doc_id, batch.key, batch["at"], strict=True), batch.text):
-                ids, keys, starts, hashes = [], [], [], []
+                ids, keys, starts, hashes, more = [], [], [], [], []
                 for (doc, key, at), text in zip(rows, held, strict=True):
-                    whole = window_hashes(word_hashes(text), WINDOW)
-                    near = np.zeros(len(whole) + WINDOW, bool)
+                    words = word_hashes(text)
+                    windows = window_hashes(words, WINDOW)
+                    near = np.zeros(len(windows) + WINDOW, bool)
                     where = np.frombuffer(b"".join(at), np.uint32).astype(np.int64)
                     for k in range(reach + 1):
                         near[np.maximum(where - k, 0)] = True
-                    mine = np.flatnonzero(near[: len(whole)])
+                    mine = np.flatnonzero(near[: len(windows)])
                     ids.append(np.full(len(mine), doc, np.int64))
                     keys.append(np.full(len(mine), key, np.int64))
                     starts.append(mine)
-                    hashes.append(whole[mine])
-                yield from _presettled(*map(np.concatenate, (ids, keys, starts, hashes)), buckets, True)
+                    hashes.append(windows[mine])
+                    more.append((window_hashes(mixed(words), WINDOW)[mine] >> np.uint64(32)).astype(np.uint32))
+                yield from _presettled(*map(np.concatenate, (ids, keys, starts, hashes, more)), buckets, True)
 
     gathered = anchors.groupBy("key").agg(F.collect_list("at").alias("at"))
-    return _meet(texts.join(gathered, "key").mapInPandas(extended, _SCHEMA), True)
+    return _meet(texts.join(gathered, "key").mapInPandas(extended, _SCHEMA), buckets, True)
 
 
 def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
@@ -139,7 +151,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     repeat an id don't remove each other. Other columns are not read.
 
     Anchors (three of seven positions) are exchanged first; only documents that share one are read for the second exchange,
-    of whole windows. Both exchanges carry packed arrays in buckets whose number grows with the input's partitions.
+    of whole windows. Both exchanges carry packed arrays in buckets, each a partition of its own, whose number grows with the
+    input's partitions.
     """
     buckets = exchange_buckets(docs)
     texts = null_safe_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").withColumn("key", F.xxhash64("doc_id", "text"))

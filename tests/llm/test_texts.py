@@ -108,9 +108,49 @@ def test_near_duplicates_against_brute_force(spark, odd, empty):
 
 def test_large_clusters_are_compared_in_blocks(spark, monkeypatch):
     docs = [(k, " ".join(f"w{j if j != k % 50 else 'x' + str(k)}" for j in range(60))) for k in range(40)]
+    docs += [(100 + k, " ".join(f"w{j if j >= 8 + k % 2 else 'y'}" for j in range(60))) for k in range(3)] + [(200 + k, " ".join(f"w{j if j >= 13 else 'y' + str(j * (k % 2))}" for j in range(60))) for k in range(9)]
     whole = {tuple(r) for r in minhash.near_duplicates(frame(spark, docs)).collect()}
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 7)
     assert {tuple(r) for r in minhash.near_duplicates(frame(spark, docs)).collect()} == whole
+    monkeypatch.setattr(minhash, "PIVOTS", 1)
+    monkeypatch.setattr(minhash, "SIGMAS", 99.0)  # all that share a key are one cluster: the exact comparison alone parts them
+    assert {tuple(r) for r in minhash.near_duplicates(frame(spark, docs)).collect()} == whole
+
+
+def test_rows_that_repeat_an_id_with_other_texts_keep_their_own_component(spark):
+    base = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, base), (5, "quite another text " * 5), (5, base + " x"), (7, base + " x y")]
+    for own in (rows, rows[::-1]):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, own)).collect())
+        assert got == [(1, 36, 1, True), (5, 3, 5, True), (5, 37, 1, False), (7, 38, 1, False)]
+
+
+def near_copies(rng, bases, copies, n=60):
+    """(doc_id, text) of families whose members change up to a tenth of their words."""
+    out = []
+    for f in range(bases):
+        base = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        for _ in range(copies):
+            words = list(base)
+            for _ in range(rng.randrange(0, n // 30 + 1)):
+                words[rng.randrange(n)] = f"z{rng.randrange(9999)}"
+            out.append((len(out) * 3 + 1, " ".join(words)))
+    return out
+
+
+def test_recall_of_near_duplicates_on_thousands_of_rows(spark):
+    docs = near_copies(random.Random(12), 500, 6)
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)))) for _, t in docs]
+    group = list(range(len(docs)))
+    links = []
+    for f in range(0, len(docs), 6):  # families share nothing
+        links += [(a, b) for a in range(f, f + 6) for b in range(a + 1, f + 6) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for a, b in links * 6:
+        group[a] = group[b] = min(group[a], group[b])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, docs)).collect()}
+    right = sum(got[docs[a][0]] == got[docs[b][0]] for a, b in links)
+    assert len(links) > 2000 and right >= 0.995 * len(links)
+    assert all(docs[group[k]][0] <= got[d] for k, (d, _) in enumerate(docs))  # nothing else is joined
 
 
 def test_repeats_against_brute_force(spark, odd, empty):
@@ -157,6 +197,32 @@ def test_large_vector_clusters_are_compared_in_blocks(spark, monkeypatch):
     assert [got[i].n_links for i in range(len(x))] == near.sum(1).tolist()
 
 
+def test_labels_with_commas_and_repeated_ids_don_t_mix(spark):
+    rows = [(1, [2.0, 3.0], "a,1.0"), (2, [1.0, 2.0, 3.0], "a"), (3, [2.0, 3.0], "a,1.0"), (3, [5.0, -1.0], "a,1.0"), (9, [1.0, 0.0, 0.0], "b"), (8, [1.0, 0.0], "b")]
+    for own in (rows, rows[::-1]):
+        got = sorted(map(tuple, embeddings.near_vectors(spark.createDataFrame([(*r, 1, "x") for r in own], "vec_id long, embedding array<double>, label string, key long, rep string")).collect()))
+        assert got == [(1, 1, 1, True), (2, 0, 2, True), (3, 0, 3, True), (3, 1, 1, False), (8, 0, 8, True), (9, 0, 9, True)]
+
+
+def test_recall_of_near_vectors_on_thousands_of_rows(spark):
+    rng = np.random.default_rng(15)
+    base = np.repeat(rng.standard_normal((500, 64)), 6, axis=0)
+    x = np.concatenate([base + rng.standard_normal(base.shape) * rng.uniform(0.03, 0.16, (len(base), 1)), rng.standard_normal((1000, 64)) + 2.5])  # the last 1,000 have cosines of about 0.86
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.98
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(spark.createDataFrame([(k, [float(v) for v in y], 3) for k, y in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    found = sum(got.values())
+    assert near.sum() > 4000 and found >= 0.99 * near.sum() and all(got[k] <= n for k, n in enumerate(near.sum(1)))
+
+
+def test_cosines_at_the_threshold_and_copies_count(spark):
+    a, b = [1.0, 0.0], [0.98, (1 - 0.98**2) ** 0.5]
+    cosine = float(np.dot(np.array(a), np.array(b) / np.linalg.norm(b)))
+    got = sorted(map(tuple, embeddings.near_vectors(spark.createDataFrame([(1, a, 0), (2, b, 0), (3, a, 0), (4, [2.0, 0.0], 0)], "vec_id long, embedding array<double>, label int"), cosine).collect()))
+    assert [(r[0], r[2]) for r in got] == [(1, 1), (2, 1), (3, 1), (4, 1)] and [r[1] for r in got] == [3, 3, 3, 3]
+
+
 def test_meeting_shape_keeps_pairs_and_bounds_chance():
     for rows in (0, 1, 1000, 10**6, 10**9):
         cells, keys = embeddings.meeting_shape(rows, 0.98)
@@ -164,15 +230,53 @@ def test_meeting_shape_keeps_pairs_and_bounds_chance():
         assert rows * keys * embeddings.same_cell(embeddings.CELL * 0.2 / 2**0.5) ** cells <= embeddings.CHANCE
 
 
-def test_key_stars_link_each_id_to_the_least_of_its_keys(spark, monkeypatch):
+def test_key_lists_and_passing_edges(spark, monkeypatch):
     def keyed(part):
-        return np.repeat(part.id.to_numpy(np.int64), 2), np.stack([part.id.to_numpy(np.uint64) % 3, np.full(len(part), 99, np.uint64)], 1).ravel()
+        return np.repeat(part.id.to_numpy(np.int64), 2), np.stack([part.id.to_numpy(np.uint64) % 3, part.id.to_numpy(np.uint64) + 99 * (part.id.to_numpy() > 1000).astype(np.uint64)], 1).ravel()
 
     rows = spark.createDataFrame([(k,) for k in [*range(5, 40), 7, 7]], "id long").repartition(4)
-    got = {(r.u, r.v) for r in stars.key_stars(rows, keyed, 8).collect()}
-    assert components(spark.createDataFrame(list(got), "u long, v long")).where("component = 5").count() == 35
-    assert all(u > v for u, v in got) and {u for u, v in got if v == 5} >= set(range(6, 40)) - {u for u, v in got if v != 5}
-    assert stars.key_stars(rows.where("id < 0"), keyed, 8).count() == 0
+    got = {(tuple(r.members), r.forced) for r in stars.key_lists(rows, keyed, 8).collect()}
+    assert got == {(tuple(k for k in range(5, 40) if k % 3 == m), False) for m in range(3)}
+    sketches = spark.createDataFrame([(k, bytes([k // 12])) for k in range(5, 40)], "id long, sketch binary")
+    edges = stars.passing_edges(stars.key_lists(rows, keyed, 8), sketches, lambda a, b: (a == b).all(1), 8)
+    apart = {(r.id % 3, r.id // 12, r.component) for r in components(edges).collect()}
+    assert len(apart) == len({(k % 3, k // 12) for k in range(5, 36)}) + 1  # 37 and 38 stand alone
+    monkeypatch.setattr(stars, "LOCAL", 1)  # very frequent keys link as they are
+    assert components(stars.passing_edges(stars.key_lists(rows, keyed, 8), sketches, lambda a, b: (a == b).all(1), 8)).select("component").distinct().count() == 3
+    monkeypatch.setattr(stars, "LOCAL", 64)
+    monkeypatch.setattr(stars, "LIST", 5)
+    assert components(stars.passing_edges(stars.key_lists(rows, keyed, 8), sketches, lambda a, b: (a == b).all(1), 8)).select("component").distinct().count() == 3
+    assert stars.key_lists(rows.where("id < 0"), keyed, 8).count() == 0
+
+
+def test_forest_reaches_what_all_pairs_reach():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 30):
+        near = rng.random((n, n)) < 0.05
+        near = near | near.T
+        want, got = list(range(n)), list(range(n))
+        for a, b in zip(*np.nonzero(near)):
+            want = [min(want[a], want[b]) if x in (want[a], want[b]) else x for x in want]
+        for x, others in stars.forest(n, lambda x, some: near[x, some]):
+            for y in others:
+                got = [min(got[x], got[y]) if z in (got[x], got[y]) else z for z in got]
+        assert got == want
+
+
+def test_sketches_estimate_and_pass(spark):
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 40, 300, 3000):
+        missed = 0
+        for _ in range(200):
+            both = rng.integers(0, 2**63, n * 6 // 7 + 1, dtype=np.uint64) * np.uint64(2)
+            own = [np.unique(np.r_[both, rng.integers(0, 2**63, len(both) // 7, dtype=np.uint64)]) for _ in range(2)]
+            held = [np.frombuffer(minhash.sketch(x), np.uint8)[None] for x in own]
+            near = len(np.intersect1d(*own)) * 100 >= 75 * len(np.union1d(*own))
+            missed += near and not minhash.sketches_pass(*held)[0]
+            if n >= 300:
+                other = np.frombuffer(minhash.sketch(np.unique(np.r_[both[: n // 2], rng.integers(0, 2**63, n // 2, dtype=np.uint64)])), np.uint8)[None]
+                assert not minhash.sketches_pass(held[0], other)[0]
+        assert missed == 0
 
 
 def test_base_spans_against_the_plain_patterns():
