@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from learntrail.llm.common import exchanged, mixed, whole
 
-_EDGES, _KEYS = 0, 1
+_EDGES, _KEYS, _FREQUENT = 0, 1, 2
 #: Rows whose keys are made together in a task.
 PART = 4000
 #: A key shared by more of PART rows, or by more rows in all, isn't looked into: its rows become one cluster as they are, so
@@ -53,17 +53,20 @@ def key_lists(rows: DataFrame, keyed: Callable[[pd.DataFrame], tuple[np.ndarray,
                 rest = ~frequent | (ids == hub)
                 edges = np.unique(np.stack([ids[~rest], hub[~rest]], 1), axis=0)
                 yield _packed(_EDGES, (mixed(edges[:, 0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), edges[:, 0], edges[:, 1])
-                yield _packed(_KEYS, (keys[rest] % np.uint64(buckets)).astype(np.int64), keys[rest].view(np.int64), ids[rest])
+                for kind, some in ((_KEYS, rest & ~frequent), (_FREQUENT, rest & frequent)):
+                    yield _packed(kind, (keys[some] % np.uint64(buckets)).astype(np.int64), keys[some].view(np.int64), ids[some])
 
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group = whole(batches)
         if group is None:
             return
-        known, own = group[group.kind == _EDGES], group[group.kind == _KEYS]
-        ids, _, begin, size = _runs(np.frombuffer(b"".join(own.b), np.int64), np.frombuffer(b"".join(own.a), np.uint64))
-        lists = {ids[b : b + n].tobytes() for b, n in zip(begin[(size > 1) & (size <= LIST)], size[(size > 1) & (size <= LIST)], strict=True)}
+        known, own = group[group.kind == _EDGES], group[group.kind != _EDGES]
+        ids, keys, begin, size = _runs(np.frombuffer(b"".join(own.b), np.int64), np.frombuffer(b"".join(own.a), np.uint64))
+        frequent = np.isin(keys[begin], np.frombuffer(b"".join(own.a[own.kind == _FREQUENT]), np.uint64)) | (size > LIST)
+        plain = (size > 1) & ~frequent
+        lists = {ids[b : b + n].tobytes() for b, n in zip(begin[plain], size[plain], strict=True)}
         edges = [np.stack([np.frombuffer(b"".join(known.b), np.int64), np.frombuffer(b"".join(known.a), np.int64)], 1)]
-        edges += [np.stack([np.full(n - 1, ids[b]), ids[b + 1 : b + n]], 1) for b, n in zip(begin[size > LIST], size[size > LIST], strict=True)]
+        edges += [np.stack([np.full(n - 1, ids[b]), ids[b + 1 : b + n]], 1) for b, n in zip(begin[frequent], size[frequent], strict=True) if n > 1]
         pairs = np.unique(np.concatenate(edges), axis=0)
         yield pd.DataFrame({"members": pd.Series([np.frombuffer(x, np.int64) for x in sorted(lists)] + list(pairs), dtype=object), "forced": np.repeat([False, True], [len(lists), len(pairs)])})
 

@@ -73,7 +73,7 @@ def _meet(records: DataFrame, buckets: int, later_only: bool) -> DataFrame:
         if later_only:
             found = ids > ids[first][run]
         else:
-            last = np.r_[first[1:], len(ids)] - 1
+            last = np.r_[first[1:], len(ids)][: len(first)] - 1
             found = (ids[last] > ids[first])[run]
         yield _by_document(np.r_[keys, own[found]], np.r_[at, where[found]])
 
@@ -89,7 +89,7 @@ def _presettled(ids: np.ndarray, keys: np.ndarray, at: np.ndarray, hashes: np.nd
     settled = ids > ids[first][run]
     shared = settled
     if not later_only:
-        last = np.r_[first[1:], len(ids)] - 1
+        last = np.r_[first[1:], len(ids)][: len(first)] - 1
         shared = (ids[last] > ids[first])[run]
     yield _packed(_LOCAL, (keys[shared].view(np.uint64) % np.uint64(buckets)).astype(np.int64), ids[:0], keys[shared], at[shared], hashes[:0], more[:0])
     rest = ~settled

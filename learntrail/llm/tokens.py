@@ -10,8 +10,8 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +23,8 @@ VOCABULARY = "byte_bpe_50k"
 BUDGET = 512
 #: Distinct space-delimited chunks whose result a worker keeps; the store is emptied when full.
 CACHE = 600_000
+#: Characters whose counts are sent together.
+SLICE = 1_000_000
 #: A space beside other white space: only there may parting a text at its spaces part a token.
 _ODD_SPACE = re.compile(r"\s | \s")
 
@@ -38,7 +40,11 @@ class Vocabulary:
         self.encoding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens=self.special)
         self.pieces = regex.compile(public_tokenizers.PATTERN)
         self.parts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.longest = max(map(len, self.ranks))
+        self.lengths: dict[bytes, list[int]] = {}  # of the tokens that end in two given bytes, longest first
+        for token in sorted(self.ranks, key=len, reverse=True):
+            own = self.lengths.setdefault(token[-2:], []) if len(token) > 1 else []
+            if not own or own[-1] != len(token):
+                own.append(len(token))
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
         self._plain = self.encoding._core_bpe.encode_ordinary
         self._ids: dict[str, bytes] = {}
@@ -87,27 +93,31 @@ class Vocabulary:
         of the prefix of length n - len(t); its count is that prefix's count and one more.
         """
         last, begins, counts = [b""], [0], [0]
-        ranks, pairs, longest = self.ranks, self._pairs, self.longest
-        for n in range(1, len(piece) + 1):
-            for start in (begins[-1], n - 1, *range(max(0, n - longest), n - 1)):  # mostly the last token grows or a byte begins one
-                token = piece[start:n]
-                if token not in ranks:
-                    continue
-                fits = pairs.get((last[start], token))
-                if fits is None:
-                    fits = self._joins(last[start], token)
-                if fits:
-                    last.append(token)
-                    begins.append(start)
-                    counts.append(counts[start] + 1)
-                    break
+        ranks, pairs, lengths = self.ranks, self._pairs, self.lengths
+
+        def ends_here(start: int, n: int) -> bool:
+            token = piece[start:n]
+            if token not in ranks:
+                return False
+            fits = pairs.get((last[start], token))
+            if fits is None:
+                fits = self._joins(last[start], token)
+            if fits:
+                last.append(token)
+                begins.append(start)
+                counts.append(counts[start] + 1)
+            return fits
+
+        for n in range(1, len(piece) + 1):  # mostly the last token grows or a byte begins one
+            if not (ends_here(begins[-1], n) or ends_here(n - 1, n)):
+                any(ends_here(n - size, n) for size in lengths.get(piece[n - 2 : n], ()) if size <= n)
         return counts
 
     def _piece(self, piece: str) -> list[int]:
         """The token counts of a pre-token's prefixes by characters, from its first on."""
         found = self._pieces.get(piece)
         if found is None:
-            if "'" in piece:  # a contraction cut short is parted otherwise
+            if piece[0] == "'" and piece[-1].isalpha():  # a contraction of at most three characters: cut short, it is parted otherwise
                 found = [len(self._plain(piece[:n])) for n in range(1, len(piece) + 1)]
             else:
                 found = self.piece_counts(piece.encode("utf-8"))
@@ -193,18 +203,26 @@ def prefix_token_counts(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
 
     Any truncation or budget question about a text is then a look-up (``tokens_of_prefix``, ``longest_prefix``) without
     encoding again. Null text counts as empty: one element, 0. Repeated rows and null ids are kept as they come; other
-    columns are not read. No shuffle; a task holds one Arrow batch and a bounded store of chunk results.
+    columns are not read. No shuffle; a task holds one Arrow batch of texts, the counts of SLICE characters or of one text, and
+    a bounded store of chunk results.
     """
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(name)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                yield pd.DataFrame({"doc_id": part.doc_id, "n_bytes": [len(x.encode("utf-8")) for x in part.text], "prefix_tokens": [known.prefix_counts(x) for x in part.text]})
+            begin, size, held, bytes_ = 0, 0, [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                held.append(known.prefix_counts(text))
+                bytes_.append(len(text) if text.isascii() else len(text.encode("utf-8")))
+                size += len(held[-1])
+                if size >= SLICE or k == len(batch) - 1:
+                    ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(held)), pa.array(bytes_, pa.int64()), lists], ["doc_id", "n_bytes", "prefix_tokens"])
+                    begin, size, held, bytes_ = k + 1, 0, [], []
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return null_safe_text(docs, "doc_id").mapInPandas(counted, f"doc_id {kind}, n_bytes long, prefix_tokens array<int>")
+    return null_safe_text(docs, "doc_id").mapInArrow(counted, f"doc_id {kind}, n_bytes long, prefix_tokens array<int>")
 
 
 def tokens_of_prefix(prefix_tokens, characters):

@@ -47,6 +47,7 @@ def test_token_counts_equal_the_library(spark, odd, empty):
     count = lambda s: len(library.encode(s, add_special_tokens=False).ids)
     known, rng = tokens.vocabulary(), random.Random(3)
     cases = ["a  b", "a \nb", " x", "x ", "a\n \nb", "don't we'll 'l 'll", "a <|endoftext|> b <|endof", "\t\n q", "!!! ...  x", "　 x"]
+    cases += ["".join(rng.choice(["'", '"', "''", "!", "é", "s", " ", "'s", "'ll", "=", "日"]) for _ in range(rng.randint(1, 14))) for _ in range(300)]
     cases += ["".join(rng.choice(["a", "b", " ", "\n", "'", "ll", "é", "1", "<|endoftext|>", "!", "the", "日"]) for _ in range(rng.randint(1, 12))) for _ in range(300)]
     for text in cases:
         assert known.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
@@ -58,6 +59,17 @@ def test_token_counts_equal_the_library(spark, odd, empty):
     assert (row.a, row.b) == (count("a b"), 3)
 
 
+def test_long_runs_of_marks_take_linear_time():
+    import time
+
+    known = tokens.vocabulary()
+    known.prefix_counts("'" * 5000)
+    for text in ("'" * 200_000, "='" * 100_000, "!''" * 60_000):
+        began = time.process_time()
+        got = known.prefix_counts(text)
+        assert time.process_time() - began < 2 and got[-1] == len(known.ids(text))
+
+
 def test_packing_covers_every_token_once(spark, odd, empty):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = packing.pack_documents(odd).collect()
