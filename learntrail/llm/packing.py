@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -16,7 +17,8 @@ from learntrail.llm.tokens import VOCABULARY, vocabulary
 
 LENGTH = 1024
 TIERS = (1024, 512, 256, 128)
-STEP = 16
+#: Full sequences that an optimiser step's cost equals, and the share of a token's cost that doesn't depend on the sequence, in tokens attended to.
+STEP, LINEAR = 16, 4096
 #: Tokens that are packed together: bounds a task's memory.
 WINDOW = 2_000_000
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -25,10 +27,11 @@ SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 def plan_sequences(lengths: np.ndarray, tiers: tuple[int, ...] = TIERS, longest: int = LENGTH) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (document, start, length), for documents of the given token counts.
 
-    Full windows of ``longest`` are cut off each document first. What remains goes to the smallest tier that holds it.
-    Then, from the longest tier down, each remainder opens a window of its tier and its gap is filled with remainders of
-    the shorter tiers, largest first; the last one is cut where the gap ends, and what is left of it goes back to a tier.
-    When no shorter remainder is left, the window is parted at powers of two, which need no padding.
+    Full windows of ``longest`` are cut off each document first. What remains goes to the smallest tier that holds it, so it
+    fills more than half of that tier's size. Then, from the longest tier down, each remainder opens a window of its own
+    tier's size, and the gap is filled from the shorter tiers: from the longest one whose remainders fit whole, and where none
+    does with a cut piece, whose rest goes back to a tier. A window that stays open when no remainder is left is parted at
+    powers of two, which need no padding.
     """
     out: list[list[tuple[int, int, int]]] = []
     waiting: dict[int, deque[tuple[int, int, int]]] = {t: deque() for t in sorted(tiers)}
@@ -45,12 +48,12 @@ def plan_sequences(lengths: np.ndarray, tiers: tuple[int, ...] = TIERS, longest:
     for tier in reversed(sizes):
         while waiting[tier]:
             doc, start, n = waiting[tier].popleft()
-            window, gap = [(doc, start, n)], longest - n
+            window, gap = [(doc, start, n)], tier - n
             while gap:
-                below = next((t for t in reversed(sizes) if t <= max(gap, sizes[0]) and waiting[t]), None) or next((t for t in sizes if waiting[t]), None)
-                if below is None:
+                source = next((t for t in reversed(sizes) if t <= gap and waiting[t]), None) or next((t for t in sizes if waiting[t]), None)
+                if source is None:
                     break
-                doc, start, n = waiting[below].popleft()
+                doc, start, n = waiting[source].popleft()
                 used = min(n, gap)
                 window.append((doc, start, used))
                 gap -= used
@@ -59,6 +62,26 @@ def plan_sequences(lengths: np.ndarray, tiers: tuple[int, ...] = TIERS, longest:
     return out
 
 
+def step_cost(length: int) -> int:
+    """The work of a sequence: attention over its own length, and per token as much again as attending to LINEAR tokens."""
+    return length * (length + LINEAR)
+
+
+def balanced_groups(lengths: list[int], step: int = STEP, longest: int = LENGTH) -> list[int]:
+    """A group for each sequence, so that all groups cost nearly the same: costliest first, each to the cheapest group so far.
+
+    There are as many groups as ``step`` full sequences a group would need for the total cost.
+    """
+    costs = [step_cost(n) for n in lengths]
+    n_groups = max(1, -(-sum(costs) // (step * step_cost(longest))))
+    heap, out = [(0, g) for g in range(n_groups)], [0] * len(lengths)
+    for k in sorted(range(len(costs)), key=lambda k: (-costs[k], k)):
+        total, g = heapq.heappop(heap)
+        out[k] = g
+        heapq.heappush(heap, (total + costs[k], g))
+    return out
+
+
 def powers(window: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
     """A window that isn't full, parted into windows whose lengths are powers of two, longest first."""
     total, pieces, out = sum(x[2] for x in window), deque(window), []
@@ -81,8 +104,8 @@ def pack_documents(docs: DataFrame, name: str = VOCABULARY, tiers: tuple[int, ..
     """One row for each piece: ``doc_id`` and SCHEMA's columns.
 
     A document's ids, then id 0, lie in exactly one piece each. ``sequence_id`` is unique, ``offset`` gapless from 0 in it;
-    every sequence is full or has a power of two of tokens, so nothing is padded. ``tier`` is the sequence's size class and
-    ``step_group`` deals the sequences of each tier in turn to groups of ``step``, so that optimiser steps hold like loads.
+    every sequence is full or has a power of two of tokens, so nothing is padded. ``tier`` is the sequence's size class, and
+    the sequences of one ``step_group`` cost about as much as ``step`` full ones (``step_cost``), so that optimiser steps take like times.
     Packing is done within each task over windows of bounded size: no shuffle, and a task run again gives the same rows.
     Null text is empty: its one piece is the id 0. Repeated rows and null ids are packed as they come; other columns aren't read.
     """
@@ -90,16 +113,15 @@ def pack_documents(docs: DataFrame, name: str = VOCABULARY, tiers: tuple[int, ..
     def packed(ids: list, tokens: list[np.ndarray], sequences: int, groups: int) -> tuple[pd.DataFrame, int, int]:
         lengths = np.array([len(x) for x in tokens], np.int64)
         plan = plan_sequences(lengths, tiers, longest)
-        tier = [next(t for t in sorted((*tiers, longest)) if sum(x[2] for x in s) <= t) for s in plan]
-        order = np.argsort([-t for t in tier], kind="stable")
-        n_groups = max(1, -(-len(plan) // step))
-        group = np.empty(len(plan), np.int64)
-        group[order] = np.arange(len(plan)) % n_groups
+        sizes = [sum(x[2] for x in s) for s in plan]
+        tier = [next(t for t in sorted((*tiers, longest)) if n <= t) for n in sizes]
+        group = balanced_groups(sizes, step, longest)
+        n_groups = max(group) + 1
         rows = []
         for k, window in enumerate(plan):
             offset = 0
             for doc, start, n in window:
-                rows.append((ids[doc], start, n, zlib.crc32(tokens[doc][start : start + n].tobytes()), int(lengths[doc]), sequences + k, offset, tier[k], groups + int(group[k])))
+                rows.append((ids[doc], start, n, zlib.crc32(tokens[doc][start : start + n].tobytes()), int(lengths[doc]), sequences + k, offset, tier[k], groups + group[k]))
                 offset += n
         return pd.DataFrame(rows, columns=["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))]), sequences + len(plan), groups + n_groups
 

@@ -90,6 +90,30 @@ def test_packing_covers_every_token_once(spark, odd, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_tiers_are_packed_at_their_own_length_and_steps_cost_alike():
+    lengths = np.random.default_rng(5).lognormal(5.0, 1.1, 4000).astype(np.int64) + 1
+    plan = packing.plan_sequences(lengths)
+    sizes = [sum(n for _, _, n in s) for s in plan]
+    count = {t: sizes.count(t) for t in packing.TIERS}
+    assert sum(sizes) == lengths.sum() and all(count[t] > 0.1 * len(plan) for t in (1024, 512, 256)) and sum(count.values()) >= len(plan) - 8
+    seen = {}
+    for s in plan:
+        for doc, start, n in s:
+            seen.setdefault(doc, []).append((start, n))
+    for doc, own in seen.items():
+        at = 0
+        for start, n in sorted(own):
+            assert start == at
+            at += n
+        assert at == lengths[doc]
+    pieces = sum(len(s) for s in plan)
+    assert pieces < sum(-(-n // 1024) for n in lengths.tolist()) + len(plan)  # at most one cut a sequence
+    groups = packing.balanced_groups(sizes)
+    load = np.bincount(groups, [packing.step_cost(n) for n in sizes])
+    assert (load.max() - load.min()) / load.mean() < 0.02 and abs(load.mean() / (16 * packing.step_cost(1024)) - 1) < 0.05
+    assert packing.balanced_groups([1]) == [0] and packing.plan_sequences(np.zeros(0, np.int64)) == []
+
+
 def test_near_duplicates_against_brute_force(spark, odd, empty):
     rng = random.Random(1)
     base = [prose(rng, n) for n in (30, 80, 200, 6)]
