@@ -16,8 +16,11 @@ from learntrail.llm.common import null_safe_text, table, window_hashes, written
 #: Template words a window holds, literal words it needs at least, the share of an item's windows that makes a leak, and
 #: the number of windows that does whatever the share (six windows of 8 are 13 words).
 WINDOW, LITERALS, SHARE, RUN = 8, 4, 0.5, 6
-#: Bits of the prefilter of benchmark windows: half a megabyte, whatever the benchmark's size.
-FILTER_BITS = 1 << 22
+#: Bits of the prefilter of benchmark windows: SPARE for each window, between half a megabyte and 32 megabytes. At the most, a benchmark
+#: of 16 million windows lets a sixteenth of foreign windows pass; a larger one lets more pass, to the join.
+FILTER_BITS, SPARE = (1 << 22, 1 << 28), 16
+#: Benchmark windows that are broadcast to the join (a few tens of megabytes); more are shuffled, each to SALTS tasks.
+BROADCAST_WINDOWS, SALTS = 200_000, 16
 CACHE = 400_000
 _WORD, _NUMBER, _NAME, _UNIT = range(4)
 _NUMERIC = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(?:%|[A-Za-z]{1,3})?")
@@ -93,6 +96,32 @@ def template_windows(hashes: np.ndarray, kinds: tuple[np.ndarray, ...], width: i
     return made
 
 
+def filter_bits(windows: int) -> int:
+    """A power of two."""
+    return int(min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (SPARE * windows - 1).bit_length())))
+
+
+def bit_filter(items: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each remainder of a hash by ``bits``, packed in bytes; slices of it are made in tasks, and bits / 8 bytes reach the driver."""
+    span = max(1 << 12, bits >> 10)
+
+    def sliced(group: pd.DataFrame) -> pd.DataFrame:
+        some = np.zeros(span, bool)
+        some[group["at"].to_numpy(np.int64) % span] = True
+        return pd.DataFrame({"slice": [group.slice.iloc[0]], "bits": [np.packbits(some, bitorder="little").tobytes()]})
+
+    at = F.pmod("hash", F.lit(bits))  # of the signed hash: equals the unsigned remainder, as the number of bits divides 2**64
+    out = np.zeros(bits // 8, np.uint8)
+    for row in items.select(at.alias("at"), F.floor(at / span).alias("slice")).distinct().groupBy("slice").applyInPandas(sliced, "slice long, bits binary").collect():
+        out[row["slice"] * span // 8 : (row["slice"] + 1) * span // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 _SCHEMA = "id long, at int, hash long, forms int, typed boolean, slots array<long>"
 
 
@@ -118,7 +147,7 @@ def windows_of(rows: DataFrame, widths: list[int] | None, passing: np.ndarray |
                     forms = template_windows(words, kinds, width)
                     for v, (found, enough, slots) in enumerate(forms):
                         if passing is not None:
-                            enough = enough & passing[(found % np.uint64(FILTER_BITS)).astype(np.int64)]
+                            enough = enough & passes(passing, found)
                         for at in np.flatnonzero(enough).tolist():
                             mask = sum(1 << k for k, (other, counts, _) in enumerate(forms) if counts[at] and other[at] == found[at])
                             if mask & ((1 << v) - 1):  # an earlier form's row has it
@@ -151,19 +180,23 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, share: float = SHA
     holds half of the item's windows, half of those with four literal words, or six. ``same_values``: a diagonal without
     other values is among the pair's.
 
-    A fixed-size bit filter of the benchmark's windows goes to the tasks, so only windows that may match leave them; the join
-    decides. Null or blank texts match nothing, an item of fewer than 8 words counts whole.
+    A bit filter of the benchmark's windows, sized by their number within bounds, goes to the tasks, so only windows that may
+    match leave them; the join decides. Items of few literal words (sequences of numbers, lists of names) are found by their
+    plain windows, so with their own values only. Null or blank texts match nothing, an item of fewer than 8 words counts whole.
     Rows with a null id are left out, repeated rows count once; other columns are not read.
     """
     items = written(windows_of(_as_rows(benchmark, "item_id"), None, None).select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("forms").alias("item_forms"), "typed", F.col("slots").alias("item_slots")))
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    # pmod of the signed hash equals the unsigned remainder, as the number of bits divides 2**64
-    for row in items.select(F.expr(f"cast(pmod(hash, {FILTER_BITS}) div 64 as int)").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(hash, {FILTER_BITS}), 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
-        bits[row["w"]] = np.int64(row["b"]).astype(np.uint64)
-    passing = np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+    n_items = items.count()
+    passing = bit_filter(items, filter_bits(n_items))
     widths = sorted(r[0] for r in _widths(benchmark).collect())
     sizes = items.groupBy("item_id").agg(F.count_distinct("item_at").alias("n_item_windows"), F.count_distinct(F.when(F.col("typed"), F.col("item_at"))).alias("n_item_typed"))
-    found = windows_of(_as_rows(docs, "doc_id"), widths, passing).withColumnRenamed("id", "doc_id").drop("typed").join(items.dropDuplicates(["item_id", "item_at", "hash"]), "hash")
+    found = windows_of(_as_rows(docs, "doc_id"), widths, passing).withColumnRenamed("id", "doc_id").drop("typed")
+    distinct = items.dropDuplicates(["item_id", "item_at", "hash"])
+    if n_items <= BROADCAST_WINDOWS:
+        found = found.join(F.broadcast(distinct), "hash")
+    else:  # a window that a third of all documents hold is spread over SALTS tasks
+        salted = distinct.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")).join(salted, ["hash", "salt"]).drop("salt")
     pair, line = ["doc_id", "item_id"], ["doc_id", "item_id", "diagonal"]
     same = lambda v: v["i"] == v["d"]
     values = F.transform(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d")))

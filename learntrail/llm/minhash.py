@@ -213,7 +213,7 @@ def verified_links(texts: DataFrame, clusters: DataFrame, buckets: int, width: i
     return first.select("u", "v").unionByName(written(_verified(texts, tasks, width, percent)).select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, keep_key: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row for each row with a doc_id.
 
     1. One pass over the texts gives each document's set size, set hashes, small minhash collections and a sketch.
@@ -224,7 +224,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     5. Components of the verified links; a document is kept if its id is the least of its component.
 
     Null or blank texts have no shingles and stand alone. Rows with a null id are left out. Rows that repeat an id are
-    documents of their own: each has the component of its own text. Other columns are not read. Every table of links is
+    documents of their own: each has the component of its own text. Other columns are not read. With ``keep_key`` there are two
+    columns more: ``key``, xxhash64 of id and text, and ``stays``, true for one (id, text) of each component. Every table of links is
     distributed; none goes to the driver.
     """
     buckets = exchange_buckets(docs)
@@ -232,18 +233,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     signed = written(signatures(texts, width))
     full = signed.where("n_shingles > 0")
     some = [F.first(c).alias(c) for c in ("sig", "sketch")]
-    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), *some)
-    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()))
+    classes = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), *some)
+    classes = written(classes.withColumn("key", F.col("least.key")).withColumn("rep", F.monotonically_increasing_id()))
     clusters = components(candidate_edges(classes, buckets, percent)).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
     clusters = written(clusters.join(classes.select("rep", "key", "n"), "rep"))
     links = components(verified_links(texts, clusters, buckets, width, percent))
     named = classes.select("h1", "h2", "rep", "least", "copies").join(links.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = written(named)
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    least = named.groupBy("component").agg(F.min("least").alias("top"), F.count("*").alias("size"))
     named = join_hot(named.select("h1", "h2", "copies", "component"), least, ["component"], "size")
-    out = join_hot(signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("h1")).alias("h1"), "h2"), written(named.select("h1", "h2", "copies", "component_id")), ["h1", "h2"], "copies")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    out = join_hot(signed.select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("h1")).alias("h1"), "h2"), written(named.select("h1", "h2", "copies", "top")), ["h1", "h2"], "copies")
+    component = F.coalesce("top.doc_id", "doc_id")
+    more = [F.col("key"), (F.coalesce("top.key", "key") == F.col("key")).alias("stays")] if keep_key else []
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"), *more)
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

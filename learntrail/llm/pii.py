@@ -12,9 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learntrail.llm.common import null_safe_text, table
+from learntrail.llm.common import null_safe_text, ragged, table
 
 KINDS = ("email", "ip", "card", "phone", "name", "ssn", "secret")
+#: The words that a place's label depends on: itself, the one before, the one after, the one before the last.
+OFFSETS = (0, -1, 1, -2)
 LABELS = ("O", "name", "ssn", "secret", "email", "phone")
 #: Words decoded together and distinct words a worker keeps.
 BATCH_WORDS, CACHE = 400_000, 400_000
@@ -62,7 +64,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-# The labelled table: sentences made by rule from frames and fillers, marked word by word.
+# The labelled table: sentences in four languages made by rule from frames and fillers, marked word by word.
 _FRAMES = (
     "my name is {name} and we met", "please ask for {name} at the desk", "Mr. {name} will call again", "Mrs. {name} came with them", "Dr. {name} wrote that note",
     "Ms. {name} has the keys", "signed by {name} on that day", "contact {name} for the rest", "regards, {name}", "name: {name}", "Prof. {name} said so",
@@ -71,6 +73,11 @@ _FRAMES = (
     "call {phone} at noon", "phone: {phone}", "tel. {phone} or by mail", "my number is {phone} so ring", "{o}", "{o}", "{o}", "{o}", "{o}", "{o}", "{o}", "{o}", "{o}",
     "{o} {num} {o}", "in {num} of {num} cases {o}", "the {Cap} and the {Cap} {o}", "{Cap} of {Cap}, {o}", "call the {o}", "the name of {o}", "key {o}", "a token of {o}", "write to the {o}",
     "tel {o}", "number {num} is {o}", "on {date} at {time} {o}", "{CAP}!! {CAP}!! {CAP}!!", "{Cap} {Cap} {Cap} {Cap} {Cap} {Cap}", "{o} {Cap} {Cap} {Cap} {o}", "{Cap}, {Cap} {o}", "{o} {Cap} {o}", "{o} by {o} {Cap} {Cap} {o}", "{o} is {Cap} {Cap} {Cap}", "{Cap}### {Cap}*** for {Cap}%%%", "for {Cap} and to {Cap} {o}", "{o} | {Cap} | is {Cap} | {o}", "to {Cap} for {Cap} {Cap} by {Cap}", "{o} | {o} | {Cap} | {o}", "{o}### {o}*** {o}%%%", "v{num}.{num} of {o}", "page {num}-{num} {o}", "Dr. {o}", "Mr. {o}",
+    "By {Short}.", "By {Short} {o}", "To {Short} by {Short}.", "{o} to {Short}.", "{Short} {Short} {o}",
+    "mein Name ist {name} und dann", "Herr {name} kommt morgen", "Frau {name} war da", "Kontakt: {name}", "mit freundlichen Grüßen {name}", "Telefon: {phone}", "unter Telefon {phone} bis mittags", "Passwort: {secret}", "das Passwort ist {secret}", "der Schlüssel = {secret}",
+    "je m'appelle {name} et puis", "Monsieur {name} arrive demain", "Madame {name} était là", "cordialement, {name}", "téléphone: {phone}", "au téléphone {phone} avant midi", "mot de passe: {secret}", "jeton = {secret}",
+    "me llamo {name} y luego", "el señor {name} viene", "la señora {name} fue allí", "mi nombre es {name}", "saludos, {name}", "teléfono: {phone}", "al teléfono {phone} antes", "contraseña: {secret}", "clave = {secret}",
+    "mein Name {o}", "Herr {o}", "Frau {o}", "ist {Cap} {o}", "das Passwort {o}", "je m'appelle {o}", "Monsieur {o}", "Madame {o}", "est {Cap} {o}", "mot de passe {o}", "el señor {o}", "la señora {o}", "es {Cap} {o}", "la clave {o}", "{o} y {Cap} {o}", "{o} und {Cap} {o}", "{o} et {Cap} {o}",
 )
 _FIRST = ("John", "Mary", "Ana", "Luis", "Pierre", "Julia", "Karl", "Ines", "Omar", "Wei", "Sofia", "Ivan", "Zoe", "Peter", "Élise", "José")
 _LAST = ("Smith", "Meyer", "Garcia", "Dubois", "Novak", "Khan", "Lee", "Rossi", "O'Neil", "Müller", "Brown-Ray", "Silva")
@@ -98,7 +105,7 @@ def labelled_table(copies: int = 5, seed: int = 11) -> list[tuple[list[str], lis
         if slot == "phone":
             a, b, c = digits(3), digits(3), digits(4)
             return pick(([f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"{a}.{b}.{c}"], [f"0{a}/{b}{c}"])), "phone"
-        value = {"num": lambda: [digits(int(rng.integers(1, 7)))], "date": lambda: [f"{digits(2)}/{digits(2)}/{digits(4)}"], "time": lambda: [f"{digits(2)}:{digits(2)}"], "Cap": lambda: [word().capitalize()], "CAP": lambda: [word().upper()]}
+        value = {"num": lambda: [digits(int(rng.integers(1, 7)))], "date": lambda: [f"{digits(2)}/{digits(2)}/{digits(4)}"], "time": lambda: [f"{digits(2)}:{digits(2)}"], "Cap": lambda: [word().capitalize()], "Short": lambda: [pick(_SYLLABLES)[:2].capitalize()], "CAP": lambda: [word().upper()]}
         return (value[slot]() if slot in value else plain(int(rng.integers(2, 9)))), "O"
 
     cues, rows = sorted(_CUES), []
@@ -127,7 +134,13 @@ def labelled_table(copies: int = 5, seed: int = 11) -> list[tuple[list[str], lis
     return rows
 
 
-_CUES = {w: w for f in _FRAMES for w in re.findall(r"[a-z_]+", re.sub(r"\{\w+\}", "", f.lower())) if w in {"name", "is", "ask", "for", "mr", "mrs", "dr", "ms", "prof", "signed", "by", "contact", "regards", "ssn", "social", "security", "number", "token", "api_key", "password", "secret", "key", "mail", "write", "to", "email", "call", "phone", "tel", "my"}} | {w: w for w in ("at", "dot", "com", "org", "net")}
+#: Words of the frames that hint at a kind; all other words count by their shape.
+_CUES = frozenset(
+    ("name", "is", "ask", "for", "mr", "mrs", "dr", "ms", "prof", "signed", "by", "contact", "regards", "ssn", "social", "security", "number", "token", "api_key", "password", "secret", "key", "mail", "write", "to", "email", "call", "phone", "tel", "my", "at", "dot", "com", "org", "net")
+    + ("mein", "ist", "herr", "frau", "kontakt", "grüßen", "telefon", "passwort", "schlüssel")
+    + ("m'appelle", "monsieur", "madame", "cordialement", "téléphone", "passe", "jeton")
+    + ("llamo", "señor", "señora", "nombre", "saludos", "teléfono", "contraseña", "clave")
+)
 
 
 def _shape(bare: str) -> str:
@@ -150,10 +163,10 @@ def features(word: str) -> tuple[str, ...]:
         elif re.fullmatch(r"[-0-9./:()]+", bare):
             digits = re.sub(r"[0-9]+", lambda m: str(len(m[0])), bare)[:14]
     length = "long" if len(bare) >= 16 else "mid" if len(bare) >= 3 else "short"
-    return ("s:" + shape, "l:" + length, "d:" + digits, "c:" + _CUES.get(bare.lower(), ""), "b:" + ("(" if word[:1] in "([" else "") + (":" if word[-1:] in ":=" else "") + (word if word in "=:" else ""))
+    return ("s:" + shape, "l:" + length, "d:" + digits, "c:" + (bare.lower() if bare.lower() in _CUES else ""), "b:" + ("(" if word[:1] in "([" else "") + (":" if word[-1:] in ":=" else "") + (word if word in "=:" else ""))
 
 
-_TITLES = ("mr.", "mrs.", "dr.", "ms.", "prof.", "tel.")
+_TITLES = ("mr.", "mrs.", "dr.", "ms.", "prof.", "tel.", "hr.", "fr.", "mme.", "sr.", "sra.")
 #: What a decoded span must hold to count.
 _FORMS = {
     "name": re.compile(r"[^\W\d_a-z][^\W\d_]+(?:['-][^\W\d_]+)?(?: [^\W\d_a-z][^\W\d_]*(?:['-][^\W\d_]+)*){0,3}"),
@@ -180,14 +193,14 @@ def _chains(lengths: np.ndarray, enders: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class ChainField:
-    """Emission weights of a word's features (its own, the previous word's, the next word's) and label transitions."""
+    """Emission weights of the features of the words at OFFSETS from a place, and label transitions."""
 
-    def __init__(self, index: dict[str, int], own: np.ndarray, before: np.ndarray, after: np.ndarray, steps: np.ndarray):
-        self.index, self.own, self.before, self.after, self.steps = index, own, before, after, steps
+    def __init__(self, index: dict[str, int], tables: list[np.ndarray], steps: np.ndarray):
+        self.index, self.tables, self.steps = index, tables, steps
 
-    def rows(self, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def rows(self, word: str) -> list[np.ndarray]:
         at = [self.index[f] for f in features(word) if f in self.index]
-        return self.own[at].sum(0), self.before[at].sum(0), self.after[at].sum(0)
+        return [t[at].sum(0) for t in self.tables]
 
 
 def viterbi(emission: np.ndarray, steps: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -234,19 +247,21 @@ def train(rows: list[tuple[list[str], list[str]]], passes: int = 120, rate: floa
         np.put_along_axis(hot, feats[:, :, j, None], 1, 2)
     hot[:, :, -1] = 0
     shape = (len(index) + 1, k)
-    weights = [np.zeros(shape), np.zeros(shape), np.zeros(shape), np.zeros((k, k))]
+    weights = [*(np.zeros(shape) for _ in OFFSETS), np.zeros((k, k))]
+    # where the labelled place and the word at the offset lie in the padded rows
+    spans = [(slice(max(0, -o), longest - max(0, o)), slice(max(0, o), longest - max(0, -o))) for o in OFFSETS]
     moments = [[np.zeros_like(w), np.zeros_like(w)] for w in weights]
     lengths = mask.sum(1)
 
     def emit() -> np.ndarray:
-        e = hot @ weights[0]
-        e[:, 1:] += hot[:, :-1] @ weights[1]
-        e[:, :-1] += hot[:, 1:] @ weights[2]
+        e = np.zeros((n, longest, k))
+        for w, (place, word) in zip(weights, spans):
+            e[:, place] += hot[:, word] @ w
         return e
 
     top = lambda x, axis: np.log(np.exp(x - x.max(axis, keepdims=True)).sum(axis)) + x.max(axis)
     for t in range(1, passes + 1):
-        e, steps = emit(), weights[3]
+        e, steps = emit(), weights[-1]
         fwd, bwd = np.zeros_like(e), np.zeros_like(e)
         fwd[:, 0] = e[:, 0]
         for s in range(1, longest):
@@ -259,16 +274,14 @@ def train(rows: list[tuple[list[str], list[str]]], passes: int = 120, rate: floa
         wrong = np.eye(k)[gold] * mask[:, :, None] - node
         seen = np.zeros((k, k))
         np.add.at(seen, (gold[:, :-1][mask[:, 1:]], gold[:, 1:][mask[:, 1:]]), 1)
-        grads = [None, None, None, seen - pair.sum((0, 1))]
-        grads[0] = hot.reshape(-1, len(index) + 1).T @ wrong.reshape(-1, k)
-        grads[1] = hot[:, :-1].reshape(-1, len(index) + 1).T @ wrong[:, 1:].reshape(-1, k)
-        grads[2] = hot[:, 1:].reshape(-1, len(index) + 1).T @ (wrong[:, :-1] * mask[:, 1:, None]).reshape(-1, k)
+        grads = [hot[:, word].reshape(-1, len(index) + 1).T @ wrong[:, place].reshape(-1, k) for place, word in spans]
+        grads.append(seen - pair.sum((0, 1)))
         for w, g, mo in zip(weights, grads, moments, strict=True):
             g = g / n - decay * w
             mo[0] = 0.9 * mo[0] + 0.1 * g
             mo[1] = 0.999 * mo[1] + 0.001 * g * g
             w += rate * (mo[0] / (1 - 0.9**t)) / (np.sqrt(mo[1] / (1 - 0.999**t)) + 1e-8)
-    return ChainField(index, *(w[:-1].astype(np.float32) for w in weights[:3]), weights[3].astype(np.float32))
+    return ChainField(index, [w[:-1].astype(np.float32) for w in weights[:-1]], weights[-1].astype(np.float32))
 
 
 @lru_cache(maxsize=1)
@@ -281,7 +294,7 @@ class Decoder:
 
     def __init__(self, field: ChainField):
         self.field, self.words, self.classes = field, {}, {}
-        self.tables: list[list[np.ndarray]] = [[], [], []]
+        self.tables: list[list[np.ndarray]] = [[] for _ in OFFSETS]
         self.enders: list[bool] = []
         self.ready: list[np.ndarray] = []
 
@@ -310,11 +323,10 @@ class Decoder:
             self.ready = [np.array(t, np.float32) for t in self.tables]
         begin, sizes = _chains(lengths, np.array(self.enders)[ids])
         emission = self.ready[0][ids]
-        inner = np.ones(len(ids), bool)
-        inner[begin] = False
-        inner = np.flatnonzero(inner)
-        emission[inner] += self.ready[1][ids[inner - 1]]
-        emission[inner - 1] += self.ready[2][ids[inner]]
+        place, left = ragged(sizes), np.repeat(sizes, sizes) - ragged(sizes)
+        for table, o in zip(self.ready[1:], OFFSETS[1:], strict=True):
+            there = np.flatnonzero(place >= -o if o < 0 else left > o)
+            emission[there] += table[ids[there + o]]
         return np.split(viterbi(emission, self.field.steps, begin, sizes), np.cumsum(lengths)[:-1])
 
 
@@ -403,8 +415,8 @@ def redact_texts(docs: DataFrame) -> DataFrame:
         decoder = Decoder(field)
         for texts in batches:
             out: list = []
-            for at in range(0, len(texts), 500):
-                own = texts.iloc[at : at + 500].tolist()
+            ends = np.cumsum([len(x) if isinstance(x, str) else 0 for x in texts]) // (6 * BATCH_WORDS)  # some texts at a time
+            for own in (texts[ends == k].tolist() for k in np.unique(ends)):
                 for text, labels in zip(own, decoder.decode([(x or "").split() for x in own]), strict=True):
                     if not text:
                         out.append(text)

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from learntrail.llm.common import null_safe_text, ragged, table
 
-#: Words share 4096 vectors of 32 numbers by hash; the first MARKS of them belong to marks (case, digits, symbols, repeats).
-BUCKETS, SIZE, MARKS, SPAN = 4096, 32, 64, 2
+#: Words have 16384 vectors of 32 numbers by hash, so a frequent word shares its own with rare ones at most; the first MARKS of
+#: them belong to marks (case, digits, symbols, repeats).
+BUCKETS, SIZE, MARKS, SPAN = 16384, 32, 64, 2
 SLICES, GROUPS = 16, 256
 TRAIN_ROWS, HIDDEN, THRESHOLD, CACHE = 6000, 24, 0.3, 400_000
 _UPPER, _TITLE, _DIGIT, _LONG, _REPEAT, _ODD = range(6)
@@ -26,8 +27,8 @@ def index_vectors(seed: int = 5, ones: int = 4) -> np.ndarray:
     """The sparse random index vector of each bucket: four entries of 1 or -1."""
     rng = np.random.default_rng(seed)
     out = np.zeros((BUCKETS, SIZE), np.float32)
-    for k in range(BUCKETS):
-        out[k, rng.choice(SIZE, ones, replace=False)] = rng.choice([-1, 1], ones)
+    at = rng.random((BUCKETS, SIZE)).argsort(1)[:, :ones]
+    np.put_along_axis(out, at, rng.choice([-1.0, 1.0], (BUCKETS, ones)), 1)
     return out
 
 
@@ -97,8 +98,8 @@ def context_sums(ids: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> np.
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """(BUCKETS, SIZE) unit vectors from the contexts of all words of all documents.
 
-    Each task adds up its own table; the tables are summed in two steps by slice, and SLICES rows of a fixed size, half a
-    megabyte in all, reach the driver whatever the corpus.
+    Each task adds up its own table; the tables are summed in two steps by slice, and SLICES rows of a fixed size, two
+    megabytes in all, reach the driver whatever the corpus.
     """
     index = index_vectors()
 
@@ -205,6 +206,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, most:
     share = min(1.0, most / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * share))
     sample = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))  # a repeated id counts once
     got = pooled(sample, vectors, "doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
     inputs = 2 * SIZE + MARKS + 2
     x = np.frombuffer(b"".join(got.pool), np.float32).reshape(-1, inputs).astype(np.float64)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from learntrail.llm.common import mixed, null_safe_text, table
+from learntrail.llm.common import drop_written, mixed, table, written
 
 CATEGORIES = ("junk", "toxic", "severe")
 #: Labelled rows used for training at most (a sample by hash of the id), features a category may use, folds, decision.
@@ -22,11 +23,16 @@ CACHE = 400_000
 
 
 def word_features(word: str) -> tuple[int, ...]:
-    """Hashes of the lower-case word without marks at its ends, and of its first four and five letters."""
-    bare = word.strip(".,;:!?\"'()[]|*#%&$<>-").lower()
-    if not bare:
-        return ()
-    found = [xxhash.xxh3_64_intdigest(bare)]
+    """Hashes of the lower-case word without marks at its ends, of its first four and five letters, of the marks, and of capitals throughout."""
+    own = word.strip(".,;:!?\"'()[]|*#%&$<>-")
+    marks = word.replace(own, "", 1) if own else word
+    found = [xxhash.xxh3_64_intdigest(marks, 1)] if len(marks) > 1 or marks in ("|", "#", "*") else []
+    if not own:
+        return tuple(found)
+    if len(own) > 1 and own.isupper():
+        found.append(xxhash.xxh3_64_intdigest("", 2))
+    bare = own.lower()
+    found.append(xxhash.xxh3_64_intdigest(bare))
     found += [xxhash.xxh3_64_intdigest(bare[:n], n) for n in (4, 5) if len(bare) >= n]
     return tuple(found)
 
@@ -61,99 +67,116 @@ def _fit(x: np.ndarray, y: np.ndarray, l2: float = 0.02, passes: int = 25) -> np
     return w
 
 
-def marked_features(rows: list[np.ndarray], y: np.ndarray, most: int = FEATURES, margin: float = 4.0) -> np.ndarray:
-    """Features more frequent in rows with ``y``, by the likelihood ratio against one common rate; the largest ``most``.
+def label_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """``doc_id, text, toxic, quality``: about ``most`` labelled documents by a hash of the id, one row for each id."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"), F.min(F.coalesce("quality", F.lit(1))).cast("int").alias("quality"))
+    share = min(1.0, most / max(1, known.count()))
+    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * share))
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.join(known, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("quality").alias("quality"))
 
-    What twice the logarithm of the number of features and ``margin`` don't exceed is chance among so many, and left out.
-    """
-    pos, neg = int(y.sum()), int((1 - y).sum())
-    if not pos or not neg:
-        return np.zeros(0, np.uint64)
-    names, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-    owner = np.repeat(y, [len(x) for x in rows])
-    a = np.bincount(inverse, owner, len(names))
-    b = np.bincount(inverse, 1 - owner, len(names))
-    entropy = lambda k, n: k * np.log(np.maximum(k, 1e-9) / n) + (n - k) * np.log(np.maximum(n - k, 1e-9) / n)
-    ratio = 2 * (entropy(a, pos) + entropy(b, neg) - entropy(a + b, pos + neg))
-    ratio[a * neg <= 3 * b * pos] = 0  # at least three times as frequent
-    best = np.argsort(-ratio, kind="stable")[:most]
-    return np.sort(names[best[ratio[best] >= 2 * np.log(len(names)) + margin]])
-
-
-def distinct_rows(rows: list[np.ndarray]) -> list[int]:
-    """Of rows that share two minhashes only the first: copies in the sample would make any of their words look marked."""
-    first: dict[tuple[int, int], int] = {}
-    for k, x in enumerate(rows):
-        key = (int(x.min()), int(mixed(x).min())) if len(x) else (0, 0)
-        first.setdefault(key, k)
-    return sorted(first.values())
-
-
-def presence(rows: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(rows), len(hashes)), np.float32)
-    for k, x in enumerate(rows):
-        out[k, np.flatnonzero(np.isin(hashes, x))] = 1
-    return out
-
-
-def train_chain(rows: list[np.ndarray], junk: np.ndarray, toxic: np.ndarray) -> list[Linear]:
-    """One model a category, in order. The earlier categories' columns are out-of-fold predictions, so that a later model
-    sees such errors in training as it will meet. Without rows of both kinds a category's probability is zero."""
-    chain: list[Linear] = []
-    earlier = np.zeros((len(rows), 0))
-    folds = np.arange(len(rows)) % FOLDS
-    targets = {"junk": junk, "toxic": toxic, "severe": None}
-    for name in CATEGORIES:
-        y = targets[name]
-        if y is None:
-            y = toxic * (presence(rows, chain[-1].hashes).sum(1) >= SEVERE_MARKS) if len(rows) else toxic
-        if len(rows) == 0 or y.sum() < 2 or (1 - y).sum() < 2:
-            chain.append(Linear(earlier=np.zeros(earlier.shape[1])))
-            earlier = np.c_[earlier, np.full(len(rows), _logit(np.zeros(1))[0])]
-            continue
-        hashes = marked_features(rows, y)
-        x = np.c_[presence(rows, hashes), earlier]
-        w = _fit(x, y)
-        chain.append(Linear(hashes, w[: len(hashes)], w[len(hashes) : -1], float(w[-1])))
-        out = np.zeros(len(rows))
-        for k in range(FOLDS):
-            own = folds == k
-            inner = [r for r, o in zip(rows, own, strict=True) if not o]
-            mine = marked_features(inner, y[~own])
-            if y[~own].sum() < 2:
-                out[own] = y.mean()
-                continue
-            v = _fit(np.c_[presence(inner, mine), earlier[~own]], y[~own])
-            held = np.c_[presence([r for r, o in zip(rows, own, strict=True) if o], mine), earlier[own], np.ones(own.sum())]
-            out[own] = 1 / (1 + np.exp(-np.clip(held @ v, -30, 30)))
-        earlier = np.c_[earlier, _logit(out)]
-    return chain
 
+def sample_features(sample: DataFrame) -> DataFrame:
+    """``doc_id, fold, junk, toxic, feats``: the distinct feature hashes of each text of the sample.
 
-def document_features(docs: DataFrame) -> DataFrame:
-    """``doc_id, feats``: the distinct feature hashes of each text, packed."""
+    Of texts that share two minhashes only the one of least id stays: copies would make any of their words look marked.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch.doc_id, "feats": [np.unique(np.array([h for w in set(t.split()) for h in word_features(w)], np.uint64)).tobytes() for t in batch.text]})
+            for at in range(len(batch)):
+                row = batch.iloc[at]
+                feats = np.unique(np.array([h for w in set(row.text.split()) for h in word_features(w)], np.uint64))
+                first, second = (feats.min(), mixed(feats).min()) if len(feats) else (np.uint64(0), np.uint64(0))
+                yield pd.DataFrame({"doc_id": [row.doc_id], "junk": [1 - row.quality], "toxic": [row.toxic], "m1": [first.astype(np.int64)], "m2": [second.astype(np.int64)], "feats": pd.Series([feats.view(np.int64)], dtype=object)})
 
-    return null_safe_text(docs, "doc_id").mapInPandas(run, "doc_id long, feats binary")
+    rows = sample.mapInPandas(run, "doc_id long, junk long, toxic long, m1 long, m2 long, feats array<long>")
+    once = rows.groupBy("m1", "m2").agg(F.min(F.struct("doc_id", "junk", "toxic", "feats")).alias("r")).select("r.*")
+    return once.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(FOLDS)).cast("int"))
 
 
-def label_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """Documents with labels, about ``most`` of them by a hash of the id: the bound on what the driver trains on."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"), F.min(F.coalesce("quality", F.lit(1))).cast("int").alias("quality"))
-    share = min(1.0, most / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * share))
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
+def marked_features(sample: DataFrame, targets: list[str], most: int = FEATURES, margin: float = 4.0) -> dict[tuple[str, int], np.ndarray]:
+    """For each target and each left-out fold (-1: none): features more frequent in rows with the target, by the likelihood
+    ratio against one common rate; the largest ``most``.
+
+    What twice the logarithm of the number of features and ``margin`` don't exceed is chance among so many, and left out.
+    Features are counted in Spark; only the chosen ones reach the driver.
+    """
+    folds = range(FOLDS)
+    of = lambda c, f: F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(c) if c else F.lit(1))), F.lit(0)).cast("double")
+    sums = [of(c, f).alias(f"{c}_{f}") for c in ("", *targets) for f in folds]
+    total = sample.agg(*sums).first()
+    counts = written(sample.select("fold", *targets, F.explode("feats").alias("feature")).groupBy("feature").agg(*sums))
+    names = max(2, counts.count())
+    entropy = lambda k, n: k * F.ln(F.greatest(k, F.lit(1e-9)) / n) + (n - k) * F.ln(F.greatest(n - k, F.lit(1e-9)) / n)
+    scores = []
+    for t in targets:
+        for out in (-1, *folds):
+            kept = [f for f in folds if f != out]
+            pos, rows = (float(sum(total[f"{c}_{f}"] for f in kept)) for c in (t, ""))
+            neg = rows - pos
+            if pos and neg:
+                a, n = (sum((F.col(f"{c}_{f}") for f in kept[1:]), F.col(f"{c}_{kept[0]}")) for c in (t, ""))
+                ratio = 2 * (entropy(a, F.lit(pos)) + entropy(n - a, F.lit(neg)) - entropy(n, F.lit(rows)))
+                scores.append(F.when((n > 0) & (a * neg > 3 * (n - a) * pos), F.struct(F.lit(t).alias("target"), F.lit(out).alias("out"), ratio.alias("ratio"))))
+    found: dict[tuple[str, int], list[int]] = {(t, out): [] for t in targets for out in (-1, *folds)}
+    if scores:
+        high = counts.select("feature", F.explode(F.array(*scores)).alias("s")).select("feature", "s.*").where(F.col("ratio") >= 2 * math.log(names) + margin)
+        best = Window.partitionBy("target", "out").orderBy(F.desc("ratio"), "feature")
+        for r in high.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).collect():
+            found[r.target, r.out].append(r.feature)
+    drop_written(counts)
+    return {k: np.sort(np.array(v, np.int64)) for k, v in found.items()}
 
 
 def trained_chain(docs: DataFrame, labels: DataFrame) -> list[Linear]:
-    sample = label_sample(docs, labels)
-    got = document_features(sample).join(sample.select("doc_id", "toxic", "quality"), "doc_id").orderBy("doc_id").toPandas()
-    rows = [np.frombuffer(x, np.uint64) for x in got.feats]
-    kept = distinct_rows(rows)
-    return train_chain([rows[k] for k in kept], 1 - got.quality.to_numpy(np.int64)[kept], got.toxic.to_numpy(np.int64)[kept])
+    """One model a category, in order. The earlier categories' columns are out-of-fold predictions, made with features chosen
+    without the fold, so that a later model sees such errors in training as it will meet; severity too counts a row's marks
+    among features chosen without it. Without rows of both kinds a category's probability is zero.
+
+    What reaches the driver is at most FEATURES features for each category and fold, and a bit for each in each sample row.
+    """
+    sample = written(sample_features(label_sample(docs, labels)))
+    chosen = marked_features(sample, ["junk", "toxic"])
+    marks = F.lit(0)
+    for k in range(FOLDS):
+        marks = F.when(F.col("fold") == k, F.size(F.array_intersect("feats", F.array(*map(F.lit, chosen["toxic", k].tolist())).cast("array<bigint>")))).otherwise(marks)
+    severe = written(sample.withColumn("severe", (F.col("toxic") * (marks >= SEVERE_MARKS).cast("long"))))
+    chosen |= marked_features(severe, ["severe"])
+    names = np.unique(np.concatenate(list(chosen.values())))
+
+    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.drop(columns="feats").assign(bits=[np.packbits(np.isin(names, x)).tobytes() for x in batch.feats])
+
+    got = severe.select("doc_id", "fold", *CATEGORIES, "feats").mapInPandas(bits, "doc_id long, fold int, junk long, toxic long, severe long, bits binary").orderBy("doc_id").toPandas()
+    drop_written(sample)
+    drop_written(severe)
+    there = np.unpackbits(np.frombuffer(b"".join(got.bits), np.uint8).reshape(len(got), -1), axis=1, count=len(names)) if len(got) and len(names) else np.zeros((len(got), len(names)), np.uint8)
+    there, folds = there.astype(np.float32), got.fold.to_numpy()
+    columns = {k: there[:, np.searchsorted(names, v)] for k, v in chosen.items()}
+    chain: list[Linear] = []
+    earlier = np.zeros((len(got), 0))
+    for name in CATEGORIES:
+        y = got[name].to_numpy(np.int64)
+        if y.sum() < 2 or (1 - y).sum() < 2:
+            chain.append(Linear(earlier=np.zeros(earlier.shape[1])))
+            earlier = np.c_[earlier, np.full(len(got), _logit(np.zeros(1))[0])]
+            continue
+        n = columns[name, -1].shape[1]
+        w = _fit(np.c_[columns[name, -1], earlier], y)
+        chain.append(Linear(chosen[name, -1].view(np.uint64), w[:n], w[n:-1], float(w[-1])))
+        out = np.full(len(got), y.mean())
+        for k in range(FOLDS):
+            own = folds == k
+            x = np.c_[columns[name, k], earlier]
+            if y[~own].sum() >= 2 and own.any():
+                out[own] = 1 / (1 + np.exp(-np.clip(np.c_[x[own], np.ones(own.sum())] @ _fit(x[~own], y[~own]), -30, 30)))
+        earlier = np.c_[earlier, _logit(out)]
+    for m in chain:
+        order = np.argsort(m.hashes)
+        m.hashes, m.weights = m.hashes[order], m.weights[order]
+    return chain
 
 
 def chain_probabilities(chain: list[Linear]):

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from learntrail.llm import decontam, embeddings, minhash, packing, pii, preference, quality, stars, substring, tokens, toxicity
@@ -364,6 +365,8 @@ def test_toxicity_chain(spark, odd, empty):
     assert sum(got[k].toxic == (k % 5 == 0) for k, _ in rows) >= 396
     assert toxicity.score_toxicity(odd, chain).where("NOT toxic").count() == len(ODD) and toxicity.score_toxicity(empty, chain).count() == 0
     assert {r.doc_id for r in toxicity.without_toxic(docs, chain).collect()} == {k for k, r in got.items() if not r.toxic}
+    again = toxicity.trained_chain(docs.unionByName(docs), labels.unionByName(labels).withColumns({"text": F.lit("x"), "feats": F.lit(1), "fold": F.lit(9)}))  # repeated ids on both sides count once
+    assert all(np.array_equal(a.hashes, b.hashes) and np.allclose(a.weights, b.weights) for a, b in zip(chain, again))
     none = toxicity.trained_chain(docs, labels.limit(0))
     assert toxicity.score_toxicity(docs, none).where("toxic").count() == 0
 
@@ -459,3 +462,126 @@ def test_pipeline(spark, sf_dir):
     assert cp.run(spark, sf_dir).count() > 0
     one = cp.minhash(spark, spark.createDataFrame([(1, "a b c d e f", "en", "s", 11), (2, "A b c d e f", "en", "s", 11), (2, "A b c d e f", "en", "s", 11), (None, "a", "en", "s", 1), (3, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long"), sf_dir)
     assert sorted((r.doc_id or 0) for r in one.collect()) == [0, 1, 3]
+
+
+def test_pipeline_stages_with_nulls_repeats_and_empty_tables(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 120").orderBy("item_id").first().text
+    base = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, base, "en", "b", 9), (1, base, "en", "a", 9), (1, "another text under the same id", "en", "s", 9), (2, base + " x", "en", "s", 9), (None, base, "en", "s", 9), (None, "alone without an id", None, None, None),
+            (None, "x " + item, "en", "s", 9), (5, "y " + item, "en", "s", 9), (5, "a clean text of the same id", "en", "s", 9), (6, None, None, None, None), (7, "", "de", "s", 0), (7, "", "de", "s", 0)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], kind + ", row long, id string")
+    key = lambda df: sorted(((r.doc_id or 0), r.text or "", r.source or "") for r in df.collect())
+    got = cp.minhash(spark, docs, sf_dir)
+    assert key(got) == sorted([(0, "alone without an id", ""), (0, "x " + item, "s")][:1] + [(1, base, "a"), (1, "another text under the same id", "s"), (5, "y " + item, "s"), (5, "a clean text of the same id", "s"), (6, "", ""), (7, "", "s")])
+    left = cp.decontamination(spark, docs, sf_dir)
+    assert key(left) == sorted((r[0] or 0, r[1] or "", r[3] or "") for r in rows if item not in (r[1] or ""))
+    assert cp.toxicity(spark, docs, sf_dir).count() == len(rows) and cp.pii(spark, docs, sf_dir).count() == len(rows)
+    packed = cp.packing(spark, docs, sf_dir).collect()
+    assert sum(r.length for r in packed if r.start == 0) > 0 and len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
+    for _, stage in cp.STAGES:
+        assert stage(spark, spark.createDataFrame([], kind), sf_dir).count() == 0
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choice(words) if rng.random() < 0.7 else str(rng.randrange(50)) for _ in range(rng.randrange(3, 30)))) for k in range(30)]
+    items += [(30, "Which comes next: 2, 4, 8, 16, 32, 64, 128, 256?"), (31, "Sort 91 17 52 33 upwards."), (32, "What is 12 times 30?"), (33, items[0][1])]
+    docs = []
+    for k in range(120):
+        own = items[rng.randrange(len(items))][1].split()
+        cut = own if rng.random() < 0.5 else own[: max(3, len(own) * rng.randrange(2, 10) // 10)]
+        docs.append((k, " ".join([*rng.choices(words, k=rng.randrange(9)), *cut, *rng.choices(words, k=rng.randrange(9))])))
+    docs.append((3, docs[4][1]))
+    docs += [(200 + i, f"so {q} then") for i, q in items if i >= 30]
+
+    def plain(text):
+        bare = (w.strip(".,;:!?\"'()[]{}<>|*#&").lower() for w in text.split())
+        return [w for w in bare if w]
+
+    want = set()
+    for i, q in items:
+        a = plain(q)
+        width = min(8, len(a))
+        own = {tuple(a[k : k + width]) for k in range(len(a) - width + 1)}
+        for d, t in docs:
+            b = plain(t)
+            there = {tuple(b[k : k + width]) for k in range(len(b) - width + 1)}
+            hit = sum(tuple(a[k : k + width]) in there for k in range(len(a) - width + 1))
+            if hit and (hit >= 0.5 * (len(a) - width + 1) or hit >= 6) and own:
+                want.add((d, i))
+    bench = spark.createDataFrame(items * 2, "item_id long, text string")  # repeated items count once
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated_pairs(frame(spark, docs), bench).collect()}
+    assert want and want <= set(got)  # all copies; those with other numbers come on top
+    numbers = lambda t: re.sub(r"\d+", "0", " ".join(plain(t)))
+    assert all(any(" ".join(numbers(q).split()[k : k + 3]) in numbers(t) for k in range(3)) for (d, i) in set(got) - want for q in [dict(items)[i]] for t in [x for e, x in docs if e == d][:1])
+    assert {i for _, i in got} >= {30, 31, 32}
+
+
+def test_bit_filter_and_salted_join(spark, monkeypatch):
+    hashes = np.random.default_rng(2).integers(-(2**63), 2**63, 5000)
+    items = spark.createDataFrame([(int(h),) for h in hashes], "hash long")
+    bits = decontam.bit_filter(items, decontam.filter_bits(5000))
+    assert decontam.passes(bits, hashes.view(np.uint64)).all()
+    assert decontam.passes(bits, np.random.default_rng(3).integers(0, 2**63, 5000, dtype=np.uint64)).mean() < 0.02
+    assert decontam.filter_bits(10**6) == 1 << 24 and decontam.filter_bits(10**12) == 1 << 28 and decontam.filter_bits(0) == 1 << 22
+    item = "the river runs past the old stone mill and then down to the sea"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = [(k, "well, " + item) for k in range(20)]
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
+    assert decontam.contaminated_pairs(frame(spark, docs), bench).count() == 20
+
+
+def test_added_spans_in_four_languages_inside_real_documents(spark, sf_dir):
+    """Precision and recall of the field's spans: sentences with names and words that training never saw, put into documents."""
+    rng = random.Random(31)
+    names = [f"{a} {b}" for a in ("Theodor", "Camille", "Rafael", "Harriet", "Agathe", "Dmitri") for b in ("Winkler", "Lefebvre", "Ortega", "Thompson", "Bauer")]
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(32))
+    phone = lambda: f"({rng.randrange(100, 999)}) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"
+    frames = {
+        "en": [("name", "and then my name is {} and so"), ("name", "they told Mr. {} about it"), ("secret", "the password: {} was there"), ("phone", "please call {} at once")],
+        "de": [("name", "dann kam Herr {} und"), ("name", "also mein Name ist {} und"), ("secret", "neues Passwort: {} bitte"), ("phone", "bei Telefon: {} fragen")],
+        "fr": [("name", "puis Madame {} est"), ("name", "bonjour je m'appelle {} et"), ("secret", "le mot de passe: {} ici"), ("phone", "son téléphone: {} le")],
+        "es": [("name", "luego la señora {} fue"), ("name", "hola me llamo {} y"), ("secret", "su contraseña: {} es"), ("phone", "el teléfono: {} de")],
+    }
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars BETWEEN 200 AND 3000").orderBy("doc_id").collect()
+    decoder = pii.Decoder(pii.trained())
+    added = lambda text: pii.added_spans(text, decoder.decode([text.split()])[0], pii.base_spans(text))
+    for lang, own in frames.items():
+        right = wrong = total = 0
+        for r in [r for r in docs if r.lang == lang][:25]:
+            words = r.text.split(" ")
+            before = {r.text[a:b] for _, a, b in added(r.text)}
+            kind, form = rng.choice(own)
+            value = {"name": lambda: rng.choice(names), "secret": secret, "phone": phone}[kind]()
+            at = rng.randrange(len(words))
+            text = " ".join([*words[:at], form.format(value), *words[at:]])
+            found = {(k, text[a:b]) for k, a, b in added(text) if text[a:b] not in before}
+            total += 1
+            right += (kind, value) in found
+            wrong += len(found - {(kind, value)})
+        print(lang, right, wrong, total)
+        assert total >= 5 and right >= 0.85 * total and wrong <= 0.1 * total
+
+
+def test_quality_on_held_out_labels(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    vectors = quality.word_vectors(docs)
+    got = quality.score_quality(docs, vectors, quality.quality_model(docs, labels, vectors)).where("held_out").join(labels, "doc_id").select("score", "quality").toPandas()
+    good, bad = got.score[got.quality == 1].to_numpy(), got.score[got.quality == 0].to_numpy()
+    assert len(bad) > 5 and ((good[:, None] > bad).mean() + (good[:, None] == bad).mean() / 2) >= 0.97
+    assert abs(got.score.mean() - got.quality.mean()) < 0.05  # calibrated in the large
+
+
+def test_toxicity_on_held_out_labels(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    known = labels.where("doc_id % 4 <> 0")
+    got = toxicity.score_toxicity(docs, toxicity.trained_chain(docs, known)).join(labels.where("doc_id % 4 = 0").withColumnRenamed("toxic", "truth"), "doc_id").select("toxic", "truth").toPandas()
+    caught, left = got.toxic[got.truth == 1].mean(), 1 - got.toxic[got.truth == 0].mean()
+    print(caught, left)
+    assert (got.truth == 1).sum() > 20 and caught >= 0.75 and left >= 0.98  # a fifth of the marked rows hold no word that other marked rows hold
