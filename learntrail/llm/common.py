@@ -70,13 +70,15 @@ def whole(batches: Iterable[pd.DataFrame]) -> pd.DataFrame | None:
     return pd.concat(parts, ignore_index=True) if parts else None
 
 
-def join_hot(rows: DataFrame, groups: DataFrame, on: list[str], size: str, how: str = "left") -> DataFrame:
-    """``rows`` joined to ``groups``, which has one row for each group and the group's number of rows in ``size``.
+def join_hot(rows: DataFrame, groups: DataFrame, on: list[str], size: str, how: str = "left", total: int | None = None) -> DataFrame:
+    """``rows`` joined to ``groups``, which has one row for each group and the group's number of rows in ``size``; ``total`` is
+    their sum or more, if it is known.
 
     Groups of at least 1 / HOT of all rows, of which there can't be more than HOT whatever the data, are broadcast, so that no
     task gets the rows of a large group together; the others are joined by a shuffle.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    if total is None:
+        total = groups.agg(F.sum(size)).first()[0] or 0
     hot = F.broadcast(groups.where(F.col(size) * HOT >= total).drop(size))
     cold = groups.where(F.col(size) * HOT < total).drop(size)
     return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold.hint("merge"), on, how))

@@ -5,32 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from learntrail.llm.common import drop_written, written
+from learntrail.llm.common import drop_written, join_hot, written
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Whether every id points to one other id only, and none of those points on: then the edges are the answer."""
+def _settled(edges: DataFrame) -> tuple[bool, int]:
+    """Whether every id points to one other id only, and none of those points on (then the edges are the answer), and the number of edges."""
     ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("in")).unionAll(edges.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("in")))
-    return ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out + in > 1").isEmpty()
+    row = ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("in").alias("in")).agg(F.count_if(F.col("out") + F.col("in") > 1), F.sum("out")).first()
+    return row[0] == 0, row[1] or 0
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``edges`` has two long columns, ``u`` and ``v``. Returns ``id, component``, the least id reachable, for every id on an edge.
 
-    Each round is two joins against one aggregated row a node, so a node with very many neighbours is never gathered (its
-    edges are rows of a sort-merge join, which adaptive execution splits where they are many);
-    the number of rounds grows with the logarithm of the longest path. Each round's edges are written to the shared folder.
+    Each round is two joins against one aggregated row a node, which is broadcast for the few nodes with very many neighbours,
+    so that their edges are never gathered; the number of rounds grows with the logarithm of the longest path. Each round's edges are written to the shared folder.
     Nulls and self-loops are dropped; an empty table gives an empty table.
     """
     state = written(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(rounds):
-        if _settled(state):
+        done, n = _settled(state)
+        if done:
             break
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = join_hot(both.where("v > u"), least, ["u"], "n", "inner", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, low, ["u"], "n", "inner", n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         after = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         drop_written(state)
         state = after
