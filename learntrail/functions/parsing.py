@@ -70,17 +70,22 @@ def max_score(c: Column) -> Column:
     return F.try_to_number(F.nullif(F.regexp_extract(c, r"/(\d+\.\d+)", 1), F.lit("")), F.lit("999999.99")).cast("double")
 
 
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def unit_tests(c: Column) -> Column:
-    """Blocks 'Unittest n: / Input / Standard input / Output' as an array of structs; [] if any block lacks a part."""
-    block = F.filter(F.split(c, "Unittest"), lambda x: F.trim(x) != "")
-    part = lambda x, a, b: F.trim(F.substring_index(F.substring_index(x, a, -1), b, 1), F.lit(" \n"))
-    whole = F.forall(block, lambda x: x.contains("Input:") & x.contains("Std:") & x.contains("Output:"))
-    made = F.transform(block, lambda x: F.struct(part(x, "Input:", "Std:").alias("input"), part(x, "Std:", "Output:").alias("std_in"), F.trim(F.substring_index(x, "Output:", -1), F.lit(" \n")).alias("output")))
+    """Blocks 'Unittest n: / Input: / STD input: / Output:' as an array of structs; empty if any block lacks a part."""
+    block = F.transform(F.slice(F.split(c, "Unittest"), 2, 1_000_000), lambda x: F.substring(x, F.instr(x, ":") + 1, F.length(x)))
+    whole = F.forall(block, lambda x: x.contains("Input:") & x.contains("STD input:") & x.contains("Output:"))
+    part = lambda x, a, b: _stripped(F.substring(x, F.instr(x, a) + len(a), F.greatest(F.instr(x, b) - F.instr(x, a) - len(a), F.lit(0)) if b else F.length(x)))
+    made = F.transform(block, lambda x: F.struct(part(x, "Input:", "STD input:").alias("input"), part(x, "STD input:", "Output:").alias("std_in"), part(x, "Output:", None).alias("output")))
     return F.when(whole, made).otherwise(F.array().cast("array<struct<input:string,std_in:string,output:string>>"))
 
 
 def format_unit_tests(tests: Column) -> Column:
-    return F.array_join(F.transform(tests, lambda x, i: F.concat(F.lit("Unittest "), (i + 1).cast("string"), F.lit(":\nInput: "), x["input"], F.lit("\nStd: "), x["std_in"], F.lit("\nOutput: "), x["output"])), "\n\n")
+    """The blocks of ``unit_tests``, numbered from 0, parted by an empty line."""
+    return F.array_join(F.transform(tests, lambda x, i: F.concat(F.lit("Unittest "), i.cast("string"), F.lit(":\nInput: "), x["input"], F.lit("\nSTD input: "), x["std_in"], F.lit("\nOutput: "), x["output"])), "\n\n")
 
 
 def last_action_tag(c: Column) -> Column:
@@ -106,14 +111,58 @@ def truncate_lines(c: Column, n: int = 40, marker: str = "... (truncated)") -> C
     return F.when(F.size(lines) > n, F.concat(F.array_join(F.slice(lines, 1, n), "\n"), F.lit("\n" + marker))).otherwise(c)
 
 
+#: Endings of a topic that name the kind of session.
+SESSION_ENDINGS = ("_Inlab", "_Prelab", "_Postlab", "_InLab", "_PreLab", "_PostLab")
+#: A section's letters and its type; other letters are Regular.
+SECTION_TYPES = {"L": "Regular", "CC": "Credit-Constrained", "CN": "Compact", "DT": "Deferred/Repeat"}
+#: Characters that LaTeX reads, in the order in which they are replaced.
+LATEX = {"_": "\\_", "&": "\\&", "%": "\\%", "$": "\\$", "#": "\\#", "{": "\\{", "}": "\\}", "~": "\\textasciitilde{}", "^": "\\textasciicircum{}"}
+
+
 def normalize_topic(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[_-]+", " "), r"\s+", " "))
+    """Exams are one topic; of other topics one ending that names the kind of session goes, and underscores are spaces."""
+    bare = F.regexp_replace(c, f"({'|'.join(SESSION_ENDINGS)})$", "")
+    return F.when(c.startswith("Exam"), "Exam").otherwise(_stripped(F.replace(bare, F.lit("_"), F.lit(" "))))
 
 
 def section_type(c: Column) -> Column:
-    """The letters of a section's name as its type: CC honours, L standard, else other."""
-    letters = F.upper(F.regexp_replace(c, "[^A-Za-z]", ""))
-    return F.when(letters.startswith("CC"), "honours").when(letters.startswith("L"), "standard").otherwise("other")
+    """The type that belongs to exactly the letters of a section's name."""
+    letters = F.upper(F.regexp_replace(c, r"\P{L}", ""))
+    out = F.lit("Regular")
+    for key, value in SECTION_TYPES.items():
+        out = F.when(letters == key, value).otherwise(out)
+    return out
+
+
+def escape_latex(c: Column) -> Column:
+    for old, new in LATEX.items():
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
+def course_label(c: Column) -> Column:
+    """A course code such as pf_hk232 as its name and semester: two digits of the year and the semester's digit follow ``_hk``."""
+    code = F.lower(c)
+    kind = F.when(code.startswith("pf"), "Programming Fundamentals").when(code.startswith("dsa"), "Data Structures \\& Algorithms").otherwise(F.upper(F.substring_index(code, "_", 1)))
+    term = F.substring(F.get(F.split(code, "_hk"), F.lit(1)), 1, 3)
+    season = F.when(F.substring(term, 3, 1) == "1", "Fall").otherwise("Spring")
+    return F.when(code.contains("_hk"), F.concat(kind, F.lit(" ("), season, F.lit(" 20"), F.substring(term, 1, 2), F.lit(")"))).otherwise(kind)
+
+
+def duration(seconds: Column) -> Column:
+    """Seconds under a minute, minutes under an hour, else hours; halves are rounded up."""
+    shown = lambda x, digits: F.format_string(f"%.{digits}f", x + 1e-9)
+    return F.when(seconds < 60, F.concat(shown(seconds, 0), F.lit(" seconds"))).when(seconds < 3600, F.concat(shown(seconds / 60, 1), F.lit(" minutes"))).otherwise(F.concat(shown(seconds / 3600, 1), F.lit(" hours")))
+
+
+def smoothed(y: Column, eps: float = 0.01) -> Column:
+    """Labels drawn in from 0 and 1."""
+    return y * (1 - 2 * eps) + eps
+
+
+def uniform(seed: int, *columns) -> Column:
+    """A number in [0, 1) that depends on the seed and the columns' values alone, the same at every size and partitioning."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])), 1, 8), 16, 10).cast("double") / 4294967296
 
 
 def strip_heading_lines(c: Column) -> Column:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from learntrail.functions.parsing import sigmoid
+from learntrail.functions.parsing import sigmoid, smoothed, uniform
 from learntrail.sources.tables import checkpointed
 
 
@@ -29,12 +29,41 @@ def elo(obs: DataFrame, train_weeks: int, k: float = 0.4) -> DataFrame:
     return steps.select("student_id", theta.alias("theta"), F.size("s").cast("long").alias("n"))
 
 
-def rasch(responses: DataFrame, rounds: int = 6, prior: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """One-parameter logistic model by alternating damped Newton steps with a normal prior; responses are counted first.
+def elo_predictions(obs: DataFrame, train_weeks: int, k: float = 0.4) -> DataFrame:
+    """``student_id, item_id, attempt_id, y, p`` for the weeks after training: the learner's rating after it against the item's
+    difficulty, 0 for learners and items that training didn't see."""
+    p = F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.avg("y")))
+    item = obs.where(F.col("week") <= train_weeks).groupBy("item_id").agg((-F.ln(p / (1 - p))).alias("b"))
+    later = obs.where(F.col("week") > train_weeks).join(elo(obs, train_weeks, k).select("student_id", "theta"), "student_id", "left").join(item, "item_id", "left")
+    return later.select("student_id", "item_id", "attempt_id", "y", sigmoid(F.coalesce("theta", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))).alias("p"))
+
+
+def calibrated(obs: DataFrame, rounds: int = 12, prior: float = 1.0, slope: bool = False, eps: float = 0.01) -> DataFrame:
+    """``student_id, theta, growth`` of learners whose items are known: rows ``student_id, y, t, offset`` with the logit's known part.
+
+    Labels are smoothed by ``eps``. Newton steps with normal priors, each one aggregation by learner; ``growth`` is 0 unless
+    ``slope``. Learners are independent, so nothing but their own answers decides.
+    """
+    obs = checkpointed(obs.select("student_id", smoothed(F.col("y"), eps).alias("y"), F.col("t").cast("double").alias("t"), "offset"))
+    state = obs.select("student_id").distinct().withColumn("theta", F.lit(0.0)).withColumn("growth", F.lit(0.0))
+    damped = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
+    for _ in range(rounds):
+        p = sigmoid(F.col("theta") + F.col("growth") * F.col("t") + F.col("offset"))
+        w, e, t = p * (1 - p), F.col("y") - p, F.col("t")
+        sums = obs.join(state, "student_id").groupBy("student_id", "theta", "growth").agg(F.sum(e).alias("g0"), F.sum(e * t).alias("g1"), F.sum(w).alias("h00"), F.sum(w * t).alias("h01"), F.sum(w * t * t).alias("h11"))
+        g0, g1, h00, h01, h11 = F.col("g0") - prior * F.col("theta"), F.col("g1") - prior * F.col("growth"), F.col("h00") + prior, F.col("h01"), F.col("h11") + prior
+        det = h00 * h11 - h01 * h01
+        steps = (damped((h11 * g0 - h01 * g1) / det), damped((h00 * g1 - h01 * g0) / det)) if slope else (damped(g0 / h00), F.lit(0.0))
+        state = checkpointed(sums.select("student_id", (F.col("theta") + steps[0]).alias("theta"), (F.col("growth") + steps[1]).alias("growth")))
+    return state
+
+
+def rasch(responses: DataFrame, rounds: int = 6, prior: float = 1.0, eps: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """One-parameter logistic model by alternating damped Newton steps with a normal prior; labels are smoothed by ``eps``, responses are counted first.
 
     Every step is an aggregation by learner or by item over (learner, item) counts. Returns abilities and difficulties.
     """
-    counts = responses.groupBy("student_id", "item_id").agg(F.count("*").cast("double").alias("n"), F.sum("y").cast("double").alias("r"))
+    counts = responses.groupBy("student_id", "item_id").agg(F.count("*").cast("double").alias("n"), F.sum(smoothed(F.col("y"), eps)).alias("r"))
     counts = checkpointed(counts)
     ability = counts.select("student_id").distinct().withColumn("theta", F.lit(0.0))
     item = counts.select("item_id").distinct().withColumn("b", F.lit(0.0))
@@ -123,7 +152,7 @@ def bkt_fit(obs: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def bkt_forward(obs: DataFrame, params: DataFrame) -> DataFrame:
-    """Mastery of each learner at each item after all attempts, as a fold inside the JVM."""
+    """Mastery of each learner at each item after all attempts, as a fold inside the JVM, and the chance ``p`` of a right next answer."""
     seqs = obs.groupBy("item_id", "student_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("attempt_id", "y"))), lambda x: x["y"]).alias("s"))
 
     def step(k: Column, y: Column) -> Column:
@@ -131,7 +160,20 @@ def bkt_forward(obs: DataFrame, params: DataFrame) -> DataFrame:
         post = F.when(y == 1, k * (1 - F.col("slip")) / right).otherwise(k * F.col("slip") / (1 - right))
         return post + (1 - post) * F.col("learn")
 
-    return seqs.join(params, "item_id").select("student_id", "item_id", F.aggregate("s", F.col("known"), step).alias("mastery"))
+    after = seqs.join(params, "item_id").withColumn("mastery", F.aggregate("s", F.col("known"), step))
+    return after.select("student_id", "item_id", "mastery", (F.col("mastery") * (1 - F.col("slip")) + (1 - F.col("mastery")) * F.col("guess")).alias("p"))
+
+
+def bkt_later(obs: DataFrame, train_weeks: int) -> DataFrame:
+    """``student_id, item_id, attempt_id, y, p`` for the weeks after training, whose items have no parameters of their own: a
+    learner starts from the mean mastery of the items seen, with the mean parameters of all items."""
+    train = obs.where(F.col("week") <= train_weeks)
+    params = checkpointed(bkt_fit(train))
+    mean = params.agg(*[F.avg(c).alias(c) for c in ("known", "guess", "slip")])
+    seen = bkt_forward(train, params).groupBy("student_id").agg(F.avg("mastery").alias("mastery"))
+    later = obs.where(F.col("week") > train_weeks).join(seen, "student_id", "left").join(F.broadcast(mean))  # one row
+    m = F.coalesce("mastery", "known")
+    return later.select("student_id", "item_id", "attempt_id", "y", (m * (1 - F.col("slip")) + (1 - m) * F.col("guess")).alias("p"))
 
 
 def rbf(gap: Column, scale: float) -> Column:
@@ -187,5 +229,5 @@ def clusters(df: DataFrame, columns: list[str], k: int, seed: int = 42) -> DataF
 
 def student_split(students: DataFrame, train: float = 0.55, valid: float = 0.15, seed: int = 42) -> DataFrame:
     """Roles by a seeded hash of the id: the same at every size and partitioning, without gathering ids."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("student_id")), F.lit(1_000_000)) / 1_000_000
+    u = uniform(seed, "student_id")
     return students.select("student_id", F.when(u < train, "train").when(u < train + valid, "valid").otherwise("test").alias("role"))

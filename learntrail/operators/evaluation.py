@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from learntrail.functions.parsing import clipped
+from learntrail.operators.sequence import ranked
 
 
 def roc_auc(df: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
@@ -20,6 +23,13 @@ def roc_auc(df: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataF
     return won.groupBy(*keys).agg((F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
+def whole_auc(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """The area over all rows: distinct scores are dealt by ranges, so none of them is sorted in one task with all others."""
+    scores = df.groupBy(p).agg(F.sum(F.col(y).cast("double")).alias("pos"), F.sum(1.0 - F.col(y)).alias("neg"))
+    won = ranked(scores, F.col(p), total="neg")
+    return won.agg(F.try_divide(F.sum(F.col("pos") * (F.col("_before") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
+
+
 def binary_metrics(df: DataFrame, keys: list[str], y: str = "y", p: str = "p", cut: float = 0.5) -> DataFrame:
     """Accuracy, balanced accuracy, F1, log-likelihood, Brier score, RMSE and n in one pass. Balanced accuracy and F1 are null with one class only."""
     q, t = clipped(F.col(p)), F.col(y).cast("double")
@@ -89,19 +99,62 @@ def effective_size(chains: DataFrame) -> DataFrame:
     return chains.select("param", "chain", "draw", "value").groupBy("param", "chain").applyInPandas(one, "param string, ess double").groupBy("param").agg(F.sum("ess").alias("ess"))
 
 
+def bootstrap_metrics(df: DataFrame, keys: list[str], y: str = "y", p: str = "p", cut: float = 0.5, replicates: int = 500, seed: int = 42, digits: int = 3) -> DataFrame:
+    """``keys, metric, mean, low, high``: percentile intervals of balanced accuracy, F1 and the area under the curve of each group.
+
+    Rows are first counted by score (to ``digits`` places) and label; drawing as many rows again with replacement is one
+    multinomial draw over these counts, so a task holds a group's distinct scores, at most 10**digits + 1, and not its rows.
+    Replicates in which a class is missing are left out; a metric without any is null.
+    """
+    cells = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.round(p, digits).alias("_p")).agg(F.sum(F.col(y).cast("long")).alias("_pos"), F.sum(1 - F.col(y).cast("long")).alias("_neg"))
+
+    def drawn(group: pd.DataFrame) -> pd.DataFrame:
+        own = group.sort_values("_p")
+        counts = np.r_[own["_pos"].to_numpy(np.int64), own["_neg"].to_numpy(np.int64)]
+        rng = np.random.default_rng([seed, zlib.crc32(repr(group[keys].iloc[0].tolist()).encode())])
+        w = rng.multinomial(counts.sum(), counts / counts.sum(), replicates).astype(float)
+        pos, neg = w[:, : len(own)], w[:, len(own) :]
+        hit = own["_p"].to_numpy(float) >= cut
+        tp, fp, n_pos, n_neg = pos[:, hit].sum(1), neg[:, hit].sum(1), pos.sum(1), neg.sum(1)
+        with np.errstate(all="ignore"):
+            found = {
+                "balanced_accuracy": (tp / n_pos + 1 - fp / n_neg) / 2,
+                "f1": np.where((n_pos > 0) & (n_neg > 0), 2 * tp / np.maximum(tp + fp + n_pos, 1e-12), np.nan),
+                "auc": (pos * (np.cumsum(neg, 1) - neg / 2)).sum(1) / (n_pos * n_neg),
+            }
+        rows = []
+        for name, x in found.items():
+            x = x[np.isfinite(x)]
+            rows.append((*group[keys].iloc[0], name, *((x.mean(), *np.quantile(x, [0.025, 0.975])) if len(x) else (None,) * 3)))
+        return pd.DataFrame(rows, columns=[*keys, "metric", "mean", "low", "high"])
+
+    kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
+    return cells.groupBy(*keys).applyInPandas(drawn, f"{kinds}, metric string, mean double, low double, high double")
+
+
+def autocorrelation(chains: DataFrame, lags: int) -> DataFrame:
+    """``param, chain, lag, acf`` for lags from 1 on, of rows ``param, chain, draw, value``: sums of products with the value ``lag`` draws before."""
+    own = Window.partitionBy("param", "chain")
+    x = chains.withColumn("v", F.col("value") - F.avg("value").over(own))
+    for k in range(1, lags + 1):
+        x = x.withColumn(f"l{k}", F.lag("v", k).over(own.orderBy("draw")))
+    sums = x.groupBy("param", "chain").agg(*[F.try_divide(F.sum(F.col("v") * F.col(f"l{k}")), F.sum(F.col("v") * F.col("v"))).alias(f"a{k}") for k in range(1, lags + 1)])
+    return sums.select("param", "chain", F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), F.col(f"a{k}").alias("acf")) for k in range(1, lags + 1)])).alias("r")).select("param", "chain", "r.*")
+
+
 def bootstrap_mean(df: DataFrame, keys: list[str], value: str, replicates: int = 500, seed: int = 42) -> DataFrame:
     """Percentile interval of each group's mean. Each row draws its Poisson(1) weight in every replicate from a generator
     seeded by its partition, and sums meet by replicate: no group is gathered, only ``replicates`` partial sums a task and group."""
     schema = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys), "rep int, w double, s double"])
 
     def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         for batch in batches:
             for key, group in batch.groupby(keys, dropna=False, sort=True):
                 x = group[value].to_numpy(float)
-                first = int(group["_row"].iloc[0]) & 0xFFFFFFFF
-                w = np.random.default_rng([seed, first, len(x)]).poisson(1.0, (replicates, len(x)))
+                w = rng.poisson(1.0, (replicates, len(x)))
                 yield pd.DataFrame({**dict(zip(keys, key, strict=True)), "rep": range(replicates), "w": w.sum(1).astype(float), "s": w @ x})
 
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value, F.xxhash64(*keys, value).alias("_row"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
     means = rows.mapInPandas(drawn, schema).groupBy(*keys, "rep").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
     return means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))

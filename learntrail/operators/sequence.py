@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from learntrail.sources.tables import checkpointed
+
 PAIR = ("student_id", "question_id")
 
 
@@ -28,6 +30,13 @@ def edit_lag(log: DataFrame, text: str = "response", keys=PAIR, by=("ts", "row_i
     return log.withColumn("edit_distance", F.levenshtein(c, F.lag(c).over(ordered(keys, by))).cast("long"))
 
 
+def jumps(log: DataFrame, fraction: float = 0.9, seconds: float = 600, text: str = "response", keys=PAIR) -> DataFrame:
+    """Attempts whose text differs from the one before by more than ``fraction`` of the longer, within less than ``seconds``."""
+    x = time_delta(log, keys).withColumn("_prev", F.lag(text).over(ordered(keys))).where(F.col("_prev").isNotNull() & (F.col("delta_s") < seconds))
+    share = F.levenshtein(text, "_prev").cast("double") / F.greatest(F.length(text), F.length("_prev"), F.lit(1))
+    return x.withColumn("edit_fraction", share).where(F.col("edit_fraction") > fraction).drop("_prev")
+
+
 def collapse_last(obs: DataFrame, k: int | None = None, keys=("student_id", "item_id"), order: str = "attempt_id", value: str = "y") -> DataFrame:
     """The last of the first k valid observations of each pair."""
     if k is not None:
@@ -35,6 +44,25 @@ def collapse_last(obs: DataFrame, k: int | None = None, keys=("student_id", "ite
     return obs.groupBy(*keys).agg(F.max_by(value, order).alias(value))
 
 
+def ranked(df: DataFrame, *order: Column, total: str | None = None) -> DataFrame:
+    """``df`` with ``_rank``, the place of each row from 0 in the order of all rows, and ``_rows``, their number; with ``total``
+    also ``_before``, the sum of that column over all rows before.
+
+    Rows are dealt by ranges of the order and numbered within each; only one row of counts for each range is gathered. The
+    order should tell all rows apart.
+    """
+    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, w = F.shiftrightunsigned("_at", 33), Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    value = F.col(total).cast("double") if total else F.lit(0.0)
+    sums = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.sum(value).alias("_v"))
+    starts = sums.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_first"), F.coalesce(F.sum("_v").over(w), F.lit(0.0)).alias("_base"), F.sum("_n").over(Window.partitionBy()).alias("_rows"))
+    out = ranged.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("_rank", F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    if total:
+        own = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        out = out.withColumn("_before", F.col("_base") + own)
+    return out.drop("_part", "_at", "_first", "_base")
+
+
 def top_k(df: DataFrame, k: int, keys, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 

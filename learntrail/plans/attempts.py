@@ -93,11 +93,18 @@ def edit_distance_lag(spark, d):
 
 @query(RESP + """, l AS (SELECT *, lag(response) OVER w AS prev, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS delta FROM r WINDOW w AS (PARTITION BY student_id, question_id ORDER BY ts, row_id))
 SELECT row_id, round(CAST(levenshtein(response, prev) AS DOUBLE) / greatest(length(response), length(prev), 1), 6) AS edit_fraction, round(delta, 3) AS delta_s FROM l
-WHERE prev IS NOT NULL AND CAST(levenshtein(response, prev) AS DOUBLE) / greatest(length(response), length(prev), 1) > 0.6 AND delta < 86400""")
+WHERE prev IS NOT NULL AND CAST(levenshtein(response, prev) AS DOUBLE) / greatest(length(response), length(prev), 1) > 0.9 AND delta < 600""")
 def suspicious_jumps(spark, d):
-    x = S.time_delta(with_response(submissions(spark, d), spark, d)).withColumn("prev", F.lag("response").over(S.ordered())).where("prev IS NOT NULL AND delta_s < 86400")
-    fraction = F.levenshtein("response", "prev").cast("double") / F.greatest(F.length("response"), F.length("prev"), F.lit(1))
-    return x.withColumn("f", fraction).where("f > 0.6").select("row_id", F.round("f", 6).alias("edit_fraction"), F.round("delta_s", 3).alias("delta_s"))
+    """Attempts that change over nine tenths of the text within ten minutes; the events of the test tables lie further apart, so few or none are found."""
+    return S.jumps(with_response(submissions(spark, d), spark, d)).select("row_id", F.round("edit_fraction", 6).alias("edit_fraction"), F.round("delta_s", 3).alias("delta_s"))
+
+
+@query(RESP + """, l AS (SELECT *, lag(response) OVER w AS prev, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS delta FROM r WINDOW w AS (PARTITION BY student_id, question_id ORDER BY ts, row_id))
+SELECT row_id, round(CAST(levenshtein(response, prev) AS DOUBLE) / greatest(length(response), length(prev), 1), 6) AS edit_fraction, round(delta, 3) AS delta_s FROM l
+WHERE prev IS NOT NULL AND CAST(levenshtein(response, prev) AS DOUBLE) / greatest(length(response), length(prev), 1) > 0.6 AND delta < 86400""")
+def wide_jumps(spark, d):
+    """The same with wider limits, so that rows come out of the test tables: six tenths within a day."""
+    return S.jumps(with_response(submissions(spark, d), spark, d), 0.6, 86400).select("row_id", F.round("edit_fraction", 6).alias("edit_fraction"), F.round("delta_s", 3).alias("delta_s"))
 
 
 @query("SELECT row_id, round(fraction - avg(fraction) OVER (PARTITION BY student_id), 6) + 0.0 AS by_student, round(fraction - avg(fraction) OVER (PARTITION BY question_id), 6) + 0.0 AS by_question FROM sub")
@@ -156,7 +163,7 @@ def time_index(spark, d):
 @query("WITH p AS (SELECT student_id, avg(y) AS pr FROM obs GROUP BY student_id) SELECT student_id, row_number() OVER (ORDER BY round(pr, 9) DESC, student_id) AS rank FROM p")
 def student_rank_by_pass_rate(spark, d):
     rates = observations(spark, d).groupBy("student_id").agg(F.avg("y").alias("pr"))
-    return rates.select("student_id", F.row_number().over(Window.orderBy(F.round("pr", 9).desc(), "student_id")).cast("long").alias("rank"))
+    return S.ranked(rates, F.round("pr", 9).desc(), F.col("student_id")).select("student_id", (F.col("_rank") + 1).alias("rank"))
 
 
 @query("""WITH f AS (SELECT *, CASE WHEN lag(question_id) OVER (PARTITION BY student_id ORDER BY ts, row_id) = question_id THEN 0 ELSE 1 END AS nw FROM sub), g AS (SELECT *, sum(nw) OVER (PARTITION BY student_id ORDER BY ts, row_id) AS run FROM f)

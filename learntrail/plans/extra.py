@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,49 +11,89 @@ from learntrail.operators import evaluation as E
 from learntrail.operators import retrieval as R
 from learntrail.operators import sequence as S
 from learntrail.plans.log import attempt_log, observations, query, submissions, table
-from learntrail.plans.texts import FIX, mistake_fix_pairs
-
-LAB = {
-    "lab_name": "Lists",
-    "list_questions": [{"question": "Question 1", "name": "push"}, [{"question": "Question 2.1", "name": "pop"}, {"question": "Question 2.2", "name": "top"}]],
-    "student_answers": [{"name": "A", "id": "7", "review_link": "", "response_history": [{"question": "Question 1", "results": [{"step": "1", "time": "t", "action": "Started", "state": "", "score": ""}, {"step": "2", "time": "t", "action": "Submit: x", "state": "Correct", "score": "1"}, {"step": "3", "time": "t", "action": "Attempt finished", "state": "", "score": ""}]}]}],
-}
-
+from learntrail.plans.models import UNIFORM
+from learntrail.plans.texts import FIX, build_prompt, mistake_fix_pairs
+from learntrail.sources import readers
+from learntrail.sources.tables import shared_folder
 
-def _labs(spark):
-    text = spark.createDataFrame([(json.dumps(LAB),)], "t string")
-    from learntrail.sources.readers import LAB as SCHEMA
+QUESTIONS = "q AS (SELECT course_id, week, 'Question 1' AS question, 0 AS position FROM (SELECT DISTINCT course_id, week FROM log) UNION ALL SELECT course_id, week, 'Question 2.' || k, 1 FROM (SELECT DISTINCT course_id, week FROM log), (SELECT unnest(generate_series(1, 2)) AS k))"
+STEPS = "h AS (SELECT course_id, week, student_id, question_id, row_id, response_type, pass, fraction, ts, row_number() OVER (PARTITION BY course_id, week, student_id, question_id ORDER BY ts, row_id) AS n, count(*) OVER (PARTITION BY course_id, week, student_id, question_id) AS m FROM log)"
+STEPS = STEPS.replace("fraction, ts", "CAST(length(replace(pass, '0', '')) AS DOUBLE) / length(pass) AS fraction, ts")
 
-    return text.select(F.from_json("t", SCHEMA).alias("l")).select("l.*").withColumns({"week": F.lit(3), "topic": F.lit("Lists")})
 
+def _lab_files(spark, d):
+    """The log as lab files in the shared folder, one for each course and week, named W<week>_<topic>.json below the course's folder, and the folder's path.
 
-@query("SELECT * FROM (VALUES ('Question 1', 'push', 0), ('Question 2.1', 'pop', 1), ('Question 2.2', 'top', 1)) t(question, name, position)", log=False)
+    A lab has a plain question and one with two parts, and each learner's history of steps; so it is one JSON object, and as
+    large as the lab.
+    """
+    log = attempt_log(spark, d).withColumn("fraction", P.pass_fraction(F.col("pass")))
+    action = F.when(F.col("response_type") == "Started", "Started").otherwise(F.concat("response_type", F.lit(": "), "pass"))
+    step = F.struct("ts", "row_id", action.alias("action"), F.when(F.col("fraction") == 1, "Correct").otherwise("").alias("state"), F.format_string("%.4f", "fraction").alias("score"), F.col("timestamp").alias("time"))
+    results = F.transform(F.array_sort(F.collect_list(step)), lambda x, i: F.struct((i + 1).cast("string").alias("step"), x["time"].alias("time"), x["action"].alias("action"), x["state"].alias("state"), x["score"].alias("score")))
+    pair = log.groupBy("course_id", "week", "student_id", "question_id").agg(results.alias("results"))
+    student = pair.groupBy("course_id", "week", "student_id").agg(F.collect_list(F.struct(F.concat(F.lit("Question "), F.col("question_id").cast("string")).alias("question"), "results")).alias("response_history"))
+    answer = F.struct(F.concat(F.lit("Student "), F.col("student_id").cast("string")).alias("name"), F.col("student_id").cast("string").alias("id"), F.lit("").alias("review_link"), "response_history")
+    lab = student.groupBy("course_id", "week").agg(F.to_json(F.collect_list(answer)).alias("answers"))
+    case = '"testcases":[{"input":"1","std_input":"","output":"1"}]'
+    asked = lambda q: f'{{"question":"{q}","name":"task {q[9:]}","template":"","max_score":"1.00",{case}}}'
+    questions = f"[{asked('Question 1')},[{asked('Question 2.1')},{asked('Question 2.2')}]]"
+    text = F.concat(F.lit('{"lab_name":"Week '), F.col("week").cast("string"), F.lit(f'","list_questions":{questions},"student_answers":'), "answers", F.lit("}"))
+    name = F.concat(F.lit("W"), F.col("week").cast("string"), F.when(F.col("week") == 5, "_Exam").otherwise("_Lists"), F.lit(".json"))
+    path = shared_folder(spark)
+    lab.select("course_id", name.alias("lab"), text.alias("value")).write.partitionBy("course_id", "lab").text(path)
+    return path
+
+
+def _course(labs):
+    return labs.withColumn("course_id", F.regexp_extract("file", r"course_id=(\d+)", 1).cast("long"))
+
+
+@query(f"WITH {QUESTIONS} SELECT course_id, week, question, 'task ' || question[10:] AS name, position, CASE WHEN week = 5 THEN 'Exam' ELSE 'Lists' END AS topic FROM q")
 def scan_lab_json(spark: SparkSession, d: str) -> DataFrame:
-    from learntrail.sources.readers import lab_questions
-
-    return lab_questions(_labs(spark)).select("question", "name", "position")
+    """Lab files written from the log and read back: questions and sub-questions with week and topic of the file's name."""
+    return readers.lab_questions(_course(readers.scan_labs(spark, _lab_files(spark, d))), "course_id").select("course_id", "week", "question", "name", "position", "topic")
 
 
-@query("SELECT * FROM (VALUES ('7', 'Question 1', 0, 'Started'), ('7', 'Question 1', 1, 'Submit: x'), ('7', 'Question 1', 2, 'Attempt finished')) t(student_uid, question, position, action)", log=False)
+@query(f"WITH {STEPS} SELECT course_id, week, CAST(student_id AS VARCHAR) AS student_uid, 'Question ' || question_id AS question, n - 1 AS position, CASE WHEN response_type = 'Started' THEN 'Started' ELSE response_type || ': ' || pass END AS action FROM h")
 def explode_history(spark, d):
-    from learntrail.sources.readers import lab_history
-
-    return lab_history(_labs(spark)).select("student_uid", "question", "position", "action")
+    """The steps of all histories in the lab files."""
+    return readers.lab_history(_course(readers.scan_labs(spark, _lab_files(spark, d))), "course_id").select("course_id", "week", "student_uid", "question", F.col("position").cast("long").alias("position"), "action")
 
 
-@query("SELECT '7' AS student_uid, 'Question 1' AS question, 'Submit: x' AS action, '1' AS score", log=False)
+@query(f"WITH {STEPS} SELECT course_id, week, CAST(student_id AS VARCHAR) AS student_uid, 'Question ' || question_id AS question, n - 2 AS attempt, round(fraction, 4) AS score, strftime(ts, '%d/%m/%y, %H:%M:%S') AS time, CASE WHEN response_type = 'Started' THEN 'Started' ELSE response_type || ': ' || pass END AS response FROM h WHERE n > 1 AND n < m")
 def legacy_score_cube(spark, d):
-    """The history without its first and last step."""
-    from learntrail.sources.readers import lab_history
+    """Histories without their first and last step, numbered anew: score over the question's maximum (blank is 0), time and response."""
+    h = readers.lab_history(_course(readers.scan_labs(spark, _lab_files(spark, d))), "course_id")
+    h = h.withColumn("last", F.max("position").over(Window.partitionBy("course_id", "week", "student_uid", "question"))).where("position > 0 AND position < last")
+    score = F.coalesce(F.nullif("score", F.lit("")).cast("double"), F.lit(0.0)) / 1.0
+    return h.select("course_id", "week", "student_uid", "question", (F.col("position") - 1).cast("long").alias("attempt"), F.round(score, 4).alias("score"), "time", F.col("action").alias("response"))
 
-    h = lab_history(_labs(spark)).withColumn("last", F.max("position").over(Window.partitionBy("student_uid", "question")))
-    return h.where("position > 0 AND position < last").select("student_uid", "question", "action", "score")
 
+@query("SELECT row_id AS attempt_id, student_id, course_id, section_id, question_id AS question_unittest_id, timestamp, is_exam, response_type, 'line one' || chr(10) || '\"quoted\", ' || response_type AS response, pass FROM log")
+def csv_round_trip(spark, d):
+    """The log written as CSV with line breaks and quotes in it, and read back with the declared schema; bit strings stay text."""
+    log, path = attempt_log(spark, d), shared_folder(spark)
+    readers.write_submissions(log.select("student_id", "course_id", "section_id", F.col("question_id").alias("question_unittest_id"), F.col("row_id").alias("attempt_id"), "timestamp", "is_exam", "response_type", F.concat(F.lit('line one\n"quoted", '), "response_type").alias("response"), "pass"), path)
+    return readers.scan_submissions(spark, path)
 
-@query("SELECT * FROM (VALUES (1, '', 'a', 'root'), (2, 'a', 'b', 'left'), (2, 'a', 'c', 'right'), (3, 'b', 'd', 'leaf')) t(level, parent_id, id, label)", log=False)
+
+@query("SELECT CAST(student_id AS VARCHAR) AS student_id, CAST(course_id AS VARCHAR) AS course_id, CAST(section_id AS VARCHAR) AS section_id, CAST(question_id AS VARCHAR) AS question_unittest_id, CAST(attempt_id AS VARCHAR) AS attempt_id, timestamp, CAST(is_exam AS VARCHAR) AS is_exam, response_type, pass AS response, pass, 'model' AS model, 'p' || row_id AS prompt, CAST(NULL AS VARCHAR) AS raw_response FROM sub")
+def jsonl_round_trip(spark, d):
+    """Simulated attempts written as JSON lines, all fields text, and read back; fields that a line lacks are null."""
+    s, path = submissions(spark, d), shared_folder(spark)
+    rows = s.select("student_id", "course_id", "section_id", F.col("question_id").alias("question_unittest_id"), "attempt_id", "timestamp", "is_exam", "response_type", F.col("pass").alias("response"), "pass", F.lit("model").alias("model"), F.concat(F.lit("p"), F.col("row_id").cast("string")).alias("prompt"))
+    readers.write_lines(rows, path)
+    return readers.scan_lines(spark, path)
+
+
+@query("SELECT 1 AS level, '' AS parent_id, 'r' || r_regionkey AS id, r_name AS label FROM region UNION ALL SELECT 2, 'r' || n_regionkey, 'n' || n_nationkey, n_name FROM nation UNION ALL SELECT 3, 'n' || s_nationkey, 's' || s_suppkey, s_name FROM supplier", log=False)
 def tree_flatten(spark, d):
-    """A tree of at most five levels as an adjacency table: its nodes are keyed by level, parents by position."""
-    nodes = spark.createDataFrame([("a", "root", ""), ("b", "left", "a"), ("c", "right", "a"), ("d", "leaf", "b")], "id string, label string, parent_id string")
+    """A tree of at most five levels as an adjacency table, here of regions, nations and suppliers: each level joins the one above."""
+    r, n, s = (table(spark, d, t) for t in ("region", "nation", "supplier"))
+    named = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    nodes = r.select(named("r", "r_regionkey").alias("id"), F.col("r_name").alias("label"), F.lit("").alias("parent_id"))
+    nodes = nodes.unionAll(n.select(named("n", "n_nationkey"), "n_name", named("r", "n_regionkey"))).unionAll(s.select(named("s", "s_suppkey"), "s_name", named("n", "s_nationkey")))
     level = nodes.where("parent_id = ''").withColumn("level", F.lit(1))
     out = level
     for k in range(2, 6):
@@ -100,6 +138,42 @@ def tau_decomposition(spark, d):
     return before.join(after, "student_id", "left")
 
 
+@query()
+def tau_drop(spark, d):
+    """How far centring by the other key lowers the mean tau, in percent of its size: by learner and by question."""
+    g = submissions(spark, d).groupBy("student_id", "question_id").agg(F.count("*").alias("x"), (10 * F.max("fraction")).alias("y"))
+    out = None
+    for key, other in (("student_id", "question_id"), ("question_id", "student_id")):
+        w = Window.partitionBy(other)
+        centred = g.select("student_id", "question_id", F.round(F.col("x") - F.avg("x").over(w), 9).alias("x"), F.round(F.col("y") - F.avg("y").over(w), 9).alias("y"))
+        before, after = (E.kendall_tau(f, [key], "x", "y").agg(F.avg("tau").alias(a), F.count("tau").alias(f"n_{a}")) for f, a in ((g, "before"), (centred, "after")))
+        row = before.join(F.broadcast(after)).select(F.lit(key).alias("key"), "before", "after", "n_before", "n_after", (100 * (F.col("before") - F.col("after")) / F.greatest(F.abs("before"), F.lit(1e-9))).alias("drop_pct"))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("WITH a AS (SELECT *, row_number() OVER (PARTITION BY student_id, question_id ORDER BY ts, row_id) - 1 AS attempt FROM sub WHERE student_id IN (SELECT s_suppkey FROM supplier) AND question_id IN (SELECT c_custkey FROM customer) AND fraction > 0.2) SELECT row_id, student_id, question_id, attempt FROM a")
+def replayed_attempts(spark, d):
+    """Attempts numbered anew, from 0, after rows without a current learner or question or with hardly a passed test are dropped."""
+    s = submissions(spark, d).where("fraction > 0.2").join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("student_id")), "student_id", "left_semi")
+    s = s.join(table(spark, d, "customer").select(F.col("c_custkey").alias("question_id")), "question_id", "left_semi").drop("attempt_no")
+    return S.attempt_number(s).select("row_id", "student_id", "question_id", (F.col("attempt_no") - 1).alias("attempt"))
+
+
+@query("WITH m AS (SELECT student_id, count(*) AS n, avg(fraction) AS rate FROM sub GROUP BY student_id), t AS (SELECT student_id, string_agg('week ' || week || ': ' || r, '; ' ORDER BY week) AS topics FROM (SELECT student_id, week, CAST(CAST(round(1000 * avg(fraction)) AS BIGINT) AS VARCHAR) AS r FROM sub GROUP BY ALL) GROUP BY student_id), p AS (SELECT student_id, md5('You are student ' || student_id || ' with ' || n || ' attempts.' || chr(10) || 'Topics: ' || topics) AS key FROM m JOIN t USING (student_id)) SELECT student_id, key FROM p WHERE key NOT IN (SELECT key FROM p WHERE student_id % 2 = 0)")
+def prompt_cache_misses(spark, d):
+    """Prompts that have still to be sent: their key isn't among the cached answers, here those of learners with even ids."""
+    p = build_prompt(spark, d).select("student_id", "key")
+    return readers.not_done(p, p.where("student_id % 2 = 0"), ["key"]).select("student_id", "key")
+
+
+@query("SELECT student_id, question_id FROM (SELECT DISTINCT student_id, question_id FROM log WHERE response_type = 'Submit') EXCEPT SELECT student_id, question_id FROM log WHERE response_type = 'Prechecked'")
+def resume_pairs(spark, d):
+    """What a run that was stopped has still to do."""
+    log, k = attempt_log(spark, d), ["student_id", "question_id"]
+    return readers.not_done(log.where("response_type = 'Submit'").select(*k).distinct(), log.where("response_type = 'Prechecked'"), k)
+
+
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE length(pass) <> 7) AS mismatched FROM sub")
 def alignment_check(spark, d):
     return submissions(spark, d).agg(F.count("*").alias("n"), F.count_if(F.length("pass") != 7).alias("mismatched"))
@@ -119,18 +193,17 @@ def scenario_4(spark, d):
     return S.top_k(mistake_fix_pairs(spark, d), 1, ["student_id"], F.col("question_id")).drop("rank")
 
 
-@query()
+@query("SELECT student_id, question_id FROM (SELECT DISTINCT student_id, question_id FROM sub) WHERE " + UNIFORM.format(seed="42:", key="student_id") + " < 0.3 AND " + UNIFORM.format(seed="42:", key="student_id || ':' || question_id") + " < 0.5")
 def sample_students(spark, d):
     """A sampling operator: a fixed share of learners, and of each one's questions, by seeded hashes."""
     pairs = submissions(spark, d).select("student_id", "question_id").distinct()
-    share = lambda *c: F.pmod(F.xxhash64(F.lit(42), *c), F.lit(100))
-    return pairs.where((share("student_id") < 30) & (share("student_id", "question_id") < 50))
+    return pairs.where((P.uniform(42, "student_id") < 0.3) & (P.uniform(42, "student_id", "question_id") < 0.5))
 
 
-@query()
+@query("SELECT student_id, item_id, attempt_id, y, " + UNIFORM.format(seed="7:", key="student_id || ':' || item_id || ':' || attempt_id") + " < 0.2 AS held FROM obs")
 def mask_responses(spark, d):
     o = observations(spark, d)
-    return o.withColumn("held", F.pmod(F.xxhash64(F.lit(7), "student_id", "item_id", "attempt_id"), F.lit(10)) < 2).select("student_id", "item_id", "attempt_id", "y", "held")
+    return o.withColumn("held", P.uniform(7, "student_id", "item_id", "attempt_id") < 0.2).select("student_id", "item_id", "attempt_id", "y", "held")
 
 
 @query("SELECT a.doc_id AS left_id, min(b.doc_id) AS right_id FROM documents a JOIN documents b ON a.text = b.text AND b.doc_id < a.doc_id GROUP BY a.doc_id", log=False)

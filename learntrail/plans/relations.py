@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +11,7 @@ from learntrail.operators import evaluation as E
 from learntrail.operators import retrieval as R
 from learntrail.operators import sequence as S
 from learntrail.plans.log import attempt_log, observations, query, submissions, table
-
-
+from learntrail.sources.tables import checkpointed
 
 
 @query("SELECT o_orderkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON c_custkey = o_custkey", log=False)
@@ -89,10 +89,29 @@ def range_prior_events(spark, d):
 ASCII = "regexp_replace(text, '[^ -~]', '', 'g')"
 
 
-@query(f"WITH b AS (SELECT item_id, {ASCII} AS s FROM benchmark) SELECT a.item_id AS left_id, b.item_id AS right_id, CAST(levenshtein(a.s, b.s) AS BIGINT) AS distance FROM b a JOIN b ON a.s[1:1] = b.s[1:1] AND a.item_id < b.item_id WHERE abs(length(a.s) - length(b.s)) <= 150 AND levenshtein(a.s, b.s) <= 150", log=False)
+def _alike(spark, d):
+    """Documents with their class of equal texts within a source, and the links between classes: edit distance at most a tenth of the longer."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    classes = checkpointed(R.text_classes(docs, "doc_id", "text", "source"))
+    firsts = docs.join(classes.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
+    return classes, checkpointed(R.edit_pairs(firsts, "doc_id", "text", "source").select(F.col("left_id").alias("u"), F.col("right_id").alias("v")))
+
+
+@query()
 def similar_pairs(spark, d):
-    b = table(spark, d, "benchmark").withColumn("s", F.regexp_replace("text", "[^ -~]", "")).withColumn("head", F.substring("s", 1, 1))
-    return R.edit_pairs(b, "item_id", "s", "head", 150).select("left_id", "right_id", F.col("distance").cast("long").alias("distance"))
+    """Each document's class of equal texts within its source, and how many other classes there are within a tenth of the longer text's length in edits."""
+    classes, edges = _alike(spark, d)
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    links = both.groupBy(F.col("u").alias("class_id")).agg(F.count("*").alias("n_links"))
+    return classes.join(links, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+@query()
+def plagiarism_greedy(spark, d):
+    """The greedy filter in order of id within a source: a document is accepted unless an accepted one before it lies within a tenth of the longer text in edits."""
+    classes, edges = _alike(spark, d)
+    accepted = R.greedy_accepted(classes.where("doc_id = class_id").select(F.col("doc_id").alias("id")), edges)
+    return classes.join(accepted.select(F.col("id").alias("doc_id"), F.lit(True).alias("accepted")), "doc_id", "left").select("doc_id", "class_id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
 @query(f"""WITH q AS (SELECT doc_id, {ASCII} AS s FROM documents WHERE doc_id % 100 = 0), b AS (SELECT item_id, {ASCII} AS s FROM benchmark), x AS (SELECT q.doc_id, b.item_id, levenshtein(q.s, b.s) AS ed FROM q CROSS JOIN b)
@@ -161,7 +180,7 @@ def distinct_students(spark, d):
 @query("SELECT student_id, dense_rank() OVER (ORDER BY first_row) - 1 AS student_idx FROM (SELECT student_id, min(row_id) AS first_row FROM log GROUP BY student_id)")
 def surrogate_ids(spark, d):
     first = attempt_log(spark, d).groupBy("student_id").agg(F.min("row_id").alias("f"))
-    return first.select("student_id", (F.dense_rank().over(Window.orderBy("f")) - 1).cast("long").alias("student_idx"))
+    return S.ranked(first, F.col("f")).select("student_id", F.col("_rank").alias("student_idx"))
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS canonical_id FROM documents", log=False)
@@ -173,9 +192,8 @@ def dedup_items(spark, d):
 @query("WITH c AS (SELECT student_id, count(*) AS n FROM log GROUP BY student_id), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, student_id) - 1 AS i, (SELECT count(*) FROM c) AS m FROM c) SELECT student_id, n FROM r WHERE i IN (SELECT CAST(floor(k * (m - 1) / 9.0) AS BIGINT) FROM (SELECT unnest(generate_series(0, 9)) AS k), (SELECT max(m) AS m FROM r))")
 def spread_students(spark, d):
     c = attempt_log(spark, d).groupBy("student_id").agg(F.count("*").alias("n"))
-    r = c.withColumn("i", F.row_number().over(Window.orderBy(F.desc("n"), "student_id")) - 1).withColumn("m", F.count("*").over(Window.partitionBy()))
-    places = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.floor(k * (F.col("m") - 1) / F.lit(9.0)))
-    return r.where(F.array_contains(places, F.col("i").cast("long"))).select("student_id", "n")
+    places = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.floor(k * (F.col("_rows") - 1) / F.lit(9.0)))
+    return S.ranked(c, F.desc("n"), F.col("student_id")).where(F.array_contains(places, F.col("_rank"))).select("student_id", "n")
 
 
 @query("SELECT DISTINCT student_id FROM log ORDER BY student_id LIMIT 25")
@@ -202,7 +220,7 @@ AUC = "b AS (SELECT {k} s, sum(y) AS pos, sum(1 - y) AS neg FROM pred GROUP BY A
 
 @query(f"WITH {PRED}, {AUC.format(k='', w='')} SELECT round(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 8) AS auc FROM c")
 def roc_auc(spark, d):
-    return E.roc_auc(predictions(spark, d).withColumn("g", F.lit(1)), ["g"], p="s").select(F.round("auc", 8).alias("auc"))
+    return E.whole_auc(predictions(spark, d), p="s").select(F.round("auc", 8).alias("auc"))
 
 
 METRICS = """round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0 END), 8) AS accuracy,
@@ -220,9 +238,10 @@ def eval_metrics(spark, d):
     return _rounded(E.binary_metrics(predictions(spark, d), []))
 
 
-@query(f"WITH {PRED} SELECT attempt_id, {METRICS} FROM pred GROUP BY attempt_id HAVING count(*) >= 10")
+@query(f"WITH {PRED}, {AUC.format(k='attempt_id,', w='PARTITION BY attempt_id')}, m AS (SELECT attempt_id, {METRICS} FROM pred GROUP BY attempt_id HAVING count(*) >= 10), r AS (SELECT attempt_id, round(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 8) AS auc FROM c GROUP BY attempt_id) SELECT * FROM m JOIN r USING (attempt_id)")
 def metrics_per_attempt(spark, d):
-    return _rounded(E.binary_metrics(predictions(spark, d), ["attempt_id"])).where("n >= 10")
+    p = predictions(spark, d)
+    return _rounded(E.binary_metrics(p, ["attempt_id"]).where("n >= 10").join(E.roc_auc(p, ["attempt_id"], p="s"), "attempt_id"))
 
 
 @query(f"WITH {PRED} SELECT round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 8) AS log_loss, round(avg(y), 8) AS base_rate, round(avg(p), 8) AS mean_p FROM pred")
@@ -304,6 +323,32 @@ def _chains(spark, d):
     return attempt_log(spark, d).select((F.col("student_id") % 5).cast("string").alias("param"), (F.col("student_id") % 3).alias("chain"), F.col("row_id").alias("draw"), "value")
 
 
+@query()
+def bootstrap_metrics(spark, d):
+    """Intervals of balanced accuracy, F1 and the area under the curve by attempt, from 500 replicates."""
+    return E.bootstrap_metrics(predictions(spark, d), ["attempt_id"])
+
+
+@query()
+def bootstrap_metrics_by_course(spark, d):
+    """The same by course, from 2,000 replicates."""
+    return E.bootstrap_metrics(predictions(spark, d).withColumn("course_id", F.col("student_id") % 4), ["course_id"], replicates=2000)
+
+
+@query("""WITH c AS (SELECT CAST(student_id % 5 AS VARCHAR) AS param, student_id % 3 AS chain, row_id AS draw, value FROM log), m AS (SELECT *, value - avg(value) OVER (PARTITION BY param, chain) AS v FROM c), k AS (SELECT unnest(generate_series(1, 5)) AS lag), n AS (SELECT *, row_number() OVER (PARTITION BY param, chain ORDER BY draw) AS i FROM m),
+s AS (SELECT param, chain, sum(v * v) AS s FROM m GROUP BY ALL) SELECT a.param, a.chain, CAST(k.lag AS BIGINT) AS lag, round(sum(a.v * b.v) / any_value(s.s), 8) + 0.0 AS acf FROM n a CROSS JOIN k JOIN n b ON b.param = a.param AND b.chain = a.chain AND b.i = a.i - k.lag JOIN s ON s.param = a.param AND s.chain = a.chain GROUP BY ALL""")
+def autocorrelation(spark, d):
+    return E.autocorrelation(_chains(spark, d), 5).withColumn("acf", F.round("acf", 8))
+
+
+@query()
+def chain_summary(spark, d):
+    """One row for each parameter: mean, spread, split R-hat, the effective size summed over chains, and the number of draws."""
+    c = _chains(spark, d)
+    base = c.groupBy("param").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count("*").alias("n"))
+    return base.join(E.split_rhat(c), "param").join(E.effective_size(c), "param")
+
+
 @query()
 def ess(spark, d):
     return E.effective_size(_chains(spark, d))
@@ -320,9 +365,9 @@ def embedding_cosine_topk(spark, d):
     return R.cosine_topk(v.where("vec_id % 100 = 0"), v, 5).select("vec_id", "label", F.col("rank").alias("rn"), "cos")
 
 
-TFIDF = """WITH t AS (SELECT doc_id, lower(w) AS w FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[^ -~]', ' ', 'g'), '[A-Za-z]{2,}')) AS w FROM documents )), tf AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS n FROM tf),
-idf AS (SELECT w, ln((1.0 + max(n)) / (1 + count(*))) + 1 AS idf FROM tf, n GROUP BY w), x AS (SELECT doc_id, w, tf * idf AS v FROM tf JOIN idf USING (w)), u AS (SELECT doc_id, w, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS v FROM x),
-s AS (SELECT a.doc_id AS query_id, b.doc_id, round(sum(a.v * b.v), 8) AS similarity FROM u a JOIN u b USING (w) WHERE a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM s)"""
+TFIDF = f"""WITH t AS (SELECT doc_id, lower(w) AS w FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[^ -~]', ' ', 'g'), '[A-Za-z]{{2,}}')) AS w FROM documents)), tf AS (SELECT doc_id, w, count(*) AS tf FROM t WHERE w NOT IN ({', '.join(f"'{w}'" for w in R.STOP_WORDS)}) GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS n FROM documents),
+idf AS (SELECT w, ln((1.0 + max(n)) / (1 + count(*))) + 1 AS idf FROM tf, n GROUP BY w ORDER BY sum(tf) DESC, w LIMIT 5000), x AS (SELECT doc_id, w, tf * idf AS v FROM tf JOIN idf USING (w)), u AS (SELECT doc_id, w, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS v FROM x),
+s AS (SELECT a.doc_id AS query_id, b.doc_id, round(sum(a.v * b.v), 8) AS similarity FROM u a JOIN u b USING (w) WHERE a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM s WHERE similarity > 0)"""
 
 
 @query(TFIDF + " SELECT query_id, doc_id, similarity, rank FROM r WHERE rank <= 5", log=False)
@@ -330,11 +375,12 @@ def tfidf_similarity(spark, d):
     return R.tfidf_topk(table(spark, d, "documents"), F.col("doc_id") % 100 == 0, 5)
 
 
-@query(TFIDF + ", z AS (SELECT query_id, doc_id, 0.5 * similarity + 0.5 * exp(-0.693 * abs(query_id - doc_id) / 28.0) AS score FROM s), y AS (SELECT query_id, doc_id, round(score, 7) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 7) DESC, doc_id) AS rank FROM z) SELECT * FROM y WHERE rank <= 5", log=False)
+@query(TFIDF + """, p AS (SELECT a.doc_id AS query_id, b.doc_id FROM (SELECT DISTINCT doc_id FROM u WHERE doc_id % 100 = 0) a, (SELECT DISTINCT doc_id FROM u) b WHERE a.doc_id <> b.doc_id),
+z AS (SELECT query_id, doc_id, 0.5 * coalesce(similarity, 0) + 0.5 * exp(-0.693 * abs(query_id - doc_id) / 28.0) AS score FROM p LEFT JOIN s USING (query_id, doc_id)), y AS (SELECT query_id, doc_id, round(score, 7) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 7) DESC, doc_id) AS rank FROM z) SELECT * FROM y WHERE rank <= 5""", log=False)
 def retrieve_similar(spark, d):
-    s = R.tfidf_topk(table(spark, d, "documents"), F.col("doc_id") % 100 == 0, None)
-    z = s.withColumn("score", F.round(0.5 * F.col("similarity") + 0.5 * P.recency_weight(F.abs(F.col("query_id") - F.col("doc_id"))), 7))
-    return S.top_k(z.select("query_id", "doc_id", "score"), 5, ["query_id"], F.desc("score"), F.col("doc_id"))
+    """Half similarity, half recency with a half-life of 28 days; the distance of ids stands for days."""
+    score = lambda s, q, o: 0.5 * np.round(s, 8) + 0.5 * np.exp(-0.693 * np.abs(q - o) / 28.0)
+    return R.tfidf_topk(table(spark, d, "documents"), F.col("doc_id") % 100 == 0, 5, score, digits=7).withColumnRenamed("similarity", "score")
 
 
 @query("WITH r AS (SELECT student_id, row_id, round(exp(-0.693 * (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 8.64e10 / 28), 8) AS weight, row_number() OVER (PARTITION BY student_id ORDER BY ts DESC, row_id DESC) AS rank FROM sub) SELECT * FROM r WHERE rank <= 5")

@@ -40,7 +40,7 @@ def parse_score(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", P.max_score(text).alias("score"))
 
 
-@query("SELECT s_suppkey, 'Unittest 1:' || chr(10) || 'Input: ' || s_name || chr(10) || 'Std: a' || chr(10) || 'Output: 1' || chr(10) || chr(10) || 'Unittest 2:' || chr(10) || 'Input: b' || chr(10) || 'Std: ' || chr(10) || 'Output: 2' AS block, CAST(2 AS BIGINT) AS n, s_name AS first_input FROM supplier", log=False)
+@query("SELECT s_suppkey, 'Unittest 0:' || chr(10) || 'Input: ' || s_name || chr(10) || 'STD input: a' || chr(10) || 'Output: 1' || chr(10) || chr(10) || 'Unittest 1:' || chr(10) || 'Input: b' || chr(10) || 'STD input: ' || chr(10) || 'Output: 2' AS block, CAST(2 AS BIGINT) AS n, s_name AS first_input FROM supplier", log=False)
 def format_unittests(spark, d):
     tests = F.array(F.struct(F.col("s_name").alias("input"), F.lit("a").alias("std_in"), F.lit("1").alias("output")), F.struct(F.lit("b").alias("input"), F.lit("").alias("std_in"), F.lit("2").alias("output")))
     x = table(spark, d, "supplier").withColumn("block", P.format_unit_tests(tests)).withColumn("t", P.unit_tests(F.col("block")))
@@ -56,15 +56,59 @@ def extract_code(spark, d):
 
 
 @query("""SELECT doc_id, array_to_string(regexp_split_to_array(trim(text), '\\s+')[1:150], ' ') AS head, length(text) AS n_chars, len(string_split(text, chr(10))) AS n_lines,
-CASE WHEN len(string_split(text, chr(10))) > 3 THEN array_to_string(string_split(text, chr(10))[1:3], chr(10)) || chr(10) || '...' ELSE text END AS short FROM documents""", log=False)
+CASE WHEN len(string_split(text, chr(10))) > 40 THEN array_to_string(string_split(text, chr(10))[1:40], chr(10)) || chr(10) || '... (truncated)' ELSE text END AS short FROM documents""", log=False)
 def first_tokens(spark, d):
     c = F.col("text")
-    return table(spark, d, "documents").select("doc_id", P.first_tokens(c).alias("head"), F.length(c).cast("long").alias("n_chars"), F.size(F.split(c, "\n")).cast("long").alias("n_lines"), P.truncate_lines(c, 3, "...").alias("short"))
+    return table(spark, d, "documents").select("doc_id", P.first_tokens(c).alias("head"), F.length(c).cast("long").alias("n_chars"), F.size(F.split(c, "\n")).cast("long").alias("n_lines"), P.truncate_lines(c).alias("short"))
 
 
-@query("SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_type), '[_-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS topic, CASE WHEN regexp_replace(p_brand, '[^A-Za-z]', '', 'g') ILIKE 'cc%' THEN 'honours' WHEN p_brand ILIKE 'l%' THEN 'standard' ELSE 'other' END AS section, md5(p_name || '|' || p_brand) AS prompt_key FROM part", log=False)
+@query("""WITH p AS (SELECT *, CASE p_size % 4 WHEN 0 THEN 'Exam_' || p_name WHEN 1 THEN replace(p_type, ' ', '_') || '_Inlab' WHEN 2 THEN replace(p_type, ' ', '_') || '_PostLab' ELSE p_type || '_' END AS raw,
+CASE p_size % 5 WHEN 0 THEN 'L01' WHEN 1 THEN 'CC02' WHEN 2 THEN 'cn-3' WHEN 3 THEN 'DT' ELSE 'LCC7' END AS section_name FROM part)
+SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Exam' ELSE trim(replace(p_type, '_', ' ')) END AS topic,
+CASE p_size % 5 WHEN 1 THEN 'Credit-Constrained' WHEN 2 THEN 'Compact' WHEN 3 THEN 'Deferred/Repeat' ELSE 'Regular' END AS section, md5(raw || '|' || section_name) AS prompt_key FROM p""", log=False)
 def normalize_topic(spark, d):
-    return table(spark, d, "part").select("p_partkey", P.normalize_topic(F.col("p_type")).alias("topic"), P.section_type(F.col("p_brand")).alias("section"), F.md5(F.concat_ws("|", "p_name", "p_brand")).alias("prompt_key"))
+    spaced = F.replace("p_type", F.lit(" "), F.lit("_"))
+    raw = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("Exam_"), "p_name")).when(F.col("p_size") % 4 == 1, F.concat(spaced, F.lit("_Inlab"))).when(F.col("p_size") % 4 == 2, F.concat(spaced, F.lit("_PostLab"))).otherwise(F.concat("p_type", F.lit("_")))
+    section = F.element_at(F.array(*map(F.lit, ("L01", "CC02", "cn-3", "DT", "LCC7"))), F.col("p_size") % 5 + 1)
+    return table(spark, d, "part").select("p_partkey", P.normalize_topic(raw).alias("topic"), P.section_type(section).alias("section"), F.md5(F.concat_ws("|", raw, section)).alias("prompt_key"))
+
+
+@query("""SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN 'Programming Fundamentals (Spring 2023)' WHEN 1 THEN 'Data Structures \\& Algorithms (Fall 2022)' WHEN 2 THEN 'ML (Fall 2023)' ELSE 'MISC' END AS course,
+replace(replace(replace(c_name || '_50%', '_', chr(92) || '_'), '%', chr(92) || '%'), '#', chr(92) || '#') AS name, CASE WHEN c_custkey < 60 THEN printf('%.0f', c_custkey + 1e-9) || ' seconds' WHEN c_custkey < 3600 THEN printf('%.1f', c_custkey / 60.0 + 1e-9) || ' minutes' ELSE printf('%.1f', c_custkey / 3600.0 + 1e-9) || ' hours' END AS pause FROM customer""".replace("\\\\", "\\"), log=False)
+def label_course(spark, d):
+    """Course labels, escaped names and durations of a report."""
+    code = F.element_at(F.array(*map(F.lit, ("pf_hk232", "DSA_hk221", "ml_hk231x", "misc_x"))), F.col("c_nationkey") % 4 + 1)
+    return table(spark, d, "customer").select("c_custkey", P.course_label(code).alias("course"), P.escape_latex(F.concat("c_name", F.lit("_50%"))).alias("name"), P.duration(F.col("c_custkey").cast("double")).alias("pause"))
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 = 0 OR EXISTS (SELECT 1 FROM customer WHERE c_custkey % 300 = s_suppkey AND c_mktsegment IN ('BUILDING', 'MACHINERY'))", log=False)
+def filter_class_group(spark, d):
+    """Learners that belong to a class: by their own class, or by one of the groups that hold everybody; here every seventh asks for all classes."""
+    named = F.when(F.col("c_mktsegment") == "MACHINERY", "All").otherwise(F.col("c_mktsegment"))
+    details = table(spark, d, "customer").select((F.col("c_custkey") % 300).alias("s_suppkey"), named.alias("group"))
+    s = table(spark, d, "supplier").select("s_suppkey").withColumn("wanted", F.when(F.col("s_suppkey") % 7 == 0, "all").otherwise("BUILDING"))
+    whole = s.where(F.lower("wanted") == "all")
+    some = s.where(F.lower("wanted") != "all").join(details.alias("g"), (s.s_suppkey == F.col("g.s_suppkey")) & ((F.col("g.group") == s.wanted) | F.col("g.group").isin("All", "No groups")), "left_semi")
+    return whole.unionByName(some).select("s_suppkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity % 10 = 0 THEN 0.0 WHEN l_quantity > 40 THEN NULL ELSE round(l_quantity / 40, 6) END AS score, l_quantity > 40 AND l_quantity % 10 <> 0 AS over_max FROM lineitem", log=False)
+def normalize_score(spark, d):
+    """A score's text over its maximum; blank is 0, and one beyond the maximum has no value and is reported."""
+    text = F.when(F.col("l_quantity") % 10 == 0, "").otherwise(F.col("l_quantity").cast("string"))
+    score = F.coalesce(F.nullif(F.trim(text), F.lit("")).cast("double"), F.lit(0.0))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(score <= 40, F.round(score / 40, 6)).alias("score"), (score > 40).alias("over_max"))
+
+
+@query("SELECT student_id, item_id, attempt_id, CAST(round(CAST(y AS DOUBLE) * 0.98 + 0.01, 6) AS DOUBLE) AS y FROM obs")
+def smooth_labels(spark, d):
+    return observations(spark, d).select("student_id", "item_id", "attempt_id", F.round(P.smoothed(F.col("y")), 6).alias("y"))
+
+
+@query("WITH q AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'Question text ' || text WHEN item_id % 3 = 1 THEN text || ' Answer:(penalty regime: 10 %) box' ELSE text END AS t, text FROM benchmark) SELECT item_id, trim(CASE WHEN contains(t, 'Answer:(penalty regime:') THEN string_split(replace(t, 'Question text ', ''), 'Answer:(penalty regime:')[1] ELSE replace(t, 'Question text ', '') END) AS text FROM q", log=False)
+def normalize_question(spark, d):
+    t = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("Question text "), "text")).when(F.col("item_id") % 3 == 1, F.concat("text", F.lit(" Answer:(penalty regime: 10 %) box"))).otherwise(F.col("text"))
+    return table(spark, d, "benchmark").select("item_id", F.trim(P.normalize_question(t)).alias("text"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_nationkey < 8 THEN 'low' WHEN c_nationkey < 16 THEN 'mid' ELSE 'high' END AS bucket FROM customer WHERE c_nationkey < 20", log=False)
@@ -98,11 +142,12 @@ def assemble_question_text(spark, d):
     return table(spark, d, "part").select("p_partkey", F.concat_ws("\n\n", "p_name", F.concat(F.lit("Template:\n"), t)).alias("text"), F.coalesce(t, F.concat(F.lit("Question "), F.col("p_partkey").cast("string"))).alias("label"), F.round(F.coalesce(F.try_divide(F.col("p_size").cast("double"), F.lit(50.0)), F.lit(0.0)), 6).alias("score"))
 
 
-@query("""WITH t AS (SELECT conv_id, list(role || ': ' || text ORDER BY turn) AS m FROM conversations GROUP BY conv_id) SELECT conv_id, array_to_string(CASE WHEN len(m) > 5 THEN list_concat(m[1:1], m[-4:]) ELSE m END, chr(10)) AS trimmed FROM t""", log=False)
-def trim_conversation(spark, d):
+@query("""WITH t AS (SELECT conv_id, list(role || ': ' || text ORDER BY turn) AS m FROM conversations GROUP BY conv_id) SELECT conv_id, array_to_string(CASE WHEN len(m) > 9 THEN list_concat(m[1:1], m[-8:]) ELSE m END, chr(10)) AS trimmed FROM t""", log=False)
+def trim_conversation(spark, d, last: int = 8):
+    """Of a conversation the first message and the ``last`` ones, if it has more."""
     m = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("m")))), lambda x: x["m"])
     t = table(spark, d, "conversations").groupBy("conv_id").agg(m.alias("m"))
-    return t.select("conv_id", F.array_join(F.when(F.size("m") > 5, F.concat(F.slice("m", 1, 1), F.slice("m", -4, 4))).otherwise(F.col("m")), "\n").alias("trimmed"))
+    return t.select("conv_id", F.array_join(F.when(F.size("m") > last + 1, F.concat(F.slice("m", 1, 1), F.slice("m", -last, last))).otherwise(F.col("m")), "\n").alias("trimmed"))
 
 
 @query("SELECT s_suppkey, CAST(g.i AS BIGINT) AS test, replace('run {x} with {i}', '{x}', s_name).replace('{i}', CAST(g.i AS VARCHAR)) AS text FROM supplier, (SELECT unnest(generate_series(1, 3)) AS i) g", log=False)
@@ -157,13 +202,43 @@ def improvement_trend(spark, d):
     return g.select("student_id", S.improvement_class(F.col("gain")).alias("trend"))
 
 
-@query("""WITH m AS (SELECT student_id, count(*) AS n, count(DISTINCT question_id) AS questions, avg(fraction) AS rate, avg(CASE WHEN response_type = 'Prechecked' THEN 1.0 ELSE 0 END) AS precheck FROM sub GROUP BY student_id), q AS (SELECT quantile_cont(rate, 0.25) AS lo, quantile_cont(rate, 0.75) AS hi FROM m)
-SELECT student_id, n, questions, round(rate, 6) AS rate, round(precheck, 6) AS precheck, CASE WHEN rate >= hi THEN 'strong' WHEN rate <= lo THEN 'struggling' ELSE 'steady' END AS archetype FROM m, q""")
+PERSONA = RESP + """, l AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS delta, levenshtein(response, lag(response) OVER w) AS ed, row_number() OVER (PARTITION BY student_id ORDER BY question_id DESC, ts DESC, row_id DESC) AS back FROM r WINDOW w AS (PARTITION BY student_id, question_id ORDER BY ts, row_id)),
+h AS (SELECT median(ed) AS mid FROM l),
+m AS (SELECT student_id, coalesce(avg(delta), 0) AS pause, coalesce(avg(ed), 0) AS edit, count(*) AS n, avg(CAST(response_type = 'Prechecked' AS INT)) AS precheck, count(DISTINCT question_id) AS questions, coalesce(avg(CASE WHEN ed > mid THEN 1.0 WHEN ed IS NOT NULL THEN 0 END), 0.5) AS rewrite,
+ avg(fraction) AS rate, avg(fraction) FILTER (WHERE back <= 10) AS recent, avg(fraction) FILTER (WHERE back <= 3) - avg(fraction) FILTER (WHERE back > 3 AND back <= 6) AS gain, max(back) AS rows, min(course_id) AS course_id, min(section_id) AS section_id, avg(length(response)) AS code_length, avg(len(string_split(response, chr(10)))) AS lines FROM l, h GROUP BY student_id),
+q AS (SELECT quantile_cont(pause, 0.25) AS p25, quantile_cont(pause, 0.75) AS p75, quantile_cont(edit, 0.5) AS e50, quantile_cont(n, 0.5) AS n50 FROM m),
+t AS (SELECT student_id, arg_max(week, rate * 1000 - week * 1e-7) AS strongest, arg_min(week, rate * 1000 + week * 1e-7) AS weakest FROM (SELECT student_id, week, round(avg(fraction), 9) AS rate FROM sub GROUP BY ALL) GROUP BY student_id)
+SELECT student_id, round(pause, 3) AS pause, round(edit, 4) AS edit, n, round(precheck, 6) AS precheck, round(n / questions, 6) AS attempts, round(rewrite, 6) AS rewrite, round(rate, 6) AS rate, round(recent, 6) AS recent,
+ CASE WHEN rows >= 6 AND round(gain, 9) > 0.05 THEN 'improving' WHEN rows >= 6 AND round(gain, 9) < -0.05 THEN 'declining' ELSE 'stable' END AS trend, questions, strongest, weakest, course_id, section_id, CAST(0 AS DOUBLE) AS weeks_into_course, round(code_length, 4) AS code_length, round(lines, 4) AS lines,
+ CASE WHEN lines < 15 THEN 'concise' WHEN lines > 40 THEN 'verbose' ELSE 'moderate' END AS complexity,
+ CASE WHEN pause < p25 AND n > n50 THEN 'rapid_iterator' WHEN pause >= p25 AND pause <= p75 AND edit > e50 THEN 'deliberate_planner' WHEN pause > p75 AND n < n50 THEN 'careful_thinker' ELSE 'balanced' END AS archetype FROM m JOIN t USING (student_id), q"""
+
+
+@query(PERSONA)
 def student_persona(spark, d):
-    m = submissions(spark, d).groupBy("student_id").agg(F.count("*").alias("n"), F.count_distinct("question_id").alias("questions"), F.avg("fraction").alias("rate"), F.avg(F.when(F.col("response_type") == "Prechecked", 1.0).otherwise(0.0)).alias("precheck"))
-    q = m.agg(F.percentile("rate", F.lit(0.25)).alias("lo"), F.percentile("rate", F.lit(0.75)).alias("hi"))
-    kind = F.when(F.col("rate") >= F.col("hi"), "strong").when(F.col("rate") <= F.col("lo"), "struggling").otherwise("steady")
-    return m.join(F.broadcast(q)).select("student_id", "n", "questions", F.round("rate", 6).alias("rate"), F.round("precheck", 6).alias("precheck"), kind.alias("archetype"))
+    """A learner's profile: pace, size of changes, share of prechecks, pass rates, trend, topics, code length, and the archetype that quartiles over all learners give.
+
+    The trend compares the last three pass rates with the three before, in the order of questions and time.
+    """
+    x = S.edit_lag(S.time_delta(with_response(submissions(spark, d), spark, d))).withColumn("ed", F.col("edit_distance").cast("double"))
+    x = x.withColumn("back", F.row_number().over(Window.partitionBy("student_id").orderBy(F.desc("question_id"), F.desc("ts"), F.desc("row_id"))))
+    x = x.join(F.broadcast(x.agg(F.percentile("ed", F.lit(0.5)).alias("mid"))))  # one row
+    last = lambda a, b: F.avg(F.when(F.col("back").between(a, b), F.col("fraction")))
+    m = x.groupBy("student_id").agg(
+        F.coalesce(F.avg("delta_s"), F.lit(0.0)).alias("pause"), F.coalesce(F.avg("ed"), F.lit(0.0)).alias("edit"), F.count("*").alias("n"), F.avg((F.col("response_type") == "Prechecked").cast("int")).alias("precheck"),
+        F.count_distinct("question_id").alias("questions"), F.coalesce(F.avg(F.when(F.col("ed").isNotNull(), (F.col("ed") > F.col("mid")).cast("double"))), F.lit(0.5)).alias("rewrite"), F.avg("fraction").alias("rate"), last(1, 10).alias("recent"),
+        F.round(last(1, 3) - last(4, 6), 9).alias("gain"), F.max("back").alias("rows"), F.min("course_id").alias("course_id"), F.min("section_id").alias("section_id"), F.avg(F.length("response")).alias("code_length"), F.avg(F.size(F.split("response", "\n"))).alias("lines"),
+    )
+    q = m.agg(*[F.percentile(c, F.lit(p)).alias(a) for c, p, a in (("pause", 0.25, "p25"), ("pause", 0.75, "p75"), ("edit", 0.5, "e50"), ("n", 0.5, "n50"))])
+    kind = (
+        F.when((F.col("pause") < F.col("p25")) & (F.col("n") > F.col("n50")), "rapid_iterator")
+        .when(F.col("pause").between(F.col("p25"), F.col("p75")) & (F.col("edit") > F.col("e50")), "deliberate_planner")
+        .when((F.col("pause") > F.col("p75")) & (F.col("n") < F.col("n50")), "careful_thinker").otherwise("balanced")
+    )
+    trend = F.when(F.col("rows") >= 6, S.improvement_class(F.col("gain"))).otherwise("stable")
+    complexity = F.when(F.col("lines") < 15, "concise").when(F.col("lines") > 40, "verbose").otherwise("moderate")
+    shown = lambda c, digits=6: F.round(c, digits).alias(c)
+    return m.join(topic_extremes(spark, d), "student_id").join(F.broadcast(q)).select("student_id", shown("pause", 3), shown("edit", 4), "n", shown("precheck"), F.round(F.col("n") / F.col("questions"), 6).alias("attempts"), shown("rewrite"), shown("rate"), shown("recent"), trend.alias("trend"), "questions", "strongest", "weakest", "course_id", "section_id", F.lit(0.0).alias("weeks_into_course"), shown("code_length", 4), shown("lines", 4), complexity.alias("complexity"), kind.alias("archetype"))
 
 
 @query("""WITH m AS (SELECT student_id, count(*) AS n, avg(fraction) AS rate FROM sub GROUP BY student_id), t AS (SELECT student_id, string_agg('week ' || week || ': ' || r, '; ' ORDER BY week) AS topics FROM (SELECT student_id, week, CAST(CAST(round(1000 * avg(fraction)) AS BIGINT) AS VARCHAR) AS r FROM sub GROUP BY ALL) GROUP BY student_id)
@@ -213,17 +288,19 @@ def dataset_summary(spark, d):
     return a.groupBy("course_id").agg(F.sum("n").alias("submissions"), F.count("*").alias("students"), F.round(F.percentile("n", F.lit(0.5)), 6).alias("median_n"), F.round(F.avg("n"), 6).alias("mean_n"))
 
 
-@query("SELECT student_id, question_id, coalesce(arg_max(row_id, attempt_id) FILTER (WHERE fraction > 0.7), arg_max(row_id, attempt_id)) AS row_id FROM sub GROUP BY ALL")
+@query("SELECT student_id, question_id, coalesce(arg_max(row_id, attempt_id) FILTER (WHERE fraction = 1), arg_max(row_id, attempt_id)) AS row_id FROM sub WHERE response_type = 'Submit' GROUP BY ALL")
 def final_answer(spark, d):
-    right = F.max_by("row_id", F.when(F.col("fraction") > 0.7, F.col("attempt_id")))
-    any_right = F.bool_or(F.col("fraction") > 0.7)
-    return submissions(spark, d).groupBy("student_id", "question_id").agg(F.when(any_right, right).otherwise(F.max_by("row_id", "attempt_id")).alias("row_id"))
+    """The last correct answer of each pair, else its last; prechecks are no answers."""
+    right = F.col("fraction") == 1
+    answers = submissions(spark, d).where("response_type = 'Submit'").groupBy("student_id", "question_id")
+    return answers.agg(F.when(F.bool_or(right), F.max_by("row_id", F.when(right, F.col("attempt_id")))).otherwise(F.max_by("row_id", "attempt_id")).alias("row_id"))
 
 
-@query("""WITH w AS (SELECT student_id, question_id, attempt_id, min(y) = 1 AS ok FROM obs GROUP BY ALL), p AS (SELECT student_id, question_id, arg_max(ok, attempt_id) AS passed, min(attempt_id) FILTER (WHERE ok) + 1 AS first_ok FROM w GROUP BY ALL)
+@query("""WITH w AS (SELECT student_id, question_id, attempt_id, min(y) = 1 AS ok FROM obs WHERE week > 3 AND student_id % 20 < 11 GROUP BY ALL), p AS (SELECT student_id, question_id, arg_max(ok, attempt_id) AS passed, min(attempt_id) FILTER (WHERE ok) + 1 AS first_ok FROM w GROUP BY ALL)
 SELECT question_id, count(*) AS attempted, round(avg(CAST(passed AS INT)), 6) AS solved, round(avg(first_ok), 6) AS mean_first FROM p GROUP BY question_id""")
 def item_difficulty(spark, d):
-    w = observations(spark, d).groupBy("student_id", "question_id", "attempt_id").agg((F.min("y") == 1).alias("ok"))
+    """Of the questions of the weeks to predict, among training learners: how many tried, the share whose last attempt passes all, the mean attempt that first does."""
+    w = observations(spark, d).where("week > 3 AND student_id % 20 < 11").groupBy("student_id", "question_id", "attempt_id").agg((F.min("y") == 1).alias("ok"))
     p = w.groupBy("student_id", "question_id").agg(F.max_by("ok", "attempt_id").alias("passed"), (F.min(F.when(F.col("ok"), F.col("attempt_id"))) + 1).alias("first_ok"))
     return p.groupBy("question_id").agg(F.count("*").alias("attempted"), F.round(F.avg(F.col("passed").cast("int")), 6).alias("solved"), F.round(F.avg("first_ok"), 6).alias("mean_first"))
 

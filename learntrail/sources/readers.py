@@ -29,22 +29,36 @@ def week_topic(name: Column) -> tuple[Column, Column, Column]:
 def scan_labs(spark: SparkSession, path: str) -> DataFrame:
     """Lab files below course and section folders; a question may be an object or an array of them, so it is read as text and parsed twice."""
     files = spark.read.schema(LAB).option("multiLine", True).option("recursiveFileLookup", True).json(path).withColumn("file", F.input_file_name())
-    week, topic, exam = week_topic(F.element_at(F.split("file", "/"), -1))
+    # a file, or a folder of files that Spark wrote under that name
+    week, topic, exam = week_topic(F.concat(F.regexp_extract("file", r".*(W\d+_[^/]*)\.json", 1), F.lit(".json")))
     return files.withColumns({"week": week, "topic": topic, "is_exam": exam})
 
 
-def lab_questions(labs: DataFrame) -> DataFrame:
-    """One row for each question or sub-question."""
+def lab_questions(labs: DataFrame, *keep: str) -> DataFrame:
+    """One row for each question or sub-question, with the lab's columns ``keep``."""
     one = F.from_json("q", _QUESTION)
     many = F.from_json("q", f"array<{_QUESTION}>")
-    rows = labs.select("lab_name", "week", "topic", F.posexplode("list_questions").alias("position", "q"))
-    return rows.select("lab_name", "week", "topic", "position", F.explode(F.when(F.ltrim("q").startswith("["), many).otherwise(F.array(one))).alias("question")).select("lab_name", "week", "topic", "position", "question.*")
+    rows = labs.select(*keep, "lab_name", "week", "topic", F.posexplode("list_questions").alias("position", "q"))
+    return rows.select(*keep, "lab_name", "week", "topic", "position", F.explode(F.when(F.ltrim("q").startswith("["), many).otherwise(F.array(one))).alias("question")).select(*keep, "lab_name", "week", "topic", "position", "question.*")
 
 
-def lab_history(labs: DataFrame) -> DataFrame:
-    """One row for each step of each learner's history at each question."""
-    a = labs.select("lab_name", "week", F.explode_outer("student_answers").alias("a")).select("lab_name", "week", F.col("a.id").alias("student_uid"), F.explode_outer("a.response_history").alias("h"))
-    return a.select("lab_name", "week", "student_uid", F.col("h.question").alias("question"), F.posexplode_outer("h.results").alias("position", "r")).select("lab_name", "week", "student_uid", "question", "position", "r.*")
+def lab_history(labs: DataFrame, *keep: str) -> DataFrame:
+    """One row for each step of each learner's history at each question, with the lab's columns ``keep``."""
+    a = labs.select(*keep, "lab_name", "week", F.explode_outer("student_answers").alias("a")).select(*keep, "lab_name", "week", F.col("a.id").alias("student_uid"), F.explode_outer("a.response_history").alias("h"))
+    return a.select(*keep, "lab_name", "week", "student_uid", F.col("h.question").alias("question"), F.posexplode_outer("h.results").alias("position", "r")).select(*keep, "lab_name", "week", "student_uid", "question", "position", "r.*")
+
+
+LINE = "student_id string, course_id string, section_id string, question_unittest_id string, attempt_id string, timestamp string, is_exam string, response_type string, response string, pass string, model string, prompt string, raw_response string"
+
+
+def write_lines(df: DataFrame, path: str) -> None:
+    """One JSON object a line, every field as text; nulls are left out."""
+    df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).write.mode("append").json(path)
+
+
+def scan_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Simulated attempts from JSON lines; a field that a line lacks is null."""
+    return spark.read.schema(LINE).json(path)
 
 
 def merge_shards(*shards: DataFrame) -> DataFrame:

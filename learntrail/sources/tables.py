@@ -1,18 +1,30 @@
-"""Cutting lineage in iterative estimators."""
+"""Folders that all executors share: cutting lineage in iterative estimators, and files that a query writes."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` from a reliable checkpoint in the folder that spark.checkpoint.dir names; only a local session gets one of its own."""
-    sc = df.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only a local session gets one of its own."""
+    sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
         if not named and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return (named or sc.getCheckpointDir()).rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path below ``shared_root``."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` from a reliable checkpoint. The context's cleaner removes it with spark.cleaner.referenceTracking.cleanCheckpoints."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
