@@ -17,6 +17,8 @@ PRIME = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Words handled together by one numpy pass inside a task: bounds its memory whatever the documents' lengths.
 CHUNK_BYTES = 8_000_000
+#: With these, shuffle files go when a write has ended, and not when the driver's collector comes to them.
+SHUFFLE_CLEANUP = ("spark.sql.shuffleDependency.fileCleanup.enabled", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
 #: A group of one in so many rows is hot.
 HOT = 1000
 
@@ -41,7 +43,12 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    before = {key: spark.conf.get(key, None) for key in SHUFFLE_CLEANUP}
+    for key in SHUFFLE_CLEANUP:
+        spark.conf.set(key, "true")
     df.write.option("compression", codec).parquet(path)
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

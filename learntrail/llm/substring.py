@@ -67,7 +67,8 @@ def _meet(records: DataFrame, buckets: int, later_only: bool) -> DataFrame:
         _, keys, at, _, _ = _unpacked(group[group.kind == _LOCAL])
         ids, own, where, hashes, more = _unpacked(group[group.kind == _SENT])
         del group
-        ids = ids if later_only else own
+        if not later_only:
+            ids, hashes, more = own, more, _NONE
         order, run, first = _ordered(ids, hashes, more)
         ids, own, where = ids[order], own[order], where[order]
         if later_only:
@@ -93,7 +94,11 @@ def _presettled(ids: np.ndarray, keys: np.ndarray, at: np.ndarray, hashes: np.nd
         shared = (ids[last] > ids[first])[run]
     yield _packed(_LOCAL, (keys[shared].view(np.uint64) % np.uint64(buckets)).astype(np.int64), ids[:0], keys[shared], at[shared], hashes[:0], more[:0])
     rest = ~settled
-    yield _packed(_SENT, (hashes[rest] % np.uint64(buckets)).astype(np.int64), ids[rest] if later_only else ids[:0], keys[rest], at[rest], hashes[rest], more[rest] if len(more) else more)
+    bucket = (hashes[rest] % np.uint64(buckets)).astype(np.int64)
+    if later_only:
+        yield _packed(_SENT, bucket, ids[rest], keys[rest], at[rest], hashes[rest], more[rest])
+    else:  # a bucket holds the same number of anchors at every size: 32 bits more part them, and a false one only costs a look
+        yield _packed(_SENT, bucket, ids[:0], keys[rest], at[rest], hashes[:0], (hashes[rest] >> np.uint64(32)).astype(np.uint32))
 
 
 def shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
