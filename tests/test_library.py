@@ -31,7 +31,7 @@ def test_times_order_by_date_not_text(spark):
 
 
 def test_unit_tests_round_trip(spark):
-    block = "Unittest 1:\nInput: a\nStd: b\nOutput: c\n\nUnittest 2:\nInput: d\nStd: \nOutput: e"
+    block = "Unittest 0:\nInput: a\nSTD input: b\nOutput: c\n\nUnittest 1:\nInput: d\nSTD input: \nOutput: e"
     assert [[tuple(t) for t in r] for r in column(spark, [block, "Unittest 1: Input: x", ""], P.unit_tests)] == [[("a", "b", "c"), ("d", "", "e")], [], []]
     assert column(spark, [block], lambda c: P.format_unit_tests(P.unit_tests(c))) == [block]
 
