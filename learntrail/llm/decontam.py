@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ FILTER_BITS, SPARE = (1 << 22, 1 << 28), 16
 BROADCAST_WINDOWS, SALTS = 200_000, 16
 CACHE = 400_000
 _WORD, _NUMBER, _NAME, _UNIT = range(4)
+_NUMERIC_FIRST = frozenset("+-$€£0123456789")
 _NUMERIC = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(?:%|[A-Za-z]{1,3})?")
 UNITS = {"m", "km", "cm", "mm", "mile", "miles", "foot", "feet", "ft", "inch", "inches", "yard", "yards", "kg", "g", "gram", "grams", "mg", "lb", "lbs", "pound", "pounds", "ton", "tons", "l", "litre", "litres", "liter", "liters", "ml", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degree", "degrees", "mph", "kph"}
 _TYPED = np.array([0, *(xxhash.xxh3_64_intdigest(f"<{k}>") for k in ("number", "name", "unit"))], np.uint64)
@@ -33,22 +35,29 @@ class Templates:
 
     def __init__(self):
         self.store: dict[str, int] = {}
-        self.hashes: list[int] = []
-        self.traits: list[int] = []
+        self.hashes, self.traits = np.empty(CACHE, np.uint64), np.empty(CACHE, np.int64)
 
     def _word(self, word: str) -> int:
         bare = word.strip(".,;:!?\"'()[]{}<>|*#&")
         lower = bare.lower()
-        kind = 1 if _NUMERIC.fullmatch(bare) else 2 if lower in UNITS else 0
+        kind = 1 if bare[:1] in _NUMERIC_FIRST and _NUMERIC.fullmatch(bare) else 2 if lower in UNITS else 0
         name = len(bare) > 1 and bare[0].isupper() and bare[1:].islower()
-        if len(self.hashes) >= CACHE:
-            self.__init__()
-        at = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(lower))
-        self.traits.append(kind + 4 * name + 8 * (word[-1] in ".!?:;|" or word[-2:-1] in (".", "!", "?")) + 16 * (not bare))
+        at = len(self.store)
+        self.hashes[at] = xxhash.xxh3_64_intdigest(lower)
+        self.traits[at] = kind + 4 * name + 8 * (word[-1] in ".!?:;|" or word[-2:-1] in (".", "!", "?")) + 16 * (not bare)
         self.store[word] = at
         return at
 
+    def _known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and traits of at most CACHE words; the store is emptied before it would grow beyond CACHE."""
+        if len(self.store) + len(words) > CACHE:
+            self.store.clear()
+        ids = np.fromiter(map(self.store.get, words, repeat(-1)), np.int64, len(words))
+        for k in np.flatnonzero(ids < 0).tolist():
+            at = self.store.get(words[k])
+            ids[k] = self._word(words[k]) if at is None else at
+        return self.hashes[ids], self.traits[ids]
+
     def of(self, text: str) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
         words, starts = [], []
         for line in text.split("\n"):
@@ -56,19 +65,11 @@ class Templates:
             if own:
                 starts.append(len(words))
                 words += own
-        if len(self.hashes) + len(words) >= CACHE:
-            self.__init__()
-        get, new = self.store.get, self._word
-        ids = [c if (c := get(w)) is not None else new(w) for w in words] if len(words) < CACHE // 2 else None
-        if ids is None:  # a text with more words than the store holds
-            hashes, traits = np.empty(len(words), np.uint64), np.empty(len(words), np.int64)
-            for k, w in enumerate(words):
-                if len(self.hashes) >= CACHE - 1:
-                    self.__init__()
-                at = self._word(w)
-                hashes[k], traits[k] = self.hashes[at], self.traits[at]
-        else:
-            hashes, traits = np.array([self.hashes[k] for k in ids], np.uint64), np.array([self.traits[k] for k in ids], np.int64)
+        if len(words) <= CACHE:
+            hashes, traits = self._known(words)
+        else:  # a text with more words than the store holds
+            parts = [self._known(words[k : k + CACHE]) for k in range(0, len(words), CACHE)]
+            hashes, traits = (np.concatenate(x) for x in zip(*parts, strict=True))
         opens = np.zeros(len(words), bool)
         opens[starts] = True
         opens[1:] |= (traits[:-1] & 8) > 0
@@ -91,7 +92,8 @@ def template_windows(hashes: np.ndarray, kinds: tuple[np.ndarray, ...], width: i
     found = window_hashes(np.concatenate([hashes, *(np.where(k == _WORD, hashes, _TYPED[k]) for k in kinds)]), width) ^ np.uint64(width)
     made = [(found[:n], np.ones(n, bool), np.zeros(size, np.uint64))]
     for v, kind in enumerate(kinds, 1):
-        literal = np.cumsum(np.r_[0, kind == _WORD])
+        literal = np.zeros(size + 1, np.int64)
+        np.cumsum(kind == _WORD, out=literal[1:])
         made.append((found[v * size : v * size + n], literal[width:] - literal[:n] >= min(LITERALS, width), np.where(kind == _WORD, np.uint64(0), hashes | np.uint64(1))))
     return made
 
@@ -145,9 +147,10 @@ def windows_of(rows: DataFrame, widths: list[int] | None, passing: np.ndarray |
                     if width == 0:
                         continue
                     forms = template_windows(words, kinds, width)
+                    maybe = passes(passing, np.array([found for found, _, _ in forms])) if forms and passing is not None else None
                     for v, (found, enough, slots) in enumerate(forms):
-                        if passing is not None:
-                            enough = enough & passes(passing, found)
+                        if maybe is not None:
+                            enough = enough & maybe[v]
                         for at in np.flatnonzero(enough).tolist():
                             mask = sum(1 << k for k, (other, counts, _) in enumerate(forms) if counts[at] and other[at] == found[at])
                             if mask & ((1 << v) - 1):  # an earlier form's row has it

@@ -485,6 +485,17 @@ def test_pipeline_stages_with_nulls_repeats_and_empty_tables(spark, sf_dir):
         assert stage(spark, spark.createDataFrame([], kind), sf_dir).count() == 0
 
 
+def test_template_words_in_pieces(monkeypatch):
+    text = "Anna paid 12 dollars. Then -3,5% of it,\nBob ran 7 km! " * 40 + " ".join(f"w{k} {k}kg Name{k}" for k in range(300))
+    hashes, kinds = decontam.Templates().of(text)
+    monkeypatch.setattr(decontam, "CACHE", 7)  # fewer words than the text has, and than its distinct ones
+    small = decontam.Templates()
+    for _ in range(2):
+        own, own_kinds = small.of(text)
+        assert (own == hashes).all() and all((a == b).all() for a, b in zip(own_kinds, kinds, strict=True))
+    assert len(small.of("")[0]) == 0 and len(small.of("one two")[0]) == 2 and len(small.store) <= 7
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(21)
     words = [f"w{k}" for k in range(60)]
