@@ -54,44 +54,42 @@ def word_tokens(word: str) -> tuple[int, ...]:
     return tuple(out)
 
 
-class Tokens:
+class Tokens(dict):
     """The bucket sequences of texts, with a bounded store of words met."""
 
-    def __init__(self):
-        self.store: dict[str, tuple[int, ...]] = {}
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        got = word_tokens(word)
+        if len(word) <= 40:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = got
+        return got
 
     def of(self, text: str) -> np.ndarray:
-        words, store, parts = text.split(), self.store, []
-        for w in words:
-            got = store.get(w)
-            if got is None:
-                got = word_tokens(w)
-                if len(w) <= 40:
-                    if len(store) >= CACHE:
-                        store.clear()
-                    store[w] = got
-            parts.append(got)
-        ids = np.fromiter(chain.from_iterable(parts), np.int32)
+        ids = np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.int32)
         again = np.flatnonzero((ids[1:] == ids[:-1]) & (ids[1:] >= MARKS)) + 1 if len(ids) else []
         return np.insert(ids, again, _REPEAT) if len(again) else ids
 
 
 def context_sums(ids: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """For each bucket, the sum of the index vectors that stand up to SPAN places from it, within its document."""
+    """For each bucket, the sum of the index vectors that stand up to SPAN places from it, within its document.
+
+    The vectors hold 1, 0 and -1, so that a word's surroundings fit a byte each; ids of 16 bits are sorted by radix.
+    """
     out = np.zeros((BUCKETS, SIZE))
     if len(ids) == 0:
         return out
-    place, left = ragged(lengths), np.repeat(lengths, lengths) - ragged(lengths)
-    order = np.argsort(ids, kind="stable")
-    begin = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
-    around = np.zeros((len(ids), SIZE), np.float32)
-    vectors = index[ids]
+    place = ragged(lengths)
+    vectors = index.astype(np.int8)[ids]
+    around = np.zeros((len(ids), SIZE), np.int8)
     for k in range(1, SPAN + 1):
-        far = np.flatnonzero(place >= k)
-        around[far] += vectors[far - k]
-        far = np.flatnonzero(left > k)
-        around[far] += vectors[far + k]
-    out[ids[order][begin]] = np.add.reduceat(around[order], begin, axis=0)
+        near = (place >= k)[k:, None]
+        around[k:] += vectors[:-k] * near
+        around[:-k] += vectors[k:] * near
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
+    ids = ids[order]
+    begin = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    out[ids[begin]] = np.add.reduceat(around[order], begin, axis=0, dtype=np.float32)
     return out
 
 
