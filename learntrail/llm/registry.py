@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from learntrail.llm.bpe import op11_bpe
 from learntrail.llm.decontam import op10_decontamination
 from learntrail.llm.embeddings import op8_embeddings
 from learntrail.llm.minhash import op6_minhash
@@ -13,5 +14,5 @@ from learntrail.llm.substring import op7_substring
 from learntrail.llm.tokens import op4_token_counts
 from learntrail.llm.toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_preferences, op4_token_counts, op5_quality, op6_minhash, op7_substring, op8_embeddings, op9_packing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_preferences, op4_token_counts, op5_quality, op6_minhash, op7_substring, op8_embeddings, op9_packing, op10_decontamination, op11_bpe)}
 SQL = {"op3_preferences": OP3_SQL}
