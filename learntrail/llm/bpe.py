@@ -5,16 +5,17 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learntrail.llm.common import CHUNK_BYTES, null_safe_text, ragged, table
+from learntrail.llm.common import null_safe_text, ragged, table
 
 VOCABULARY = "byte_bpe_50k"
 #: No merge: greater than any rank.
@@ -22,7 +23,9 @@ NONE = np.int64(1 << 40)
 #: Bytes from which a word takes rounds by rank instead of rounds by word.
 LONG = 256
 #: Chunks, and ids of chunks, that a worker keeps; both are emptied together when one is exceeded.
-KEPT, KEPT_IDS = 1_000_000, 8_000_000
+KEPT, KEPT_IDS = 400_000, 4_000_000
+#: Bytes that are encoded or decoded together.
+SLICE = 2_000_000
 _ODD_SPACE = re.compile(r"\s | \s")
 
 
@@ -283,7 +286,7 @@ def encoder(name: str = VOCABULARY, special: bool = True) -> Encoder:
     return _LOADED[name, special]
 
 
-def slices(sizes: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+def slices(sizes: list[int], most: int = SLICE) -> Iterator[tuple[int, int]]:
     """Bounds of neighbours of about ``most`` together, or one."""
     begin, total = 0, 0
     for k, n in enumerate(sizes):
@@ -293,25 +296,46 @@ def slices(sizes: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
             begin, total = k + 1, 0
 
 
+def text_slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[tuple[int, list[str]]]:
+    """The texts of a batch as lists of about ``most`` bytes, or one text, each with its first row."""
+    column = batch.column("text")
+    for a, b in slices(pc.binary_length(column).to_pylist(), most):
+        yield a, column.slice(a, b - a).to_pylist()
+
+
+def _encoded(batches: Iterable[pa.RecordBatch], name: str, special: bool) -> Iterator[pa.RecordBatch]:
+    known = encoder(name, special)
+    for batch in batches:
+        for a, texts in text_slices(batch):
+            ids, counts = known.encode(texts)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, len(texts)), lists], ["doc_id", "ids"])
+
+
+def _decoded(batches: Iterable[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    merges = encoder(name).merges
+    most = len(merges.tokens.lengths)
+    for batch in batches:
+        rows = batch.column("ids")
+        flat = rows.flatten().to_numpy(zero_copy_only=False)
+        sizes = rows.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.r_[0, np.cumsum(sizes)]
+        for a, b in slices((sizes * 4).tolist()):
+            ids = flat[ends[a] : ends[b]].astype(np.int64)
+            ok = (ids >= 0) & (ids < most)
+            own = np.r_[0, np.cumsum(ok)][ends[a : b + 1] - ends[a]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), rows.slice(a, b - a), pa.array(decode(merges, ids[ok], np.diff(own)), pa.string())], ["doc_id", "ids", "text"])
+
+
 def encode_documents(docs: DataFrame, name: str = VOCABULARY, special: bool = True) -> DataFrame:
     """``doc_id, ids``: the token ids (array<int>) of each whole text, equal to the library's without begin and end tokens.
 
     With ``special``, the strings of special tokens in a text become those tokens, as the library does by default; without, they
     are plain text. Null text is empty and has no ids; repeated rows and null ids are kept as they come; other columns are not
-    read. Batches of about CHUNK_BYTES are encoded together, a longer text alone; no shuffle, and a task run again gives the same rows.
+    read. Batches of about SLICE bytes are encoded together, a longer text alone; no shuffle, and a task run again gives the same rows.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(name, special)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices([len(x) for x in texts]):
-                ids, counts = known.encode(texts[a:b])
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists], ["doc_id", "ids"])
-
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return null_safe_text(docs, "doc_id").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return null_safe_text(docs, "doc_id").mapInArrow(lambda batches: _encoded(batches, name, special), f"doc_id {kind}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, name: str = VOCABULARY) -> DataFrame:
@@ -320,26 +344,17 @@ def decode_documents(encoded: DataFrame, name: str = VOCABULARY) -> DataFrame:
     Null ids and an empty array give the empty text; an id that the vocabulary lacks or a null inside the array is left out, as
     the library leaves it out; bytes that are no UTF-8 (ids cut in the midst of a sign) become U+FFFD. Other columns are not read.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = encoder(name).merges
-        most = len(merges.tokens.lengths)
-        for batch in batches:
-            rows = batch.column("ids")
-            flat = rows.flatten().to_numpy(zero_copy_only=False)
-            sizes = rows.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.r_[0, np.cumsum(sizes)]
-            for a, b in slices((sizes * 4).tolist()):
-                ids = flat[ends[a] : ends[b]].astype(np.int64)
-                ok = (ids >= 0) & (ids < most)
-                own = np.r_[0, np.cumsum(ok)][ends[a : b + 1] - ends[a]]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), rows.slice(a, b - a), pa.array(decode(merges, ids[ok], np.diff(own)), pa.string())], ["doc_id", "ids", "text"])
-
     kind = encoded.schema["doc_id"].dataType.simpleString()
     known = F.filter(F.coalesce(F.col("ids"), F.array().cast("array<int>")), lambda x: x.isNotNull())
-    return encoded.select("doc_id", known.alias("ids")).mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
+    return encoded.select("doc_id", known.alias("ids")).mapInArrow(lambda batches: _decoded(batches, name), f"doc_id {kind}, ids array<int>, text string")
+
+
+def round_trip(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
+    """``decode_documents`` of ``encode_documents`` in one pass through Python: ``doc_id, ids, text``."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return null_safe_text(docs, "doc_id").mapInArrow(lambda batches: _decoded(_encoded(batches, name, True), name), f"doc_id {kind}, ids array<int>, text string")
 
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = decode_documents(encode_documents(table(spark, sf_dir, "documents")))
+    back = round_trip(table(spark, sf_dir, "documents"))
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
