@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from learntrail.functions.parsing import sigmoid
 from learntrail.operators import estimators as M
+from learntrail.operators import posterior as G
+from learntrail.operators import recurrent as N
 from learntrail.operators import sequence as S
 from learntrail.plans.log import attempt_log, observations, query, submissions, table
 from learntrail.sources.tables import checkpointed
 
+#: Gibbs sweeps of the queries, and how many of them are left out of the means; the reference takes 2,500 and 500.
+SWEEPS, WARMUP = 12, 4
+
 
 @query()
 def elo_ratings(spark: SparkSession, d: str) -> DataFrame:
@@ -164,3 +169,24 @@ UNIFORM = "CAST(CAST('0x' || substr(md5('{seed}' || {key}), 1, 8) AS BIGINT) AS
 @query("SELECT student_id, CASE WHEN u < 0.55 THEN 'train' WHEN u < 0.55 + 0.15 THEN 'valid' ELSE 'test' END AS role FROM (SELECT student_id, " + UNIFORM.format(seed="42:", key="student_id") + " AS u FROM (SELECT DISTINCT student_id FROM obs))")
 def student_split(spark, d):
     return M.student_split(observations(spark, d).select("student_id").distinct())
+
+
+@query()
+def gpirt_posterior(spark, d):
+    """Easiness of items under the Gaussian-process model of the first three weeks: mean, spread, and split R-hat of two chains."""
+    _, traces = G.gp_posterior(observations(spark, d).where("week <= 3"), sweeps=SWEEPS, warmup=WARMUP)
+    return G.split_rhat(traces, WARMUP)
+
+
+@query()
+def gpirt_predictions(spark, d):
+    """Chances of right answers in the weeks after the third by the posterior abilities at the end of it."""
+    o = observations(spark, d)
+    learners, _ = G.gp_posterior(o.where("week <= 3"), sweeps=SWEEPS, warmup=WARMUP)
+    return G.gp_predictions(learners, o.where("week > 3"))
+
+
+@query()
+def dkt_predictions(spark, d):
+    """Chances of right answers after the third week by a recurrent network over the answers before."""
+    return N.answer_predictions(observations(spark, d), 3, hidden=16, epochs=20)
