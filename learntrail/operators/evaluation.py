@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from learntrail.functions.parsing import clipped
 from learntrail.operators.sequence import ranked
+from learntrail.sources.tables import checkpointed
 
 
 def roc_auc(df: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
@@ -52,51 +53,148 @@ def correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
+def _concordance(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> float:
+    """The sum over pairs of distinct points (a, b) of sign(da) * sign(db) * the product of their weights.
+
+    Points are sorted by a, then b. Level by level, neighbouring runs of double length are counted against each other by binary
+    search, and pairs equal in a, which that counts as rising in both, are taken away.
+    """
+    order = np.lexsort((b, a))
+    a, rank, w = a[order], np.unique(b[order], return_inverse=True)[1], w[order]
+    n, total, width = len(a), 0.0, 1
+    wide, place = np.int64(rank.max() + 2 if n else 1), np.arange(n)
+    while width < n:
+        block, right = place // (2 * width), place // width % 2 == 1
+        left = np.flatnonzero(~right)
+        keys = block[left] * wide + rank[left]
+        left = left[np.argsort(keys, kind="stable")]
+        keys, sums = np.sort(keys), np.r_[0, np.cumsum(w[left])]
+        own, r = block[right] * wide, rank[right]
+        first, last = (sums[np.searchsorted(keys, x)] for x in (own, own + wide))
+        below, upto = sums[np.searchsorted(keys, own + r, "left")], sums[np.searchsorted(keys, own + r, "right")]
+        total += (w[right] * ((below - first) - (last - upto))).sum()
+        width *= 2
+    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if n else np.zeros(0, np.int64)
+    ties = (np.add.reduceat(w, starts) ** 2 - np.add.reduceat(w * w, starts)).sum() / 2 if n else 0.0
+    return total - ties
+
+
 def kendall_tau(df: DataFrame, keys: list[str], x: str, y: str, least: int = 5) -> DataFrame:
-    """Kendall's tau-b of each group with at least ``least`` rows and variation in both.
+    """Kendall's tau-b of each group with at least ``least`` rows and variation in both; null where one doesn't vary.
 
-    Rows are first counted by (x, y), then distinct points meet in pairs: a group costs the square of its distinct points.
+    Rows are first counted by (x, y). Points are dealt by ranges of (group, x), and again by ranges of (group, y), so a group may
+    span many tasks: pairs in one range of x are counted there, pairs in one range of y but not of x in that, and all others
+    by the numbers of points that two ranges share. Each count takes n log n steps. Rows with a null in the keys, x or y are left out.
     """
-    points = df.groupBy(*keys, x, y).agg(F.count("*").cast("double").alias("m"))
-    a, b = points.alias("a"), points.alias("b")
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    later = F.struct(f"a.{x}", f"a.{y}") < F.struct(f"b.{x}", f"b.{y}")
-    cond = later
-    for c in on:
-        cond = cond & c
-    weight = F.col("a.m") * F.col("b.m")
-    pairs = a.join(b, cond).groupBy(*[F.col(f"a.{k}").alias(k) for k in keys]).agg(F.sum(F.signum(F.col(f"b.{x}") - F.col(f"a.{x}")) * F.signum(F.col(f"b.{y}") - F.col(f"a.{y}")) * weight).alias("s"))
-    ties = lambda c: points.groupBy(*keys, c).agg(F.sum("m").alias("t")).groupBy(*keys).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t_{c}"))
-    n = points.groupBy(*keys).agg(F.sum("m").alias("n"))
+    points = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna().groupBy(*keys, "_x", "_y").agg(F.count("*").cast("double").alias("_m"))
+    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
+
+    def counted(a: str, b: str, w: str):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = [p for p in batches if len(p)]
+            if parts:
+                groups = pd.concat(parts, ignore_index=True).groupby(keys, sort=False)
+                yield pd.DataFrame([(*key, _concordance(*(own[c].to_numpy() for c in (a, b, w)))) for key, own in groups], columns=[*keys, "_s"])
+
+        return run
+
+    sums = f"{kinds}, _s double"
+    by_x = checkpointed(points.repartitionByRange(*keys, "_x").withColumn("_i", F.spark_partition_id()))
+    within = by_x.select(*keys, "_x", "_y", "_m").mapInPandas(counted("_x", "_y", "_m"), sums)
+    spans = by_x.groupBy(*keys).agg(F.min("_i").alias("a"), F.max("_i").alias("b")).where("a < b").select(*keys)
+    wide = by_x.join(spans, keys, "left_semi").groupBy(*keys, "_y", "_i").agg(F.sum("_m").alias("_m"))
+    by_y = checkpointed(wide.repartitionByRange(*keys, "_y").withColumn("_j", F.spark_partition_id()))
+    across = by_y.select(*keys, "_y", "_i", "_m").mapInPandas(counted("_y", "_i", "_m"), sums)
+    cells = by_y.groupBy(*keys, "_i", "_j").agg(F.sum("_m").alias("_m"))
+    apart = cells.groupBy(*keys).applyInPandas(lambda own: next(counted("_i", "_j", "_m")(iter([own]))), sums)
+    pairs = within.unionByName(across).unionByName(apart).groupBy(*keys).agg(F.sum("_s").alias("s"))
+    ties = lambda c: points.groupBy(*keys, c).agg(F.sum("_m").alias("t")).groupBy(*keys).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t{c}"))
+    n = points.groupBy(*keys).agg(F.sum("_m").alias("n"))
     whole = F.col("n") * (F.col("n") - 1) / 2
-    out = n.where(F.col("n") >= least).join(pairs, keys).join(ties(x), keys).join(ties(y), keys)
-    return out.select(*keys, F.col("n").cast("long").alias("n"), F.try_divide(F.col("s"), F.sqrt((whole - F.col(f"t_{x}")) * (whole - F.col(f"t_{y}")))).alias("tau"))
+    out = n.where(F.col("n") >= least).join(pairs, keys).join(ties("_x"), keys).join(ties("_y"), keys)
+    return out.select(*keys, F.col("n").cast("long").alias("n"), F.try_divide(F.col("s"), F.sqrt((whole - F.col("t_x")) * (whole - F.col("t_y")))).alias("tau"))
+
+
+def _placed(chains: DataFrame) -> DataFrame:
+    """``param, chain, pos, v, n, mean``: each value's place from 0 in its chain by ``draw``, and less the chain's mean.
+
+    Draws are dealt by ranges of (param, chain, draw), so a chain spans many tasks; draws of a chain should differ. Rows with nulls are left out.
+    """
+    rows = chains.select("param", "chain", "draw", F.col("value").cast("double").alias("value")).dropna()
+    each = rows.groupBy("param", "chain").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    first = F.sum("n").over(Window.orderBy("param", "chain").rowsBetween(Window.unboundedPreceding, -1))  # one row a chain
+    each = each.withColumn("first", F.coalesce(first, F.lit(0)))
+    placed = ranked(rows, F.col("param"), F.col("chain"), F.col("draw")).join(each, ["param", "chain"])
+    return placed.select("param", "chain", (F.col("_rank") - F.col("first")).alias("pos"), "value", (F.col("value") - F.col("mean")).alias("v"), "n", "mean")
 
 
 def split_rhat(chains: DataFrame) -> DataFrame:
-    """Split R-hat of each parameter from rows ``param, chain, draw, value``."""
-    half = F.ntile(2).over(Window.partitionBy("param", "chain").orderBy("draw"))
-    parts = chains.withColumn("half", half).groupBy("param", "chain", "half").agg(F.avg("value").alias("mean"), F.var_samp("value").alias("var"), F.count("*").alias("n"))
+    """Split R-hat of each parameter from rows ``param, chain, draw, value``; halves by each draw's place, the middle one in the first."""
+    half = (F.col("pos") * 2 >= F.col("n")).cast("int")
+    parts = _placed(chains).groupBy("param", "chain", half.alias("half")).agg(F.avg("value").alias("mean"), F.var_samp("value").alias("var"), F.count("*").alias("n"))
     out = parts.groupBy("param").agg(F.avg("var").alias("w"), F.var_samp("mean").alias("b"), F.avg("n").alias("n"))
     return out.select("param", F.sqrt((F.col("n") - 1) / F.col("n") + F.try_divide(F.col("b"), F.col("w"))).alias("rhat"))
 
 
-def effective_size(chains: DataFrame) -> DataFrame:
-    """Effective sample size of each parameter and chain by Geyer's initial positive sequence, summed over chains."""
+def _lag_sums(placed: DataFrame, lags: int) -> DataFrame:
+    """``param, chain, n, lag, s``: the sums of products with the value ``lag`` places later, for lags below ``lags``.
+
+    Chains are cut in blocks of ``lags`` places; a block gets the next one as well and multiplies by a Fourier transform of
+    four blocks' length, and blocks' sums add up by lag.
+    """
+    block = F.floor(F.col("pos") / lags)
+    both = placed.select("param", "chain", "n", "pos", "v", F.explode(F.array(block, block - 1)).alias("block")).where("block >= 0")
+    kinds = ", ".join(f"{k} {placed.schema[k].dataType.simpleString()}" for k in ("param", "chain"))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        x = group.sort_values("draw").value.to_numpy(float)
-        x = x - x.mean()
-        n = len(x)
-        f = np.fft.rfft(x, 2 * n)
-        rho = np.fft.irfft(f * f.conj())[:n]
-        rho = rho / rho[0] if rho[0] > 0 else np.r_[1.0, np.zeros(n - 1)]
-        pairs = rho[: n // 2 * 2].reshape(-1, 2).sum(1)
-        end = int(np.argmax(pairs <= 0)) if (pairs <= 0).any() else len(pairs)
+        at = (group.pos - group.block.iloc[0] * lags).to_numpy()
+        x = np.zeros(2 * lags)
+        x[at] = group.v.to_numpy()
+        own = np.r_[x[:lags], np.zeros(lags)]
+        s = np.fft.irfft(np.fft.rfft(own, 4 * lags).conj() * np.fft.rfft(x, 4 * lags))[:lags]
+        return pd.DataFrame({"param": group.param.iloc[0], "chain": group.chain.iloc[0], "n": group.n.iloc[0], "lag": np.arange(lags), "s": s})
+
+    sums = both.groupBy("param", "chain", "block").applyInPandas(one, f"{kinds}, n long, lag int, s double")
+    return sums.groupBy("param", "chain", "n", "lag").agg(F.sum("s").alias("s"))
+
+
+def effective_size(chains: DataFrame, lags: int = 256) -> DataFrame:
+    """Effective sample size of each parameter by Geyer's initial positive sequence, summed over chains.
+
+    Autocorrelations come from sums over blocks of chains (``_lag_sums``), for ``lags`` lags at first; chains whose sequence
+    hasn't turned by then go again with eight times as many, until it turns or the chain ends. A task holds two blocks, and a
+    chain's lags up to its turn, not its draws. A chain that doesn't vary counts in full.
+    """
+    placed = checkpointed(_placed(chains))
+    kinds = ", ".join(f"{k} {placed.schema[k].dataType.simpleString()}" for k in ("param", "chain"))
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        own = group.sort_values("lag")
+        n, most = int(own.n.iloc[0]), len(own)
+        rho = own.s.to_numpy()[:n]
+        rho = rho / rho[0] if rho[0] > 1e-300 else np.r_[1.0, np.zeros(len(rho) - 1)]
+        pairs = rho[: len(rho) // 2 * 2].reshape(-1, 2).sum(1)
+        turned = (pairs <= 0).any()
+        end = int(np.argmax(pairs <= 0)) if turned else len(pairs)
         tau = max(1.0, 2 * pairs[:end].sum() - 1)
-        return pd.DataFrame({"param": [group.param.iloc[0]], "ess": [n / tau]})
+        return pd.DataFrame({"param": [group.param.iloc[0]], "chain": [group.chain.iloc[0]], "ess": [n / tau], "done": [bool(turned or most >= n)]})
 
-    return chains.select("param", "chain", "draw", "value").groupBy("param", "chain").applyInPandas(one, "param string, ess double").groupBy("param").agg(F.sum("ess").alias("ess"))
+    out, rest = None, placed
+    while True:
+        found = checkpointed(_lag_sums(rest, lags).groupBy("param", "chain").applyInPandas(one, f"{kinds}, ess double, done boolean"))
+        out = found if out is None else out.unionByName(found)
+        open_ = found.where("NOT done").select("param", "chain")
+        if open_.isEmpty():
+            return out.where("done").groupBy("param").agg(F.sum("ess").alias("ess"))
+        rest, lags = placed.join(open_, ["param", "chain"], "left_semi"), lags * 8
+
+
+def autocorrelation(chains: DataFrame, lags: int) -> DataFrame:
+    """``param, chain, lag, acf`` for lags from 1 to ``lags``, of rows ``param, chain, draw, value``; null where nothing varies or the chain is too short."""
+    sums = _lag_sums(_placed(chains), max(256, lags + 1)).where(F.col("lag") <= lags)
+    whole = sums.where("lag = 0").select("param", "chain", F.col("s").alias("all"))
+    acf = F.when(F.col("lag") < F.col("n"), F.try_divide(F.col("s"), F.col("all")))
+    return sums.where("lag > 0").join(whole, ["param", "chain"]).select("param", "chain", F.col("lag").cast("long").alias("lag"), acf.alias("acf"))
 
 
 def bootstrap_metrics(df: DataFrame, keys: list[str], y: str = "y", p: str = "p", cut: float = 0.5, replicates: int = 500, seed: int = 42, digits: int = 3) -> DataFrame:
@@ -132,16 +230,6 @@ def bootstrap_metrics(df: DataFrame, keys: list[str], y: str = "y", p: str = "p"
     return cells.groupBy(*keys).applyInPandas(drawn, f"{kinds}, metric string, mean double, low double, high double")
 
 
-def autocorrelation(chains: DataFrame, lags: int) -> DataFrame:
-    """``param, chain, lag, acf`` for lags from 1 on, of rows ``param, chain, draw, value``: sums of products with the value ``lag`` draws before."""
-    own = Window.partitionBy("param", "chain")
-    x = chains.withColumn("v", F.col("value") - F.avg("value").over(own))
-    for k in range(1, lags + 1):
-        x = x.withColumn(f"l{k}", F.lag("v", k).over(own.orderBy("draw")))
-    sums = x.groupBy("param", "chain").agg(*[F.try_divide(F.sum(F.col("v") * F.col(f"l{k}")), F.sum(F.col("v") * F.col("v"))).alias(f"a{k}") for k in range(1, lags + 1)])
-    return sums.select("param", "chain", F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), F.col(f"a{k}").alias("acf")) for k in range(1, lags + 1)])).alias("r")).select("param", "chain", "r.*")
-
-
 def bootstrap_mean(df: DataFrame, keys: list[str], value: str, replicates: int = 500, seed: int = 42) -> DataFrame:
     """Percentile interval of each group's mean. Each row draws its Poisson(1) weight in every replicate from a generator
     seeded by its partition, and sums meet by replicate: no group is gathered, only ``replicates`` partial sums a task and group."""

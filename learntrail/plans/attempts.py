@@ -9,6 +9,7 @@ from learntrail.functions import parsing as P
 from learntrail.operators import cube as C
 from learntrail.operators import evaluation as E
 from learntrail.operators import sequence as S
+from learntrail.operators.selection import exact_quantiles
 from learntrail.plans.log import attempt_log, observations, query, submissions, with_response
 
 MICROS = "epoch_us(ts)"
@@ -109,7 +110,10 @@ def wide_jumps(spark, d):
 
 @query("SELECT row_id, round(fraction - avg(fraction) OVER (PARTITION BY student_id), 6) + 0.0 AS by_student, round(fraction - avg(fraction) OVER (PARTITION BY question_id), 6) + 0.0 AS by_question FROM sub")
 def center_by_group(spark, d):
-    return submissions(spark, d).select("row_id", *[F.round(F.col("fraction") - F.avg("fraction").over(Window.partitionBy(k)), 6).alias(a) for k, a in (("student_id", "by_student"), ("question_id", "by_question"))])
+    s = submissions(spark, d).select("row_id", "student_id", "question_id", "fraction")
+    for key in ("student_id", "question_id"):  # means are joined: no group is gathered
+        s = s.join(s.groupBy(key).agg(F.avg("fraction").alias(f"of_{key}")), key)
+    return s.select("row_id", *[F.round(F.col("fraction") - F.col(f"of_{k}"), 6).alias(a) for k, a in (("student_id", "by_student"), ("question_id", "by_question"))])
 
 
 @query("""WITH g AS (SELECT DISTINCT student_id, item_id FROM obs), s AS (SELECT unnest(generate_series(1, 5)) AS n), o AS (SELECT *, row_number() OVER (PARTITION BY student_id, item_id ORDER BY attempt_id) AS n FROM obs)
@@ -196,7 +200,9 @@ def student_pace(spark, d):
 def pace_summary(spark, d):
     m = F.col("delta_s")
     x = S.time_delta(submissions(spark, d), ("student_id",))
-    return x.agg(*[F.round(a / 60, 6).alias(n) for n, a in (("mean_min", F.avg(m)), ("median_min", F.percentile(m, F.lit(0.5))), ("least_min", F.min(m)), ("most_min", F.max(m)), ("p95_min", F.percentile(m, F.lit(0.95))))])
+    whole = x.agg(F.avg(m).alias("mean_min"), F.min(m).alias("least_min"), F.max(m).alias("most_min"))
+    both = whole.join(F.broadcast(exact_quantiles(x, [], m, {"median_min": 0.5, "p95_min": 0.95})))  # one row each
+    return both.select(*[F.round(F.col(c) / 60, 6).alias(c) for c in ("mean_min", "median_min", "least_min", "most_min", "p95_min")])
 
 
 @query("SELECT response_type, count(*) AS n FROM log GROUP BY response_type")
@@ -315,7 +321,9 @@ def improvement_patterns(spark, d):
 @query("WITH s AS (SELECT course_id, student_id, avg(fraction) AS f FROM sub GROUP BY ALL) SELECT course_id, round(avg(f), 6) AS mean, round(stddev_pop(f), 6) AS sd, round(quantile_cont(f, 0.75) - quantile_cont(f, 0.25), 6) AS iqr, round(avg(CASE WHEN f < 0.1 THEN 1.0 ELSE 0.0 END), 6) AS low_share FROM s GROUP BY course_id")
 def course_summary(spark, d):
     s = submissions(spark, d).groupBy("course_id", "student_id").agg(F.avg("fraction").alias("f"))
-    return s.groupBy("course_id").agg(F.round(F.avg("f"), 6).alias("mean"), F.round(F.stddev_pop("f"), 6).alias("sd"), F.round(F.percentile("f", F.lit(0.75)) - F.percentile("f", F.lit(0.25)), 6).alias("iqr"), F.round(F.avg(F.when(F.col("f") < 0.1, 1.0).otherwise(0.0)), 6).alias("low_share"))
+    whole = s.groupBy("course_id").agg(F.round(F.avg("f"), 6).alias("mean"), F.round(F.stddev_pop("f"), 6).alias("sd"), F.round(F.avg(F.when(F.col("f") < 0.1, 1.0).otherwise(0.0)), 6).alias("low_share"))
+    quarters = exact_quantiles(s, ["course_id"], "f", {"low": 0.25, "high": 0.75})
+    return whole.join(quarters, "course_id").select("course_id", "mean", "sd", F.round(F.col("high") - F.col("low"), 6).alias("iqr"), "low_share")
 
 
 @query("""WITH p AS (SELECT student_id, question_id, max(10 * fraction) AS best FROM sub GROUP BY ALL), g AS (SELECT unnest(generate_series(1, 30)) AS n)

@@ -125,8 +125,13 @@ def tau_centred_points(spark, d):
 
 def _centred(spark, d):
     g = submissions(spark, d).groupBy("student_id", "question_id").agg(F.count("*").alias("x"), (10 * F.max("fraction")).alias("y"))
-    w = Window.partitionBy("question_id")
-    return g.select("student_id", "question_id", (F.col("x") - F.avg("x").over(w)).alias("x"), (F.col("y") - F.avg("y").over(w)).alias("y"))
+    return _less_means(g, "question_id").select("student_id", "question_id", "x", "y")
+
+
+def _less_means(g, key):
+    """``x`` and ``y`` less their means over a key, which are joined: no group is gathered."""
+    means = g.groupBy(key).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    return g.join(means, key).withColumns({"x": F.col("x") - F.col("mx"), "y": F.col("y") - F.col("my")})
 
 
 @query()
@@ -144,8 +149,7 @@ def tau_drop(spark, d):
     g = submissions(spark, d).groupBy("student_id", "question_id").agg(F.count("*").alias("x"), (10 * F.max("fraction")).alias("y"))
     out = None
     for key, other in (("student_id", "question_id"), ("question_id", "student_id")):
-        w = Window.partitionBy(other)
-        centred = g.select("student_id", "question_id", F.round(F.col("x") - F.avg("x").over(w), 9).alias("x"), F.round(F.col("y") - F.avg("y").over(w), 9).alias("y"))
+        centred = _less_means(g, other).select("student_id", "question_id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
         before, after = (E.kendall_tau(f, [key], "x", "y").agg(F.avg("tau").alias(a), F.count("tau").alias(f"n_{a}")) for f, a in ((g, "before"), (centred, "after")))
         row = before.join(F.broadcast(after)).select(F.lit(key).alias("key"), "before", "after", "n_before", "n_after", (100 * (F.col("before") - F.col("after")) / F.greatest(F.abs("before"), F.lit(1e-9))).alias("drop_pct"))  # one row each
         out = row if out is None else out.unionByName(row)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from learntrail.functions import special
 from learntrail.functions.parsing import sigmoid
+from learntrail.operators import betamodel as B
 from learntrail.operators import estimators as M
 from learntrail.operators import posterior as G
 from learntrail.operators import recurrent as N
@@ -189,4 +191,28 @@ def gpirt_predictions(spark, d):
 @query()
 def dkt_predictions(spark, d):
     """Chances of right answers after the third week by a recurrent network over the answers before."""
-    return N.answer_predictions(observations(spark, d), 3, hidden=16, epochs=20)
+    return N.answer_predictions(observations(spark, d), 3, hidden=16, epochs=10)
+
+
+def _shares(spark, d):
+    """Attempts of the first three weeks: the share of tests passed and the share of the log's days that had passed."""
+    s = submissions(spark, d).where("week <= 3").withColumn("day", F.unix_micros("ts") / 8.64e10)
+    span = F.broadcast(s.agg(F.min("day").alias("first"), F.max("day").alias("last")))  # one row
+    return s.join(span, how="cross").select("student_id", "question_id", F.col("fraction").alias("y"), ((F.col("day") - F.col("first")) / F.greatest(F.col("last") - F.col("first"), F.lit(1e-9))).alias("t"))
+
+
+@query()
+def cirt_beta_params(spark, d):
+    """Questions' difficulty where shares of tests passed are Beta distributed about ceiling times progress."""
+    return B.beta_trend(_shares(spark, d), rounds=5)[1].select("question_id", F.col("z").alias("difficulty"))
+
+
+@query()
+def cirt_beta_learners(spark, d):
+    """Learners' rate of progress and ceiling under the same model."""
+    return B.beta_trend(_shares(spark, d), rounds=5)[0].select("student_id", "rate", sigmoid(F.col("ceiling")).alias("ceiling"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(lgamma(l_quantity), 6) AS of_quantity, round(lgamma(l_extendedprice / 1000), 6) AS of_price FROM lineitem", log=False)
+def log_gamma(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(special.log_gamma(F.col("l_quantity")), 6).alias("of_quantity"), F.round(special.log_gamma(F.col("l_extendedprice") / 1000), 6).alias("of_price"))

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from learntrail.functions import parsing as P
 from learntrail.operators import sequence as S
+from learntrail.operators.selection import exact_quantiles
 from learntrail.plans.attempts import RESP
 from learntrail.plans.log import attempt_log, observations, query, submissions, table, with_response
 from learntrail.plans.relations import PRED, predictions
 from learntrail.sources import readers
+from learntrail.sources.tables import checkpointed
 
 
 @query("SELECT row_id, week, 'W' || week || '_' || CASE WHEN week = 5 THEN 'Exam' ELSE 'Lists' END || '.json' AS file, CASE WHEN week = 5 THEN 'Exam' ELSE 'Lists' END AS topic, is_exam FROM log")
@@ -222,14 +224,17 @@ def student_persona(spark, d):
     """
     x = S.edit_lag(S.time_delta(with_response(submissions(spark, d), spark, d))).withColumn("ed", F.col("edit_distance").cast("double"))
     x = x.withColumn("back", F.row_number().over(Window.partitionBy("student_id").orderBy(F.desc("question_id"), F.desc("ts"), F.desc("row_id"))))
-    x = x.join(F.broadcast(x.agg(F.percentile("ed", F.lit(0.5)).alias("mid"))))  # one row
+    x = x.join(F.broadcast(exact_quantiles(x, [], "ed", {"mid": 0.5})))  # one row
     last = lambda a, b: F.avg(F.when(F.col("back").between(a, b), F.col("fraction")))
     m = x.groupBy("student_id").agg(
         F.coalesce(F.avg("delta_s"), F.lit(0.0)).alias("pause"), F.coalesce(F.avg("ed"), F.lit(0.0)).alias("edit"), F.count("*").alias("n"), F.avg((F.col("response_type") == "Prechecked").cast("int")).alias("precheck"),
         F.count_distinct("question_id").alias("questions"), F.coalesce(F.avg(F.when(F.col("ed").isNotNull(), (F.col("ed") > F.col("mid")).cast("double"))), F.lit(0.5)).alias("rewrite"), F.avg("fraction").alias("rate"), last(1, 10).alias("recent"),
         F.round(last(1, 3) - last(4, 6), 9).alias("gain"), F.max("back").alias("rows"), F.min("course_id").alias("course_id"), F.min("section_id").alias("section_id"), F.avg(F.length("response")).alias("code_length"), F.avg(F.size(F.split("response", "\n"))).alias("lines"),
     )
-    q = m.agg(*[F.percentile(c, F.lit(p)).alias(a) for c, p, a in (("pause", 0.25, "p25"), ("pause", 0.75, "p75"), ("edit", 0.5, "e50"), ("n", 0.5, "n50"))])
+    m = checkpointed(m)
+    q = exact_quantiles(m, [], "pause", {"p25": 0.25, "p75": 0.75})
+    for c, a in (("edit", "e50"), ("n", "n50")):
+        q = q.join(F.broadcast(exact_quantiles(m, [], c, {a: 0.5})))  # one row each
     kind = (
         F.when((F.col("pause") < F.col("p25")) & (F.col("n") > F.col("n50")), "rapid_iterator")
         .when(F.col("pause").between(F.col("p25"), F.col("p75")) & (F.col("edit") > F.col("e50")), "deliberate_planner")
@@ -277,7 +282,7 @@ def histogram_steps(spark, d):
 @query("WITH q AS (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM log) SELECT CAST(least(floor(10 * (value - lo) / (hi - lo)), 9) AS BIGINT) AS bin, count(*) AS n FROM log, q WHERE value >= lo AND value <= hi GROUP BY bin")
 def clipped_histogram(spark, d):
     log = attempt_log(spark, d)
-    q = log.agg(F.percentile("value", F.lit(0.01)).alias("lo"), F.percentile("value", F.lit(0.99)).alias("hi"))
+    q = exact_quantiles(log, [], "value", {"lo": 0.01, "hi": 0.99})
     x = log.join(F.broadcast(q)).where("value >= lo AND value <= hi")
     return x.groupBy(F.least(F.floor(10 * (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))), F.lit(9)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
