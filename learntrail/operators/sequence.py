@@ -18,6 +18,15 @@ def attempt_number(log: DataFrame, keys=PAIR, by=("ts", "row_id")) -> DataFrame:
     return log.withColumn("attempt_no", F.row_number().over(ordered(keys, by)).cast("long"))
 
 
+def of_courses(log: DataFrame, courses: list[int], key: str = "course_id") -> DataFrame:
+    """The rows of the named courses; a course that the log doesn't have is an error."""
+    rows = log.where(F.col(key).isin(courses))
+    unknown = set(courses) - {r[0] for r in rows.select(key).distinct().collect()}
+    if unknown:
+        raise ValueError(f"unknown courses: {sorted(unknown)}")
+    return rows
+
+
 def time_delta(log: DataFrame, keys=PAIR) -> DataFrame:
     """Seconds since the same pair's attempt before."""
     micros = F.unix_micros("ts")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from learntrail.plans import attempts, extra, log, models, relations, texts  # noqa: F401
+    from learntrail.plans import attempts, compare, extra, log, models, relations, texts  # noqa: F401
 
     return log
 

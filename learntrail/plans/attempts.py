@@ -33,8 +33,7 @@ def drop_incomplete(spark, d):
 
 @query("SELECT row_id, student_id FROM log WHERE course_id IN (SELECT c FROM (VALUES (1), (3)) t(c))")
 def filter_course(spark, d):
-    chosen = spark.createDataFrame([(1,), (3,)], "course_id long")
-    return attempt_log(spark, d).join(F.broadcast(chosen), "course_id", "left_semi").select("row_id", "student_id")
+    return S.of_courses(attempt_log(spark, d), [1, 3]).select("row_id", "student_id")
 
 
 @query("""WITH x AS (SELECT row_id, CASE row_id % 4 WHEN 0 THEN CAST(CAST(pass AS DOUBLE) AS VARCHAR) WHEN 1 THEN pass WHEN 2 THEN '0.0' ELSE NULL END AS p, pass FROM log)

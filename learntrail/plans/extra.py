@@ -178,11 +178,6 @@ def resume_pairs(spark, d):
     return readers.not_done(log.where("response_type = 'Submit'").select(*k).distinct(), log.where("response_type = 'Prechecked'"), k)
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE length(pass) <> 7) AS mismatched FROM sub")
-def alignment_check(spark, d):
-    return submissions(spark, d).agg(F.count("*").alias("n"), F.count_if(F.length("pass") != 7).alias("mismatched"))
-
-
 for _n, _c in ((2, "mistake"), (3, "fix")):
 
     def _scenario(spark, d, c=_c):

@@ -121,11 +121,6 @@ def best_match_edit(spark, d):
     return R.best_match(table(spark, d, "documents").where("doc_id % 100 = 0").select("doc_id", plain), table(spark, d, "benchmark").select("item_id", plain), "doc_id", "item_id", "s")
 
 
-@query("SELECT e.row_id, coalesce(m.label, -1) AS label FROM log e LEFT JOIN embeddings m ON m.vec_id = e.row_id")
-def embedding_lookup(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), "label")
-    return attempt_log(spark, d).join(v, "row_id", "left").select("row_id", F.coalesce("label", F.lit(-1)).alias("label"))
-
 
 @query("""WITH a AS (SELECT student_id, question_id, arg_max(pass, attempt_id) AS p, arg_min(pass, attempt_id) AS q FROM sub GROUP BY ALL) SELECT student_id, question_id, CAST(g.i AS BIGINT) AS pos, CAST(p[CAST(g.i AS INT):CAST(g.i AS INT)] = q[CAST(g.i AS INT):CAST(g.i AS INT)] AS INT) AS same FROM a JOIN (SELECT unnest(generate_series(1, 7)) AS i) g ON g.i <= least(length(p), length(q))""")
 def align_testcases(spark, d):
@@ -307,11 +302,6 @@ def kendall_tau_by_question(spark, d):
     return _tau(spark, d, "question_id")
 
 
-@query("WITH w AS (SELECT DISTINCT week FROM log), c AS (SELECT unnest(generate_series(1, 4)) AS cutoff) SELECT CAST(cutoff AS BIGINT) AS cutoff, question_id, CASE WHEN week <= cutoff THEN 'train' ELSE 'test' END AS role FROM (SELECT DISTINCT question_id, week FROM log) CROSS JOIN c")
-def temporal_splits(spark, d):
-    q = attempt_log(spark, d).select("question_id", "week").distinct()
-    return q.withColumn("cutoff", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long")))).select("cutoff", "question_id", F.when(F.col("week") <= F.col("cutoff"), "train").otherwise("test").alias("role"))
-
 
 @query("""WITH c AS (SELECT student_id % 5 AS param, student_id % 3 AS chain, row_id AS draw, value FROM log), h AS (SELECT *, ntile(2) OVER (PARTITION BY param, chain ORDER BY draw) AS half FROM c), s AS (SELECT param, chain, half, avg(value) AS m, var_samp(value) AS v, count(*) AS n FROM h GROUP BY ALL)
 SELECT CAST(param AS VARCHAR) AS param, round(sqrt((avg(n) - 1) / avg(n) + var_samp(m) / avg(v)), 6) AS rhat FROM s GROUP BY param""")
