@@ -22,7 +22,7 @@ from learntrail.llm.common import exchanged, null_safe_text, ragged, table, writ
 
 FIRST, SECOND = "byte_bpe_50k", "piece_bpe_32k"
 #: Characters whose links ask for their counts together; a longer text is alone.
-BLOCK = 8_000_000
+BLOCK = 4_000_000
 #: Terms of a sparse product made at a time.
 TERMS = 1_000_000
 #: Fewest and most parts of the table of id pairs.
