@@ -46,9 +46,11 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     before = {key: spark.conf.get(key, None) for key in SHUFFLE_CLEANUP}
     for key in SHUFFLE_CLEANUP:
         spark.conf.set(key, "true")
-    df.write.option("compression", codec).parquet(path)
-    for key, value in before.items():
-        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

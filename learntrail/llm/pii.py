@@ -17,7 +17,8 @@ from learntrail.llm.common import null_safe_text, ragged, table
 KINDS = ("email", "ip", "card", "phone", "name", "ssn", "secret")
 #: The words that a place's label depends on: itself, the one before, the one after, the one before the last.
 OFFSETS = (0, -1, 1, -2)
-LABELS = ("O", "name", "ssn", "secret", "email", "phone")
+#: A plain label begins a span of its kind, one with + goes on with it; a secret is one word.
+LABELS = ("O", "name", "ssn", "secret", "email", "phone", "+name", "+ssn", "+email", "+phone")
 #: Words decoded together and distinct words a worker keeps.
 BATCH_WORDS, CACHE = 400_000, 400_000
 
@@ -74,6 +75,9 @@ _FRAMES = (
     "{o} {num} {o}", "in {num} of {num} cases {o}", "the {Cap} and the {Cap} {o}", "{Cap} of {Cap}, {o}", "call the {o}", "the name of {o}", "key {o}", "a token of {o}", "write to the {o}",
     "tel {o}", "number {num} is {o}", "on {date} at {time} {o}", "{CAP}!! {CAP}!! {CAP}!!", "{Cap} {Cap} {Cap} {Cap} {Cap} {Cap}", "{o} {Cap} {Cap} {Cap} {o}", "{Cap}, {Cap} {o}", "{o} {Cap} {o}", "{o} by {o} {Cap} {Cap} {o}", "{o} is {Cap} {Cap} {Cap}", "{Cap}### {Cap}*** for {Cap}%%%", "for {Cap} and to {Cap} {o}", "{o} | {Cap} | is {Cap} | {o}", "to {Cap} for {Cap} {Cap} by {Cap}", "{o} | {o} | {Cap} | {o}", "{o}### {o}*** {o}%%%", "v{num}.{num} of {o}", "page {num}-{num} {o}", "Dr. {o}", "Mr. {o}",
     "By {Short}.", "By {Short} {o}", "To {Short} by {Short}.", "{o} to {Short}.", "{Short} {Short} {o}",
+    "Dear {name},", "Dear {name}, {o}", "Sincerely, {name}", "yours, {name} {o}", "contact {name}, {name}", "regards, {name}, {name}", "signed by {name} and {name}", "my name is {name}, {name} {o}",
+    "call {phone} {phone}", "call {phone}, {phone} at noon", "phone: {phone} {phone} {phone}", "tel. {phone} or {phone}", "ssn {ssn} {ssn}", "SSN: {ssn}, {ssn} {o}", "SSN {ssn} is on file", "mail {email} {email}", "email: {email}, {email}", "write to {email} or call", "write to {email} {o}", "mail {email} for more", "mail {email} {o}", "{o} by {email} {o}", "Dear {o}", "Sincerely, {o}", "yours, {o}", "dear {Cap} {o}",
+    *(" ".join(["{Cap}"] * k) for k in (2, 2, 3, 4, 5, 7, 9, 10, 12)), "{Cap}, {Cap}", "{Cap}, {Cap}, {Cap}, {Cap}, {Cap}", "{Cap}, {Cap}, {Cap} {Cap}", "{Cap}.", "{Cap}!!", "{Cap}, {Cap} {num}", "{o} the {Cap} {Cap}, {Cap} {num}.", "{o} {Cap}, {Cap} {o}", "{Cap} {o} {Cap} {Cap}", "{Cap} {Cap} {o}", "{o}, {Cap} {Cap}, {Cap} {Cap} {o}", "{num} {num} {num} {o}", "key: {num}", "{o} {num}-{num}-{num} {num}",
     "mein Name ist {name} und dann", "Herr {name} kommt morgen", "Frau {name} war da", "Kontakt: {name}", "mit freundlichen Grüßen {name}", "Telefon: {phone}", "unter Telefon {phone} bis mittags", "Passwort: {secret}", "das Passwort ist {secret}", "der Schlüssel = {secret}",
     "je m'appelle {name} et puis", "Monsieur {name} arrive demain", "Madame {name} était là", "cordialement, {name}", "téléphone: {phone}", "au téléphone {phone} avant midi", "mot de passe: {secret}", "jeton = {secret}",
     "me llamo {name} y luego", "el señor {name} viene", "la señora {name} fue allí", "mi nombre es {name}", "saludos, {name}", "teléfono: {phone}", "al teléfono {phone} antes", "contraseña: {secret}", "clave = {secret}",
@@ -96,10 +100,12 @@ def labelled_table(copies: int = 5, seed: int = 11) -> list[tuple[list[str], lis
         if slot == "name":
             return [pick(_FIRST), *([pick(_LAST)] if rng.random() < 0.75 else [])], "name"
         if slot == "ssn":
-            return [f"{digits(3)}-{digits(2)}-{digits(4)}"], "ssn"
+            return pick(([f"{digits(3)}-{digits(2)}-{digits(4)}"], [f"{digits(3)}-{digits(2)}-{digits(4)}"], [digits(3), digits(2), digits(4)])), "ssn"
         if slot == "secret":
             hexes = "".join(pick("0123456789abcdef") for _ in range(int(rng.integers(20, 41))))
             return [pick(('"%s"', "%s", "sk-%s")) % hexes], "secret"
+        if slot == "email" and rng.random() < 0.3:
+            return [f"{word().encode('ascii', 'ignore').decode() or 'me'}{pick(('(at)', '[at]'))}{word().encode('ascii', 'ignore').decode() or 'host'}{pick(('(dot)', '[dot]'))}{pick(('com', 'org', 'net'))}"], "email"
         if slot == "email":
             return [word().encode("ascii", "ignore").decode() or "me", pick(("at", "(at)", "[at]")), f"{word().encode('ascii', 'ignore').decode() or 'host'}", pick(("dot", "(dot)", "[dot]")), pick(("com", "org", "net"))], "email"
         if slot == "phone":
@@ -109,11 +115,16 @@ def labelled_table(copies: int = 5, seed: int = 11) -> list[tuple[list[str], lis
         return (value[slot]() if slot in value else plain(int(rng.integers(2, 9)))), "O"
 
     cues, rows = sorted(_CUES), []
-    for _ in range(copies):
+    for copy in range(copies):
         for _ in range(len(_FRAMES)):  # cue words among ordinary ones mark nothing
             words = [pick(cues) if rng.random() < 0.4 else pick(plain(1)) for _ in range(int(rng.integers(3, 10)))]
             words = [w.capitalize() if rng.random() < 0.08 and w not in cues and words[max(k - 1, 0)] not in cues else w for k, w in enumerate(words)]
             rows.append(([w + pick(("", "", "", "", ",", ".", "!!", "%%%", "***")) for w in words], ["O"] * len(words)))
+        for cue in cues[copy::copies] + pick((cues[::9], cues[1::9], cues[2::9])):  # a cue that is only repeated marks nothing
+            rows.append(([cue.capitalize()] * int(rng.integers(3, 11)), []))
+            rows[-1][1].extend(["O"] * len(rows[-1][0]))
+            words = [(pick(cues) if rng.random() < 0.3 else pick(plain(1))).capitalize() + pick(("%%%", "&&", "**", "###", "!!")) for _ in range(int(rng.integers(3, 8)))]
+            rows.append((words, ["O"] * len(words)))
         for frame in _FRAMES:
             words, labels = [], []
             for part in ([plain(int(rng.integers(0, 4)))] if rng.random() < 0.7 else []) + [frame.split()] + ([plain(int(rng.integers(0, 4)))] if rng.random() < 0.7 else []):
@@ -124,7 +135,7 @@ def labelled_table(copies: int = 5, seed: int = 11) -> list[tuple[list[str], lis
                         got = [w[: found.start()] + got[0], *got[1:]]
                         got[-1] += w[found.end() :]
                         words += got
-                        labels += [label] * len(got)
+                        labels += [label, *["+" + label if label != "O" else "O"] * (len(got) - 1)]
                     else:
                         words.append(w)
                         labels.append("O")
@@ -136,7 +147,7 @@ def labelled_table(copies: int = 5, seed: int = 11) -> list[tuple[list[str], lis
 
 #: Words of the frames that hint at a kind; all other words count by their shape.
 _CUES = frozenset(
-    ("name", "is", "ask", "for", "mr", "mrs", "dr", "ms", "prof", "signed", "by", "contact", "regards", "ssn", "social", "security", "number", "token", "api_key", "password", "secret", "key", "mail", "write", "to", "email", "call", "phone", "tel", "my", "at", "dot", "com", "org", "net")
+    ("name", "is", "ask", "for", "mr", "mrs", "dr", "ms", "prof", "signed", "by", "contact", "regards", "dear", "sincerely", "yours", "ssn", "social", "security", "number", "token", "api_key", "password", "secret", "key", "mail", "write", "to", "email", "call", "phone", "tel", "my", "at", "dot", "com", "org", "net")
     + ("mein", "ist", "herr", "frau", "kontakt", "grüßen", "telefon", "passwort", "schlüssel")
     + ("m'appelle", "monsieur", "madame", "cordialement", "téléphone", "passe", "jeton")
     + ("llamo", "señor", "señora", "nombre", "saludos", "teléfono", "contraseña", "clave")
@@ -150,7 +161,8 @@ def _shape(bare: str) -> str:
             return "x"
         if bare[0].isupper() and bare[1:].islower():
             return "Xx"
-    return re.sub(r"(.)\1+", r"\1", "".join("d" if c in "0123456789" else "X" if c.isupper() else "x" if c.isalpha() else c for c in bare[:48]))[:10]
+    whole = re.sub(r"(.)\1+", r"\1", "".join("d" if c in "0123456789" else "X" if c.isupper() else "x" if c.isalpha() else c for c in bare))
+    return whole if len(whole) <= 10 else f"{whole[:9]}{len(whole).bit_length()}"
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -163,16 +175,16 @@ def features(word: str) -> tuple[str, ...]:
         elif re.fullmatch(r"[-0-9./:()]+", bare):
             digits = re.sub(r"[0-9]+", lambda m: str(len(m[0])), bare)[:14]
     length = "long" if len(bare) >= 16 else "mid" if len(bare) >= 3 else "short"
-    return ("s:" + shape, "l:" + length, "d:" + digits, "c:" + (bare.lower() if bare.lower() in _CUES else ""), "b:" + ("(" if word[:1] in "([" else "") + (":" if word[-1:] in ":=" else "") + (word if word in "=:" else ""))
+    return ("s:" + shape, "l:" + length, "d:" + digits, "c:" + (bare.lower() if bare.lower() in _CUES else ""), "b:" + ("(" if word[:1] in "([" else "") + (":" if word[-1:] in ":=" else "") + (word if word in "=:" else "") + ("%" if len(word) > 1 and word[-1] == word[-2] and word[-1] in "%&*#!?" else ""))
 
 
 _TITLES = ("mr.", "mrs.", "dr.", "ms.", "prof.", "tel.", "hr.", "fr.", "mme.", "sr.", "sra.")
 #: What a decoded span must hold to count.
 _FORMS = {
     "name": re.compile(r"[^\W\d_a-z][^\W\d_]+(?:['-][^\W\d_]+)?(?: [^\W\d_a-z][^\W\d_]*(?:['-][^\W\d_]+)*){0,3}"),
-    "ssn": re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
+    "ssn": re.compile(r"[0-9]{3}([- ])[0-9]{2}\1[0-9]{4}"),
     "secret": re.compile(r"(?=\S*[0-9])[A-Za-z0-9_+/-]{12,}"),
-    "email": re.compile(r"\S+\s+[(\[]?at[)\]]?\s+\S+(?:\s+[(\[]?dot[)\]]?\s+\S+)+"),
+    "email": re.compile(r"\S+\s+[(\[]?at[)\]]?\s+\S+(?:\s+[(\[]?dot[)\]]?\s+\S+)+|[^\s()\[\]]+[(\[]at[)\]][^\s()\[\]]+(?:[(\[]dot[)\]][^\s()\[\]]+)+"),
     "phone": re.compile(r"(?:[^0-9]*[0-9]){7,15}[^0-9]*"),
 }
 
@@ -228,60 +240,58 @@ def viterbi(emission: np.ndarray, steps: np.ndarray, begin: np.ndarray, lengths:
 
 
 def train(rows: list[tuple[list[str], list[str]]], passes: int = 120, rate: float = 0.1, decay: float = 1e-4) -> ChainField:
-    """Maximum likelihood by forward-backward on padded numpy batches and Adam steps."""
+    """Maximum likelihood by forward-backward, scaled at each step, on padded numpy batches, and Adam steps.
+
+    Words of equal features are one class: emissions are looked up by class, and gradients added up by class.
+    """
     index: dict[str, int] = {}
+    classes: dict[tuple[str, ...], int] = {}
     for words, _ in rows:
         for w in words:
+            classes.setdefault(features(w), len(classes))
             for f in features(w):
                 index.setdefault(f, len(index))
-    n, longest, k, m = len(rows), max(len(w) for w, _ in rows), len(LABELS), len(features("a"))
-    feats = np.full((n, longest, m), len(index))
-    gold = np.zeros((n, longest), np.int64)
-    mask = np.zeros((n, longest), bool)
+    n, longest, k = len(rows), max(len(w) for w, _ in rows), len(LABELS)
+    held = np.zeros((len(classes) + 1, len(index)))  # the last class is padding
+    for own, c in classes.items():
+        held[c, [index[f] for f in own]] = 1
+    word, gold, mask = np.full((n, longest), len(classes)), np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)
     for r, (words, labels) in enumerate(rows):
-        feats[r, : len(words)] = [[index[f] for f in features(w)] for w in words]
+        word[r, : len(words)] = [classes[features(w)] for w in words]
         gold[r, : len(words)] = [LABELS.index(x) for x in labels]
         mask[r, : len(words)] = True
-    hot = np.zeros((n, longest, len(index) + 1))
-    for j in range(m):
-        np.put_along_axis(hot, feats[:, :, j, None], 1, 2)
-    hot[:, :, -1] = 0
-    shape = (len(index) + 1, k)
-    weights = [*(np.zeros(shape) for _ in OFFSETS), np.zeros((k, k))]
+    weights = [*(np.zeros((len(index), k)) for _ in OFFSETS), np.zeros((k, k))]
     # where the labelled place and the word at the offset lie in the padded rows
     spans = [(slice(max(0, -o), longest - max(0, o)), slice(max(0, o), longest - max(0, -o))) for o in OFFSETS]
     moments = [[np.zeros_like(w), np.zeros_like(w)] for w in weights]
-    lengths = mask.sum(1)
-
-    def emit() -> np.ndarray:
-        e = np.zeros((n, longest, k))
-        for w, (place, word) in zip(weights, spans):
-            e[:, place] += hot[:, word] @ w
-        return e
-
-    top = lambda x, axis: np.log(np.exp(x - x.max(axis, keepdims=True)).sum(axis)) + x.max(axis)
+    seen = np.zeros((k, k))
+    np.add.at(seen, (gold[:, :-1][mask[:, 1:]], gold[:, 1:][mask[:, 1:]]), 1)
     for t in range(1, passes + 1):
-        e, steps = emit(), weights[-1]
-        fwd, bwd = np.zeros_like(e), np.zeros_like(e)
-        fwd[:, 0] = e[:, 0]
-        for s in range(1, longest):
-            fwd[:, s] = np.where(mask[:, s, None], top(fwd[:, s - 1, :, None] + steps, 1) + e[:, s], fwd[:, s - 1])
+        e = np.zeros((n, longest, k))
+        for w, (place, at) in zip(weights, spans):
+            e[:, place] += (held @ w)[word[:, at]]
+        e = np.exp(e - e.max(2, keepdims=True)) * mask[:, :, None] + ~mask[:, :, None]
+        steps, scale = np.exp(weights[-1]), np.ones((n, longest, 1))
+        fwd, bwd = np.ones_like(e), np.ones_like(e)
+        for s in range(longest):
+            own = e[:, s] * (fwd[:, s - 1] @ steps if s else 1)
+            scale[:, s] = np.where(mask[:, s, None], own.sum(1, keepdims=True), 1)
+            fwd[:, s] = np.where(mask[:, s, None], own / scale[:, s], fwd[:, s - 1] if s else 1)
         for s in range(longest - 2, -1, -1):
-            bwd[:, s] = np.where(mask[:, s + 1, None], top(steps + (e[:, s + 1] + bwd[:, s + 1])[:, None, :], 2), 0)
-        z = top(fwd[np.arange(n), lengths - 1], 1)
-        node = np.exp(np.clip(fwd + bwd - z[:, None, None], -60, 0)) * mask[:, :, None]
-        pair = np.exp(np.clip(fwd[:, :-1, :, None] + steps + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None], -60, 0)) * mask[:, 1:, None, None]
-        wrong = np.eye(k)[gold] * mask[:, :, None] - node
-        seen = np.zeros((k, k))
-        np.add.at(seen, (gold[:, :-1][mask[:, 1:]], gold[:, 1:][mask[:, 1:]]), 1)
-        grads = [hot[:, word].reshape(-1, len(index) + 1).T @ wrong[:, place].reshape(-1, k) for place, word in spans]
-        grads.append(seen - pair.sum((0, 1)))
+            bwd[:, s] = np.where(mask[:, s + 1, None], (e[:, s + 1] * bwd[:, s + 1] / scale[:, s + 1]) @ steps.T, 1)
+        wrong = (np.eye(k)[gold] - fwd * bwd) * mask[:, :, None]
+        after = (e * bwd / scale * mask[:, :, None])[:, 1:].reshape(-1, k)
+        grads = []
+        for place, at in spans:
+            own, by = word[:, at].ravel(), wrong[:, place].reshape(-1, k)
+            grads.append(held.T @ np.stack([np.bincount(own, by[:, j], len(classes) + 1) for j in range(k)], 1))
+        grads.append(seen - fwd[:, :-1].reshape(-1, k).T @ after * steps)
         for w, g, mo in zip(weights, grads, moments, strict=True):
             g = g / n - decay * w
             mo[0] = 0.9 * mo[0] + 0.1 * g
             mo[1] = 0.999 * mo[1] + 0.001 * g * g
             w += rate * (mo[0] / (1 - 0.9**t)) / (np.sqrt(mo[1] / (1 - 0.999**t)) + 1e-8)
-    return ChainField(index, [w[:-1].astype(np.float32) for w in weights[:-1]], weights[-1].astype(np.float32))
+    return ChainField(index, [w.astype(np.float32) for w in weights[:-1]], weights[-1].astype(np.float32))
 
 
 @lru_cache(maxsize=1)
@@ -331,23 +341,34 @@ class Decoder:
 
 
 def added_spans(text: str, labels: np.ndarray, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """The spans of labelled words, without marks at their ends, that touch no span already there."""
+    """The spans of labelled words, without marks at their ends, that touch no span already there.
+
+    A span goes from a begin label over the inside labels of its kind after it. One that lacks its kind's form gives the words
+    of it that have the form alone.
+    """
     places = [m.span() for m in re.finditer(r"\S+", text)]
-    found, k = [], 0
-    while k < len(labels):
-        if not labels[k]:
-            k += 1
-            continue
-        end = k
-        while end + 1 < len(labels) and labels[end + 1] == labels[k]:
-            end += 1
-        a, b = places[k][0], places[end][1]
+    found: list[tuple[str, int, int]] = []
+
+    def add(kind: str, first: int, last: int) -> bool:
+        a, b = places[first][0], places[last][1]
         while a < b and text[a] in "\"'[<{|=:":
             a += 1
         while a < b and text[b - 1] in ".,;:!?\"'[]<>{}|=*#%&$":
             b -= 1
-        if a < b and _FORMS[LABELS[labels[k]]].fullmatch(text, a, b) and not any(x < b and a < y for _, x, y in taken):
-            found.append((LABELS[labels[k]], a, b))
+        fits = a < b and _FORMS[kind].fullmatch(text, a, b) is not None
+        if fits and not any(x < b and a < y for _, x, y in taken):
+            found.append((kind, a, b))
+        return fits
+
+    k = 0
+    while k < len(labels):
+        kind, end = LABELS[labels[k]].lstrip("+"), k
+        if kind != "O":
+            while end + 1 < len(labels) and LABELS[labels[end + 1]] == "+" + kind:
+                end += 1
+            if not add(kind, k, end) and end > k:
+                for word in range(k, end + 1):
+                    add(kind, word, word)
         k = end + 1
     return found
 
