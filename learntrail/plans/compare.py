@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from learntrail.operators import harness as H
+from learntrail.operators import trees as T
 from learntrail.operators.retrieval import lookup_vectors
 from learntrail.operators.selection import exact_quantiles
 from learntrail.plans.log import attempt_log, observations, query, submissions, table
@@ -79,3 +80,55 @@ def embedding_lookup(spark, d):
     found = lookup_vectors(rows, v, ["vec_id"])
     at = lambda k: F.round(F.element_at("embedding", k).cast("double"), 6)
     return found.select("row_id", "missing", at(1).alias("first"), at(-1).alias("last"), F.size("embedding").cast("long").alias("size"))
+
+
+def _nodes(spark, d):
+    """Regions, nations and suppliers as nodes of a tree."""
+    r, n, s = (table(spark, d, t) for t in ("region", "nation", "supplier"))
+    named = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    nodes = r.select(named("r", "r_regionkey").alias("id"), F.lit("").alias("parent_id"), F.col("r_name").alias("label"))
+    return nodes.unionAll(n.select(named("n", "n_nationkey"), named("r", "n_regionkey"), "n_name")).unionAll(s.select(named("s", "s_suppkey"), named("n", "s_nationkey"), "s_name"))
+
+
+NODES = "nodes AS (SELECT 'r' || r_regionkey AS id, '' AS parent_id, r_name AS label FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name FROM supplier)"
+
+
+@query("SELECT 1 AS level, '' AS parent_id, 'r' || r_regionkey AS id, r_name AS label FROM region UNION ALL SELECT 2, 'r' || n_regionkey, 'n' || n_nationkey, n_name FROM nation UNION ALL SELECT 3, 'n' || s_nationkey, 's' || s_suppkey, s_name FROM supplier", log=False)
+def tree_flatten(spark, d):
+    """A tree of any depth as an adjacency table: each level joins the one above."""
+    return T.tree_levels(_nodes(spark, d))
+
+
+def _by_length(texts, options, attempt):
+    """A stand-in for a classifier: options whose length and the text's add up to a multiple of three; its first answer to every other text is none of the options."""
+    return [["no such label"] if attempt == 0 and len(t) % 2 else [o for o in own if (len(t) + len(o)) % 3 == 0] for t, own in zip(texts, options, strict=True)]
+
+
+@query(f"WITH RECURSIVE {NODES}, t AS (SELECT item_id, length(text) AS n FROM benchmark), c AS (SELECT t.item_id, t.n, 1 AS level, nodes.id FROM t JOIN nodes ON parent_id = '' AND (t.n + length(label)) % 3 = 0 UNION ALL SELECT c.item_id, c.n, c.level + 1, nodes.id FROM c JOIN nodes ON nodes.parent_id = c.id AND (c.n + length(label)) % 3 = 0) SELECT item_id AS question_id, level, id AS node_id, true AS valid FROM c", log=False)
+def tag_questions(spark, d):
+    """Questions tagged down a tree: each answer is checked against the node's children, failing rows alone are asked again."""
+    return T.assign_tags(table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), "text"), _nodes(spark, d), _by_length)
+
+
+@query("WITH a AS (SELECT row_id, CASE WHEN student_id NOT IN (SELECT s_suppkey FROM supplier) THEN 'student' WHEN question_id NOT IN (SELECT c_custkey FROM customer) THEN 'question' ELSE 'kept' END AS reason FROM sub) SELECT reason, count(*) AS n FROM a GROUP BY reason")
+def align_events(spark, d):
+    """Events joined to the current learners and questions; each dropped one is counted under the first reason."""
+    students = table(spark, d, "supplier").select(F.col("s_suppkey").alias("student_id")).distinct()
+    questions = table(spark, d, "customer").select(F.col("c_custkey").alias("question_id")).distinct()
+    return T.align_keys(submissions(spark, d).select("row_id", "student_id", "question_id"), [("student", students, ["student_id"]), ("question", questions, ["question_id"])])[1]
+
+
+@query("WITH a AS (SELECT *, row_number() OVER (ORDER BY student_id, item_id, t_days, attempt_id) AS n FROM obs) SELECT a.student_id, a.item_id, a.y, b.attempt_id FROM a JOIN a b USING (n)")
+def borrowed_attempts(spark, d):
+    """Attempt numbers for predictions without them, from those of a model with the same rows in the same order."""
+    o = observations(spark, d).withColumn("place", F.col("attempt_id"))
+    return T.borrowed(o.select("student_id", "item_id", "t_days", "place", "y"), o, ["student_id", "item_id", "t_days", "place"], "attempt_id").select("student_id", "item_id", "y", "attempt_id")
+
+
+@query("""WITH m AS (SELECT course_id, CAST(count(*) AS VARCHAR) AS attempts, CAST(CAST(round(avg(fraction), 3) AS DECIMAL(10, 3)) AS VARCHAR) AS mean FROM sub GROUP BY course_id)
+SELECT row_number() OVER (ORDER BY course_id) AS place, course_id || ' & ' || attempts || ' & ' || mean || ' \\\\' AS line FROM m UNION ALL SELECT * FROM (VALUES (-2, '\\begin{tabular}{lrr}'), (-1, 'course_id & attempts & mean \\\\'), (0, '\\hline'), (2147483647, '\\end{tabular}')) t(place, line)""")
+def latex_metrics(spark, d):
+    """A LaTeX table of each course's attempts and mean mark; a missing cell is an error."""
+    m = submissions(spark, d).groupBy("course_id").agg(F.count("*").cast("string").alias("attempts"), F.round(F.avg("fraction"), 3).cast("decimal(10,3)").cast("string").alias("mean"))
+    cells = m.select("course_id", F.explode(F.map_from_arrays(F.array(F.lit("attempts"), F.lit("mean")), F.array("attempts", "mean"))).alias("what", "text"))
+    return T.latex_lines(cells, "course_id", "what", "text", ["attempts", "mean"]).withColumn("place", F.col("place").cast("long"))

@@ -87,31 +87,6 @@ def jsonl_round_trip(spark, d):
     return readers.scan_lines(spark, path)
 
 
-@query("SELECT 1 AS level, '' AS parent_id, 'r' || r_regionkey AS id, r_name AS label FROM region UNION ALL SELECT 2, 'r' || n_regionkey, 'n' || n_nationkey, n_name FROM nation UNION ALL SELECT 3, 'n' || s_nationkey, 's' || s_suppkey, s_name FROM supplier", log=False)
-def tree_flatten(spark, d):
-    """A tree of at most five levels as an adjacency table, here of regions, nations and suppliers: each level joins the one above."""
-    r, n, s = (table(spark, d, t) for t in ("region", "nation", "supplier"))
-    named = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
-    nodes = r.select(named("r", "r_regionkey").alias("id"), F.col("r_name").alias("label"), F.lit("").alias("parent_id"))
-    nodes = nodes.unionAll(n.select(named("n", "n_nationkey"), "n_name", named("r", "n_regionkey"))).unionAll(s.select(named("s", "s_suppkey"), "s_name", named("n", "s_nationkey")))
-    level = nodes.where("parent_id = ''").withColumn("level", F.lit(1))
-    out = level
-    for k in range(2, 6):
-        level = nodes.join(level.select(F.col("id").alias("parent_id")), "parent_id").withColumn("level", F.lit(k)).select("id", "label", "parent_id", "level")
-        out = out.unionByName(level)
-    return out.select("level", "parent_id", "id", "label")
-
-
-@query("WITH a AS (SELECT row_id, CASE WHEN student_id NOT IN (SELECT s_suppkey FROM supplier) THEN 'student' WHEN question_id NOT IN (SELECT c_custkey FROM customer) THEN 'question' ELSE 'kept' END AS reason FROM sub) SELECT reason, count(*) AS n FROM a GROUP BY reason")
-def align_events(spark, d):
-    """Events joined to the current learners and questions; each dropped one is counted under the first reason."""
-    s = submissions(spark, d).select("row_id", "student_id", "question_id")
-    students = table(spark, d, "supplier").select(F.col("s_suppkey").alias("student_id")).distinct().withColumn("ks", F.lit(True))
-    questions = table(spark, d, "customer").select(F.col("c_custkey").alias("question_id")).distinct().withColumn("kq", F.lit(True))
-    x = s.join(students, "student_id", "left").join(questions, "question_id", "left")
-    return x.groupBy(F.when(F.col("ks").isNull(), "student").when(F.col("kq").isNull(), "question").otherwise("kept").alias("reason")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT p.question_id, round(avg(abs(p.fraction - q.fraction)), 6) AS error FROM sub p JOIN sub q ON q.student_id = p.student_id AND q.question_id = p.question_id AND q.attempt_no = p.attempt_no + 1 GROUP BY p.question_id")
 def grading_error(spark, d):
     nxt = F.lead("fraction").over(S.ordered())

@@ -12,6 +12,7 @@ from learntrail.operators import estimators as M
 from learntrail.operators import posterior as G
 from learntrail.operators import recurrent as N
 from learntrail.operators import sequence as S
+from learntrail.plans.attempts import behavior_metrics
 from learntrail.plans.log import attempt_log, observations, query, submissions, table
 from learntrail.sources.tables import checkpointed
 
@@ -148,8 +149,8 @@ def html_to_text(spark, d):
 
 @query()
 def behavior_clusters(spark, d):
-    s = submissions(spark, d).groupBy("student_id").agg(F.count("*").cast("double").alias("n"), F.avg("fraction").alias("rate"), F.stddev_pop("fraction").alias("spread"))
-    return M.clusters(s, ["n", "rate", "spread"], 4)
+    """Learners in four groups by the pauses, edits and numbers of their attempts."""
+    return M.clusters(behavior_metrics(spark, d), ["mean_delta", "mean_edit", "n"], 4)
 
 
 @query("SELECT DISTINCT item_id, CASE WHEN week <= 3 THEN 'calibration' ELSE 'prediction' END AS role FROM obs")
