@@ -96,8 +96,8 @@ def context_sums(ids: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> np.
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """(BUCKETS, SIZE) unit vectors from the contexts of all words of all documents.
 
-    Each task adds up its own table; the tables are summed in two steps by slice, and SLICES rows of a fixed size, two
-    megabytes in all, reach the driver whatever the corpus.
+    Each task adds up its own table of whole numbers, which doubles hold exactly up to 2**53; the tables are summed in two steps
+    by slice, and SLICES rows of a fixed size, four megabytes in all, reach the driver whatever the corpus.
     """
     index = index_vectors()
 
@@ -111,18 +111,18 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 if size > 200_000 or k == len(batch) - 1:
                     total += context_sums(np.concatenate(some), np.array([len(x) for x in some], np.int64), index)
                     some, size = [], 0
-        slices = total.astype(np.float32).reshape(SLICES, -1)
+        slices = total.reshape(SLICES, -1)
         yield pd.DataFrame({"slice": range(SLICES), "part": TaskContext.get().partitionId() % GROUPS, "sums": [x.tobytes() for x in slices]})
 
     def added(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in group.sums)
-        return pd.DataFrame({"slice": [group.slice.iloc[0]], "part": [group.part.iloc[0]], "sums": [total.astype(np.float32).tobytes()]})
+        total = sum(np.frombuffer(x, np.float64) for x in group.sums)
+        return pd.DataFrame({"slice": [group.slice.iloc[0]], "part": [group.part.iloc[0]], "sums": [total.tobytes()]})
 
     schema = "slice int, part int, sums binary"
     summed = null_safe_text(docs).mapInPandas(partial, schema).groupBy("slice", "part").applyInPandas(added, schema).withColumn("part", F.lit(0)).groupBy("slice", "part").applyInPandas(added, schema)
     out = np.zeros((SLICES, BUCKETS * SIZE // SLICES), np.float32)
     for row in summed.collect():
-        out[row["slice"]] = np.frombuffer(row["sums"], np.float32)
+        out[row["slice"]] = np.frombuffer(row["sums"], np.float64)
     out = out.reshape(BUCKETS, SIZE)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
