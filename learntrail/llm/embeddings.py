@@ -170,15 +170,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     edges = meeting_edges(classes, *meeting_shape(largest, cosine), half, need, buckets)
     met = written(components(edges).select(F.col("id").alias("rep"), F.col("component").alias("cluster")))
     parts = met.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.count("*").alias("size"))
-    placed = classes.select("rep", "dim", "copies", "unit").join(join_hot(met, parts, ["cluster"], "size"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    placed = classes.select("rep", "label", "dim", "copies", "unit").join(join_hot(met, parts, ["cluster"], "size"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     paired = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     p, q = F.least("j", "block"), F.greatest("j", "block")
     bundle = F.when(F.col("parts") > 1, F.xxhash64("cluster", p, q)).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(buckets)))
-    paired = paired.select("cluster", "dim", "rep", "copies", "unit", (F.col("parts") > 1).alias("large"), p.alias("p"), q.alias("q"), F.when(F.col("block") <= F.col("j"), 0).otherwise(1).alias("side"), bundle.alias("bundle"))
+    paired = paired.select("cluster", "label", "dim", "rep", "copies", "unit", (F.col("parts") > 1).alias("large"), p.alias("p"), q.alias("q"), F.when(F.col("block") <= F.col("j"), 0).otherwise(1).alias("side"), bundle.alias("bundle"))
 
     def linked(group: pd.DataFrame) -> pd.DataFrame:
         rep, copies = group.rep.to_numpy(np.int64), group["copies"].to_numpy(np.int64)
         unit, cluster = np.stack(group.unit.to_numpy()).astype(np.float64), group.cluster.to_numpy(np.int64)
+        cluster = np.unique(np.stack([cluster, pd.factorize(group.label)[0]], 1), axis=0, return_inverse=True)[1].reshape(-1)  # keys of two labels may collide
         if group.large.iloc[0] and group.p.iloc[0] < group.q.iloc[0]:
             a, b = block_links(unit, cluster, np.flatnonzero(group.side == 0), np.flatnonzero(group.side == 1), cosine, need, half)
         else:  # whole clusters, some at a time
