@@ -61,9 +61,11 @@ def calibrated(obs: DataFrame, rounds: int = 12, prior: float = 1.0, slope: bool
 def rasch(responses: DataFrame, rounds: int = 6, prior: float = 1.0, eps: float = 0.01) -> tuple[DataFrame, DataFrame]:
     """One-parameter logistic model by alternating damped Newton steps with a normal prior; labels are smoothed by ``eps``, responses are counted first.
 
-    Every step is an aggregation by learner or by item over (learner, item) counts. Returns abilities and difficulties.
+    Every step is an aggregation by learner or by item over (learner, item) counts. Returns abilities and difficulties. Rows
+    may be counted already: ``n`` answers, of which ``right`` were right, instead of ``y``.
     """
-    counts = responses.groupBy("student_id", "item_id").agg(F.count("*").cast("double").alias("n"), F.sum(smoothed(F.col("y"), eps)).alias("r"))
+    n, right = (F.sum("n"), F.sum("right")) if "n" in responses.columns else (F.count("*"), F.sum("y"))
+    counts = responses.groupBy("student_id", "item_id").agg(n.cast("double").alias("n"), (right * (1 - 2 * eps) + n * eps).alias("r"))
     counts = checkpointed(counts)
     ability = counts.select("student_id").distinct().withColumn("theta", F.lit(0.0))
     item = counts.select("item_id").distinct().withColumn("b", F.lit(0.0))

@@ -209,13 +209,13 @@ def temporal_ability(spark, d):
     """One-parameter abilities by week of the log: the growth form as separate fits on growing prefixes.
 
     All prefixes are fitted together, with learners and items keyed by their prefix's last week; a learner has rows from
-    the week of the first answer on.
+    the week of the first answer on. Answers are counted by week first, so that prefixes copy counts and not answers.
     """
-    o = observations(spark, d)
+    o = observations(spark, d).groupBy("student_id", "item_id", "week").agg(F.count("*").alias("n"), F.sum("y").alias("right"))
     last = F.broadcast(o.agg(F.max("week").alias("last")))
     o = o.join(last, how="cross").withColumn("upto", F.explode(F.sequence("week", "last")))
     keyed = lambda c: F.struct("upto", c).alias(c)
-    ability, _ = M.rasch(o.select(keyed("student_id"), keyed("item_id"), "y"))
+    ability, _ = M.rasch(o.select(keyed("student_id"), keyed("item_id"), "n", "right"))
     return ability.select(F.col("student_id.upto").alias("week"), "student_id.student_id", "theta")
 
 
