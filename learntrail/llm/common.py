@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,9 @@ CHUNK_BYTES = 8_000_000
 SHUFFLE_CLEANUP = ("spark.sql.shuffleDependency.fileCleanup.enabled", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
 #: A group of one in so many rows is hot.
 HOT = 1000
+#: Partitions of a packed exchange at most, so that the driver tracks blocks in proportion to the input and a sender's record
+#: still holds several keys; beyond it a partition has several buckets, one after the other.
+REDUCERS = 8192
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,15 +71,27 @@ def exchange_buckets(df: DataFrame, least: int = 48) -> int:
 
 
 def exchanged(records: DataFrame, buckets: int) -> DataFrame:
-    """``records`` with each of the ``buckets`` as a partition of its own, by column ``bucket``: dealt evenly, whatever
-    spark.sql.shuffle.partitions is."""
-    return records.repartitionById(buckets, F.col("bucket").cast("int"))
-
-
-def whole(batches: Iterable[pd.DataFrame]) -> pd.DataFrame | None:
-    """All rows of a partition of ``exchanged``; none if it is empty."""
-    parts = [b for b in batches if len(b)]
-    return pd.concat(parts, ignore_index=True) if parts else None
+    """``records`` with the rows of each of the ``buckets`` (column ``bucket``) in one run of one partition, whatever
+    spark.sql.shuffle.partitions is: a partition a bucket, or, of more than REDUCERS buckets, several in each, sorted (the sort spills)."""
+    if buckets <= REDUCERS:
+        return records.repartitionById(buckets, F.col("bucket").cast("int"))
+    return records.repartitionById(REDUCERS, F.pmod(F.col("bucket"), F.lit(REDUCERS)).cast("int")).sortWithinPartitions("bucket")
+
+
+def bucket_groups(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All rows of a bucket of ``exchanged`` at a time; only one bucket is held."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        cuts = np.flatnonzero(np.diff(batch.bucket.to_numpy())) + 1
+        for begin, end in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+            if begin < end:
+                part = batch.iloc[begin:end]
+                if held and held[0].bucket.iloc[0] != part.bucket.iloc[0]:
+                    yield pd.concat(held, ignore_index=True)
+                    held = []
+                held.append(part)
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def join_hot(rows: DataFrame, groups: DataFrame, on: list[str], size: str, how: str = "left", total: int | None = None) -> DataFrame:

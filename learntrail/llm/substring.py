@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from learntrail.llm.common import as_bytes, chunks, exchange_buckets, exchanged, mixed, null_safe_text, table, whole, window_hashes, word_hashes, written
+from learntrail.llm.common import as_bytes, bucket_groups, chunks, exchange_buckets, exchanged, mixed, null_safe_text, table, window_hashes, word_hashes, written
 
 WINDOW = 13
 #: Every residue modulo 7 is a difference of two elements of {0, 1, 3}: two starts of a repeated window have a shift k < 7
@@ -61,22 +61,19 @@ def _meet(records: DataFrame, buckets: int, later_only: bool) -> DataFrame:
     """``key, at``: the positions whose hash also occurs in another document; with ``later_only``, in one of a smaller id."""
 
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group = whole(batches)
-        if group is None:
-            return
-        _, keys, at, _, _ = _unpacked(group[group.kind == _LOCAL])
-        ids, own, where, hashes, more = _unpacked(group[group.kind == _SENT])
-        del group
-        if not later_only:
-            ids, hashes, more = own, more, _NONE
-        order, run, first = _ordered(ids, hashes, more)
-        ids, own, where = ids[order], own[order], where[order]
-        if later_only:
-            found = ids > ids[first][run]
-        else:
-            last = np.r_[first[1:], len(ids)][: len(first)] - 1
-            found = (ids[last] > ids[first])[run]
-        yield _by_document(np.r_[keys, own[found]], np.r_[at, where[found]])
+        for group in bucket_groups(batches):
+            _, keys, at, _, _ = _unpacked(group[group.kind == _LOCAL])
+            ids, own, where, hashes, more = _unpacked(group[group.kind == _SENT])
+            if not later_only:
+                ids, hashes, more = own, more, _NONE
+            order, run, first = _ordered(ids, hashes, more)
+            ids, own, where = ids[order], own[order], where[order]
+            if later_only:
+                found = ids > ids[first][run]
+            else:
+                last = np.r_[first[1:], len(ids)][: len(first)] - 1
+                found = (ids[last] > ids[first])[run]
+            yield _by_document(np.r_[keys, own[found]], np.r_[at, where[found]])
 
     return exchanged(records, buckets).mapInPandas(met, "key long, at binary")
 
@@ -156,8 +153,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     repeat an id don't remove each other. Other columns are not read.
 
     Anchors (three of seven positions) are exchanged first; only documents that share one are read for the second exchange,
-    of whole windows. Both exchanges carry packed arrays in buckets, each a partition of its own, whose number grows with the
-    input's partitions.
+    of whole windows. Both exchanges carry packed arrays in buckets, whose number grows with the input's partitions while that
+    of partitions is bounded.
     """
     buckets = exchange_buckets(docs)
     texts = null_safe_text(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").withColumn("key", F.xxhash64("doc_id", "text"))
