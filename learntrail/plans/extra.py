@@ -24,8 +24,8 @@ STEPS = STEPS.replace("fraction, ts", "CAST(length(replace(pass, '0', '')) AS DO
 def _lab_files(spark, d):
     """The log as lab files in the shared folder, one for each course and week, named W<week>_<topic>.json below the course's folder, and the folder's path.
 
-    A lab has a plain question and one with two parts, and each learner's history of steps; so it is one JSON object, and as
-    large as the lab.
+    A lab has a plain question and one with two parts, and each learner's history of steps. It is one JSON object in one file,
+    written line by line: a learner's answer is a row, so no row grows with the lab.
     """
     log = attempt_log(spark, d).withColumn("fraction", P.pass_fraction(F.col("pass")))
     action = F.when(F.col("response_type") == "Started", "Started").otherwise(F.concat("response_type", F.lit(": "), "pass"))
@@ -34,14 +34,19 @@ def _lab_files(spark, d):
     pair = log.groupBy("course_id", "week", "student_id", "question_id").agg(results.alias("results"))
     student = pair.groupBy("course_id", "week", "student_id").agg(F.collect_list(F.struct(F.concat(F.lit("Question "), F.col("question_id").cast("string")).alias("question"), "results")).alias("response_history"))
     answer = F.struct(F.concat(F.lit("Student "), F.col("student_id").cast("string")).alias("name"), F.col("student_id").cast("string").alias("id"), F.lit("").alias("review_link"), "response_history")
-    lab = student.groupBy("course_id", "week").agg(F.to_json(F.collect_list(answer)).alias("answers"))
     case = '"testcases":[{"input":"1","std_input":"","output":"1"}]'
     asked = lambda q: f'{{"question":"{q}","name":"task {q[9:]}","template":"","max_score":"1.00",{case}}}'
     questions = f"[{asked('Question 1')},[{asked('Question 2.1')},{asked('Question 2.2')}]]"
-    text = F.concat(F.lit('{"lab_name":"Week '), F.col("week").cast("string"), F.lit(f'","list_questions":{questions},"student_answers":'), "answers", F.lit("}"))
+    head = F.concat(F.lit('{"lab_name":"Week '), F.col("week").cast("string"), F.lit(f'","list_questions":{questions},"student_answers":['))
+    labs = student.groupBy("course_id", "week").agg(F.min("student_id").alias("first"))
+    comma = F.when(F.col("student_id") == F.col("first"), "").otherwise(",")
+    lines = student.join(labs, ["course_id", "week"]).select("course_id", "week", F.lit(1).alias("place"), "student_id", F.concat(comma, F.to_json(answer)).alias("value"))
+    ends = labs.select("course_id", "week", F.explode(F.array(F.struct(F.lit(0).alias("place"), head.alias("value")), F.struct(F.lit(2).alias("place"), F.lit("]}").alias("value")))).alias("e"))
+    lines = lines.unionByName(ends.select("course_id", "week", "e.place", F.lit(None).cast("long").alias("student_id"), "e.value"))
     name = F.concat(F.lit("W"), F.col("week").cast("string"), F.when(F.col("week") == 5, "_Exam").otherwise("_Lists"), F.lit(".json"))
     path = shared_folder(spark)
-    lab.select("course_id", name.alias("lab"), text.alias("value")).write.partitionBy("course_id", "lab").text(path)
+    lines = lines.withColumn("lab", name).repartition("course_id", "lab").sortWithinPartitions("course_id", "lab", "place", "student_id")
+    lines.select("course_id", "lab", "value").write.partitionBy("course_id", "lab").text(path)
     return path
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from learntrail.sources.labs import json_elements
+
 SUBMISSIONS = "student_id long, course_id long, section_id long, question_unittest_id long, attempt_id long, timestamp string, is_exam long, response_type string, response string, pass string"
-_CASE = "struct<input:string,std_input:string,output:string>"
-_QUESTION = f"struct<question:string,name:string,template:string,max_score:string,testcases:array<{_CASE}>>"
-LAB = f"lab_name string, list_questions array<string>, student_answers array<struct<name:string,id:string,review_link:string,response_history:array<struct<question:string,results:array<struct<step:string,time:string,action:string,state:string,score:string>>>>>>"
+_CASES = "array<struct<input:string,std_input:string,output:string>>"
+_ANSWER = "name string, id string, review_link string, response_history array<struct<question:string,results:array<struct<step:string,time:string,action:string,state:string,score:string>>>>"
 
 
 def scan_submissions(spark: SparkSession, path: str) -> DataFrame:
@@ -27,24 +28,31 @@ def week_topic(name: Column) -> tuple[Column, Column, Column]:
 
 
 def scan_labs(spark: SparkSession, path: str) -> DataFrame:
-    """Lab files below course and section folders; a question may be an object or an array of them, so it is read as text and parsed twice."""
-    files = spark.read.schema(LAB).option("multiLine", True).option("recursiveFileLookup", True).json(path).withColumn("file", F.input_file_name())
+    """The elements of lab files below course and section folders (``labs.json_elements``), with the lab's name, week, topic and exam flag."""
+    rows = json_elements(spark, path)
     # a file, or a folder of files that Spark wrote under that name
     week, topic, exam = week_topic(F.concat(F.regexp_extract("file", r".*(W\d+_[^/]*)\.json", 1), F.lit(".json")))
-    return files.withColumns({"week": week, "topic": topic, "is_exam": exam})
+    return rows.withColumns({"week": week, "topic": topic, "is_exam": exam, "lab_name": F.col("fields")["lab_name"]})
 
 
 def lab_questions(labs: DataFrame, *keep: str) -> DataFrame:
-    """One row for each question or sub-question, with the lab's columns ``keep``."""
-    one = F.from_json("q", _QUESTION)
-    many = F.from_json("q", f"array<{_QUESTION}>")
-    rows = labs.select(*keep, "lab_name", "week", "topic", F.posexplode("list_questions").alias("position", "q"))
-    return rows.select(*keep, "lab_name", "week", "topic", "position", F.explode(F.when(F.ltrim("q").startswith("["), many).otherwise(F.array(one))).alias("question")).select(*keep, "lab_name", "week", "topic", "position", "question.*")
+    """One row for each question or sub-question, with the lab's columns ``keep``.
+
+    An element is an object or an array of them, so it is a variant; what is neither, and text that isn't JSON, gives no row.
+    """
+    rows = labs.where("name = 'list_questions'").withColumn("position", F.row_number().over(Window.partitionBy("file").orderBy("place")) - 1)  # a lab's questions are few
+    v = F.try_parse_json("json")
+    many = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+    one = rows.select(*keep, "lab_name", "week", "topic", "position", F.explode(many).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    texts = [F.try_variant_get("v", f"$.{c}", "string").alias(c) for c in ("question", "name", "template", "max_score")]
+    return one.select(*keep, "lab_name", "week", "topic", "position", *texts, F.try_variant_get("v", "$.testcases", _CASES).alias("testcases"))
 
 
 def lab_history(labs: DataFrame, *keep: str) -> DataFrame:
-    """One row for each step of each learner's history at each question, with the lab's columns ``keep``."""
-    a = labs.select(*keep, "lab_name", "week", F.explode_outer("student_answers").alias("a")).select(*keep, "lab_name", "week", F.col("a.id").alias("student_uid"), F.explode_outer("a.response_history").alias("h"))
+    """One row for each step of each learner's history at each question, with the lab's columns ``keep``. A learner without a
+    history has a row without a question, an empty history one without a step; an answer that isn't an object gives none."""
+    a = labs.where("name = 'student_answers'").where(F.col("json").startswith("{")).select(*keep, "lab_name", "week", F.from_json("json", _ANSWER).alias("a"))
+    a = a.select(*keep, "lab_name", "week", F.col("a.id").alias("student_uid"), F.explode_outer("a.response_history").alias("h"))
     return a.select(*keep, "lab_name", "week", "student_uid", F.col("h.question").alias("question"), F.posexplode_outer("h.results").alias("position", "r")).select(*keep, "lab_name", "week", "student_uid", "question", "position", "r.*")
 
 
