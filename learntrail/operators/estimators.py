@@ -224,6 +224,7 @@ def clusters(df: DataFrame, columns: list[str], k: int, seed: int = 42) -> DataF
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 
+    df = checkpointed(df.select("student_id", *columns))  # read once for the scaling, once for the means and once for the result
     x = VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="skip").transform(df)
     x = MinMaxScaler(inputCol="raw", outputCol="features").fit(x).transform(x)
     return KMeans(k=k, seed=seed).fit(x).transform(x).select("student_id", F.col("prediction").alias("cluster"))

@@ -10,7 +10,7 @@ from learntrail.operators import cube as C
 from learntrail.operators import evaluation as E
 from learntrail.operators import sequence as S
 from learntrail.operators.selection import exact_quantiles
-from learntrail.plans.log import attempt_log, observations, query, submissions, with_response
+from learntrail.plans.log import attempt_log, observations, query, responses, submissions
 
 MICROS = "epoch_us(ts)"
 
@@ -88,7 +88,8 @@ RESP = "WITH n AS (SELECT count(*) AS n FROM benchmark), r AS (SELECT s.*, regex
 
 @query(RESP + ", l AS (SELECT *, lag(response) OVER (PARTITION BY student_id, question_id ORDER BY ts, row_id) AS prev FROM r) SELECT row_id, CAST(levenshtein(response, prev) AS DOUBLE) AS edit_distance FROM l")
 def edit_distance_lag(spark, d):
-    return S.edit_lag(with_response(submissions(spark, d), spark, d)).select("row_id", F.col("edit_distance").cast("double").alias("edit_distance"))
+    x, texts = responses(submissions(spark, d), spark, d)
+    return S.edit_lag(x, texts=texts).select("row_id", F.col("edit_distance").cast("double").alias("edit_distance"))
 
 
 @query(RESP + """, l AS (SELECT *, lag(response) OVER w AS prev, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS delta FROM r WINDOW w AS (PARTITION BY student_id, question_id ORDER BY ts, row_id))
@@ -96,7 +97,8 @@ SELECT row_id, round(CAST(levenshtein(response, prev) AS DOUBLE) / greatest(leng
 WHERE prev IS NOT NULL AND CAST(levenshtein(response, prev) AS DOUBLE) / greatest(length(response), length(prev), 1) > 0.9 AND delta < 600""")
 def suspicious_jumps(spark, d):
     """Attempts that change over nine tenths of the text within ten minutes; the events of the test tables lie further apart, so few or none are found."""
-    return S.jumps(with_response(submissions(spark, d), spark, d)).select("row_id", F.round("edit_fraction", 6).alias("edit_fraction"), F.round("delta_s", 3).alias("delta_s"))
+    x, texts = responses(submissions(spark, d), spark, d)
+    return S.jumps(x, texts=texts).select("row_id", F.round("edit_fraction", 6).alias("edit_fraction"), F.round("delta_s", 3).alias("delta_s"))
 
 
 @query(RESP + """, l AS (SELECT *, lag(response) OVER w AS prev, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS delta FROM r WINDOW w AS (PARTITION BY student_id, question_id ORDER BY ts, row_id))
@@ -104,7 +106,8 @@ SELECT row_id, round(CAST(levenshtein(response, prev) AS DOUBLE) / greatest(leng
 WHERE prev IS NOT NULL AND CAST(levenshtein(response, prev) AS DOUBLE) / greatest(length(response), length(prev), 1) > 0.6 AND delta < 86400""")
 def wide_jumps(spark, d):
     """The same with wider limits, so that rows come out of the test tables: six tenths within a day."""
-    return S.jumps(with_response(submissions(spark, d), spark, d), 0.6, 86400).select("row_id", F.round("edit_fraction", 6).alias("edit_fraction"), F.round("delta_s", 3).alias("delta_s"))
+    x, texts = responses(submissions(spark, d), spark, d)
+    return S.jumps(x, 0.6, 86400, texts=texts).select("row_id", F.round("edit_fraction", 6).alias("edit_fraction"), F.round("delta_s", 3).alias("delta_s"))
 
 
 @query("SELECT row_id, round(fraction - avg(fraction) OVER (PARTITION BY student_id), 6) + 0.0 AS by_student, round(fraction - avg(fraction) OVER (PARTITION BY question_id), 6) + 0.0 AS by_question FROM sub")
@@ -183,7 +186,8 @@ def final_mark_per_problem(spark, d):
 @query(RESP + """, l AS (SELECT *, levenshtein(response, lag(response) OVER (PARTITION BY student_id, question_id ORDER BY ts, row_id)) AS ed FROM r)
 SELECT student_id, question_id, count(*) AS n_attempts, round(avg(ed), 6) AS avg_edit, round(max(fraction), 6) AS max_ratio, arg_min(course_id, row_id) AS course_id, arg_min(section_id, row_id) AS section_id, arg_min(is_exam, row_id) AS is_exam FROM l GROUP BY ALL""")
 def student_question_features(spark, d):
-    x = S.edit_lag(with_response(submissions(spark, d), spark, d))
+    x, texts = responses(submissions(spark, d), spark, d)
+    x = S.edit_lag(x, texts=texts)
     return x.groupBy("student_id", "question_id").agg(F.count("*").alias("n_attempts"), F.round(F.avg("edit_distance"), 6).alias("avg_edit"), F.round(F.max("fraction"), 6).alias("max_ratio"), *[F.min_by(c, "row_id").alias(c) for c in ("course_id", "section_id", "is_exam")])
 
 
@@ -246,7 +250,8 @@ def problem_overall(spark, d):
 @query(RESP + """, l AS (SELECT *, levenshtein(response, lag(response) OVER w) AS ed, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS delta FROM r WINDOW w AS (PARTITION BY student_id, question_id ORDER BY ts, row_id))
 SELECT student_id, round(coalesce(avg(delta), 0), 4) AS mean_delta, round(coalesce(avg(ed), 0), 6) AS mean_edit, count(*) AS n FROM l GROUP BY student_id HAVING count(*) >= 2""")
 def behavior_metrics(spark, d):
-    x = S.time_delta(S.edit_lag(with_response(submissions(spark, d), spark, d)))
+    x, texts = responses(submissions(spark, d), spark, d)
+    x = S.edit_lag(S.time_delta(x), texts=texts)
     return x.groupBy("student_id").agg(F.round(F.coalesce(F.avg("delta_s"), F.lit(0.0)), 4).alias("mean_delta"), F.round(F.coalesce(F.avg("edit_distance"), F.lit(0.0)), 6).alias("mean_edit"), F.count("*").alias("n")).where("n >= 2")
 
 

@@ -41,6 +41,18 @@ def test_jumps_within_ten_minutes(spark):
     assert {r.row_id for r in S.jumps(df, 0.05, 3600).collect()} == {2, 3, 4}
 
 
+def test_edits_by_keys_of_texts_equal_those_of_the_texts(spark):
+    texts = [(1, "abcdef"), (2, "abxdef"), (3, None), (4, "")]
+    rows = [(k, k % 3, 1, f"2024-01-01 10:{k:02d}:00", [1, 2, 0, 4, 0, 0, 3][k * (k + 1) // 2 % 7]) for k in range(40)]
+    log = spark.createDataFrame(rows, "row_id long, student_id long, question_id long, t string, key long").withColumn("ts", F.col("t").cast("timestamp"))
+    words = spark.createDataFrame(texts, "key long, text string")
+    plain = log.join(words.withColumnRenamed("text", "response"), "key")
+    shown = lambda df, c: sorted((r.row_id, r[c]) for r in df.collect() if r[c] is not None)
+    got = S.edit_lag(log, "key", texts=words)
+    assert got.count() == log.count() and shown(got, "edit_distance") == shown(S.edit_lag(plain), "edit_distance") != []
+    assert shown(S.jumps(log, 0.1, 3600, "key", texts=words), "edit_fraction") == shown(S.jumps(plain, 0.1, 3600), "edit_fraction") != []
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
