@@ -197,3 +197,27 @@ def test_retrieval_ranks_by_cosine_and_leaves_stop_words_out(spark):
     assert {r.doc_id: len(r.terms) for r in R.tfidf(docs).collect()} == {0: 3, 1: 2, 3: 2}
     got = [(r.query_id, r.doc_id) for r in R.tfidf_topk(docs, F.col("doc_id") == 0, 5).collect()]
     assert got == [(0, 1)]
+
+
+def test_searches_over_many_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(R, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(R, "DOC_BLOCK", 20)
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(size=(90, 4)), 1)
+    x[40:60] = x[:20]  # copies: ties
+    rows = [(k, [float(v) for v in row], k % 3) for k, row in enumerate(x)] + [(90, None, 1), (91, [0.0] * 4, 1), (92, [1.0], 1)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {(r.vec_id, r["rank"]): (r.other_id, r.cos) for r in R.cosine_topk(v.where("vec_id % 10 = 0"), v, 5).collect()}
+    y = np.float32(x).astype(float)
+    y /= np.sqrt((y * y).sum(1))[:, None]
+    want = {}
+    for q in range(0, 90, 10):
+        cos = np.round(y[q] @ y.T, 9)
+        for n, (c, k) in enumerate(sorted((-c, k) for k, c in enumerate(cos) if k != q)[:5], 1):
+            want[q, n] = (k, -c)
+    assert {k: d for k, (d, _) in got.items()} == {k: d for k, (d, _) in want.items()} and all(abs(got[k][1] - want[k][1]) < 2e-9 for k in want)
+    words = [f"w{chr(97 + k)}x" for k in range(12)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(words, 6))) for k in range(90)], "doc_id long, text string")
+    few = sorted(tuple(r) for r in R.tfidf_topk(docs, F.col("doc_id") % 10 == 0, 5).collect())
+    monkeypatch.setattr(R, "DOC_BLOCK", 10_000)
+    assert few == sorted(tuple(r) for r in R.tfidf_topk(docs, F.col("doc_id") % 10 == 0, 5).collect()) and len(few) == 45
