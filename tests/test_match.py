@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from learntrail.functions import parsing as P
@@ -39,3 +40,35 @@ def test_questions_are_normalised(spark):
     rows = [("Question text  Write a\n loop. Answer:(penalty regime: 0 %) tail",), ("a b",), ("w " * 200,), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(P.question_words(F.col("t"))).collect()]
     assert got == ["Write a loop.", "a b", " ".join(["w"] * 150), None]
+
+
+def test_distances_in_a_band_equal_those_of_the_whole_table():
+    rng = random.Random(5)
+    codes = lambda t: np.frombuffer(t.encode("utf-32-le"), "<u4").astype(np.uint64)
+    for k in range(400):
+        a = "".join(rng.choice("abcé") for _ in range(rng.randrange(60)))
+        b = "".join(rng.choice(["", c, c, c, c + "x"]) for c in a) if k % 5 else "".join(rng.choice("abcé") for _ in range(rng.randrange(60)))
+        rows = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, rows[0] = rows[0], i
+            for j, y in enumerate(b, 1):
+                last, rows[j] = rows[j], min(rows[j] + 1, rows[j - 1] + 1, last + (x != y))
+        limit = rng.randrange(50)
+        got = R.edit_distance(codes(a), codes(b), limit)
+        assert got == rows[-1] if rows[-1] <= limit else got > limit
+
+
+def test_edit_pairs_compare_few_of_many_unrelated_texts(spark, monkeypatch):
+    """Texts of one source and length meet as hashed grams; only near ones are compared in full."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(120)]
+    texts += [t[:50] + "zz" + t[53:] for t in texts[:10]]
+    compared, whole = [], R.edit_distance
+    monkeypatch.setattr(R, "edit_distance", lambda a, b, n: compared.append(1) or whole(a, b, n))
+    i, j, _ = R.near_texts(texts, None, 0.1)
+    assert {(k, 120 + k) for k in range(10)} <= set(zip(i.tolist(), j.tolist(), strict=True)) and len(compared) < 60
+    monkeypatch.setattr(R, "CELL", 16 * 2048)  # several blocks
+    df = spark.createDataFrame([(k, t, "g") for k, t in enumerate(texts)], "id long, text string, g string")
+    got = {(r.left_id, r.right_id) for r in R.edit_pairs(df, "id", "text", "g").collect()}
+    assert got == set(zip(i.tolist(), j.tolist(), strict=True))
