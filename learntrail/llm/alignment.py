@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -16,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from sentencepiece import sentencepiece_model_pb2
 
 from learntrail.llm import bpe
 from learntrail.llm.common import exchanged, null_safe_text, ragged, table, written
@@ -101,12 +103,68 @@ def shared_group_links(a_groups: np.ndarray, b_groups: np.ndarray, n_groups: int
         yield rows, columns
 
 
+#: A space after another sign.
+_CUT = re.compile("(?<=[^ ]) ")
+#: Most chunks, and ids of chunks, that a worker keeps.
+KEPT, KEPT_IDS = 300_000, 3_000_000
+
+
+class Pieces:
+    """A sentence-piece model's ids of batches of texts; ids of chunks seen before are kept.
+
+    No merge leads from another sign to a space if no piece does, so a BPE model that takes texts as they are (no rules of
+    normalisation, spaces kept, one put before) gives a text the ids of its parts at such spaces. Other models get whole texts.
+    """
+
+    def __init__(self, model: sentencepiece.SentencePieceProcessor):
+        self.model = model
+        proto = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
+        rules, kind = proto.normalizer_spec, proto.trainer_spec
+        plain = not rules.precompiled_charsmap and rules.add_dummy_prefix and rules.escape_whitespaces and not rules.remove_extra_whitespaces
+        crossing = any("▁" in x.piece.lstrip("▁") for x in proto.pieces)
+        self.parted = plain and not crossing and kind.model_type == kind.BPE and not kind.treat_whitespace_as_suffix and all(x.type in (x.NORMAL, x.BYTE, x.CONTROL, x.UNKNOWN) for x in proto.pieces)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.noted: list[str] = []
+        self.done = 1
+        self.numbers = bpe._Numbers(self, "")
+        self.numbers[""] = 0  # the space that ends a text
+        self.ids = np.array(self.model.encode("x ")[len(self.model.encode("x")) :], np.int32)
+        self.counts = np.array([len(self.ids)], np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row and how many each text has."""
+        if not self.parted:
+            return _flat(self.model.encode(texts, num_threads=1))
+        if self.done > KEPT or len(self.ids) > KEPT_IDS:
+            self._empty()
+        known = self.numbers.__getitem__
+        numbers = [list(map(known, x.split(" ") if "  " not in x and x[0] != " " else _CUT.split(x))) if x else [] for x in texts]
+        if self.noted:
+            ids, counts = _flat(self.model.encode(self.noted, num_threads=1))
+            self.done += len(self.noted)
+            self.noted.clear()
+            self.ids, self.counts = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.counts, counts])
+        chunk, sizes = _flat(numbers)
+        counts = self.counts[chunk]
+        ids = self.ids[np.repeat((np.cumsum(self.counts) - self.counts)[chunk], counts) + ragged(counts)].astype(np.int64)
+        ends, upto = np.r_[0, np.cumsum(counts)], np.cumsum(sizes)
+        return ids, ends[upto] - ends[upto - sizes]
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum())), counts
+
+
 class Tokenizers:
     """A: a byte-level BPE's ids of a space and the text. B: a sentence-piece model's ids of the text, to which it adds the space."""
 
     def __init__(self, first: str = FIRST, second: str = SECOND):
         self.a = bpe.Encoder(first, special=False)
         self.b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(f"{second}.model"))
+        self.pieces = Pieces(self.b)
         piece = lambda k: bytes([int(self.b.id_to_piece(k)[3:-1], 16)]) if self.b.is_byte(k) else self.b.id_to_piece(k).replace("▁", " ").encode("utf-8")
         self.a_tokens, self.b_tokens = self.a.merges.tokens, bpe.Packed([piece(k) for k in range(len(self.b))])
         self.numbers = bpe.Packed([b"%d," % k for k in range(max(len(self.a_tokens.lengths), len(self.b)))])
@@ -114,9 +172,7 @@ class Tokenizers:
     def align(self, texts: list[str]) -> Aligned:
         """The tokens of all texts, cut into groups where both end."""
         a_ids, a_counts = self.a.encode([" " + x for x in texts])
-        found = self.b.encode(texts, num_threads=1)
-        b_counts = np.fromiter(map(len, found), np.int64, len(found))
-        b_ids = np.fromiter(chain.from_iterable(found), np.int64, int(b_counts.sum()))
+        b_ids, b_counts = self.pieces.encode(texts)
         a_raw, b_raw = _joined(self.a_tokens, a_ids, a_counts), _joined(self.b_tokens, b_ids, b_counts)
         fits = np.array([bool(x) and a == (own := b" " + x.encode("utf-8", "surrogatepass")) and b == own for x, a, b in zip(texts, a_raw, b_raw, strict=True)], bool)
         a_ids, b_ids = a_ids[np.repeat(fits, a_counts)].astype(np.int64), b_ids[np.repeat(fits, b_counts)]

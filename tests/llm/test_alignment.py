@@ -123,3 +123,22 @@ def test_sparse_products():
 def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert sorted((tuple(r) for r in alignment.op13_alignment(spark, sf_dir).collect()), key=str) == wanted(rows)
+
+
+def test_kept_chunks_give_the_ids_of_whole_texts(monkeypatch):
+    """Few chunks are encoded again, and odd spaces, line breaks and special strings give what the library gives."""
+    rng = random.Random(8)
+    signs = ["a", "b", "the", " ", " ", "  ", "\n", "\t", "é", "é", "😀", "<s>", "<0x41>", " ", "　", ".", "ing", "\0", "\r\n"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(25))) for _ in range(3000)]
+    model = libraries()[1]
+    want = model.encode(texts)
+    asked = []
+    pieces = alignment.Pieces(model)
+    monkeypatch.setattr(pieces, "model", type("Counted", (), {"encode": lambda self, x, **k: asked.extend([x] if isinstance(x, str) else x) or model.encode(x, **k)})())
+    for _ in range(2):
+        ids, counts = pieces.encode(texts)
+        ends = np.r_[0, np.cumsum(counts)]
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == want
+    assert pieces.parted and len(asked) == len(set(asked))  # none twice
+    monkeypatch.setattr(alignment, "KEPT", 10)
+    assert pieces.encode(texts)[0].tolist() == [k for own in want for k in own]
