@@ -72,3 +72,18 @@ def test_edit_pairs_compare_few_of_many_unrelated_texts(spark, monkeypatch):
     df = spark.createDataFrame([(k, t, "g") for k, t in enumerate(texts)], "id long, text string, g string")
     got = {(r.left_id, r.right_id) for r in R.edit_pairs(df, "id", "text", "g").collect()}
     assert got == set(zip(i.tolist(), j.tolist(), strict=True))
+
+
+def test_nearest_texts_against_all_pairs_and_leave_far_lengths_out(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abc é") for _ in range(n))
+    others, texts = [word(rng.randrange(0, 70)) for _ in range(90)] + ["", "ab", "ab"], [word(rng.randrange(0, 120)) for _ in range(60)] + ["", "ab"]
+    keys = rng.sample(range(1000), len(others))
+    codes = lambda t: np.frombuffer(t.encode("utf-32-le"), "<u4").astype(np.uint64)
+    want = [min((R.edit_distance(codes(t), codes(o), 200), k) for o, k in zip(others, keys, strict=True)) for t in texts]
+    assert R.nearest_texts([*texts, None], others, keys, 8) == [*want, None]
+    q = spark.createDataFrame([*enumerate(texts), (500, None)], "q long, s string")
+    c = spark.createDataFrame([*zip(keys, others, strict=True), (1001, None)], "k long, s string")
+    got = {r.q: (r.distance, r.k) for r in R.best_match(q, c, "q", "k", "s").collect()}
+    assert got == {**dict(enumerate(want)), 500: (None, None)}
+    assert R.best_match(q, c.limit(0), "q", "k", "s").count() == 0
