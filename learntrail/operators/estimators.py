@@ -11,7 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from learntrail.functions.parsing import sigmoid, smoothed, uniform
-from learntrail.sources.tables import checkpointed
+from learntrail.sources.tables import checkpointed, dealt
+
+#: A table of at most so many parameters is copied to the tasks instead of shuffling the answers.
+MOST_COPIED = 200_000
+
+
+def _copied(params: DataFrame) -> DataFrame:
+    """``params``, to be broadcast if there are few of them: the join's other side then stays where it is."""
+    return F.broadcast(params) if params.count() <= MOST_COPIED else params
 
 
 def elo(obs: DataFrame, train_weeks: int, k: float = 0.4) -> DataFrame:
@@ -58,24 +66,27 @@ def calibrated(obs: DataFrame, rounds: int = 12, prior: float = 1.0, slope: bool
     return state
 
 
-def rasch(responses: DataFrame, rounds: int = 6, prior: float = 1.0, eps: float = 0.01) -> tuple[DataFrame, DataFrame]:
+def rasch(responses: DataFrame, rounds: int = 6, prior: float = 1.0, eps: float = 0.01, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """One-parameter logistic model by alternating damped Newton steps with a normal prior; labels are smoothed by ``eps``, responses are counted first.
 
-    Every step is an aggregation by learner or by item over (learner, item) counts. Returns abilities and difficulties. Rows
-    may be counted already: ``n`` answers, of which ``right`` were right, instead of ``y``.
+    Every step is an aggregation by learner or by item over (learner, item) counts, which lie dealt by learner, so that only
+    sums by item are shuffled. Returns abilities and difficulties. Rows may be counted already, several for a learner and item
+    too: ``n`` answers, of which ``right`` were right, instead of ``y``. Each value of the columns ``by`` has a fit of its own, and its rows in the results.
     """
-    n, right = (F.sum("n"), F.sum("right")) if "n" in responses.columns else (F.count("*"), F.sum("y"))
-    counts = responses.groupBy("student_id", "item_id").agg(n.cast("double").alias("n"), (right * (1 - 2 * eps) + n * eps).alias("r"))
-    counts = checkpointed(counts)
-    ability = counts.select("student_id").distinct().withColumn("theta", F.lit(0.0))
-    item = counts.select("item_id").distinct().withColumn("b", F.lit(0.0))
-    for _ in range(rounds):
-        both = counts.join(ability, "student_id").join(item, "item_id").withColumn("p", 1 / (1 + F.exp(F.col("b") - F.col("theta"))))
-        step = both.groupBy("student_id", "theta").agg(F.sum(F.col("r") - F.col("n") * F.col("p")).alias("g"), F.sum(F.col("n") * F.col("p") * (1 - F.col("p"))).alias("h"))
-        ability = checkpointed(step.select("student_id", (F.col("theta") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("g") - prior * F.col("theta")) / (F.col("h") + prior)))).alias("theta")))
-        both = counts.join(ability, "student_id").join(item, "item_id").withColumn("p", 1 / (1 + F.exp(F.col("b") - F.col("theta"))))
-        step = both.groupBy("item_id", "b").agg(F.sum(F.col("n") * F.col("p") - F.col("r")).alias("g"), F.sum(F.col("n") * F.col("p") * (1 - F.col("p"))).alias("h"))
-        item = checkpointed(step.select("item_id", (F.col("b") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("g") / (F.col("h") + 1e-6)))).alias("b")))
+    who, what = [*by, "student_id"], [*by, "item_id"]
+    if "n" not in responses.columns:
+        responses = responses.groupBy(*who, "item_id").agg(F.count("*").alias("n"), F.sum("y").alias("right"))
+    with dealt(responses, who) as counts:
+        counts = counts.withColumn("r", F.col("right") * (1 - 2 * eps) + F.col("n") * eps)
+        ability = counts.select(*who).distinct().withColumn("theta", F.lit(0.0))
+        item = _copied(checkpointed(counts.select(*what).distinct().withColumn("b", F.lit(0.0))))
+        for _ in range(rounds):
+            both = counts.join(ability, who).join(item, what).withColumn("p", 1 / (1 + F.exp(F.col("b") - F.col("theta"))))
+            step = both.groupBy(*who, "theta").agg(F.sum(F.col("r") - F.col("n") * F.col("p")).alias("g"), F.sum(F.col("n") * F.col("p") * (1 - F.col("p"))).alias("h"))
+            ability = checkpointed(step.select(*who, (F.col("theta") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("g") - prior * F.col("theta")) / (F.col("h") + prior)))).alias("theta")))
+            both = counts.join(ability, who).join(item, what).withColumn("p", 1 / (1 + F.exp(F.col("b") - F.col("theta"))))
+            step = both.groupBy(*what, "b").agg(F.sum(F.col("n") * F.col("p") - F.col("r")).alias("g"), F.sum(F.col("n") * F.col("p") * (1 - F.col("p"))).alias("h"))
+            item = _copied(checkpointed(step.select(*what, (F.col("b") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("g") / (F.col("h") + 1e-6)))).alias("b"))))
     return ability, item
 
 

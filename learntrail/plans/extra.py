@@ -217,11 +217,10 @@ def temporal_ability(spark, d):
     the week of the first answer on. Answers are counted by week first, so that prefixes copy counts and not answers.
     """
     o = observations(spark, d).groupBy("student_id", "item_id", "week").agg(F.count("*").alias("n"), F.sum("y").alias("right"))
-    last = F.broadcast(o.agg(F.max("week").alias("last")))
+    last = F.broadcast(submissions(spark, d).where(F.col("pass").rlike("[01]")).agg(F.max("week").alias("last")))  # one row
     o = o.join(last, how="cross").withColumn("upto", F.explode(F.sequence("week", "last")))
-    keyed = lambda c: F.struct("upto", c).alias(c)
-    ability, _ = M.rasch(o.select(keyed("student_id"), keyed("item_id"), "n", "right"))
-    return ability.select(F.col("student_id.upto").alias("week"), "student_id.student_id", "theta")
+    ability, _ = M.rasch(o.select("upto", "student_id", "item_id", "n", "right"), by=("upto",))
+    return ability.select(F.col("upto").alias("week"), "student_id", "theta")
 
 
 @query("SELECT b.item_id, min(d.doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id", log=False)
