@@ -17,7 +17,7 @@ from learntrail.sources.tables import checkpointed, dealt
 MOST_COPIED = 200_000
 
 
-def _copied(params: DataFrame) -> DataFrame:
+def copied(params: DataFrame) -> DataFrame:
     """``params``, to be broadcast if there are few of them: the join's other side then stays where it is."""
     return F.broadcast(params) if params.count() <= MOST_COPIED else params
 
@@ -29,9 +29,15 @@ def elo(obs: DataFrame, train_weeks: int, k: float = 0.4) -> DataFrame:
     reference also updates an item at each answer and predicts the later weeks; that needs a whole course in one ordered
     group and is left out.
     """
-    train = obs.where(F.col("week") <= train_weeks)
+    return _elo(obs.where(F.col("week") <= train_weeks), _failure_logits(obs, train_weeks), k)
+
+
+def _failure_logits(obs: DataFrame, train_weeks: int) -> DataFrame:
     p = F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.avg("y")))
-    item = train.groupBy("item_id").agg((-F.ln(p / (1 - p))).alias("b"))
+    return copied(checkpointed(obs.where(F.col("week") <= train_weeks).groupBy("item_id").agg((-F.ln(p / (1 - p))).alias("b"))))
+
+
+def _elo(train: DataFrame, item: DataFrame, k: float) -> DataFrame:
     steps = train.join(item, "item_id").groupBy("student_id").agg(F.array_sort(F.collect_list(F.struct("t_days", "item_id", "attempt_id", "y", "b"))).alias("s"))
     theta = F.aggregate("s", F.lit(0.0), lambda t, x: t + k * (x["y"] - 1 / (1 + F.exp(x["b"] - t))))
     return steps.select("student_id", theta.alias("theta"), F.size("s").cast("long").alias("n"))
@@ -40,9 +46,9 @@ def elo(obs: DataFrame, train_weeks: int, k: float = 0.4) -> DataFrame:
 def elo_predictions(obs: DataFrame, train_weeks: int, k: float = 0.4) -> DataFrame:
     """``student_id, item_id, attempt_id, y, p`` for the weeks after training: the learner's rating after it against the item's
     difficulty, 0 for learners and items that training didn't see."""
-    p = F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.avg("y")))
-    item = obs.where(F.col("week") <= train_weeks).groupBy("item_id").agg((-F.ln(p / (1 - p))).alias("b"))
-    later = obs.where(F.col("week") > train_weeks).join(elo(obs, train_weeks, k).select("student_id", "theta"), "student_id", "left").join(item, "item_id", "left")
+    item = _failure_logits(obs, train_weeks)
+    theta = _elo(obs.where(F.col("week") <= train_weeks), item, k).select("student_id", "theta")
+    later = obs.where(F.col("week") > train_weeks).join(theta, "student_id", "left").join(item, "item_id", "left")
     return later.select("student_id", "item_id", "attempt_id", "y", sigmoid(F.coalesce("theta", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))).alias("p"))
 
 
@@ -79,14 +85,14 @@ def rasch(responses: DataFrame, rounds: int = 6, prior: float = 1.0, eps: float
     with dealt(responses, who) as counts:
         counts = counts.withColumn("r", F.col("right") * (1 - 2 * eps) + F.col("n") * eps)
         ability = counts.select(*who).distinct().withColumn("theta", F.lit(0.0))
-        item = _copied(checkpointed(counts.select(*what).distinct().withColumn("b", F.lit(0.0))))
+        item = copied(checkpointed(counts.select(*what).distinct().withColumn("b", F.lit(0.0))))
         for _ in range(rounds):
             both = counts.join(ability, who).join(item, what).withColumn("p", 1 / (1 + F.exp(F.col("b") - F.col("theta"))))
             step = both.groupBy(*who, "theta").agg(F.sum(F.col("r") - F.col("n") * F.col("p")).alias("g"), F.sum(F.col("n") * F.col("p") * (1 - F.col("p"))).alias("h"))
             ability = checkpointed(step.select(*who, (F.col("theta") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("g") - prior * F.col("theta")) / (F.col("h") + prior)))).alias("theta")))
             both = counts.join(ability, who).join(item, what).withColumn("p", 1 / (1 + F.exp(F.col("b") - F.col("theta"))))
             step = both.groupBy(*what, "b").agg(F.sum(F.col("n") * F.col("p") - F.col("r")).alias("g"), F.sum(F.col("n") * F.col("p") * (1 - F.col("p"))).alias("h"))
-            item = _copied(checkpointed(step.select(*what, (F.col("b") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("g") / (F.col("h") + 1e-6)))).alias("b"))))
+            item = copied(checkpointed(step.select(*what, (F.col("b") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("g") / (F.col("h") + 1e-6)))).alias("b"))))
     return ability, item
 
 
@@ -131,8 +137,17 @@ def _forward(y: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def bkt_fit(obs: DataFrame, rounds: int = 50) -> DataFrame:
     """Knowledge-tracing parameters of each item by expectation maximisation; equal answer sequences are counted first,
     so an item's group holds its distinct sequences and not its learners."""
-    seqs = obs.groupBy("item_id", "student_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("attempt_id", "y"))), lambda x: x["y"].cast("string")), "").alias("seq"))
-    counted = seqs.groupBy("item_id", "seq").agg(F.count("*").alias("n"))
+    return _bkt_fit(_sequences(obs), rounds)
+
+
+def _sequences(obs: DataFrame) -> DataFrame:
+    """``item_id, student_id, seq``: a learner's answers to an item in order."""
+    return obs.groupBy("item_id", "student_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("attempt_id", "y"))), lambda x: x["y"].cast("string")), "").alias("seq"))
+
+
+def _bkt_fit(seqs: DataFrame, rounds: int = 50) -> DataFrame:
+    # the fits are long and their rows few: dealt in a fixed number, or they would be put together in one task
+    counted = seqs.groupBy("item_id", "seq").agg(F.count("*").alias("n")).repartition(4 * seqs.sparkSession.sparkContext.defaultParallelism, "item_id")
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         p = np.array([0.3, 0.1, 0.2, 0.1])
@@ -166,7 +181,11 @@ def bkt_fit(obs: DataFrame, rounds: int = 50) -> DataFrame:
 
 def bkt_forward(obs: DataFrame, params: DataFrame) -> DataFrame:
     """Mastery of each learner at each item after all attempts, as a fold inside the JVM, and the chance ``p`` of a right next answer."""
-    seqs = obs.groupBy("item_id", "student_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("attempt_id", "y"))), lambda x: x["y"]).alias("s"))
+    return _mastered(obs.groupBy("item_id", "student_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("attempt_id", "y"))), lambda x: x["y"]).alias("s")), params).select("student_id", "item_id", "mastery", "p")
+
+
+def _mastered(seqs: DataFrame, params: DataFrame) -> DataFrame:
+    """Rows ``item_id, s`` with ``mastery`` after the answers ``s`` and the chance ``p`` of a right next one."""
 
     def step(k: Column, y: Column) -> Column:
         right = k * (1 - F.col("slip")) + (1 - k) * F.col("guess")
@@ -174,16 +193,18 @@ def bkt_forward(obs: DataFrame, params: DataFrame) -> DataFrame:
         return post + (1 - post) * F.col("learn")
 
     after = seqs.join(params, "item_id").withColumn("mastery", F.aggregate("s", F.col("known"), step))
-    return after.select("student_id", "item_id", "mastery", (F.col("mastery") * (1 - F.col("slip")) + (1 - F.col("mastery")) * F.col("guess")).alias("p"))
+    return after.withColumn("p", F.col("mastery") * (1 - F.col("slip")) + (1 - F.col("mastery")) * F.col("guess"))
 
 
 def bkt_later(obs: DataFrame, train_weeks: int) -> DataFrame:
     """``student_id, item_id, attempt_id, y, p`` for the weeks after training, whose items have no parameters of their own: a
     learner starts from the mean mastery of the items seen, with the mean parameters of all items."""
-    train = obs.where(F.col("week") <= train_weeks)
-    params = checkpointed(bkt_fit(train))
-    mean = params.agg(*[F.avg(c).alias(c) for c in ("known", "guess", "slip")])
-    seen = bkt_forward(train, params).groupBy("student_id").agg(F.avg("mastery").alias("mastery"))
+    with dealt(_sequences(obs.where(F.col("week") <= train_weeks)), ["student_id"]) as seqs:
+        params = checkpointed(_bkt_fit(seqs))
+        mean = params.agg(*[F.avg(c).alias(c) for c in ("known", "guess", "slip")])
+        distinct = seqs.select("item_id", "seq").distinct().withColumn("s", F.transform(F.split("seq", ""), lambda x: x.cast("long")))
+        after = copied(checkpointed(_mastered(distinct, copied(params)).select("item_id", "seq", "mastery")))  # equal sequences have one mastery
+        seen = checkpointed(seqs.join(after, ["item_id", "seq"]).groupBy("student_id").agg(F.avg("mastery").alias("mastery")))
     later = obs.where(F.col("week") > train_weeks).join(seen, "student_id", "left").join(F.broadcast(mean))  # one row
     m = F.coalesce("mastery", "known")
     return later.select("student_id", "item_id", "attempt_id", "y", (m * (1 - F.col("slip")) + (1 - m) * F.col("guess")).alias("p"))
