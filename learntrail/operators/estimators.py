@@ -96,26 +96,31 @@ def rasch(responses: DataFrame, rounds: int = 6, prior: float = 1.0, eps: float
     return ability, item
 
 
-def trend_model(obs: DataFrame, trend_on: str, level_on: str, rounds: int = 6, prior: float = 1.0) -> tuple[DataFrame, DataFrame]:
+def trend_model(obs: DataFrame, trend_on: str, level_on: str, rounds: int = 6, prior: float = 1.0, many: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Logistic model ``start + slope * t + level`` of ``y`` by alternating damped Newton steps with normal priors.
 
     ``start`` and ``slope`` belong to ``trend_on`` and are solved together, ``level`` belongs to ``level_on``; ``t`` lies in
-    [0, 1]. Every step is one aggregation by key, so no group is gathered. Rows with a null among the columns are left out.
+    [0, 1]. Every step is one aggregation by key, so no group is gathered. Rows lie dealt by ``many``, the one of the two keys
+    with more values (``level_on`` if not given); sums by the other alone are shuffled. Rows with a null among the columns
+    are left out.
     """
-    obs = checkpointed(obs.select(trend_on, level_on, F.col("y").cast("double").alias("y"), F.col("t").cast("double").alias("t")).dropna())
-    trend = obs.select(trend_on).distinct().withColumn("start", F.lit(0.0)).withColumn("slope", F.lit(0.0))
-    level = obs.select(level_on).distinct().withColumn("level", F.lit(0.0))
+    many = many or level_on
     damped = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
-    for _ in range(rounds):
-        both = obs.join(trend, trend_on).join(level, level_on).withColumn("p", sigmoid(F.col("start") + F.col("slope") * F.col("t") + F.col("level")))
-        w, e, t = F.col("p") * (1 - F.col("p")), F.col("y") - F.col("p"), F.col("t")
-        sums = both.groupBy(trend_on, "start", "slope").agg(F.sum(e).alias("g0"), F.sum(e * t).alias("g1"), F.sum(w).alias("h00"), F.sum(w * t).alias("h01"), F.sum(w * t * t).alias("h11"))
-        g0, g1, h00, h01, h11 = F.col("g0") - prior * F.col("start"), F.col("g1") - prior * F.col("slope"), F.col("h00") + prior, F.col("h01"), F.col("h11") + prior
-        det = h00 * h11 - h01 * h01
-        trend = checkpointed(sums.select(trend_on, (F.col("start") + damped((h11 * g0 - h01 * g1) / det)).alias("start"), (F.col("slope") + damped((h00 * g1 - h01 * g0) / det)).alias("slope")))
-        both = obs.join(trend, trend_on).join(level, level_on).withColumn("p", sigmoid(F.col("start") + F.col("slope") * F.col("t") + F.col("level")))
-        sums = both.groupBy(level_on, "level").agg(F.sum(e).alias("g"), F.sum(w).alias("h"))
-        level = checkpointed(sums.select(level_on, (F.col("level") + damped((F.col("g") - prior * F.col("level")) / (F.col("h") + prior))).alias("level")))
+    held = lambda key, state: state if key == many else copied(state)
+    with dealt(obs.select(trend_on, level_on, "y", F.col("t").cast("double").alias("t")).dropna(), [many]) as obs:
+        obs = obs.withColumn("y", F.col("y").cast("double"))
+        trend = held(trend_on, checkpointed(obs.select(trend_on).distinct().withColumn("start", F.lit(0.0)).withColumn("slope", F.lit(0.0))))
+        level = held(level_on, checkpointed(obs.select(level_on).distinct().withColumn("level", F.lit(0.0))))
+        for _ in range(rounds):
+            both = obs.join(trend, trend_on).join(level, level_on).withColumn("p", sigmoid(F.col("start") + F.col("slope") * F.col("t") + F.col("level")))
+            w, e, t = F.col("p") * (1 - F.col("p")), F.col("y") - F.col("p"), F.col("t")
+            sums = both.groupBy(trend_on, "start", "slope").agg(F.sum(e).alias("g0"), F.sum(e * t).alias("g1"), F.sum(w).alias("h00"), F.sum(w * t).alias("h01"), F.sum(w * t * t).alias("h11"))
+            g0, g1, h00, h01, h11 = F.col("g0") - prior * F.col("start"), F.col("g1") - prior * F.col("slope"), F.col("h00") + prior, F.col("h01"), F.col("h11") + prior
+            det = h00 * h11 - h01 * h01
+            trend = held(trend_on, checkpointed(sums.select(trend_on, (F.col("start") + damped((h11 * g0 - h01 * g1) / det)).alias("start"), (F.col("slope") + damped((h00 * g1 - h01 * g0) / det)).alias("slope"))))
+            both = obs.join(trend, trend_on).join(level, level_on).withColumn("p", sigmoid(F.col("start") + F.col("slope") * F.col("t") + F.col("level")))
+            sums = both.groupBy(level_on, "level").agg(F.sum(e).alias("g"), F.sum(w).alias("h"))
+            level = held(level_on, checkpointed(sums.select(level_on, (F.col("level") + damped((F.col("g") - prior * F.col("level")) / (F.col("h") + prior))).alias("level"))))
     return trend, level
 
 

@@ -53,7 +53,7 @@ def cirt_student_split(spark, d):
 def dirt_student_split(spark, d):
     """The same with learners whose ability grows with time."""
     o = _roles(spark, d)
-    _, level = M.trend_model(o.where("role = 'train'"), "student_id", "item_id")
+    _, level = M.trend_model(o.where("role = 'train'"), "student_id", "item_id", many="student_id")
     known = o.where("role = 'test'").join(level, "item_id").withColumn("offset", F.col("level"))
     return _predicted(known, M.calibrated(known.where("week <= 3"), slope=True))
 
@@ -102,7 +102,7 @@ def cirt_params(spark, d):
 @query()
 def dirt_params(spark, d):
     """Learners whose ability grows with time: ability + growth * t - difficulty."""
-    trend, _ = M.trend_model(_timed(spark, d), "student_id", "item_id")
+    trend, _ = M.trend_model(_timed(spark, d), "student_id", "item_id", many="student_id")
     return trend.select("student_id", F.col("start").alias("ability"), F.col("slope").alias("growth"))
 
 

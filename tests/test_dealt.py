@@ -43,3 +43,10 @@ def test_each_key_has_a_fit_of_its_own(spark):
         for whole, part, key in ((ability, own, "student_id"), (item, its, "item_id")):
             got, want = ({r[key]: r[-1] for r in x.collect()} for x in (whole.where(f"upto = {w}"), part))
             assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
+@pytest.mark.parametrize("trend_on, level_on", [("item_id", "student_id"), ("student_id", "item_id")])
+def test_trend_steps_leave_learners_rows_where_they_lie(spark, step_plans, trend_on, level_on):
+    df = spark.createDataFrame([(s, i, (s + i) % 2, k / 2) for _, s, i, _, k in ROWS if k < 3], "student_id long, item_id long, y long, t double")
+    M.trend_model(df, trend_on, level_on, rounds=2, **({"many": "student_id"} if "student_id" == trend_on else {}))
+    assert len(step_plans) >= 4 and max(map(shuffles_by_learner, step_plans)) <= 1
