@@ -87,3 +87,11 @@ def test_nearest_texts_against_all_pairs_and_leave_far_lengths_out(spark):
     got = {r.q: (r.distance, r.k) for r in R.best_match(q, c, "q", "k", "s").collect()}
     assert got == {**dict(enumerate(want)), 500: (None, None)}
     assert R.best_match(q, c.limit(0), "q", "k", "s").count() == 0
+
+
+def test_best_match_edit_takes_every_document(spark, sf_dir):
+    from learntrail import plans
+    from learntrail.plans.log import table
+
+    got = [r.doc_id for r in plans.queries()["best_match_edit"](spark, sf_dir).collect()]
+    assert sorted(got) == sorted(r.doc_id for r in table(spark, sf_dir, "documents").select("doc_id").collect())
